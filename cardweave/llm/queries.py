@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from cardweave.llm import neardup, packing, secrets, urlfilter
+from cardweave.llm import linededup, neardup, packing, quality, secrets, urlfilter
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -44,10 +45,21 @@ def op6_minhash_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.near_duplicates_digest(_table(spark, sf_dir, "documents"))
 
 
+def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.judge_quality(_table(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id")
+
+
+def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    return linededup.dedup_lines(docs).select("doc_id", "n_deleted", F.length("text").alias("n_kept_chars"), F.sha2("text", 256).alias("kept_sha256"))
+
+
 def queries() -> dict[str, Query]:
     return {
         "op1_secret_scans": op1_secret_scans,
         "op2_url_filters": op2_url_filters,
         "op4_best_fit_packing": op4_best_fit_packing,
         "op6_minhash_neardup": op6_minhash_neardup,
+        "op7_quality_rules": op7_quality_rules,
+        "op8_line_dedup": op8_line_dedup,
     }
