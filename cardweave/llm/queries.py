@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cardweave.llm import linededup, neardup, packing, quality, secrets, urlfilter
+from cardweave.llm import decontaminate, linededup, neardup, packing, quality, secrets, urlfilter
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -34,6 +34,11 @@ def op2_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urlfilter.filter_urls(_table(spark, sf_dir, "pages"), rules)
 
 
+def op3_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = decontaminate.contaminated(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+    return found.select(F.col("id").alias("doc_id"), F.col("items").alias("item_ids"), "n_matched", (F.col("n_matched") > 0).alias("contaminated"))
+
+
 def op4_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -58,6 +63,7 @@ def queries() -> dict[str, Query]:
     return {
         "op1_secret_scans": op1_secret_scans,
         "op2_url_filters": op2_url_filters,
+        "op3_benchmark_decontamination": op3_benchmark_decontamination,
         "op4_best_fit_packing": op4_best_fit_packing,
         "op6_minhash_neardup": op6_minhash_neardup,
         "op7_quality_rules": op7_quality_rules,
