@@ -12,7 +12,7 @@ thousands of trials, not millions.
 
 With 30 bands of 5 minima a pair at a similarity of 0.8 is missed with a
 probability of 7e-6, one at 0.9 with 1e-12. Signatures for verification keep
-one byte of each minimum; a pair is dropped unseen only at an estimate five
+one byte of each minimum; a pair is dropped unseen only at an estimate four
 standard deviations below the threshold. Every link is confirmed on full sets.
 
 Nulls: a null text is an empty one. A text without words has no shingles, and is
@@ -28,7 +28,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cardweave.llm.common import cut, text_of
@@ -71,30 +71,34 @@ def describe(docs: DataFrame, k: int, id_col: str, text_col: str) -> DataFrame:
                 fp.append(hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None)
                 m = minima(s) if len(s) else None
                 bands.append(band_keys(m) if len(s) else None)
-                signatures.append((m & np.uint32(255)).astype(np.uint8).tobytes() if len(s) else None)
+                signatures.append(np.pad((m & np.uint32(255)).astype(np.uint8), (0, -_N % 8)).view(np.int64) if len(s) else None)
             yield pd.DataFrame({"id": frame["id"], "n_shingles": n, "fp": fp, "bands": bands, "signature": signatures})
 
     src = docs.select(F.col(id_col).alias("id"), text_of(text_col).alias("_text"))
     kind = src.schema["id"].dataType.simpleString()
-    return src.mapInPandas(run, f"id {kind}, n_shingles long, fp binary, bands array<long>, signature binary")
+    return src.mapInPandas(run, f"id {kind}, n_shingles long, fp binary, bands array<long>, signature array<long>")
 
 
-def _agreeing(pairs: DataFrame, signatures: DataFrame, least: float) -> DataFrame:
-    """Pairs (u, v) whose signatures agree often enough and whose sizes allow it."""
-    a = signatures.select(F.col("rep").alias("u"), F.col("signature").alias("su"), F.col("n_shingles").alias("nu"))
-    b = signatures.select(F.col("rep").alias("v"), F.col("signature").alias("sv"), F.col("n_shingles").alias("nv"))
-    estimate = least - 5 * (least * (1 - least) / _N) ** 0.5
+def _alike(su: Column, sv: Column, nu: Column, nv: Column, percent: int) -> Column:
+    """Whether sizes allow a link, and signatures (arrays of longs, one byte a hash) agree often enough for one."""
+    least = percent / 100
+    estimate = least - 4 * (least * (1 - least) / _N) ** 0.5
     enough = int(np.floor(_N * (estimate + (1 - estimate) / 256)))
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            if len(frame):
-                su, sv = (np.frombuffer(b"".join(frame[c]), np.uint8).reshape(-1, _N) for c in ("su", "sv"))
-                yield frame.loc[(su == sv).sum(axis=1) >= enough, ["u", "v"]]
+    def differing(a: Column, b: Column) -> Column:
+        x = a.bitwiseXOR(b)
+        for k in (4, 2, 1):
+            x = x.bitwiseOR(F.shiftrightunsigned(x, k))
+        return F.bit_count(x.bitwiseAND(0x0101010101010101))
 
-    fit = pairs.join(a, "u").join(b, "v").filter((100 * F.least("nu", "nv")) >= int(round(100 * least)) * F.greatest("nu", "nv"))
-    kind = pairs.schema["u"].dataType.simpleString()
-    return fit.select("u", "v", "su", "sv").mapInPandas(run, f"u {kind}, v {kind}")
+    count = F.aggregate(F.zip_with(su, sv, differing), F.lit(0), lambda t, x: t + x)
+    return (100 * F.least(nu, nv) >= percent * F.greatest(nu, nv)) & (count <= _N - enough)
+
+
+def _agreeing(pairs: DataFrame, signatures: DataFrame, percent: int) -> DataFrame:
+    """Those pairs (u, v) that may be links by size and signature."""
+    a, b = (signatures.select(F.col("rep").alias(x), F.col("signature").alias(f"s{x}"), F.col("n_shingles").alias(f"n{x}")) for x in "uv")
+    return pairs.join(a, "u").join(b, "v").filter(_alike(F.col("su"), F.col("sv"), F.col("nu"), F.col("nv"), percent)).select("u", "v")
 
 
 def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -136,10 +140,10 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str
     signatures = cut(signatures)
 
     def links(pairs: DataFrame) -> DataFrame:
-        return cut(_confirmed(cut(_agreeing(pairs, signatures, percent / 100)), sets, percent).distinct())
+        return cut(_confirmed(cut(pairs), sets, percent).distinct())
 
     star = members.select(F.col("rep").alias("u"), F.explode(F.array("low", "high")).alias("v")).filter("u != v")
-    first = links(star.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
+    first = links(_agreeing(star.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), signatures, percent))
     same_id = known.groupBy("id").agg(F.min("fp").alias("a"), F.max("fp").alias("b")).filter("a != b")
     # Rows of one id in several classes tie these together.
     tied = known.join(same_id.select("id"), "id", "left_semi").join(reps.select("fp", "rep"), "fp").filter("id != rep").select(F.col("id").alias("u"), F.col("rep").alias("v"))
@@ -150,11 +154,15 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str
     labelled = members.select("key", "rep").join(parts, F.col("rep") == F.col("node"), "left").select("key", "rep", F.coalesce("component", "rep").alias("component"))
     labelled = cut(labelled)
     mixed = cut(labelled.groupBy("key").agg(F.min("component").alias("main"), F.max("component").alias("other")).filter("main < other").select("key", "main"))
-    inside = cut(labelled.join(mixed, "key"))
-    strangers = inside.filter("component != main").select("key", F.col("rep").alias("u"), F.col("component").alias("cu"))
-    others = inside.select("key", F.col("rep").alias("v"), F.col("component").alias("cv"), "main")
-    across = strangers.join(others, "key").filter("cu != cv and (cv = main or u > v)")
-    untried = across.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
+    inside = cut(labelled.join(mixed, "key").join(signatures, "rep"))
+    strangers, others = (inside.select("key", F.col("rep").alias(x), F.col("component").alias(f"c{x}"), F.col("signature").alias(f"s{x}"), F.col("n_shingles").alias(f"n{x}"), "main") for x in "uv")
+    strangers = strangers.filter("cu != main").drop("main")
+    # Sizes and signatures are part of the join, so pairs that cannot be links are never rows.
+    across = (
+        (strangers["key"] == others["key"]) & (F.col("cu") != F.col("cv")) & ((F.col("cv") == F.col("main")) | (F.col("u") > F.col("v")))
+        & _alike(F.col("su"), F.col("sv"), F.col("nu"), F.col("nv"), percent)
+    )
+    untried = strangers.join(others, across).select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
     second = links(untried)
     labels = components(first.unionByName(second)) if second.limit(1).count() else parts
     of_class = reps.select("fp", "rep").join(labels, F.col("rep") == F.col("node"), "left").select("fp", F.coalesce("component", "rep").alias("component"))
