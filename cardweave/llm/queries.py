@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cardweave.llm import decontaminate, linededup, neardup, packing, quality, secrets, urlfilter
+from cardweave.llm import decontaminate, linededup, neardup, packing, quality, secrets, toxicity, urlfilter
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -59,6 +59,10 @@ def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return linededup.dedup_lines(docs).select("doc_id", "n_deleted", F.length("text").alias("n_kept_chars"), F.sha2("text", 256).alias("kept_sha256"))
 
 
+def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.toxicity(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels")).withColumnRenamed("id", "doc_id")
+
+
 def queries() -> dict[str, Query]:
     return {
         "op1_secret_scans": op1_secret_scans,
@@ -68,4 +72,5 @@ def queries() -> dict[str, Query]:
         "op6_minhash_neardup": op6_minhash_neardup,
         "op7_quality_rules": op7_quality_rules,
         "op8_line_dedup": op8_line_dedup,
+        "op9_toxicity": op9_toxicity,
     }
