@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cardweave.llm import decontaminate, linededup, neardup, packing, quality, secrets, toxicity, urlfilter
+from cardweave.llm import decontaminate, html, linededup, neardup, packing, quality, secrets, toxicity, urlfilter
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -63,6 +63,10 @@ def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.toxicity(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels")).withColumnRenamed("id", "doc_id")
 
 
+def op10_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html.extract_pages(_table(spark, sf_dir, "pages")).withColumnRenamed("id", "page_id")
+
+
 def queries() -> dict[str, Query]:
     return {
         "op1_secret_scans": op1_secret_scans,
@@ -73,4 +77,5 @@ def queries() -> dict[str, Query]:
         "op7_quality_rules": op7_quality_rules,
         "op8_line_dedup": op8_line_dedup,
         "op9_toxicity": op9_toxicity,
+        "op10_html_extraction": op10_html_extraction,
     }
