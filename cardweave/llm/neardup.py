@@ -4,16 +4,19 @@ Rows with one set of shingles are a class, met by a fingerprint of the set;
 all further work is on class representatives (the least id). Their band keys
 file them in buckets. In each bucket every member is tried against the least
 and the greatest one (not against all): the signatures first, then the full
-sets. Components of those links follow. What a star can miss is a link between
-members of a bucket that are still in different components, so these, and only
-these, are tried in a second pass, after which no candidate pair across
-components is left untried. A bucket of thousands of linked copies costs
-thousands of trials, not millions.
+sets. Components of those links follow. Members outside their bucket's main
+component are then tried against a few members of it, twice. What stars can miss
+is a link between members of a bucket that are still in different components, so
+these, and only these, are tried in a last pass, after which no candidate pair
+across components is left untried. A bucket of thousands of linked copies costs
+thousands of trials, not millions; what stays quadratic is a bucket of texts
+alike enough to be candidates and yet not linked.
 
 With 30 bands of 5 minima a pair at a similarity of 0.8 is missed with a
 probability of 7e-6, one at 0.9 with 1e-12. Signatures for verification keep
 one byte of each minimum; a pair is dropped unseen only at an estimate four
-standard deviations below the threshold. Every link is confirmed on full sets.
+standard deviations below the threshold. The last pass adds signatures of 1024
+hashes, which tell pairs just below the threshold without their sets. Every link is confirmed on full sets.
 
 Nulls: a null text is an empty one. A text without words has no shingles, and is
 linked with nothing. A row without an id takes no part: its component is null
@@ -36,21 +39,34 @@ from cardweave.llm.components import components
 from cardweave.llm.words import mix, shingle_set, word_hashes
 
 BANDS, ROWS = 30, 5
+#: Members of a bucket's main component that its strangers are tried against, and how often, before all are.
+CENTERS, TURNS = 6, 2
 _N = BANDS * ROWS
 _RANDOM = np.random.default_rng(20240607)
 _A = (_RANDOM.integers(0, 1 << 31, _N, dtype=np.uint32) << np.uint32(1)) | np.uint32(1)
 _B = _RANDOM.integers(0, 1 << 32, _N, dtype=np.uint32)
 
 
-def minima(shingles: np.ndarray) -> np.ndarray:
+#: Hashes of the longer signature for the last pass.
+_LONG = 1024
+_LONG_A = (_RANDOM.integers(0, 1 << 31, _LONG, dtype=np.uint32) << np.uint32(1)) | np.uint32(1)
+_LONG_B = _RANDOM.integers(0, 1 << 32, _LONG, dtype=np.uint32)
+
+
+def minima(shingles: np.ndarray, a: np.ndarray = _A, b: np.ndarray = _B) -> np.ndarray:
     """The least value of each universal hash over a set."""
     x = (shingles >> np.uint64(32)).astype(np.uint32)
-    out = np.full(_N, 0xFFFFFFFF, np.uint32)
+    out = np.full(len(a), 0xFFFFFFFF, np.uint32)
     for s in range(0, len(x), 512):
-        out = np.minimum(out, (np.multiply.outer(_A, x[s : s + 512]) + _B[:, None]).min(axis=1))
+        out = np.minimum(out, (np.multiply.outer(a, x[s : s + 512]) + b[:, None]).min(axis=1))
     return out
 
 
+def packed(signature: np.ndarray) -> np.ndarray:
+    """The last byte of each minimum, eight to a number."""
+    return np.pad((signature & np.uint32(255)).astype(np.uint8), (0, -len(signature) % 8)).view(np.int64)
+
+
 def band_keys(signature: np.ndarray) -> np.ndarray:
     rows = signature.reshape(BANDS, ROWS).astype(np.uint64)
     key = np.arange(BANDS, dtype=np.uint64)
@@ -71,7 +87,7 @@ def describe(docs: DataFrame, k: int, id_col: str, text_col: str) -> DataFrame:
                 fp.append(hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None)
                 m = minima(s) if len(s) else None
                 bands.append(band_keys(m) if len(s) else None)
-                signatures.append(np.pad((m & np.uint32(255)).astype(np.uint8), (0, -_N % 8)).view(np.int64) if len(s) else None)
+                signatures.append(packed(m) if len(s) else None)
             yield pd.DataFrame({"id": frame["id"], "n_shingles": n, "fp": fp, "bands": bands, "signature": signatures})
 
     src = docs.select(F.col(id_col).alias("id"), text_of(text_col).alias("_text"))
@@ -79,11 +95,11 @@ def describe(docs: DataFrame, k: int, id_col: str, text_col: str) -> DataFrame:
     return src.mapInPandas(run, f"id {kind}, n_shingles long, fp binary, bands array<long>, signature array<long>")
 
 
-def _alike(su: Column, sv: Column, nu: Column, nv: Column, percent: int) -> Column:
-    """Whether sizes allow a link, and signatures (arrays of longs, one byte a hash) agree often enough for one."""
+def _alike(su: Column, sv: Column, percent: int, n: int = _N) -> Column:
+    """Whether signatures (arrays of longs, one byte for each of n hashes) agree often enough for a link."""
     least = percent / 100
-    estimate = least - 4 * (least * (1 - least) / _N) ** 0.5
-    enough = int(np.floor(_N * (estimate + (1 - estimate) / 256)))
+    estimate = least - 4 * (least * (1 - least) / n) ** 0.5
+    enough = int(np.floor(n * (estimate + (1 - estimate) / 256)))
 
     def differing(a: Column, b: Column) -> Column:
         x = a.bitwiseXOR(b)
@@ -92,13 +108,17 @@ def _alike(su: Column, sv: Column, nu: Column, nv: Column, percent: int) -> Colu
         return F.bit_count(x.bitwiseAND(0x0101010101010101))
 
     count = F.aggregate(F.zip_with(su, sv, differing), F.lit(0), lambda t, x: t + x)
-    return (100 * F.least(nu, nv) >= percent * F.greatest(nu, nv)) & (count <= _N - enough)
+    return count <= n - enough
+
+
+def _sizes_fit(nu: Column, nv: Column, percent: int) -> Column:
+    return 100 * F.least(nu, nv) >= percent * F.greatest(nu, nv)
 
 
 def _agreeing(pairs: DataFrame, signatures: DataFrame, percent: int) -> DataFrame:
     """Those pairs (u, v) that may be links by size and signature."""
     a, b = (signatures.select(F.col("rep").alias(x), F.col("signature").alias(f"s{x}"), F.col("n_shingles").alias(f"n{x}")) for x in "uv")
-    return pairs.join(a, "u").join(b, "v").filter(_alike(F.col("su"), F.col("sv"), F.col("nu"), F.col("nv"), percent)).select("u", "v")
+    return pairs.join(a, "u").join(b, "v").filter(_sizes_fit(F.col("nu"), F.col("nv"), percent) & _alike(F.col("su"), F.col("sv"), percent)).select("u", "v")
 
 
 def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -118,6 +138,22 @@ def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return pairs.join(a, "u").join(b, "v").select("u", "v", "su", "sv").mapInPandas(run, f"u {kind}, v {kind}")
 
 
+def _mixed(members: DataFrame, labels: DataFrame) -> DataFrame:
+    """(key, rep, component, main) of buckets that hold several components; main is the least of them."""
+    labelled = members.select("key", "rep").join(labels, F.col("rep") == F.col("node"), "left").select("key", "rep", F.coalesce("component", "rep").alias("component"))
+    labelled = cut(labelled)
+    mixed = cut(labelled.groupBy("key").agg(F.min("component").alias("main"), F.max("component").alias("other")).filter("main < other").select("key", "main"))
+    return cut(labelled.join(mixed, "key"))
+
+
+def _towards_main(inside: DataFrame, turn: int) -> DataFrame:
+    """Pairs of each stranger of a bucket with CENTERS members of its main component, other ones at each turn."""
+    main = inside.filter("component = main")
+    centers = main.groupBy("key").agg(F.array_distinct(F.array(*(F.min(F.struct(F.xxhash64("rep", F.lit(turn * CENTERS + i)), "rep"))["rep"] for i in range(CENTERS)))).alias("centers"))
+    pairs = inside.filter("component != main").select("key", F.col("rep").alias("a")).join(cut(centers), "key").select("a", F.explode("centers").alias("b"))
+    return pairs.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct()
+
+
 def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, n_shingles, component_id, kept) for each row; shingles of k words, links from percent / 100 on."""
     rows = cut(describe(docs, k, id_col, text_col))
@@ -147,24 +183,30 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str
     same_id = known.groupBy("id").agg(F.min("fp").alias("a"), F.max("fp").alias("b")).filter("a != b")
     # Rows of one id in several classes tie these together.
     tied = known.join(same_id.select("id"), "id", "left_semi").join(reps.select("fp", "rep"), "fp").filter("id != rep").select(F.col("id").alias("u"), F.col("rep").alias("v"))
-    first = cut(first.unionByName(tied))
-    parts = cut(components(first))
+    labels = cut(components(first.unionByName(tied)))
+    for turn in range(TURNS):
+        found = links(_agreeing(_towards_main(_mixed(members, labels), turn), signatures, percent))
+        labels = cut(components(labels.select(F.col("node").alias("u"), F.col("component").alias("v")).unionByName(found)))
+    # Last pass: all pairs of one bucket that are in different components still.
+    inside = _mixed(members, labels)
+
+    def lengthen(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            yield pd.DataFrame({"rep": frame["rep"], "longer": [packed(minima(np.frombuffer(s, np.uint64), _LONG_A, _LONG_B)) for s in frame["shingles"]]})
 
-    # Second pass: pairs of one bucket that are in different components still.
-    labelled = members.select("key", "rep").join(parts, F.col("rep") == F.col("node"), "left").select("key", "rep", F.coalesce("component", "rep").alias("component"))
-    labelled = cut(labelled)
-    mixed = cut(labelled.groupBy("key").agg(F.min("component").alias("main"), F.max("component").alias("other")).filter("main < other").select("key", "main"))
-    inside = cut(labelled.join(mixed, "key").join(signatures, "rep"))
-    strangers, others = (inside.select("key", F.col("rep").alias(x), F.col("component").alias(f"c{x}"), F.col("signature").alias(f"s{x}"), F.col("n_shingles").alias(f"n{x}"), "main") for x in "uv")
+    longer = sets.join(inside.select("rep").distinct(), "rep", "left_semi").mapInPandas(lengthen, f"rep {kind}, longer array<long>")
+    inside = cut(inside.join(signatures.join(longer, "rep"), "rep"))
+    strangers, others = (inside.select("key", F.col("rep").alias(x), F.col("component").alias(f"c{x}"), F.col("signature").alias(f"s{x}"), F.col("longer").alias(f"l{x}"), F.col("n_shingles").alias(f"n{x}"), "main") for x in "uv")
     strangers = strangers.filter("cu != main").drop("main")
     # Sizes and signatures are part of the join, so pairs that cannot be links are never rows.
     across = (
         (strangers["key"] == others["key"]) & (F.col("cu") != F.col("cv")) & ((F.col("cv") == F.col("main")) | (F.col("u") > F.col("v")))
-        & _alike(F.col("su"), F.col("sv"), F.col("nu"), F.col("nv"), percent)
+        & _sizes_fit(F.col("nu"), F.col("nv"), percent) & _alike(F.col("su"), F.col("sv"), percent) & _alike(F.col("lu"), F.col("lv"), percent, _LONG)
     )
     untried = strangers.join(others, across).select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
-    second = links(untried)
-    labels = components(first.unionByName(second)) if second.limit(1).count() else parts
+    last = links(untried)
+    if last.limit(1).count():
+        labels = components(labels.select(F.col("node").alias("u"), F.col("component").alias("v")).unionByName(last))
     of_class = reps.select("fp", "rep").join(labels, F.col("rep") == F.col("node"), "left").select("fp", F.coalesce("component", "rep").alias("component"))
     out = rows.select("id", "n_shingles", "fp").join(of_class, "fp", "left")
     component = F.when(F.col("id").isNotNull(), F.coalesce("component", "id"))
