@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cardweave.llm import decontaminate, html, linededup, neardup, packing, quality, secrets, toxicity, urlfilter
+from cardweave.llm import decontaminate, html, linededup, neardup, packing, quality, secrets, suffixdedup, toxicity, urlfilter
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -46,6 +46,11 @@ def op4_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packed.drop("n_tokens").withColumnRenamed("id", "doc_id")
 
 
+def op5_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = suffixdedup.remove_repeats(_table(spark, sf_dir, "documents"))
+    return found.select(F.col("id").alias("doc_id"), "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op6_minhash_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.near_duplicates_digest(_table(spark, sf_dir, "documents"))
 
@@ -67,15 +72,23 @@ def op10_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html.extract_pages(_table(spark, sf_dir, "pages")).withColumnRenamed("id", "page_id")
 
 
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 def queries() -> dict[str, Query]:
     return {
         "op1_secret_scans": op1_secret_scans,
         "op2_url_filters": op2_url_filters,
         "op3_benchmark_decontamination": op3_benchmark_decontamination,
         "op4_best_fit_packing": op4_best_fit_packing,
+        "op5_suffix_array_dedup": op5_suffix_array_dedup,
         "op6_minhash_neardup": op6_minhash_neardup,
         "op7_quality_rules": op7_quality_rules,
         "op8_line_dedup": op8_line_dedup,
         "op9_toxicity": op9_toxicity,
         "op10_html_extraction": op10_html_extraction,
+        "pipeline": pipeline,
     }
