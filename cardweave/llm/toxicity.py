@@ -2,9 +2,9 @@
 
 The lexicon is learned: words and word beginnings that labelled toxic documents
 hold far more often than others. Its terms form a trie. A word is matched by
-running an automaton of edit distance 1 (2 for long terms) along the trie: one
-set of states, as bits, for each number of edits, so all terms are tried at once
-and a branch ends when no state is left. Beginnings match exactly. Each match
+running an automaton of edit distance 1 along the trie: one set of states, as
+bits, for each number of edits, so all terms are tried at once and a branch ends
+when no state is left. Beginnings match exactly. Each match
 is weighed by its context of ``CONTEXT`` words: inside quotation marks or beside
 a word of reporting it counts as quoted, beside a word of address as aimed at
 the reader. A logistic regression on these sums, and on how far the matches
@@ -22,6 +22,7 @@ the share of toxic rows (0 if there are none). Repeated rows are scored alike.
 
 from __future__ import annotations
 
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
 from typing import NamedTuple
 
@@ -33,8 +34,8 @@ from pyspark.sql import functions as F
 from cardweave.llm.common import cut, text_of
 
 TRAIN_ROWS, MAX_TERMS, MIN_DOCS, MIN_ODDS = 12_000, 400, 6, 1.6
-#: Least and greatest letters of a word beginning; letters of terms that allow 1 and 2 edits.
-STEM, FUZZY1, FUZZY2 = (4, 9), 5, 10
+#: Least and greatest letters of a word beginning; letters of terms that allow an edit.
+STEM, FUZZY = (4, 9), 5
 CONTEXT, REMEMBERED = 8, 1_000_000
 # Fixed word lists for the context, and characters that open or close a quotation.
 REPORTING = frozenset("said says say wrote writes called quote quoted quoting cited citing term word reported phrase".split())
@@ -54,62 +55,54 @@ class Automaton:
 
     def __init__(self, lexicon: Lexicon):
         self.root: dict = {}
-        self.halves: set[str] = set()
-        self.tails: set[str] = set()
+        self.chance = sum(t[3] for t in lexicon.terms)
         self.stems = {t: k for k, (t, stem, _, _) in enumerate(lexicon.terms) if stem}
         self.stem_lengths = sorted({len(t) for t in self.stems})
         self.whole = {t: k for k, (t, stem, _, _) in enumerate(lexicon.terms) if not stem}
+        # Halves of terms, and the lengths of words that they can be in.
+        self.heads: dict[str, set[int]] = {}
+        self.tails: dict[str, set[int]] = {}
         for t, k in self.whole.items():
-            if len(t) >= FUZZY1:
+            if len(t) >= FUZZY:
                 node = self.root
                 for c in t:
                     node = node.setdefault(c, {})
                 node[""] = k
-                h = len(t) // 2
-                self.halves.add(t[:h])
-                self.tails.add(t[h:])
-        self.half_lengths = sorted({len(x) for x in self.halves})
+                h, n = len(t) // 2, len(t)
+                self.heads.setdefault(t[:h], set()).update((n - 1, n, n + 1))
+                self.tails.setdefault(t[h:], set()).update((n - 1, n, n + 1))
+        self.head_lengths = sorted({len(x) for x in self.heads})
         self.tail_lengths = sorted({len(x) for x in self.tails})
-        self.longest = max(map(len, self.whole), default=0)
-        self.two = any(len(t) >= FUZZY2 for t in self.whole)
 
     def fuzzy(self, word: str) -> int | None:
-        """The term nearest to the word within its allowance of edits; None if there is none.
+        """The term nearest to the word within one edit; None if there is none.
 
-        Bit i of state set e says: i characters of the word can stand for the
-        trie path so far with e edits.
+        Bit i of a state set says: i characters of the word can stand for the trie
+        path so far, without an edit in the first set and with one in the second.
         """
-        n, edits = len(word), 2 if self.two else 1
+        n = len(word)
         masks: dict[str, int] = {}
         for i, c in enumerate(word):
             masks[c] = masks.get(c, 0) | 1 << i
-        start = [(1 << e + 1) - 1 for e in range(edits + 1)]
         final, full = 1 << n, (1 << n + 1) - 1
-        best: tuple[int, int] | None = None
-        stack = [(self.root, start, 0)]
+        best: int | None = None
+        stack = [(self.root, 1, 3)]
         while stack:
-            node, states, depth = stack.pop()
+            node, exact, edited = stack.pop()
             for c, child in node.items():
                 if c == "":
-                    for e in range(edits + 1):
-                        if states[e] & final:
-                            if e <= (2 if depth >= FUZZY2 else 1) and (best is None or (e, child) < best):
-                                best = (e, child)
-                            break
+                    if exact & final:
+                        return child
+                    if edited & final and (best is None or child < best):
+                        best = child
                     continue
                 hit = masks.get(c, 0)
-                new, under = [], 0
-                for e in range(edits + 1):
-                    s = (states[e] & hit) << 1
-                    if e:
-                        # The word skips a character, swaps it, or has one more.
-                        s |= states[e - 1] | states[e - 1] << 1 | under << 1
-                    s &= full
-                    new.append(s)
-                    under = s
-                if any(new):
-                    stack.append((child, new, depth + 1))
-        return best[1] if best else None
+                e0 = (exact & hit) << 1
+                # With the edit used: a match, a character of the term left out, swapped, or one too many in the word.
+                e1 = ((edited & hit) << 1 | exact | exact << 1 | e0 << 1) & full
+                if e1:
+                    stack.append((child, e0, e1))
+        return best
 
     def match(self, word: str) -> tuple[int, bool] | None:
         """(term, whether it is misspelled) of a bare lower-case word."""
@@ -123,10 +116,8 @@ class Automaton:
             k = self.stems.get(word[:m])
             if k is not None:
                 return k, False
-        # One edit leaves one half of a term in its place, so most words need not be run; two may leave neither.
-        if n + 2 >= FUZZY1 and n <= self.longest + 2 and self.root and (
-            any(word[:m] in self.halves for m in self.half_lengths) or any(word[-m:] in self.tails for m in self.tail_lengths) or (self.two and n >= FUZZY2 - 2)
-        ):
+        # One edit leaves one half of a term in its place, so most words need not be run.
+        if any(n in self.heads.get(word[:m], ()) for m in self.head_lengths) or any(n in self.tails.get(word[-m:], ()) for m in self.tail_lengths):
             k = self.fuzzy(word)
             if k is not None:
                 return k, True
@@ -198,8 +189,16 @@ def learn_lexicon(train: DataFrame) -> Lexicon:
 FEATURES = 10
 
 
-def features(text: str, machine: Automaton, terms: list[tuple[str, bool, float, float]], known: dict) -> np.ndarray:
-    """The numbers that the regression sees."""
+def _look_up(raw: str, machine: Automaton) -> tuple:
+    """(term or -1, misspelled, reporting, address) of a word as it stands; empty if it is nothing."""
+    w = raw.strip(_STRIP)
+    hit = machine.match(w) if w else None
+    said, to = w in REPORTING, w in ADDRESS
+    return (*(hit or (-1, False)), said, to) if hit or said or to else ()
+
+
+def features(text: str, machine: Automaton, terms: list[tuple[str, bool, float, float]], known: dict[str, tuple]) -> np.ndarray:
+    """The numbers that the regression sees. ``known`` remembers words."""
     words = text.lower().split()
     n = len(words)
     found = list(map(known.get, words))
@@ -210,34 +209,34 @@ def features(text: str, machine: Automaton, terms: list[tuple[str, bool, float,
             if found[i] is None:
                 hit = known.get(w)
                 if hit is None:
-                    hit = known[w] = machine.match(w.strip(_STRIP)) or ()
+                    hit = known[w] = _look_up(w, machine)
                 found[i] = hit
-    chance = n * sum(t[3] for t in terms)
+    spots = [i for i, hit in enumerate(found) if hit]
+    hits = [i for i in spots if found[i][0] >= 0]
+    chance = n * machine.chance
     whole = stems = misspelled = quoted = aimed = 0.0
     distinct: set[int] = set()
-    count = 0
     marks = None
-    for i, hit in enumerate(found):
-        if hit:
-            if marks is None:  # running number of quotation marks
-                marks = np.cumsum([sum(w.count(q) for q in QUOTES[:6]) for w in words])
-            near = words[max(0, i - CONTEXT) : i + CONTEXT + 1]
-            in_quotes = marks[i] % 2 == 1 or (words[i][:1] in QUOTES and words[i][-1:] in QUOTES)
-            reported = in_quotes or any(x.strip(_STRIP) in REPORTING for x in near)
-            k, off = hit
-            weight = terms[k][2] * (0.3 if reported else 1.0)
-            count += 1
-            distinct.add(k)
-            if terms[k][1]:
-                stems += weight
-            else:
-                whole += weight
-            misspelled += off
-            quoted += reported
-            aimed += any(x.strip(_STRIP) in ADDRESS for x in near)
-    size = np.log1p(n)
+    if hits and any(q in text for q in QUOTES[:6]):  # running number of quotation marks
+        marks = np.cumsum([sum(map(w.count, QUOTES[:6])) for w in words])
+    for i in hits:
+        k, off = found[i][:2]
+        a, z = bisect_left(spots, i - CONTEXT), bisect_right(spots, i + CONTEXT)
+        near = [found[j] for j in spots[a:z]]
+        in_quotes = marks is not None and (marks[i] % 2 == 1 or (words[i][:1] in QUOTES and words[i][-1:] in QUOTES))
+        reported = in_quotes or any(x[2] for x in near)
+        weight = terms[k][2] * (0.3 if reported else 1.0)
+        distinct.add(k)
+        if terms[k][1]:
+            stems += weight
+        else:
+            whole += weight
+        misspelled += off
+        quoted += reported
+        aimed += any(x[3] for x in near)
+    count = len(hits)
     over = (count - chance) / np.sqrt(chance + 1)
-    return np.array([np.log1p(whole), np.log1p(stems), np.log1p(max(0.0, over)), np.log1p(len(distinct)), np.log1p(misspelled), np.log1p(quoted), np.log1p(aimed), size, count / (n + 20), float(count > 0)])
+    return np.array([np.log1p(whole), np.log1p(stems), np.log1p(max(0.0, over)), np.log1p(len(distinct)), np.log1p(misspelled), np.log1p(quoted), np.log1p(aimed), np.log1p(n), count / (n + 20), float(count > 0)])
 
 
 def fit_logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1.0) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -263,11 +262,17 @@ class Model(NamedTuple):
     base: float
 
 
-def train_model(labelled: DataFrame) -> Model:
-    """From (id, text, label) rows: lexicon and regression on a bounded sample."""
-    n = labelled.count()
+def train_model(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> Model:
+    """Lexicon and regression from a bounded sample of the labels that are not held out."""
+    known = labels.filter(F.col(label_col).isin(0, 1) & F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("lid")).agg(F.max(label_col).cast("int").alias("label"))
+    known = known.filter(~is_held_out(F.col("lid")))
+    n = known.count()
     share = min(1.0, TRAIN_ROWS / max(1, n))
-    sample = cut(labelled.filter(F.pmod(F.xxhash64(F.col("id").cast("string"), F.lit(7)), F.lit(1_000_000)) < int(share * 1_000_000)).select("text", F.col("label").cast("int").alias("label")).repartition(12))
+    chosen = cut(known.filter(F.pmod(F.xxhash64(F.col("lid").cast("string"), F.lit(7)), F.lit(1_000_000)) < int(share * 1_000_000)))
+    # The sample's size is known and bounded, so ids are sent to the texts and not texts to the ids.
+    ids = F.broadcast(chosen) if chosen.count() <= 2 * TRAIN_ROWS else chosen
+    texts = docs.select(F.col(id_col).alias("id"), text_of(text_col).alias("text")).join(ids, F.col("id") == F.col("lid"))
+    sample = cut(texts.select("text", "label").repartition(12))
     lexicon = learn_lexicon(sample)
 
     def describe(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -303,22 +308,12 @@ def score_texts(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col:
     return src.mapInPandas(run, f"id {kind}, text_hash long, score double")
 
 
-def labelled_rows(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", held_out: bool = True) -> DataFrame:
-    """(id, text, label) of rows with a label; ``held_out``: without those set aside for testing."""
-    a = docs.select(F.col(id_col).alias("id"), text_of(text_col).alias("text"))
-    b = labels.filter(F.col(label_col).isin(0, 1)).groupBy(F.col(id_col).alias("lid")).agg(F.max(label_col).alias("label"))
-    b = b.filter("lid is not null")
-    if held_out:
-        a, b = a.filter(~is_held_out(F.col("id"))), b.filter(~is_held_out(F.col("lid")))
-    return a.join(b, F.col("id") == F.col("lid")).select("id", "text", "label")
-
-
 def is_held_out(id_col: Column) -> Column:
     return F.coalesce(F.crc32(id_col.cast("string").cast("binary")) % 5 == 0, F.lit(False))
 
 
 def toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> DataFrame:
     """(id, held_out, score, predicted) of each row, the model trained on rows that are not held out."""
-    model = train_model(labelled_rows(docs, labels, id_col, text_col, label_col))
+    model = train_model(docs, labels, id_col, text_col, label_col)
     out = score_texts(docs, model, id_col, text_col)
     return out.select("id", is_held_out(F.col("id")).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))

@@ -15,7 +15,7 @@ from cardweave.llm.decontaminate import remove_contaminated
 from cardweave.llm.linededup import dedup_lines
 from cardweave.llm.neardup import near_duplicates
 from cardweave.llm.packing import pack_documents
-from cardweave.llm.toxicity import labelled_rows, score_texts, train_model
+from cardweave.llm.toxicity import score_texts, train_model
 
 #: A document from this score on is rejected as toxic.
 TOXIC = 0.5
@@ -28,7 +28,7 @@ def _keep_columns(out: DataFrame, docs: DataFrame) -> DataFrame:
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Without the documents that score as toxic. The model learns from all labels but those set aside."""
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
-    model = train_model(labelled_rows(docs, labels))
+    model = train_model(docs, labels)
     toxic = score_texts(docs, model).filter(F.col("score") >= TOXIC).select(F.col("id").alias("__id"), F.col("text_hash").alias("__th")).distinct()
     # The score is of the text, so rows equal in id and text go or stay together.
     return docs.join(toxic, docs["doc_id"].eqNullSafe(toxic["__id"]) & (F.xxhash64(text_of("text")) == toxic["__th"]), "left_anti")
