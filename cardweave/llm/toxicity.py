@@ -189,6 +189,17 @@ def learn_lexicon(train: DataFrame) -> Lexicon:
 FEATURES = 10
 
 
+_MACHINE: list = []
+
+
+def machine_of(lexicon: Lexicon) -> tuple[Automaton, dict[str, tuple]]:
+    """The automaton and the remembered words of a lexicon; a worker process keeps the last ones."""
+    key = tuple(lexicon.terms)
+    if not _MACHINE or _MACHINE[0] != key:
+        _MACHINE[:] = [key, Automaton(lexicon), {}]
+    return _MACHINE[1], _MACHINE[2]
+
+
 def _look_up(raw: str, machine: Automaton) -> tuple:
     """(term or -1, misspelled, reporting, address) of a word as it stands; empty if it is nothing."""
     w = raw.strip(_STRIP)
@@ -276,7 +287,7 @@ def train_model(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text
     lexicon = learn_lexicon(sample)
 
     def describe(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        machine, known = Automaton(lexicon), {}
+        machine, known = machine_of(lexicon)
         for frame in frames:
             yield pd.DataFrame({"x": [features(t, machine, lexicon.terms, known) for t in frame["text"]], "label": frame["label"]})
 
@@ -295,7 +306,7 @@ def score_texts(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col:
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         m = shared.value
-        machine, known = Automaton(m.lexicon), {}
+        machine, known = machine_of(m.lexicon)
         for frame in frames:
             x = np.array([features(t, machine, m.lexicon.terms, known) for t in frame["_text"]]).reshape(len(frame), FEATURES)
             if m.weights.any():
