@@ -10,6 +10,7 @@ from pyspark.sql.window import WindowSpec
 
 from cardweave.functions import constants as C
 from cardweave.functions.text import digit_count, has_hint, is_title, is_upper, letters, word_count
+from cardweave.functions.similarity import confusion_likeness, edit_likeness
 from cardweave.operators.tokens import cluster_rows
 
 # Scripts by code-point range; other letters are Latin.
@@ -71,6 +72,37 @@ def reconstruct_rows(tokens: DataFrame) -> DataFrame:
     )
 
 
+def fuzzy_rows(rows: DataFrame, least: float = 80.0) -> DataFrame:
+    """Rows without variants of others of their card: of two that are alike, confusions counted, the one with more letters and fewer runs stays, or the earlier."""
+    score = letters(F.col("text")) - 3 * F.regexp_count("text", F.lit(r"(.)\1{2,}"))
+    t = rows.select("card_id", "row_id", "text", score.alias("s"))
+    a, b = (t.select("card_id", *(F.col(c).alias(f"{p}_{c}") for c in ("row_id", "text", "s"))) for p in "ab")
+    la, lb = F.length("a_text"), F.length("b_text")
+    # Confusions add 20 at most, so lengths must allow the rest.
+    met = a.join(b, "card_id").filter((F.col("a_row_id") != F.col("b_row_id")) & (100.0 * F.least(la, lb) >= (least - 20) * F.greatest(la, lb)))
+    like = confusion_likeness(F.col("a_text"), F.col("b_text"), edit_likeness(F.lower("a_text"), F.lower("b_text")))
+    better = (F.col("b_s") > F.col("a_s")) | ((F.col("b_s") == F.col("a_s")) & (F.col("b_row_id") < F.col("a_row_id")))
+    gone = met.filter(better & (like >= least)).select("card_id", F.col("a_row_id").alias("row_id")).distinct()
+    return rows.join(gone, ["card_id", "row_id"], "left_anti")
+
+
+def fuse_blocks(rows: DataFrame) -> DataFrame:
+    """(card_id, block_id, text, y_center, x1, x2, height, confidence): rows near below each other, of like height, that overlap.
+
+    Each row is compared with the one before, so blocks are islands between breaks.
+    """
+    order = card().orderBy("y_center", "x1", "row_id")
+    prev = lambda c: F.lag(c).over(order)
+    ratio = F.col("height") / F.greatest(F.lit(1.0), prev("height"))
+    overlap = F.greatest(F.lit(0.0), F.least("x2", prev("x2")) - F.greatest("x1", prev("x1")))
+    span = F.greatest(F.lit(1.0), F.least(F.col("x2") - F.col("x1"), prev("x2") - prev("x1")))
+    joined = (F.col("y_center") - prev("y_center") <= 1.8 * prev("height")) & ratio.between(0.7, 1.3) & (overlap / span >= 0.30)
+    marked = rows.withColumn("start", F.when(F.coalesce(joined, F.lit(False)), 0).otherwise(1))
+    blocks = marked.withColumn("block_id", (F.sum("start").over(order.rowsBetween(Window.unboundedPreceding, 0)) - 1).cast("int"))
+    text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("y_center", "x1", "row_id", "text"))), lambda s: s["text"]), " ")
+    return blocks.groupBy("card_id", "block_id").agg(text.alias("text"), F.avg("y_center").alias("y_center"), F.min("x1").alias("x1"), F.max("x2").alias("x2"), F.median("height").alias("height"), F.avg("confidence").alias("confidence"))
+
+
 def prominence(rows: DataFrame) -> DataFrame:
     """tps: height against the card's median; pos: place between top and bottom."""
     low, high = F.min("y_center").over(card()), F.max("y_center").over(card())

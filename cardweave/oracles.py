@@ -190,6 +190,12 @@ SELECT q.card_id, 'title' AS field, t AS value, true AS validated FROM q
 UNION ALL SELECT card_id, 'email', regexp_replace(e, 'orgx$', 'org'), true FROM q
 UNION ALL SELECT q.card_id, 'name', coalesce(nm.name, ''), nm.name IS NOT NULL FROM q LEFT JOIN nm ON q.card_id = nm.card_id
 UNION ALL SELECT q.card_id, 'company', coalesce(co.company, ''), co.company IS NOT NULL FROM q LEFT JOIN co ON q.card_id = co.card_id""",
+    "fused_blocks": LINES + """,
+g AS (SELECT *, lag(line_no) OVER (PARTITION BY card_id ORDER BY line_no) AS pl FROM contact_lines),
+b AS (SELECT *, sum(CASE WHEN pl = line_no - 1 THEN 0 ELSE 1 END) OVER (PARTITION BY card_id ORDER BY line_no ROWS UNBOUNDED PRECEDING) - 1 AS block_id FROM g)
+SELECT card_id, block_id, string_agg(text, ' ' ORDER BY line_no) AS text, avg(30.0 * line_no + 10)::DOUBLE AS y_center, max(8.0 * length(text))::DOUBLE AS x2 FROM b GROUP BY card_id, block_id""",
+    "row_prominence": LINES + """ SELECT card_id, line_no, 1.0::DOUBLE AS tps, round((line_no - min(line_no) OVER (PARTITION BY card_id)) / (max(line_no) OVER (PARTITION BY card_id) - min(line_no) OVER (PARTITION BY card_id))::DOUBLE, 6) AS pos FROM contact_lines""",
+    "stream_first_seen": "SELECT DISTINCT user_id::VARCHAR || '|' || " + _CANON.format("event_type") + " AS signature FROM events",
     "scripts": ALL_LINES + r""" SELECT card_id, 'latin' AS primary, '' AS secondary, sum(length(regexp_replace(text, '[^\p{L}]', '', 'g')))::BIGINT AS n_letters FROM all_lines WHERE trim(text) <> '' GROUP BY card_id""",
 }
 

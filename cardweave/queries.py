@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from cardweave.functions.similarity import lcs_likeness
 from cardweave.functions.text import text_profile
 from cardweave.operators import extract as X
 from cardweave.operators import master as M
@@ -15,6 +16,7 @@ from cardweave.operators import tokens as T
 from cardweave.plans import pipelines as P
 from cardweave.sources import fixtures as S
 from cardweave.sources import payload as L
+from cardweave.streaming.jobs import first_seen_once
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -242,11 +244,46 @@ def ink_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
     return L.segment_pages(S.ink_profile(spark, sf_dir))
 
 
+def fused_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _lines(spark, sf_dir).withColumns({"y_center": F.col("y1") + 10, "confidence": F.lit(0.9)})
+    return R.fuse_blocks(rows).select("card_id", "block_id", "text", "y_center", "x2")
+
+
+def variant_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    lines = _lines(spark, sf_dir)
+    twins = lines.filter("card_id % 2 = 0").withColumns({"row_id": F.col("row_id") + 100, "text": F.translate("text", "o1", "0l")})
+    return R.fuzzy_rows(lines.unionByName(twins)).select("card_id", "row_id", "text")
+
+
+def row_prominence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _lines(spark, sf_dir).withColumn("y_center", F.col("y1") + 10)
+    return R.prominence(rows).select("card_id", F.col("row_id").alias("line_no"), F.round("tps", 6).alias("tps"), F.round("pos", 6).alias("pos"))
+
+
+def phone_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return R.pivot_phones(phones(spark, sf_dir))
+
+
+def line_likeness(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Common-subsequence likeness of a card's name to its mail address."""
+    l = S.contact_lines(spark, sf_dir)
+    a, b = l.filter("line_no = 0").select("card_id", F.lower("text").alias("a")), l.filter("line_no = 3").select("card_id", F.lower("text").alias("b"))
+    return a.join(b, "card_id").select("card_id", F.round(lcs_likeness("a", "b"), 6).alias("likeness"))
+
+
+def stream_first_seen(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Signatures of the events as a stream sees them first."""
+    schema = spark.read.parquet(f"{sf_dir}/events.parquet").schema
+    events = spark.readStream.schema(schema).option("pathGlobFilter", "*.parquet").parquet(f"{sf_dir}/events.parquet*")
+    return first_seen_once(events, ["user_id", "event_type"], "ts", "3650 days").select("signature")
+
+
 def queries() -> dict[str, Query]:
     names = (
         emails_by_domain, emails, profile_lines, token_geometry, confidence_split, payload_dict_tokens, payload_item_tokens, overlap_pairs, token_dedup, card_stats,
         row_clusters, anchor_rows, layout_lines, line_blocks, row_features, row_shapes, address_firewall, addresses, hint_matches, phone_windows, phones, numbering_plan,
         best_names, best_companies, best_titles, urls, social_handles, scripts, card_corpus, first_emails, reading_order, ancestors, layout_roles, fuzzy_lines, contacts,
         contacts_layout, flat_simple, flat_labelled, token_audit, master_append, master_upsert, field_table, vcards, wide_rows, ink_segments,
+        fused_blocks, variant_rows, row_prominence, phone_columns, line_likeness, stream_first_seen,
     )
     return {f.__name__: f for f in names}

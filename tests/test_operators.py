@@ -156,3 +156,20 @@ def test_persist_bundle(spark, tmp_path):
     master.persist_bundle(out, str(tmp_path), "r1")
     assert spark.read.text(str(tmp_path / "latest/vcards")).count() == 10
     assert spark.read.parquet(str(tmp_path / "runs/run_id=r1/fields")).count() == 8
+
+
+def test_likeness(spark):
+    from cardweave.functions.similarity import confusion_likeness, edit_likeness, lcs_likeness
+
+    def brute(a, b):
+        t = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
+        for i, x in enumerate(a):
+            for j, y in enumerate(b):
+                t[i + 1][j + 1] = t[i][j] + 1 if x == y else max(t[i][j + 1], t[i + 1][j])
+        return t[-1][-1]
+
+    pairs = [("john smith", "j0hn smith"), ("abcabba", "cbabac"), ("", "x"), ("", ""), ("vertex ai", "vertex al labs")]
+    got = spark.createDataFrame(pairs, "a string, b string").select("a", "b", lcs_likeness("a", "b").alias("l"), confusion_likeness(F.col("a"), F.col("b"), edit_likeness(F.col("a"), F.col("b"))).alias("c")).collect()
+    for r in got:
+        assert abs(r.l - (200.0 * brute(r.a, r.b) / (len(r.a) + len(r.b)) if r.a or r.b else 100.0)) < 1e-9
+    assert {(r.a, r.c) for r in got} >= {("john smith", 95.0), ("", 100.0)}
