@@ -55,7 +55,7 @@ def _parts(text: Column, kind: str) -> Column:
     else:
         ok = F.transform(hits, lambda v: F.lit(True))
     zipped = F.arrays_zip(
-        F.transform(F.slice(F.split(text, pattern, -1), 1, 2147483646), F.length).alias("gap"),
+        F.transform(F.split(text, pattern, -1), F.length).alias("gap"),
         F.transform(hits, F.length).alias("len"),
         ok.alias("ok"),
     )
