@@ -7,8 +7,9 @@ texts that share ``window`` units in a row, or one long unit, share a
 fingerprint for certain. Units under ``least_words`` words are none, as they
 recur everywhere.
 
-Each fingerprint's occurrences are joined with its first one (by id, text, and
-place), not with each other. Every such meeting is a diagonal: a pair of
+A fingerprint is looked up together with each neighbour (a long one also alone),
+as runs have two units at least. Each occurrence is joined with the first one (by
+id, text, and place), not with all others. Every such meeting is a diagonal: a pair of
 documents and a shift of places. It is extended both ways over the units of both
 that are equal; runs with at least ``min_words`` words, and ``min_units`` units
 unless one is long, are repeats, and the later document's units in them are
@@ -48,16 +49,22 @@ def _unit_lists(docs: DataFrame, id_col: str, text_col: str, pattern: str) -> Da
 
 
 def _fingerprints(lists: DataFrame, window: int, long_unit: int, least_words: int) -> DataFrame:
-    """(id, th, pos, hash), distinct."""
+    """(id, th, pos, hash): pairs of neighbours that hold a fingerprint, and long units alone."""
     top = (1 << 63) - 1
     ranked = lists.select("id", "th", "hashes", "words", F.transform("hashes", lambda h, i: F.when(F.col("words")[i] >= least_words, h).otherwise(F.lit(top))).alias("order"))
     starts = F.sequence(F.lit(0), F.greatest(F.lit(0), F.size("order") - window))
     least = F.transform(starts, lambda i: i + F.array_position(F.slice("order", i + 1, window), F.array_min(F.slice("order", i + 1, window))).cast("int") - 1)
     long_ones = F.filter(F.sequence(F.lit(0), F.size("words") - 1), lambda i: F.col("words")[i] >= long_unit)
     chosen = ranked.select("id", "th", "hashes", "words", F.array_distinct(F.concat(least, long_ones)).alias("chosen"))
-    chosen = chosen.select("id", "th", "hashes", F.filter("chosen", lambda i: F.col("words")[i] >= least_words).alias("chosen"))
-    chosen = chosen.select("id", "th", "hashes", F.explode("chosen").alias("pos"))
-    return chosen.select("id", "th", "pos", F.col("hashes")[F.col("pos")].alias("hash"))
+    chosen = chosen.select("id", "th", "hashes", "words", F.filter("chosen", lambda i: F.col("words")[i] >= least_words).alias("chosen"))
+    chosen = chosen.select("id", "th", "hashes", "words", F.explode("chosen").alias("i"))
+    i, h = F.col("i"), F.col("hashes")
+    keys = F.array_compact(F.array(
+        F.when(i > 0, F.struct((i - 1).alias("pos"), F.xxhash64(F.get(h, i - 1), F.get(h, i), F.lit(2)).alias("hash"))),
+        F.when(i + 1 < F.size(h), F.struct(i.alias("pos"), F.xxhash64(F.get(h, i), F.get(h, i + 1), F.lit(2)).alias("hash"))),
+        F.when(F.get("words", i) >= long_unit, F.struct(i.alias("pos"), F.xxhash64(F.get(h, i), F.lit(1)).alias("hash"))),
+    ))
+    return chosen.select("id", "th", F.inline(keys))
 
 
 def repeated_units(
