@@ -53,7 +53,10 @@ def _fingerprints(lists: DataFrame, window: int, long_unit: int, least_words: in
     top = (1 << 63) - 1
     ranked = lists.select("id", "th", "hashes", "words", F.transform("hashes", lambda h, i: F.when(F.col("words")[i] >= least_words, h).otherwise(F.lit(top))).alias("order"))
     starts = F.sequence(F.lit(0), F.greatest(F.lit(0), F.size("order") - window))
-    least = F.transform(starts, lambda i: i + F.array_position(F.slice("order", i + 1, window), F.array_min(F.slice("order", i + 1, window))).cast("int") - 1)
+    # Elements one by one: slice() would copy the whole array for each window.
+    at = lambda i, k: F.get("order", i + k)
+    least_of = lambda i: F.least(*(at(i, k) for k in range(window)))
+    least = F.transform(starts, lambda i: F.coalesce(*(F.when(at(i, k) == least_of(i), i + k) for k in range(window))))
     long_ones = F.filter(F.sequence(F.lit(0), F.size("words") - 1), lambda i: F.col("words")[i] >= long_unit)
     chosen = ranked.select("id", "th", "hashes", "words", F.array_distinct(F.concat(least, long_ones)).alias("chosen"))
     chosen = chosen.select("id", "th", "hashes", "words", F.filter("chosen", lambda i: F.col("words")[i] >= least_words).alias("chosen"))
