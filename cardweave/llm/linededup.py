@@ -36,29 +36,34 @@ def _units(text: Column, pattern: str) -> Column:
     return F.split(text, pattern, -1)
 
 
-def _unit_lists(docs: DataFrame, id_col: str, text_col: str, pattern: str) -> DataFrame:
-    """(id, th, hashes, words): a document's units as two arrays."""
+def _unit_lists(docs: DataFrame, id_col: str, text_col: str, pattern: str, least_words: int) -> DataFrame:
+    """(id, th, hashes, words, order): a document's units as arrays; order has the hashes of those that may be fingerprints.
+
+    All are written before they are indexed: the optimizer would else put an array's
+    expression into the function on each element, and work it out each time.
+    """
+    words = lambda u: F.regexp_count(u, F.lit(WORD))
+    hashed = lambda u: F.xxhash64(F.regexp_replace(u, r"[\x20\x09-\x0D]+$", ""))
     src = docs.select(F.col(id_col).alias("id"), text_of(text_col).alias("_text"))
     src = src.select("id", F.xxhash64("_text").alias("th"), _units(F.col("_text"), pattern).alias("units"))
     return src.select(
         "id", "th",
         # Equal up to the white space at their ends.
-        F.transform("units", lambda u: F.xxhash64(F.regexp_replace(u, r"[\x20\x09-\x0D]+$", ""))).alias("hashes"),
-        F.transform("units", lambda u: F.regexp_count(u, F.lit(WORD))).alias("words"),
+        F.transform("units", hashed).alias("hashes"),
+        F.transform("units", words).alias("words"),
+        F.transform("units", lambda u: F.when(words(u) >= least_words, hashed(u)).otherwise(F.lit((1 << 63) - 1))).alias("order"),
     )
 
 
 def _fingerprints(lists: DataFrame, window: int, long_unit: int, least_words: int) -> DataFrame:
     """(id, th, pos, hash): pairs of neighbours that hold a fingerprint, and long units alone."""
-    top = (1 << 63) - 1
-    ranked = lists.select("id", "th", "hashes", "words", F.transform("hashes", lambda h, i: F.when(F.col("words")[i] >= least_words, h).otherwise(F.lit(top))).alias("order"))
     starts = F.sequence(F.lit(0), F.greatest(F.lit(0), F.size("order") - window))
     # Elements one by one: slice() would copy the whole array for each window.
     at = lambda i, k: F.get("order", i + k)
     least_of = lambda i: F.least(*(at(i, k) for k in range(window)))
     least = F.transform(starts, lambda i: F.coalesce(*(F.when(at(i, k) == least_of(i), i + k) for k in range(window))))
     long_ones = F.filter(F.sequence(F.lit(0), F.size("words") - 1), lambda i: F.col("words")[i] >= long_unit)
-    chosen = ranked.select("id", "th", "hashes", "words", F.array_distinct(F.concat(least, long_ones)).alias("chosen"))
+    chosen = lists.select("id", "th", "hashes", "words", F.array_distinct(F.concat(least, long_ones)).alias("chosen"))
     chosen = chosen.select("id", "th", "hashes", "words", F.filter("chosen", lambda i: F.col("words")[i] >= least_words).alias("chosen"))
     chosen = chosen.select("id", "th", "hashes", "words", F.explode("chosen").alias("i"))
     i, h = F.col("i"), F.col("hashes")
@@ -79,7 +84,7 @@ def repeated_units(
     ``th`` is the hash of the text; ``from`` and ``to`` are unit numbers, both included.
     """
     pattern = SENTENCES if sentences else LINES
-    lists = cut(_unit_lists(docs, id_col, text_col, pattern))
+    lists = cut(_unit_lists(docs, id_col, text_col, pattern, least_words))
     prints = cut(_fingerprints(lists, window, long_unit, least_words))
     place = F.struct("id", "th", "pos")
     first = cut(prints.groupBy("hash").agg(F.min(place).alias("ref"), F.max(place).alias("last")).filter(~F.col("ref").eqNullSafe(F.col("last"))).drop("last"))
