@@ -79,13 +79,23 @@ def _covered(starts: Column) -> Column:
     return F.size(F.array_distinct(F.flatten(F.transform(starts, lambda p: F.array(p, p + 1, p + 2)))))
 
 
+def _fixed(df: DataFrame, keep: list[str], new: dict[str, Column]) -> DataFrame:
+    """``keep`` and new columns that later expressions refer to as they are.
+
+    The optimizer would put an array's expression into a function on each element,
+    which works it out each time; it does not do so through a generator.
+    """
+    return df.select(*keep, F.inline(F.array(F.struct(*(c.alias(k) for k, c in new.items())))))
+
+
 def count_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", groups: tuple[str, ...] = ("lang", "source")) -> DataFrame:
     """(id, group columns g0.., n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words)."""
     src = docs.select(F.col(id_col).alias("id"), *(F.col(g).alias(f"g{i}") for i, g in enumerate(groups)), text_of(text_col).alias("_text"))
     lines = F.filter(F.split("_text", "\n", -1), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
-    src = src.select("*", F.array_remove(F.split("_text", f"{SPACE}+", -1), "").alias("words"), lines.alias("lines"))
+    keep = ["id", *(f"g{i}" for i in range(len(groups))), "_text"]
+    src = _fixed(src, keep, {"words": F.array_remove(F.split("_text", f"{SPACE}+", -1), ""), "lines": lines})
     n, words = F.size("words"), F.col("words")
-    src = src.withColumns({"packed": F.when((n >= 4) & (n < _POSITION), _packed(words)), "listed": F.when(n >= _POSITION, _listed(words))})
+    src = _fixed(src, [*keep, "words", "lines"], {"packed": F.when((n >= 4) & (n < _POSITION), _packed(words)), "listed": F.when(n >= _POSITION, _listed(words))})
     return src.select(
         "id", *(f"g{i}" for i in range(len(groups))),
         n.cast("long").alias("n_words"),
