@@ -1,19 +1,17 @@
-"""Line dedup by winnowing over line hashes, in DataFrame functions only.
+"""Line dedup by the hashes of all minimal repeats, in DataFrame functions only.
 
 A text is cut after line breaks and (``sentences``) after sentence ends, each
-unit keeping what ends it. Of every ``window`` consecutive units the one with
-the least hash is a fingerprint, and so is any unit of ``long_unit`` words: two
-texts that share ``window`` units in a row, or one long unit, share a
-fingerprint for certain. Units under ``least_words`` words are none, as they
-recur everywhere.
-
-A fingerprint is looked up together with each neighbour (a long one also alone),
-as runs have two units at least. Each occurrence is joined with the first one (by
-id, text, and place), not with all others. Every such meeting is a diagonal: a pair of
-documents and a shift of places. It is extended both ways over the units of both
-that are equal; runs with at least ``min_words`` words, and ``min_units`` units
-unless one is long, are repeats, and the later document's units in them are
-deleted. So a line in a third of all documents makes one meeting a document.
+unit keeping what ends it. A run of at least ``MIN_UNITS`` units and ``min_words``
+words, or one unit of ``long_unit`` words, is a repeat if it also stands at an
+earlier place (by id, text, and unit). The units of every repeat are deleted, so
+the first occurrence of a run stays.
+
+From each unit the shortest run that counts is taken forwards, and backwards too.
+Every unit of a repeat lies in such a run inside of it, so the hash of a whole
+minimal run is the key, and its first occurrence is a valid partner by itself: no
+two texts are compared, and nothing depends on luck. A minimal run has at most
+``min_words`` units with words. Units without words (blank lines) are counted
+between them, so that long stretches of them cost no more than other units.
 
 Defined results: a null text is an empty one and stays empty. Rows equal in id
 and text are one document, and share its fate. Ids may be null (they come
@@ -27,7 +25,9 @@ from pyspark.sql import functions as F
 
 from cardweave.llm.common import WORD, cut, text_of
 
-WINDOW, LONG_UNIT, LEAST_WORDS, MIN_WORDS, MIN_UNITS = 4, 50, 5, 25, 2
+LONG_UNIT, MIN_WORDS, MIN_UNITS = 50, 25, 2
+#: Shapes of repeats that the tests look for; the operator has no use for them.
+WINDOW, LEAST_WORDS = 4, 5
 SENTENCES = r"(?<=\n)|(?<=[.!?]\x20)"
 LINES = r"(?<=\n)"
 
@@ -36,84 +36,78 @@ def _units(text: Column, pattern: str) -> Column:
     return F.split(text, pattern, -1)
 
 
-def _unit_lists(docs: DataFrame, id_col: str, text_col: str, pattern: str, least_words: int) -> DataFrame:
-    """(id, th, hashes, words, order): a document's units as arrays; order has the hashes of those that may be fingerprints.
-
-    All are written before they are indexed: the optimizer would else put an array's
-    expression into the function on each element, and work it out each time.
-    """
-    words = lambda u: F.regexp_count(u, F.lit(WORD))
-    hashed = lambda u: F.xxhash64(F.regexp_replace(u, r"[\x20\x09-\x0D]+$", ""))
-    src = docs.select(F.col(id_col).alias("id"), text_of(text_col).alias("_text"))
-    src = src.select("id", F.xxhash64("_text").alias("th"), _units(F.col("_text"), pattern).alias("units"))
-    return src.select(
-        "id", "th",
-        # Equal up to the white space at their ends.
-        F.transform("units", hashed).alias("hashes"),
-        F.transform("units", words).alias("words"),
-        F.transform("units", lambda u: F.when(words(u) >= least_words, hashed(u)).otherwise(F.lit((1 << 63) - 1))).alias("order"),
-    )
-
-
-def _fingerprints(lists: DataFrame, window: int, long_unit: int, least_words: int) -> DataFrame:
-    """(id, th, pos, hash): pairs of neighbours that hold a fingerprint, and long units alone."""
-    starts = F.sequence(F.lit(0), F.greatest(F.lit(0), F.size("order") - window))
-    # Elements one by one: slice() would copy the whole array for each window.
-    at = lambda i, k: F.get("order", i + k)
-    least_of = lambda i: F.least(*(at(i, k) for k in range(window)))
-    least = F.transform(starts, lambda i: F.coalesce(*(F.when(at(i, k) == least_of(i), i + k) for k in range(window))))
-    long_ones = F.filter(F.sequence(F.lit(0), F.size("words") - 1), lambda i: F.col("words")[i] >= long_unit)
-    chosen = lists.select("id", "th", "hashes", "words", F.array_distinct(F.concat(least, long_ones)).alias("chosen"))
-    chosen = chosen.select("id", "th", "hashes", "words", F.filter("chosen", lambda i: F.col("words")[i] >= least_words).alias("chosen"))
-    chosen = chosen.select("id", "th", "hashes", "words", F.explode("chosen").alias("i"))
-    i, h = F.col("i"), F.col("hashes")
-    keys = F.array_compact(F.array(
-        F.when(i > 0, F.struct((i - 1).alias("pos"), F.xxhash64(F.get(h, i - 1), F.get(h, i), F.lit(2)).alias("hash"))),
-        F.when(i + 1 < F.size(h), F.struct(i.alias("pos"), F.xxhash64(F.get(h, i), F.get(h, i + 1), F.lit(2)).alias("hash"))),
-        F.when(F.get("words", i) >= long_unit, F.struct(i.alias("pos"), F.xxhash64(F.get(h, i), F.lit(1)).alias("hash"))),
-    ))
-    return chosen.select("id", "th", F.inline(keys))
-
-
-def repeated_units(
-    docs: DataFrame, window: int = WINDOW, long_unit: int = LONG_UNIT, least_words: int = LEAST_WORDS, min_words: int = MIN_WORDS, min_units: int = MIN_UNITS,
-    sentences: bool = True, id_col: str = "doc_id", text_col: str = "text",
-) -> DataFrame:
+def _let(value: Column, body) -> Column:
+    """``body`` of a value that is worked out once: the optimizer puts a column's expression into functions on elements."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def _minimal_runs(units: Column, long_unit: int, min_words: int) -> Column:
+    """array<struct<hash,from,to>>: the shortest runs that count, from each unit on and up to each unit."""
+    words = lambda u: F.regexp_count(u, F.lit(WORD)).cast("long")
+    # Equal up to the white space at their ends.
+    hashed = lambda u: F.xxhash64(F.rtrim(u, F.lit(" \t\n\x0b\x0c\r")))
+    reached = min_words * (min_words + 1)
+
+    def count(ws: Column, k: Column, step: int) -> Column:
+        """How many units with words reach min_words from number k on; null if all that are left do not."""
+        at = lambda i: F.get(ws, k + step * i)
+        few = F.when(at(0) >= min_words, 1).when(at(0) + at(1) >= min_words, 2).when(at(0) + at(1) + at(2) >= min_words, 3).when(at(0) + at(1) + at(2) + at(3) >= min_words, 4)
+        first = F.greatest(F.lit(1), k + 2 - min_words)
+        part = F.slice(ws, k + 1, min_words) if step > 0 else F.reverse(F.slice(ws, first, k + 2 - first))
+        # Words and units in one number.
+        total = F.aggregate(part, F.lit(0).cast("long"), lambda acc, n: F.when(acc >= reached, acc).otherwise(acc + n * (min_words + 1) + 1))
+        return few.otherwise(_let(total, lambda t: F.when(t >= reached, (t % (min_words + 1)).cast("int"))))
+
+    def keys(n: Column, rows: Column, parts: Column) -> Column:
+        def of(x: Column, k: Column) -> Column:
+            long_one = x["w"] >= long_unit
+            after = F.coalesce(F.get(rows, k + 1)["gap"], n - 1 - x["p"])
+            none = F.lit(None).cast("int")
+            run = lambda a, m: F.xxhash64(F.get(rows, a)["h"], F.slice(parts, a + 2, m - 1))
+            key = lambda core, lead, trail, start, end: F.struct(F.xxhash64(lead, trail, core).alias("hash"), start.alias("from"), end.alias("to"))
+            zero = F.lit(0)
+            # Two units are needed: one with enough words takes the next (a blank one is met from its own side).
+            m = F.when(long_one | (x["c"] > 1), x["c"]).when((x["c"] == 1) & (after == 0) & F.get(rows, k + 1).isNotNull(), 2).otherwise(none)
+            ahead = F.when(m.isNotNull(), key(run(k, m), zero, zero, x["p"], F.get(rows, k + m - 1)["p"]))
+            back = F.when(long_one, none).when(x["b"] > 1, x["b"]).when((x["b"] == 1) & (x["gap"] == 0) & (k > 0), 2).otherwise(none)
+            first = F.get(rows, k - back + 1)
+            # Not again what is also the shortest from its first unit on.
+            same = (first["c"] == back) | ((back == 2) & (first["c"] == 1) & (first["w"] < long_unit) & (x["gap"] == 0))
+            behind = F.when(back.isNotNull() & ~F.coalesce(same, F.lit(False)), key(run(k - back + 1, back), zero, zero, first["p"], x["p"]))
+            blanks = lambda n, m, f: F.when((n > 0) & m.isNotNull(), F.transform(F.sequence(F.lit(1), n), f)).otherwise(F.array())
+            lead = blanks(x["gap"], x["c"], lambda i: key(run(k, x["c"]), i, zero, x["p"] - i, F.get(rows, k + x["c"] - 1)["p"]))
+            trail = blanks(after, x["b"], lambda i: key(run(k - x["b"] + 1, x["b"]), zero, i, F.get(rows, k - x["b"] + 1)["p"], x["p"] + i))
+            return F.concat(F.array_compact(F.array(ahead, behind)), lead, trail)
+
+        return F.flatten(F.transform(rows, of))
+
+    def of_units(us: Column) -> Column:
+        spoken = F.filter(F.transform(us, lambda u, i: F.struct(hashed(u).alias("h"), words(u).alias("w"), i.alias("p"))), lambda x: x["w"] > 0)
+        gaps = _let(spoken, lambda v: F.transform(v, lambda x, k: F.struct(x["h"].alias("h"), x["w"].alias("w"), x["p"].alias("p"), (x["p"] - F.coalesce(F.get(v, k - 1)["p"], F.lit(-1)) - 1).alias("gap"))))
+
+        def counted(v: Column) -> Column:
+            return _let(F.transform(v, lambda x: x["w"]), lambda ws: F.transform(v, lambda x, k: F.struct(
+                *(x[f].alias(f) for f in ("h", "w", "p", "gap")), count(ws, k, 1).alias("c"), count(ws, k, -1).alias("b"),
+            )))
+
+        return _let(_let(gaps, counted), lambda rows: _let(F.transform(rows, lambda x: F.xxhash64(x["h"], x["gap"])), lambda parts: keys(F.size(us), rows, parts)))
+
+    return _let(units, of_units)
+
+
+def repeated_units(docs: DataFrame, long_unit: int = LONG_UNIT, min_words: int = MIN_WORDS, sentences: bool = True, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, th, runs array<struct<from,to>>, n_deleted): the units of each document to delete, if any.
 
     ``th`` is the hash of the text; ``from`` and ``to`` are unit numbers, both included.
     """
-    pattern = SENTENCES if sentences else LINES
-    lists = cut(_unit_lists(docs, id_col, text_col, pattern, least_words))
-    prints = cut(_fingerprints(lists, window, long_unit, least_words))
-    place = F.struct("id", "th", "pos")
-    first = cut(prints.groupBy("hash").agg(F.min(place).alias("ref"), F.max(place).alias("last")).filter(~F.col("ref").eqNullSafe(F.col("last"))).drop("last"))
-    diagonals = (
-        prints.join(first, "hash").filter(~place.eqNullSafe(F.col("ref")))
-        .select("id", "th", F.col("ref.id").alias("rid"), F.col("ref.th").alias("rth"), (F.col("pos") - F.col("ref.pos")).alias("shift")).distinct()
-    )
-    diagonals = cut(diagonals)
-    # Rows equal in id and text are one document.
-    busy = diagonals.select(F.col("id").alias("id2"), F.col("th").alias("th2")).distinct()
-    left = lists.join(busy, lists.id.eqNullSafe(busy.id2) & (lists.th == busy.th2), "left_semi").dropDuplicates(["id", "th"])
-    refs = diagonals.select(F.col("rid").alias("rid2"), F.col("rth").alias("rth2")).distinct()
-    theirs = lists.join(refs, lists.id.eqNullSafe(refs.rid2) & (lists.th == refs.rth2), "left_semi").select(F.col("id").alias("r_id"), F.col("th").alias("r_th"), F.col("hashes").alias("r_hashes")).dropDuplicates(["r_id", "r_th"])
-    met = diagonals.join(left.withColumnsRenamed({"id": "l_id", "th": "l_th"}), F.col("id").eqNullSafe(F.col("l_id")) & (F.col("th") == F.col("l_th"))).drop("l_id", "l_th")
-    met = met.join(theirs, F.col("rid").eqNullSafe(F.col("r_id")) & (F.col("rth") == F.col("r_th"))).drop("r_id", "r_th")
-    low, high = F.greatest(F.lit(0), F.col("shift")), F.least(F.size("hashes"), F.size("r_hashes") + F.col("shift")) - 1
-    met = met.withColumns({"low": low, "high": high})
-    equal = F.filter(F.sequence("low", "high"), lambda i: F.col("hashes")[i] == F.col("r_hashes")[i - F.col("shift")])
-    met = met.select("id", "th", "rid", "rth", "shift", "words", equal.alias("equal"))
-    rows = met.select("id", "th", "rid", "rth", "shift", F.posexplode("equal").alias("k", "pos"), "words")
-    rows = rows.select("id", "th", "rid", "rth", "shift", (F.col("pos") - F.col("k")).alias("island"), "pos", F.col("words")[F.col("pos")].alias("n"))
-    runs = (
-        rows.groupBy("id", "th", "rid", "rth", "shift", "island")
-        .agg(F.min("pos").alias("from"), F.max("pos").alias("to"), F.sum("n").alias("words"), F.max("n").alias("longest"))
-        .filter((F.col("words") >= min_words) & ((F.col("to") - F.col("from") + 1 >= min_units) | (F.col("longest") >= long_unit)))
-    )
-    # Runs of several diagonals may overlap: they are merged.
+    src = docs.select(F.col(id_col).alias("id"), text_of(text_col).alias("_text"))
+    units = _units(F.col("_text"), SENTENCES if sentences else LINES)
+    runs = src.select("id", F.xxhash64("_text").alias("th"), F.inline(_minimal_runs(units, long_unit, min_words)))
+    # The first places have rank 1: more than one row if rows are equal in id and text.
+    place = Window.partitionBy("hash").orderBy("id", "th", "from")
+    runs = runs.withColumn("rank", F.rank().over(place)).filter("rank > 1").select("id", "th", "from", "to")
+    # Runs overlap: they are merged.
     w = Window.partitionBy("id", "th").orderBy("from", "to")
-    runs = runs.select("id", "th", "from", "to").distinct()
     runs = runs.withColumn("gap", F.coalesce((F.col("from") > F.max("to").over(w.rowsBetween(Window.unboundedPreceding, -1)) + 1).cast("int"), F.lit(1)))
     runs = runs.withColumn("block", F.sum("gap").over(w.rowsBetween(Window.unboundedPreceding, 0)))
     merged = runs.groupBy("id", "th", "block").agg(F.min("from").alias("from"), F.max("to").alias("to"))
@@ -124,10 +118,10 @@ def dedup_lines(docs: DataFrame, sentences: bool = True, id_col: str = "doc_id",
     """``docs`` with ``text_col`` without its later repeated runs, and ``n_deleted`` (units). Other columns stay."""
     found = cut(repeated_units(docs, sentences=sentences, id_col=id_col, text_col=text_col, **limits))
     found = found.select(F.col("id").alias("__id"), F.col("th").alias("__th"), F.col("runs").alias("__runs"), F.col("n_deleted").alias("__n"))
-    keyed = docs.withColumn("__text", text_of(text_col))
-    keyed = keyed.withColumn("__hash", F.xxhash64("__text"))
-    out = keyed.join(found, keyed[id_col].eqNullSafe(found["__id"]) & (keyed["__hash"] == found["__th"]), "left")
-    units = _units(F.col("__text"), SENTENCES if sentences else LINES)
+    keyed = docs.withColumn("__hash", F.xxhash64(text_of(text_col)))
+    # A sort-merge join at every size, as what is found grows with the documents.
+    out = keyed.join(found.hint("merge"), keyed[id_col].eqNullSafe(found["__id"]) & (keyed["__hash"] == found["__th"]), "left")
+    units = _units(text_of(text_col), SENTENCES if sentences else LINES)
     left = F.filter(units, lambda u, i: ~F.exists("__runs", lambda r: (i >= r["from"]) & (i <= r["to"])))
     text = F.when(F.col("__runs").isNull(), F.col(text_col)).otherwise(F.array_join(left, ""))
     kept = [text.alias(c) if c == text_col else F.col(f"`{c}`") for c in docs.columns]

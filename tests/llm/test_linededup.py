@@ -121,3 +121,41 @@ def test_odd_rows(spark):
     assert dedup_lines(table(spark, [])).count() == 0
     lengths = [(1, "Some words that are one line here.\n" * 50, "en", "s", 0), (2, None, "en", "s", 0)]
     assert len(run(spark, table(spark, lengths))) == 2
+
+
+def kept_by_brute_force(rows):
+    """Units left when all that lie in a run that counts and stands at an earlier place too are deleted."""
+    docs = sorted({(i, t or "") for i, t in rows})
+    cut = {d: CUT.split(d[1]) for d in docs}
+    seen, gone = set(), {d: set() for d in docs}
+    for d in docs:
+        us = [u.rstrip(" \t\n\x0b\x0c\r") for u in cut[d]]
+        n = [len(u.split()) for u in us]
+        for a in range(len(us)):
+            for z in range(a, len(us)):
+                if (sum(n[a : z + 1]) >= MIN_WORDS and z > a) or (z == a and n[a] >= LONG_UNIT):
+                    if tuple(us[a : z + 1]) in seen:
+                        gone[d].update(range(a, z + 1))
+                    seen.add(tuple(us[a : z + 1]))
+    return sorted((i, "".join(u for k, u in enumerate(cut[i, t]) if k not in gone[i, t])) for i, t in docs)
+
+
+def test_all_repeats_like_brute_force(spark):
+    """Passages of two or three units, of short and blank lines, and runs that their first document ends early."""
+    rnd = random.Random(8)
+    verse = "".join(sentence(rnd, rnd.randrange(1, 5)) + "\n" * rnd.randrange(1, 3) for _ in range(20))
+    two, three = (" ".join(sentence(rnd, n) for n in ns) + " " for ns in ((22, 30), (20, 24, 26)))
+    common, more = sentence(rnd, 9) + " " + sentence(rnd, 11) + " ", sentence(rnd, 30) + " " + sentence(rnd, 4) + " "
+    alone = sentence(rnd, 40) + "\n"
+    rows = []
+    for i in range(60):
+        own = [sentence(rnd, rnd.randrange(1, 30)) + rnd.choice([" ", "\n", "\n\n", "\n \n\n"]) for _ in range(rnd.randrange(2, 7))]
+        shared = [common] if i == 0 else rnd.sample([verse, two, three, common + more, common, alone, "\n" * 3, verse[: len(verse) // 2]], 2)
+        for p in shared:
+            own.insert(rnd.randrange(len(own) + 1), p)
+        rows.append((i, "".join(own)))
+    rows += [(60, "x\n" * 70), (61, rows[5][1]), (62, "\n" * 40), (63, "\n" * 40 + rows[6][1])]
+    want = kept_by_brute_force(rows)
+    got = sorted((i, t) for i, _, t in run(spark, table(spark, [(i, t, "en", "s", 0) for i, t in rows])))
+    assert got == want
+    assert sum(t != dict(rows)[i] for i, t in want) > 30
