@@ -159,3 +159,13 @@ def test_all_repeats_like_brute_force(spark):
     got = sorted((i, t) for i, _, t in run(spark, table(spark, [(i, t, "en", "s", 0) for i, t in rows])))
     assert got == want
     assert sum(t != dict(rows)[i] for i, t in want) > 30
+
+
+def test_first_holder_of_a_pair_has_no_more(spark):
+    rnd = random.Random(9)
+    pair = sentence(rnd, 10) + " " + sentence(rnd, 10) + " "
+    rest = " ".join(sentence(rnd, 12) for _ in range(2))
+    rows = [(i, sentence(rnd, 8) + " " + pair + (rest if i else "Other words."), "en", "s", 0) for i in range(3)]
+    got = {i: t for i, _, t in run(spark, table(spark, rows))}
+    assert got[0] == rows[0][1] and got[1] == rows[1][1]
+    assert got[2] == rows[2][1][: rows[2][1].index(pair)]
