@@ -1,23 +1,28 @@
-"""Benchmark decontamination by template canonicalisation.
+"""Benchmark decontamination by template canonicalisation and by the words as they are.
 
 Both sides are canonicalised: numbers, capitalised names inside a sentence, and
 units after a number become typed placeholders, other words lower case without
 their punctuation. Windows of ``WINDOW`` template tokens, most of them literal
-words, are joined by hash. Matches on one diagonal form runs; in a run the slot
+words, are joined by hash; so are windows of ``WINDOW`` words in lower case, of
+any kind (of the whole item if it is shorter). An item's first word may be a name
+where it is quoted inside a sentence: up to ``MIN_RUN`` tokens, where it is needed,
+the first window is there both ways; in longer items such a word is not counted.
+Matches on one diagonal form runs, extended over equal words; in a run the slot
 values must be consistent: a value on one side always stands against the same
 value on the other. So a question asked again with other numbers or names is
-caught, and a mere likeness of form is not. A run of ``MIN_RUN`` tokens (or of a
-whole shorter item) contaminates the document.
+caught, and a mere likeness of form is not. The longest consistent parts that
+hold a matched window stay. A part of ``MIN_RUN`` tokens (or of a whole shorter
+item) contaminates the document.
 
 The benchmark's windows are broadcast only if their number is at most
-``BROADCAST_WINDOWS``, which bounds their memory. Beyond that both sides emit the
-least hash of every ``MIN_RUN - WINDOW + 1`` windows (runs that count share one),
-the hashes are joined by a shuffle, and only documents and items that met are
-compared. Both ways give the same rows.
-
-Defined results: null texts are empty and clean. Items under ``WINDOW`` tokens
-match nothing; a null item is empty. Repeated rows get equal results. Nothing
-depends on documents' ids, which may be null.
+``BROADCAST_WINDOWS``, which bounds their memory. Beyond that the hashes of windows
+are joined by a shuffle, and only documents and items that met are compared; a
+bitmap of fixed size keeps most windows that no item has out of the shuffle. Both
+ways compare whatever shares a window, so they give the same rows.
+
+Defined results: null texts are empty and clean. A null item is empty and matches
+nothing; an item of few words matches wherever they stand in a row. Repeated rows
+get equal results. Nothing depends on documents' ids, which may be null.
 """
 
 from __future__ import annotations
@@ -35,6 +40,8 @@ from cardweave.llm.words import BASE, CHUNK, INVERSE, POWER, mix
 WINDOW, MIN_RUN, BROADCAST_WINDOWS = 8, 13, 500_000
 #: Literal words that a window must hold.
 LITERALS = 5
+#: Bits of the bitmap of the benchmark's windows (a power of two; 16 MB).
+BITMAP = 1 << 27
 NUMBER, NAME, UNIT = np.uint64(1), np.uint64(2), np.uint64(3)
 # Units after a number (fixed list).
 UNITS = "mm cm m km inch inches ft feet mile miles g kg mg lb lbs oz ton tons ml l litre litres liter liters s sec second seconds min minute minutes h hour hours day days week weeks month months year years usd eur gbp dollar dollars euro euros cent cents percent kmh mph mb gb tb hz khz mhz v w kw c f k".split()
@@ -109,29 +116,41 @@ def template(text: str | None) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts])
 
 
+def _rolled(tokens: np.ndarray, width: int, kind: int) -> np.ndarray:
+    """A hash of each run of ``width`` tokens."""
+    n = len(tokens) - width + 1
+    if n <= 0:
+        return np.zeros(0, np.uint64)
+    h = np.full(n, kind, np.uint64)
+    for i in range(width):
+        h = mix(h * np.uint64(BASE) + tokens[i : i + n])
+    return h
+
+
 def windows(code: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(start, hash) of the windows with enough literal words."""
-    n = len(code) - WINDOW + 1
-    if n <= 0:
-        return np.zeros(0, np.int64), np.zeros(0, np.uint64)
-    h = np.full(n, WINDOW, np.uint64)
-    for i in range(WINDOW):
-        h = mix(h * np.uint64(BASE) + code[i : i + n])
+    h = _rolled(code, WINDOW, WINDOW)
     literal = np.concatenate(([0], np.cumsum(code > UNIT)))
     at = np.flatnonzero(literal[WINDOW:] - literal[:-WINDOW] >= LITERALS)
     return at, h[at]
 
 
-def selected(at: np.ndarray, h: np.ndarray, n: int) -> np.ndarray:
-    """Hashes chosen so that a shared run of MIN_RUN tokens shares one: minima over neighbouring windows."""
-    span = MIN_RUN - WINDOW + 1
-    dense = np.full(max(n - WINDOW + 1, 0), np.iinfo(np.uint64).max, np.uint64)
-    dense[at] = h
-    if len(dense) <= span:
-        return np.unique(h)
-    views = np.lib.stride_tricks.sliding_window_view(dense, span)
-    out = np.unique(views.min(axis=1))
-    return out[out != np.iinfo(np.uint64).max]
+def word_windows(value: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """(start, hash) of all windows of ``width`` words as they are."""
+    h = _rolled(value, width, 64 + width)
+    return np.arange(len(h)), h
+
+
+def item_windows(text: str | None, code: np.ndarray, value: np.ndarray) -> tuple[np.ndarray, np.ndarray, int]:
+    """(start, hash) of an item's windows of both kinds, and the width of those of words."""
+    width = min(WINDOW, len(value))
+    if not width:
+        return np.zeros(0, np.int64), np.zeros(0, np.uint64), WINDOW
+    found = [windows(code), word_windows(value, width)]
+    inside = template("x " + text.lstrip())[0][1 : 1 + WINDOW]
+    if inside[0] != code[0] and len(code) <= MIN_RUN:  # its first word is a name inside a sentence
+        found.append(windows(np.concatenate((inside[:1], code[1:WINDOW]))))
+    return np.concatenate([f[0] for f in found]), np.concatenate([f[1] for f in found]), width
 
 
 def _consistent(x: np.ndarray, y: np.ndarray) -> bool:
@@ -139,50 +158,81 @@ def _consistent(x: np.ndarray, y: np.ndarray) -> bool:
     return len(np.unique(pairs[0])) == pairs.shape[1] == len(np.unique(pairs[1]))
 
 
+def _consistent_parts(x: np.ndarray, y: np.ndarray, slots: np.ndarray) -> list[tuple[int, int]]:
+    """The longest stretches (start, end) in which each value of x at a slot stands against one of y, and back."""
+    at = np.flatnonzero(slots)
+    if not len(at) or _consistent(x[at], y[at]):
+        return [(0, len(x))]
+    out, start, last_x, last_y = [], 0, {}, {}
+    for i, u, v in zip(at.tolist(), x[at].tolist(), y[at].tolist(), strict=True):
+        # The last places where either value stood against others.
+        clash = max(max((j for w, j in last_x.get(u, {}).items() if w != v), default=-1), max((j for w, j in last_y.get(v, {}).items() if w != u), default=-1))
+        if clash >= start:
+            out.append((start, i))
+            start = clash + 1
+        last_x.setdefault(u, {})[v] = last_y.setdefault(v, {})[u] = i
+    return [*out, (start, len(x))]
+
+
 class Index:
     """The windows of some items, for comparing texts with them."""
 
     def __init__(self, items: list[tuple[int, str]]):
         self.items = [(i, *template(t)) for i, t in items]
-        rows = [(h, np.full(len(h), k), at) for k, (_, code, _) in enumerate(self.items) for at, h in [windows(code)]]
+        rows = [(h, np.full(len(h), k), at, w) for k, ((_, code, value), (_, t)) in enumerate(zip(self.items, items, strict=True)) for at, h, w in [item_windows(t, code, value)]]
         self.hash = np.concatenate([r[0] for r in rows] or [np.zeros(0, np.uint64)])
         self.item = np.concatenate([r[1] for r in rows] or [np.zeros(0, np.int64)]).astype(np.int64)
         self.start = np.concatenate([r[2] for r in rows] or [np.zeros(0, np.int64)]).astype(np.int64)
+        self.widths = sorted({r[3] for r in rows})
         order = np.argsort(self.hash, kind="stable")
         self.hash, self.item, self.start = self.hash[order], self.item[order], self.start[order]
         self.seen = np.zeros(1 << 20, bool)
         self.seen[(self.hash >> np.uint64(44)).astype(np.int64)] = True
 
-    def matches(self, text: str | None) -> list[tuple[int, int, int, int]]:
-        """(item id, first token here, first token of the item, tokens) of every run that contaminates."""
-        code, value = template(text)
-        at, h = windows(code)
-        if not len(h) or not len(self.hash):
-            return []
+    def _met(self, at: np.ndarray, h: np.ndarray, width: int) -> tuple[np.ndarray, ...]:
+        """(item, shift, start here, width) of the windows that an item has too."""
         maybe = self.seen[(h >> np.uint64(44)).astype(np.int64)]
         at, h = at[maybe], h[maybe]
         lo, hi = np.searchsorted(self.hash, h, "left"), np.searchsorted(self.hash, h, "right")
         n = hi - lo
-        if not n.sum():
-            return []
         mine = np.repeat(at, n)
         theirs = np.repeat(lo, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-        item, shift = self.item[theirs], mine - self.start[theirs]
+        return self.item[theirs], mine - self.start[theirs], mine, np.full(len(mine), width)
+
+    def matches(self, text: str | None) -> list[tuple[int, int, int, int]]:
+        """(item id, first token here, first token of the item, tokens) of every run that contaminates."""
+        code, value = template(text)
+        if not len(self.hash):
+            return []
+        met = [self._met(*windows(code), WINDOW), *(self._met(*word_windows(value, w), w) for w in self.widths)]
+        item, shift, mine, width = (np.concatenate(x) for x in zip(*met, strict=True))
+        if not len(item):
+            return []
         order = np.lexsort((mine, shift, item))
-        item, shift, mine = item[order], shift[order], mine[order]
-        # A run goes on while matched windows of one diagonal touch.
-        new = np.flatnonzero(np.concatenate(([True], (np.diff(item) != 0) | (np.diff(shift) != 0) | (np.diff(mine) > WINDOW))))
+        item, shift, mine, end = item[order], shift[order], mine[order], (mine + width)[order]
+        new = np.flatnonzero(np.concatenate(([True], (np.diff(item) != 0) | (np.diff(shift) != 0))))
         out = []
         for s, e in zip(new, np.append(new[1:], len(mine)), strict=True):
-            k, d, a, z = int(item[s]), int(shift[s]), int(mine[s]), int(mine[e - 1]) + WINDOW
-            i, their_code, their_value = self.items[k]
-            if z - a < min(MIN_RUN, len(their_code)):
-                continue
-            here, there = slice(a, z), slice(a - d, z - d)
-            same_form = (code[here] == their_code[there]).all()
-            slots = code[here] <= UNIT
-            if same_form and (not slots.any() or _consistent(value[here][slots], their_value[there][slots])):
-                out.append((i, a, a - d, z - a))
+            i, their_code, their_value = self.items[item[s]]
+            d, need = int(shift[s]), min(MIN_RUN, len(their_code))
+            # Tokens of matched windows on this diagonal, and equal words next to them.
+            low, high = max(0, d), min(len(code), len(their_code) + d)
+            held = np.zeros(high - low + 1, np.int64)
+            np.add.at(held, mine[s:e] - low, 1)
+            np.add.at(held, end[s:e] - low, -1)
+            held = np.cumsum(held)[:-1] > 0
+            like = held | (value[low:high] == their_value[low - d : high - d])
+            if len(their_code) > MIN_RUN and low == d and code[low] != their_code[0]:
+                like[0] = False
+            edge = np.flatnonzero(np.diff(np.concatenate(([False], like, [False])).astype(np.int8)))
+            for a, z in zip((edge[::2] + low).tolist(), (edge[1::2] + low).tolist(), strict=True):
+                if z - a < need or not held[a - low : z - low].any():
+                    continue
+                here, there = slice(a, z), slice(a - d, z - d)
+                slots = (code[here] <= UNIT) | (their_code[there] <= UNIT)
+                for p, q in _consistent_parts(value[here], their_value[there], slots):
+                    if q - p >= need and ((mine[s:e] >= a + p) & (end[s:e] <= a + q)).any():
+                        out.append((i, a + p, a + p - d, q - p))
         return out
 
 
@@ -202,8 +252,8 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     items = benchmark.filter(F.col(item_col).isNotNull()).select(F.col(item_col).alias("item"), text_of(item_text_col).alias("item_text")).distinct()
     src = docs.select(F.col(id_col).alias("id"), F.xxhash64(text_of(text_col)).alias("text_hash"), text_of(text_col).alias("_text"))
     schema = _found_schema(docs, id_col, benchmark, item_col)
-    # A token has a letter or digit and, but for the last, a separator: so windows are at most half the characters.
-    bound = items.agg(F.sum(F.octet_length("item_text") / 2 + 1)).first()[0] or 0
+    # A token has a letter or digit and, but for the last, a separator: so windows of a kind are at most half the characters.
+    bound = items.agg(F.sum(F.octet_length("item_text") + 2)).first()[0] or 0
     if bound <= broadcast_windows:
         shared = spark.sparkContext.broadcast([(r["item"], r["item_text"]) for r in items.collect()])
 
@@ -214,18 +264,36 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
 
         return src.mapInPandas(look, schema)
 
+    item_type = items.schema["item"].dataType.simpleString()
+
+    def emit_items(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            for key, text in zip(frame["item"], frame["item_text"], strict=True):
+                _, h, width = item_windows(text, *template(text))
+                h = np.unique(h)
+                yield pd.DataFrame({"item": np.full(len(h), key), "hash": h.view(np.int64), "width": np.full(len(h), width, np.int32)})
+
+    theirs = cut(items.mapInPandas(emit_items, f"item {item_type}, hash long, width int"))
+    widths = sorted(r[0] for r in theirs.select("width").distinct().collect())
+    bit = f"(hash & {BITMAP - 1}L)"
+    marked = theirs.select(F.expr(f"int({bit} >> 3)").alias("at"), F.expr(f"1 << int({bit} & 7)").alias("bits")).groupBy("at").agg(F.bit_or("bits").alias("bits")).toPandas()
+    bitmap = np.zeros(BITMAP // 8, np.uint8)
+    bitmap[marked["at"].to_numpy(np.int64)] = marked["bits"].to_numpy(np.int64).astype(np.uint8)
+    marks = spark.sparkContext.broadcast(bitmap)
+
     def emit(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        there = marks.value
         for frame in frames:
             for key, text in zip(frame["key"], frame["body"], strict=True):
-                code, _ = template(text)
-                h = selected(*windows(code), len(code))
+                code, value = template(text)
+                h = np.unique(np.concatenate([windows(code)[1], *(word_windows(value, w)[1] for w in widths)]))
+                bit = (h & np.uint64(BITMAP - 1)).astype(np.int64)
+                h = h[there[bit >> 3] >> (bit & 7) & 1 == 1]
                 if len(h):
                     yield pd.DataFrame({"key": np.full(len(h), key), "hash": h.view(np.int64)})
 
     # Equal texts are compared once.
     bodies = src.select(F.col("text_hash").alias("key"), F.col("_text").alias("body")).groupBy("key").agg(F.first("body").alias("body"))
-    item_type = items.schema["item"].dataType.simpleString()
-    theirs = items.select(F.col("item").alias("key"), F.col("item_text").alias("body")).mapInPandas(emit, f"key {item_type}, hash long").withColumnsRenamed({"key": "item"})
     ours = bodies.mapInPandas(emit, "key long, hash long")
     pairs = ours.join(theirs, "hash").select("key", "item").distinct()
     pairs = cut(pairs)

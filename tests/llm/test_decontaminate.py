@@ -80,3 +80,18 @@ def test_both_ways_agree_and_odd_rows(spark):
     assert left.columns == df.columns and left.count() == df.count() - 1
     assert contaminated(table(spark, []), item).count() == 0
     assert remove_contaminated(df, bench(spark, [])).count() == df.count()
+
+
+def both_ways(spark, docs, items):
+    df = table(spark, [(i, t, "en", "s", 0) for i, t in docs])
+    one, two = (sorted((r["id"], sorted(r["items"]), r["n_matched"]) for r in contaminated(df, bench(spark, items), broadcast_windows=limit).collect()) for limit in (500_000, 0))
+    assert one == two
+    return {i: found for i, found, _ in one}
+
+
+def test_short_items_are_found_both_ways(spark):
+    rnd = random.Random(3)
+    words = lambda n: " ".join(f"q{rnd.randrange(10**6)}z" for _ in range(n))
+    items = [(k, words(8 + k % 5)) for k in range(60)]
+    docs = [(k, f"{words(40)} {t} {words(40)}") for k, t in items] + [(99, words(90))]
+    assert both_ways(spark, docs, items) == {**{k: [k] for k, _ in items}, 99: []}
