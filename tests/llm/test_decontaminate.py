@@ -95,3 +95,18 @@ def test_short_items_are_found_both_ways(spark):
     items = [(k, words(8 + k % 5)) for k in range(60)]
     docs = [(k, f"{words(40)} {t} {words(40)}") for k, t in items] + [(99, words(90))]
     assert both_ways(spark, docs, items) == {**{k: [k] for k, _ in items}, 99: []}
+
+
+def test_verbatim_text_of_any_kind(spark):
+    """Sums, names, whole short items, a first word that is a name inside a sentence, one slot that does not agree."""
+    items = [
+        (1, "12 + 7 * 31 - 5 + 88 * 4 - 19 + 23 * 6 + 71 - 3"),
+        (2, "List Anna Berta Clara Dora Emma Frieda Greta Hanna Ida Jutta Karla Lena Mona"),
+        (3, "Name seven odd primes"),
+        (4, "Anna walks along the river until evening"),
+        (5, "Boston is where every old train stops for water and coal today"),
+        (6, "the first 5 words here are plain and then the other words go on for some while until the 9 is seen at last"),
+    ]
+    docs = [(k, f"Some of it: they wrote that {t} and no more of it.") for k, t in items]
+    docs += [(7, f"They say {items[4][1].replace('Boston', 'Denver')} and more"), (8, items[5][1].replace("9", "5")), (9, "Name seven even primes and walk along the river with 12 + 7 * 30")]
+    assert both_ways(spark, docs, items) == {**{k: [k] for k, _ in items}, 7: [5], 8: [6], 9: []}
