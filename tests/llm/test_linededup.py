@@ -162,10 +162,14 @@ def test_all_repeats_like_brute_force(spark):
 
 
 def test_first_holder_of_a_pair_has_no_more(spark):
+    """The first document holds only a pair under MIN_WORDS, two later ones a longer repeat that begins with it."""
     rnd = random.Random(9)
-    pair = sentence(rnd, 10) + " " + sentence(rnd, 10) + " "
-    rest = " ".join(sentence(rnd, 12) for _ in range(2))
-    rows = [(i, sentence(rnd, 8) + " " + pair + (rest if i else "Other words."), "en", "s", 0) for i in range(3)]
-    got = {i: t for i, _, t in run(spark, table(spark, rows))}
-    assert got[0] == rows[0][1] and got[1] == rows[1][1]
-    assert got[2] == rows[2][1][: rows[2][1].index(pair)]
+    rows, want = [], {}
+    for k in range(30):
+        pair = sentence(rnd, 10) + " " + sentence(rnd, 10) + " "
+        rest = sentence(rnd, 3) + " " + sentence(rnd, 4) + " "
+        for i in range(3):
+            before, after = sentence(rnd, 8) + " ", sentence(rnd, 8)
+            rows.append((3 * k + i, before + pair + (rest if i else "") + after, "en", "s", 0))
+            want[3 * k + i] = before + after if i == 2 else rows[-1][1]
+    assert {i: t for i, _, t in run(spark, table(spark, rows))} == want
