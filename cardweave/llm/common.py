@@ -2,53 +2,19 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from cardweave.plans.stage import drop_stage, passing, stage
+
+#: ``cut`` ends a lineage in the shared folder, ``drop_cut`` deletes that table, ``passing`` all of a block's.
+cut, drop_cut, passing = stage, drop_stage, passing
+
 #: One ASCII white-space character, and a run of anything else (the contracts' words).
 SPACE = r"[\x20\x09-\x0D]"
 WORD = r"[^\x20\x09-\x0D]+"
 
 
-def scratch_root(spark: SparkSession) -> str:
-    """The folder that driver and executors share.
-
-    It is what the cluster names in ``spark.checkpoint.dir``; only where that
-    is unset, as in tests, a folder of this process is used.
-    """
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        root = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
-        spark.conf.set("spark.checkpoint.dir", root)
-    return root.rstrip("/")
-
-
-def cut(df: DataFrame, *partition_by: str) -> DataFrame:
-    """Write ``df`` to the shared folder and read it again: the lineage ends here.
-
-    Unlike a local checkpoint this survives the loss of executors, and unlike
-    ``checkpoint()`` the rows are compressed and columns can be pruned.
-    """
-    spark = df.sparkSession
-    path = f"{scratch_root(spark)}/cut-{uuid.uuid4().hex}"
-    df.write.partitionBy(*partition_by).parquet(path) if partition_by else df.write.parquet(path)
-    out = spark.read.schema(df.schema).parquet(path)
-    out._cut_path = path
-    return out
-
-
-def drop_cut(df: DataFrame) -> None:
-    """Delete what ``cut`` wrote, once nothing reads it any more."""
-    path = getattr(df, "_cut_path", None)
-    if path:
-        jvm = df.sparkSession._jvm
-        target = jvm.org.apache.hadoop.fs.Path(path)
-        target.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(target, True)
-
-
 def text_of(text_col: str) -> Column:
     """The text, null taken as empty."""
     return F.coalesce(F.col(text_col).cast("string"), F.lit(""))

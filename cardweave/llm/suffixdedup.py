@@ -1,34 +1,38 @@
 """Suffix-array dedup: bytes covered by a string of ``LENGTH`` bytes that starts anywhere else too.
 
-1. Every window of LENGTH bytes has an anchor: the least of its 64-byte rolling
-   hashes (the leftmost of equals), which only depends on the window's bytes. Equal
-   windows thus have equal anchors at equal offsets. The windows of an anchor's
-   occurrence are consecutive; the bytes they span are its context.
-2. Anchors that occur once have no repeated window. Of the others, occurrences with
-   equal contexts are one class; a class of two or more is repeated throughout, and
-   stays as one partner for the rest.
-3. Classes of anchors that have some single context are dealt to shards by anchor, a
-   few megabytes each. In a shard, numpy builds the suffix array of the contexts by
-   Larsson-Sadakane refinement: suffixes are sorted by 8 bytes, then only groups
-   that are not yet single are sorted anew by pairs of ranks, 16, 32, 64, 128 and
-   then LENGTH bytes deep. Neighbours that are still equal have a common prefix of
-   LENGTH bytes.
-4. Spans of repeated bytes go back to their documents by a join.
-
-As equal windows meet in one shard by their anchor, no two shards have to be merged.
-An anchor with over ``GROUP`` classes is no shard's: its windows are counted by their
-hashes in a distributed aggregation instead, which is as exact.
+1. Candidates. Every window of LENGTH bytes has an anchor: the least of its 64-byte
+   rolling hashes (the leftmost of equals), which only depends on the window's bytes.
+   Equal windows thus have equal anchors at equal offsets. The windows of an anchor's
+   occurrence are consecutive; the bytes they span are its context. Anchors that occur
+   once have no repeated window. Of the others, occurrences with equal contexts are
+   one class; a class of two or more is repeated throughout, and stays as one partner
+   for the rest.
+2. Groups. The contexts of an anchor are a group. A group of more bytes than
+   ``GROUP_SHARDS`` shards is dealt anew: its windows are halved by their offset from the
+   anchor, and those of one half have a longer string in common, which is their new
+   key. So a very common anchor is no task's burden; a half of one offset holds equal
+   windows only.
+3. Shards. Groups are packed to shards of about ``SHARD_BYTES``. For each, numpy builds
+   the suffix array by Larsson-Sadakane refinement (suffixes are sorted by 8 bytes,
+   then only groups that are not yet single are sorted anew by pairs of ranks) and
+   common prefixes by Kasai's scan, run over many blocks of the text in step. Suffixes
+   that start a window and have LENGTH bytes in common are repeats.
+4. Merging. The shards of a group that fills several are merged pair by pair: the
+   windows of one are found in the sorted ones of the other by binary search.
+5. Spans of repeated bytes go back to their documents by a join.
 
 Texts are UTF-8 bytes; matches never cross documents, and may overlap. A null text is
 empty. Rows equal in id and text repeat each other, so all their bytes go if they
-have LENGTH or more. Ids may be null. Hashes of contexts are 64 bits and only compared
-under one anchor, itself 64 bits.
+have LENGTH or more. Ids may be null. Classes are told apart by 128 bits (anchor and
+context); what shards decide is compared byte by byte.
 """
 
 from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from itertools import combinations
+from typing import NamedTuple
 
 import numpy as np
 import pandas as pd
@@ -38,9 +42,11 @@ from pyspark.sql import functions as F
 from cardweave.llm.common import cut, drop_cut, text_of
 from cardweave.llm.words import INVERSE, POWER, mix
 
-LENGTH, ANCHOR, GROUP, SHARD_BYTES = 200, 64, 20_000, 3_000_000
+LENGTH, ANCHOR, SHARD_BYTES, GROUP_SHARDS = 200, 64, 1_000_000, 4
 _CHUNK, _BITS = 1 << 18, 18
 WIDTH = LENGTH - ANCHOR + 1
+#: Steps of the common-prefix scan: each block of so many bytes is scanned in step with all others.
+_STEPS = 128
 
 
 def _chunk_anchors(b: np.ndarray) -> tuple[np.ndarray, ...]:
@@ -77,42 +83,124 @@ def anchors(b: np.ndarray) -> tuple[np.ndarray, ...]:
     return tuple(np.concatenate(x) for x in zip(*parts, strict=True))
 
 
-def equal_windows(text: np.ndarray, starts: np.ndarray, length: int = LENGTH) -> np.ndarray:
-    """Which of the starts have a window of that length equal to another start's. By suffix array refinement."""
-    n = len(text)
+class Sorted(NamedTuple):
+    """A shard: its bytes, eight bytes from each place as a number, its window starts in the order of their bytes, and which of these are repeated."""
+
+    text: np.ndarray
+    words: np.ndarray
+    order: np.ndarray
+    hit: np.ndarray
+
+
+def words_of(text: np.ndarray) -> np.ndarray:
+    """The eight bytes from each place on as a number that sorts like them."""
     padded = np.concatenate((text, np.zeros(8, np.uint8)))
-    word = np.zeros(n, np.uint64)
+    out = np.zeros(len(text), np.uint64)
     for k in range(8):
-        word = word << np.uint64(8) | padded[k : k + n]
-    order = np.argsort(word, kind="stable")
-    depth = 8
-    rank = np.empty(n + 1, np.int64)
+        out = out << np.uint64(8) | padded[k : k + len(text)]
+    return out
+
+
+def suffix_array(words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(order, rank) of all suffixes by Larsson-Sadakane refinement."""
+    n = len(words)
+    order = np.argsort(words)
+    rank = np.empty(n, np.int64)
 
     def heads(keys: np.ndarray) -> np.ndarray:
         """For each place the first place of its run of equal keys."""
         new = np.concatenate(([True], keys[1:] != keys[:-1]))
         return np.maximum.accumulate(np.where(new, np.arange(len(keys)), 0))
 
-    place = heads(word[order])
-    rank[order], rank[n] = place, -1
-    slots = np.arange(n)
-    while depth < length:
+    place = heads(words[order])
+    rank[order] = place
+    slots, part, depth = np.arange(n), order, 8
+    while True:
         # Only groups of two or more are refined.
         size = np.bincount(place, minlength=n)[place] if len(place) else place
-        slots, order, place = slots[size > 1], order[size > 1], place[size > 1]
-        if not len(order):
-            break
-        ahead = min(depth, length - depth)
-        key = (rank[order] << np.int64(32)) | (rank[np.minimum(order + ahead, n)] + 1)
-        by = np.argsort(key, kind="stable")
-        order, key = order[by], key[by]
+        slots, part, place = slots[size > 1], part[size > 1], place[size > 1]
+        if not len(part):
+            return order, rank
+        ahead = part + depth
+        # Beyond the end the shorter suffix comes first.
+        key = (place << np.int64(32)) | (np.where(ahead < n, rank[np.minimum(ahead, n - 1)], n - 1 - ahead) + (1 << 31))
+        by = np.argsort(key)
+        part, key = part[by], key[by]
         place = slots[heads(key)]
-        depth += ahead
-        rank[order] = place
-        order = order.copy()
-    own = rank[starts]
-    _, inverse, count = np.unique(own, return_inverse=True, return_counts=True)
-    return count[inverse] > 1
+        order[slots], rank[part] = part, place
+        depth *= 2
+
+
+def common_prefixes(words: np.ndarray, order: np.ndarray, most: int) -> np.ndarray:
+    """For each place of ``order`` how many bytes its suffix and the one before have in common, ``most`` at most.
+
+    Kasai's scan: what a suffix shares with its neighbour, the next suffix of the text
+    shares but for one byte. Blocks of the text are scanned in step, eight bytes at a time.
+    """
+    n = len(words)
+    before = np.full(n, -1, np.int64)
+    before[order[1:]] = order[:-1]
+    out = np.zeros(n, np.int64)
+    blocks = np.arange(0, n, _STEPS)
+    shared = np.zeros(len(blocks), np.int64)
+    steps = [np.uint64(1) << np.uint64(8 * k) for k in range(1, 8)]
+    for t in range(min(_STEPS, n)):
+        i = blocks[: len(blocks) - (blocks[-1] + t >= n)] + t
+        j = before[i]
+        h = np.where(j < 0, 0, np.maximum(shared[: len(i)] - 1, 0))
+        live = np.flatnonzero((j >= 0) & (h < most))
+        while len(live):
+            a, b = i[live] + h[live], j[live] + h[live]
+            room = n - np.maximum(a, b)
+            x = words[np.minimum(a, n - 1)] ^ words[np.minimum(b, n - 1)]
+            same = np.full(len(live), 8) if not x.any() else np.where(x == 0, 8, 7 - sum((x >= s).astype(np.int64) for s in steps))
+            h[live] += np.minimum(same, np.maximum(room, 0))
+            live = live[(same == 8) & (room > 8) & (h[live] < most)]
+        shared[: len(i)] = h
+        out[i] = np.minimum(h, most)
+    return out[order]
+
+
+def sort_shard(text: np.ndarray, starts: np.ndarray, length: int = LENGTH) -> Sorted:
+    """The shard of these bytes, and which of the windows at ``starts`` are equal to another one."""
+    words = words_of(text)
+    order, _ = suffix_array(words)
+    own = np.zeros(len(text), bool)
+    own[starts] = True
+    # Windows of one class are neighbours with the whole length in common.
+    label = np.cumsum(common_prefixes(words, order, length) < length)
+    own = own[order]
+    order, label = order[own], label[own]
+    return Sorted(text, words, order, np.bincount(label, minlength=1)[label] > 1)
+
+
+def _compared(a: np.ndarray, at: np.ndarray, b: np.ndarray, bt: np.ndarray, length: int) -> np.ndarray:
+    """-1, 0 or 1: how the windows of a at ``at`` compare with those of b at ``bt``; a and b are words."""
+    out, live = np.zeros(len(at), np.int8), np.arange(len(at))
+    for k in [*range(0, length - 8, 8), length - 8]:
+        x, y = a[at[live] + k], b[bt[live] + k]
+        apart = x != y
+        out[live[apart]] = np.where(x[apart] < y[apart], -1, 1)
+        live = live[~apart]
+        if not len(live):
+            break
+    return out
+
+
+def merge_shards(a: Sorted, b: Sorted, length: int = LENGTH) -> None:
+    """Mark in both which windows the other has too: b's are found among a's sorted ones by binary search."""
+    if not len(a.order) or not len(b.order):
+        return
+    low, high = np.zeros(len(b.order), np.int64), np.full(len(b.order), len(a.order))
+    while (open_ := low < high).any():
+        mid = (low + high) >> 1
+        less = open_ & (_compared(a.words, a.order[np.minimum(mid, len(a.order) - 1)], b.words, b.order, length) < 0)
+        low, high = np.where(less, mid + 1, low), np.where(open_ & ~less, mid, high)
+    at = np.minimum(low, len(a.order) - 1)
+    met = (low < len(a.order)) & (_compared(a.words, a.order[at], b.words, b.order, length) == 0)
+    # Equal windows inside a have been marked before, so the first of them is enough.
+    a.hit[at[met]] = True
+    b.hit[met] = True
 
 
 def _keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -134,9 +222,9 @@ def _occurrences(keyed: DataFrame, kind: str) -> DataFrame:
                 if sum(n):
                     place, first, last, anchor, context = (np.concatenate(x) for x in zip(*found, strict=True))
                     at = np.repeat(np.arange(len(part)), n)
-                    yield pd.DataFrame({"id": part["id"].iloc[at].to_numpy(), "th": part["th"].iloc[at].to_numpy(), "first": first, "last": last, "anchor": anchor.view(np.int64), "context": context.view(np.int64)})
+                    yield pd.DataFrame({"id": part["id"].iloc[at].to_numpy(), "th": part["th"].iloc[at].to_numpy(), "place": place, "first": first, "last": last, "anchor": anchor.view(np.int64), "context": context.view(np.int64)})
 
-    return keyed.select("id", "th", "_text").mapInPandas(run, f"id {kind}, th long, first long, last long, anchor long, context long")
+    return keyed.select("id", "th", "_text").mapInPandas(run, f"id {kind}, th long, place long, first long, last long, anchor long, context long")
 
 
 def _with_texts(keyed: DataFrame, wanted: DataFrame, how: str) -> DataFrame:
@@ -144,69 +232,125 @@ def _with_texts(keyed: DataFrame, wanted: DataFrame, how: str) -> DataFrame:
     return keyed.join(w, keyed.id.eqNullSafe(w.w_id) & (keyed.th == w.w_th), how).drop("w_id", "w_th")
 
 
-def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", group: int = GROUP, shard_bytes: int = SHARD_BYTES) -> DataFrame:
+def _halve(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Pieces of the two halves of each piece's offsets, keyed by what all windows of a half have in common."""
+    names = ["id", "th", "grp", "near", "far", "at", "first", "n", "digest", "body"]
+    for frame in frames:
+        rows = []
+        for i, th, grp, near, far, at, first, n, body in zip(*(frame[c] for c in ("id", "th", "grp", "near", "far", "at", "first", "n", "body")), strict=True):
+            half = (near + far) // 2
+            for p, q in ((near, half), (half + 1, far)):
+                # Windows of the piece, by their starts, whose offset is from p to q.
+                a, z = max(0, at - q), min(len(body) - LENGTH, at - p)
+                if a <= z and p <= q:
+                    core = hashlib.blake2b(body[at - p : at - q + LENGTH] + f"{p},{q},{grp}".encode(), digest_size=8).digest()
+                    piece = body[a : z + LENGTH]
+                    digest = hashlib.blake2b(piece + f"{at - a}".encode(), digest_size=16).digest()
+                    rows.append((i, th, int.from_bytes(core, "little", signed=True), p, q, at - a, first + a, n, digest, piece))
+        yield pd.DataFrame(rows, columns=names)
+
+
+def _compare(shard_bytes: int):
+    """Over pieces in the order of their groups: (id, th, lo, hi) of what is repeated."""
+
+    def unit(part: pd.DataFrame) -> Iterator[pd.DataFrame]:
+        size = part["body"].map(len).to_numpy(np.int64)
+        shard = (np.cumsum(size) - size) // shard_bytes
+        done: list[tuple[Sorted, pd.DataFrame, np.ndarray]] = []
+        for k in np.unique(shard):
+            own, length = part[shard == k], size[shard == k]
+            begin, windows = np.cumsum(length) - length, length - LENGTH + 1
+            starts = np.repeat(begin - np.cumsum(windows) + windows, windows) + np.arange(windows.sum())
+            done.append((sort_shard(np.frombuffer(b"".join(own["body"]), np.uint8), starts), own, begin))
+        for (a, _, _), (b, _, _) in combinations(done, 2):
+            merge_shards(a, b)
+        for s, own, begin in done:
+            start = np.sort(s.order[s.hit])
+            row = np.searchsorted(begin, start, "right") - 1
+            single = own["n"].to_numpy()[row] == 1
+            row, start = row[single], start[single] - begin[row[single]] + own["first"].to_numpy(np.int64)[row[single]]
+            if len(row):
+                new = np.flatnonzero(np.concatenate(([True], (np.diff(row) != 0) | (np.diff(start) != 1))))
+                end = np.append(new[1:], len(row)) - 1
+                yield pd.DataFrame({"id": own["id"].iloc[row[new]].to_numpy(), "th": own["th"].iloc[row[new]].to_numpy(), "lo": start[new], "hi": start[end] + LENGTH})
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held, size = [], 0
+        last = None
+        for frame in frames:
+            grp = frame["grp"].to_numpy()
+            edge = np.flatnonzero(np.concatenate(([True], grp[1:] != grp[:-1]))) if len(grp) else np.zeros(0, int)
+            for s, e in zip(edge, np.append(edge[1:], len(grp)), strict=True):
+                if size >= shard_bytes and grp[s] != last:
+                    yield from unit(pd.concat(held, ignore_index=True))
+                    held, size = [], 0
+                part = frame.iloc[s:e]
+                held.append(part)
+                size += int(part["body"].map(len).sum())
+                last = grp[s]
+        if held:
+            yield from unit(pd.concat(held, ignore_index=True))
+
+    return run
+
+
+def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shard_bytes: int = SHARD_BYTES, group_shards: int = GROUP_SHARDS) -> DataFrame:
     """(id, th, spans array<struct<lo,hi>>): repeated bytes of each text, from lo up to hi, not merged."""
     keyed = _keyed(docs, id_col, text_col)
     kind = keyed.schema["id"].dataType.simpleString()
     all_of = cut(_occurrences(keyed, kind))
     again = cut(all_of.groupBy("anchor").agg(F.count("*").alias("n")).filter("n > 1").select("anchor"))
     some = cut(all_of.join(again, "anchor"))
-    drop_cut(all_of)
-    classes = cut(some.groupBy("anchor", "context").agg(F.count("*").alias("n"), F.min(F.struct("id", "th", "first", "last")).alias("rep")))
+    drop_cut(all_of, again)
+    classes = cut(some.groupBy("anchor", "context").agg(F.count("*").alias("n"), F.min(F.struct("id", "th", "first", "last", "place")).alias("rep")))
     # Anchors with a class of one and another class to compare it with.
-    open_ones = cut(classes.groupBy("anchor").agg(F.count("*").alias("classes"), F.min("n").alias("least"), F.sum(F.col("rep.last") - F.col("rep.first") + LENGTH).alias("bytes")).filter("classes > 1 and least = 1"))
-    whole = some.join(classes.filter("n > 1").select("anchor", "context"), ["anchor", "context"]).select("id", "th", F.col("first").alias("lo"), (F.col("last") + LENGTH).alias("hi"))
-    volume = open_ones.agg(F.sum("bytes")).first()[0] or 0
-    shards = max(1, int(volume // shard_bytes) + 1)
-    wanted = classes.join(open_ones.select("anchor", (F.col("classes") > group).alias("large")), "anchor").select("rep.*", "anchor", "n", "large")
-    per_text = wanted.groupBy("id", "th").agg(F.collect_list(F.struct("anchor", "n", "large", "first", "last")).alias("parts"))
+    open_ones = cut(classes.groupBy("anchor").agg(F.count("*").alias("classes"), F.min("n").alias("least")).filter("classes > 1 and least = 1").select("anchor"))
+    span = ("id", "th", "lo", "hi")
+    whole = cut(some.join(classes.filter("n > 1").select("anchor", "context"), ["anchor", "context"]).select("id", "th", F.col("first").alias("lo"), (F.col("last") + LENGTH).alias("hi")))
+    drop_cut(some)
+    wanted = classes.join(open_ones, "anchor").select("rep.*", "anchor", "n")
+    per_text = wanted.groupBy("id", "th").agg(F.collect_list(F.struct("anchor", "n", "first", "last", "place")).alias("parts"))
 
     def fetch(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
             rows = []
             for i, th, text, parts in zip(frame["id"], frame["th"], frame["_text"], frame["parts"], strict=True):
                 raw = text.encode("utf-8", "surrogatepass")
-                rows += [(i, th, p["anchor"], p["n"], p["large"], p["first"], raw[p["first"] : p["last"] + LENGTH]) for p in parts]
-            yield pd.DataFrame(rows, columns=["id", "th", "anchor", "n", "large", "first", "body"])
-
-    contexts = cut(_with_texts(keyed, per_text, "inner").mapInPandas(fetch, f"id {kind}, th long, anchor long, n long, large boolean, first long, body binary"))
-
-    def compare(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        # One shard in one go: its size is bounded by the number of shards and of classes to an anchor.
-        held = [f for f in frames if len(f)]
-        for _, part in pd.concat(held, ignore_index=True).groupby("shard", sort=False) if held else ():
-            size = np.array([len(x) for x in part["body"]], np.int64)
-            text = np.frombuffer(b"".join(part["body"]), np.uint8)
-            begin = np.cumsum(size) - size
-            windows = size - LENGTH + 1
-            row = np.repeat(np.arange(len(part)), windows)
-            inside = np.arange(windows.sum()) - np.repeat(np.cumsum(windows) - windows, windows)
-            hit = equal_windows(text, begin[row] + inside) & (part["n"].to_numpy()[row] == 1)
-            row, start = row[hit], inside[hit] + part["first"].to_numpy(np.int64)[row[hit]]
-            if len(row):
-                yield _runs(part, row, start)
-
-    def _runs(part: pd.DataFrame, row: np.ndarray, start: np.ndarray) -> pd.DataFrame:
-        new = np.flatnonzero(np.concatenate(([True], (np.diff(row) != 0) | (np.diff(start) != 1))))
-        end = np.append(new[1:], len(row)) - 1
-        return pd.DataFrame({"id": part["id"].iloc[row[new]].to_numpy(), "th": part["th"].iloc[row[new]].to_numpy(), "lo": start[new], "hi": start[end] + LENGTH})
-
-    spans_type = f"id {kind}, th long, lo long, hi long"
-    small = contexts.filter("not large").withColumn("shard", F.pmod(F.xxhash64("anchor"), F.lit(shards)))
-    matched = small.repartition(shards, "shard").select("shard", "body", "first", "n", "id", "th").mapInPandas(compare, spans_type)
-
-    def explode_windows(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            for i, th, first, n, body in zip(frame["id"], frame["th"], frame["first"], frame["n"], frame["body"], strict=True):
-                digests = [int.from_bytes(hashlib.blake2b(body[k : k + LENGTH], digest_size=8).digest(), "little", signed=True) for k in range(len(body) - LENGTH + 1)]
-                yield pd.DataFrame({"id": pd.Series([i] * len(digests), dtype=frame["id"].dtype), "th": th, "lo": first + np.arange(len(digests)), "n": n, "digest": digests})
-
-    large = contexts.filter("large")
-    if large.limit(1).count():
-        singles = cut(large.mapInPandas(explode_windows, f"id {kind}, th long, lo long, n long, digest long"))
-        twice = cut(singles.groupBy("digest").agg(F.count("*").alias("k")).filter("k > 1").select("digest"))
-        matched = matched.unionByName(singles.filter("n = 1").join(twice, "digest").select("id", "th", "lo", (F.col("lo") + LENGTH).alias("hi")))
-    spans = whole.unionByName(matched)
+                rows += [(i, th, p["anchor"], 0, WIDTH - 1, p["place"] - p["first"], p["first"], p["n"], raw[p["first"] : p["last"] + LENGTH]) for p in parts]
+                if len(rows) > 20_000:
+                    yield pd.DataFrame(rows, columns=["id", "th", "grp", "near", "far", "at", "first", "n", "body"])
+                    rows = []
+            yield pd.DataFrame(rows, columns=["id", "th", "grp", "near", "far", "at", "first", "n", "body"])
+
+    piece = f"id {kind}, th long, grp long, near long, far long, at long, first long, n long"
+    pieces = cut(_with_texts(keyed, per_text, "inner").mapInPandas(fetch, f"{piece}, body binary"))
+    drop_cut(classes, open_ones)
+    found, small = [whole], []
+    while True:
+        large = cut(pieces.groupBy("grp").agg(F.sum(F.length("body")).alias("bytes")).filter(F.col("bytes") > group_shards * shard_bytes).select("grp"))
+        if large.isEmpty():
+            small.append(pieces)
+            break
+        # Groups of many shards: their halves are classes and groups in their turn.
+        small.append(cut(pieces.join(large, "grp", "left_anti")))
+        halves = cut(pieces.join(large, "grp", "left_semi").mapInPandas(_halve, f"{piece}, digest binary, body binary"))
+        drop_cut(pieces)
+        rep = F.min(F.struct("id", "th", "near", "far", "at", "first", "body")).alias("rep")
+        equal = cut(halves.groupBy("grp", "digest").agg(F.sum("n").alias("total"), rep))
+        found.append(cut(halves.filter("n = 1").join(equal.filter("total > 1").select("grp", "digest"), ["grp", "digest"]).select("id", "th", F.col("first").alias("lo"), (F.col("first") + F.length("body")).alias("hi"))))
+        still = equal.groupBy("grp").agg(F.count("*").alias("classes"), F.min("total").alias("least")).filter("classes > 1 and least = 1").select("grp")
+        pieces = cut(equal.join(still, "grp").select("rep.*", "grp", F.col("total").alias("n")).select("id", "th", "grp", "near", "far", "at", "first", "n", "body"))
+        drop_cut(halves, equal)
+    of_shards = small[0]
+    for more in small[1:]:
+        of_shards = of_shards.unionByName(more)
+    volume = of_shards.agg(F.sum(F.length("body"))).first()[0] or 0
+    dealt = of_shards.select("id", "th", "grp", "first", "n", "body").repartition(int(volume // (2 * shard_bytes)) + 1, "grp").sortWithinPartitions("grp")
+    found.append(cut(dealt.mapInPandas(_compare(shard_bytes), f"id {kind}, th long, lo long, hi long")))
+    drop_cut(*small)
+    spans = found[0].select(*span)
+    for more in found[1:]:
+        spans = spans.unionByName(more.select(*span))
     return spans.groupBy("id", "th").agg(F.collect_set(F.struct("lo", "hi")).alias("spans"))
 
 

@@ -3,7 +3,7 @@ import random
 
 import numpy as np
 
-from cardweave.llm.suffixdedup import LENGTH, equal_windows, remove_repeats
+from cardweave.llm.suffixdedup import LENGTH, common_prefixes, merge_shards, remove_repeats, sort_shard, suffix_array, words_of
 from tests.llm.docs import clashing, table
 
 
@@ -25,14 +25,39 @@ def got(df, **options):
     return sorted(((r["id"], r.n_bytes, r.n_removed, r.n_spans, bytes(r.kept)) for r in remove_repeats(df, **options).collect()), key=repr)
 
 
-def test_suffix_array_groups():
+def texts(rnd):
+    for size, alphabet, length in ((400, 2, 20), (3000, 3, 13), (500, 1, 200), (5000, 20, 9), (30, 2, 8), (9, 1, 8), (1500, 250, 16)):
+        text = rnd.integers(0, alphabet, size).astype(np.uint8)
+        text[size // 2 : size // 2 + 150] = text[: len(text[size // 2 : size // 2 + 150])]
+        yield text, length
+
+
+def test_suffix_array_and_common_prefixes():
+    for text, length in texts(np.random.default_rng(5)):
+        raw = text.tobytes()
+        want = sorted(range(len(raw)), key=lambda i: raw[i:])
+        order, rank = suffix_array(words_of(text))
+        assert order.tolist() == want and rank[order].tolist() == list(range(len(raw)))
+        lcp = common_prefixes(words_of(text), order, length).tolist()
+        for k in range(1, len(raw)):
+            x, y = raw[want[k - 1] :], raw[want[k] :]
+            n = next((i for i, (p, q) in enumerate(zip(x, y)) if p != q), min(len(x), len(y)))
+            assert lcp[k] == min(n, length)
+
+
+def test_shards_and_merging():
     rnd = np.random.default_rng(3)
-    for size, alphabet, length in ((400, 2, 20), (3000, 3, 13), (500, 1, 200), (5000, 20, 9)):
-        text = rnd.integers(97, 97 + alphabet, size).astype(np.uint8)
-        text[size // 2 : size // 2 + 150] = text[:150]
-        starts = np.sort(rnd.choice(size - length + 1, (size - length) // 2, replace=False))
+    for text, length in texts(rnd):
+        starts = np.sort(rnd.choice(len(text) - length + 1, (len(text) - length) // 2, replace=False))
         count = collections.Counter(bytes(text[s : s + length]) for s in starts)
-        assert equal_windows(text, starts, length).tolist() == [count[bytes(text[s : s + length])] > 1 for s in starts]
+        one = sort_shard(text, starts, length)
+        assert {s: h for s, h in zip(one.order.tolist(), one.hit.tolist())} == {s: count[bytes(text[s : s + length])] > 1 for s in starts.tolist()}
+        cut = len(starts) // 3
+        a, b = sort_shard(text, starts[:cut], length), sort_shard(text, starts[cut:], length)
+        merge_shards(a, b, length)
+        got = {s: h for x in (a, b) for s, h in zip(x.order.tolist(), x.hit.tolist())}
+        # Of windows that one shard holds twice, the merging marks the first; the shard has marked all.
+        assert got == {s: count[bytes(text[s : s + length])] > 1 for s in starts.tolist()}
 
 
 def test_query_equals_brute_force(spark, tiny):
@@ -61,7 +86,8 @@ def test_planted_passages(spark):
     want = brute([r[:2] for r in rows])
     assert got(table(spark, rows)) == want
     assert got(table(spark, rows), shard_bytes=2000) == want
-    assert got(table(spark, rows), group=1) == want  # all by the way of very common anchors
+    assert got(table(spark, rows), shard_bytes=700, group_shards=3) == want  # shards of a group are merged
+    assert got(table(spark, rows), shard_bytes=300, group_shards=1) == want  # all groups are halved
 
 
 def test_odd_rows(spark):
