@@ -32,8 +32,21 @@ SENTENCES = r"(?<=\n)|(?<=[.!?]\x20)"
 LINES = r"(?<=\n)"
 
 
-def _units(text: Column, pattern: str) -> Column:
-    return F.split(text, pattern, -1)
+#: A character that marks where a text is cut; texts that hold it are cut by the pattern instead.
+_MARK = "\x00"
+
+
+def _marked(text: Column, sentences: bool, bare: bool) -> Column:
+    """The text with a mark at each place to cut; ``bare``: in the place of the white-space character there."""
+    for end in ("\n", ". ", "! ", "? ") if sentences else ("\n",):
+        text = F.replace(text, F.lit(end), F.lit((end[:-1] if bare else end) + _MARK))
+    return text
+
+
+def _units(text: Column, sentences: bool, bare: bool = False) -> Column:
+    """The units of a text: cut after line breaks, and after sentence ends with a space."""
+    by_pattern = F.split(text, SENTENCES if sentences else LINES, -1)
+    return F.when(text.contains(_MARK), by_pattern).otherwise(F.split(_marked(text, sentences, bare), _MARK, -1))
 
 
 def _let(value: Column, body) -> Column:
@@ -41,58 +54,111 @@ def _let(value: Column, body) -> Column:
     return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
-def _minimal_runs(units: Column, long_unit: int, min_words: int) -> Column:
-    """array<struct<hash,from,to>>: the shortest runs that count, from each unit on and up to each unit."""
-    words = lambda u: F.regexp_count(u, F.lit(WORD)).cast("long")
-    # Equal up to the white space at their ends.
-    hashed = lambda u: F.xxhash64(F.rtrim(u, F.lit(" \t\n\x0b\x0c\r")))
-    reached = min_words * (min_words + 1)
-
-    def count(ws: Column, k: Column, step: int) -> Column:
-        """How many units with words reach min_words from number k on; null if all that are left do not."""
-        at = lambda i: F.get(ws, k + step * i)
-        few = F.when(at(0) >= min_words, 1).when(at(0) + at(1) >= min_words, 2).when(at(0) + at(1) + at(2) >= min_words, 3).when(at(0) + at(1) + at(2) + at(3) >= min_words, 4)
-        first = F.greatest(F.lit(1), k + 2 - min_words)
-        part = F.slice(ws, k + 1, min_words) if step > 0 else F.reverse(F.slice(ws, first, k + 2 - first))
-        # Words and units in one number.
-        total = F.aggregate(part, F.lit(0).cast("long"), lambda acc, n: F.when(acc >= reached, acc).otherwise(acc + n * (min_words + 1) + 1))
-        return few.otherwise(_let(total, lambda t: F.when(t >= reached, (t % (min_words + 1)).cast("int"))))
-
-    def keys(n: Column, rows: Column, parts: Column) -> Column:
+def _measured(text: Column, sentences: bool) -> Column:
+    """array<struct<h,w,p>>: the hash without the white space at its end, and the words, of each unit."""
+
+    def slow(u: Column, i: Column) -> Column:
+        return F.struct(F.xxhash64(F.regexp_replace(u, r"[\x20\x09-\x0D]+\z", "")).alias("h"), F.regexp_count(u, F.lit(WORD)).cast("int").alias("w"), i.alias("p"))
+
+    def fast(u: Column, i: Column) -> Column:
+        # Spaces are single and the only white space left: a unit has one word more than spaces between its ends.
+        spaces = lambda r: F.octet_length(r) - F.octet_length(F.replace(r, F.lit(" "), F.lit("")))
+        words = lambda r: F.when(r == "", 0).when(r.startswith(" "), spaces(r)).otherwise(spaces(r) + 1)
+        return _let(F.rtrim(u), lambda r: F.struct(F.xxhash64(r).alias("h"), words(r).cast("int").alias("w"), i.alias("p")))
+
+    plain = F.lit(True)
+    for odd in ("  ", "\t", "\r", "\x0b", "\x0c", _MARK):
+        plain = plain & ~text.contains(odd)
+    return F.when(plain, F.transform(_units(text, sentences, bare=True), fast)).otherwise(F.transform(_units(text, sentences), slow))
+
+
+def _sums(ws: Column, min_words: int, body) -> Column:
+    """``body`` of the list of arrays of the words of each 1, 2, 4 ... units in a row, up to the longest rows that matter."""
+
+    def more(known: list[Column]) -> Column:
+        half = 1 << len(known) - 1
+        if len(known) >= 3 and 2 * half >= min_words:
+            return body(known)
+        return _let(F.transform(known[-1], lambda x, k: x + F.coalesce(F.get(known[-1], k + half), F.lit(0))), lambda x: more([*known, x]))
+
+    return more([ws])
+
+
+def _reach(sums: list[Column], levels: Column, k: Column, min_words: int) -> Column:
+    """How many units from number k on reach min_words; null if all that are left do not."""
+    ones, twos, fours = (F.get(x, k) for x in sums[:3])
+    size = 1 << 20
+
+    def step(state: Column, level: Column) -> Column:
+        # The place so far and the words still wanted, in one number: rows of units that are not enough are passed, the longest first.
+        held = F.get(level["sums"], F.shiftright(state, 20).cast("int"))
+        return F.when(held < state.bitwiseAND(size - 1), state - held + level["step"]).otherwise(state)
+
+    end = F.aggregate(levels, k.cast("long") * size + min_words, step)
+    far = _let(F.shiftright(end, 20).cast("int"), lambda place: F.when(F.get(sums[0], place).isNotNull(), place - k + 1))
+    return F.when(ones >= min_words, 1).when(twos >= min_words, 2).when(twos + F.get(sums[0], k + 2) >= min_words, 3).when(fours >= min_words, 4).otherwise(far)
+
+
+def _spoken(found: Column, min_words: int) -> Column:
+    """array<struct<h,w,p,gap,c>> of the units with words: hash, words, number, units without words before it, and how many units from it on reach min_words."""
+
+    def counted(v: Column) -> Column:
+        def of(sums: list[Column]) -> Column:
+            levels = F.array(*(F.struct(x.alias("sums"), F.lit(1 << j + 20).cast("long").alias("step")) for j, x in reversed(list(enumerate(sums)))))
+            return _let(levels, lambda ls: F.transform(v, lambda x, k: F.struct(
+                x["h"].alias("h"), x["w"].alias("w"), x["p"].alias("p"), (x["p"] - F.coalesce(F.get(v, k - 1)["p"], F.lit(-1)) - 1).alias("gap"), _reach(sums, ls, k, min_words).alias("c"),
+            )))
+
+        return _let(F.transform(v, lambda x: x["w"]), lambda ws: _sums(ws, min_words, of))
+
+    return _let(F.filter(found, lambda x: x["w"] > 0), counted)
+
+
+def _described(n: Column, rows: Column, long_unit: int) -> Column:
+    """array<struct<core,from,to,led,lead,trailed,trail>>: hashes of the shortest runs from each unit on, and of those from it that are the shortest up to their last unit.
+
+    A run also counts with ``led`` to ``lead`` units without words before it, and ``trailed`` to
+    ``trail`` after it.
+    """
+    none = F.lit(None).cast("int")
+
+    def of_parts(parts: Column) -> Column:
+        def run(a: Column, m: Column, start: Column, end: Column, blanks: tuple = (0, 0, 0, 0)) -> Column:
+            core = F.xxhash64(F.get(rows, a)["h"], F.slice(parts, a + 2, m - 1))
+            return F.struct(core.alias("core"), start.alias("from"), end.alias("to"), *((x if isinstance(x, Column) else F.lit(x)).cast("int").alias(k) for k, x in zip(("led", "lead", "trailed", "trail"), blanks, strict=True)))
+
         def of(x: Column, k: Column) -> Column:
-            long_one = x["w"] >= long_unit
-            after = F.coalesce(F.get(rows, k + 1)["gap"], n - 1 - x["p"])
-            none = F.lit(None).cast("int")
-            run = lambda a, m: F.xxhash64(F.get(rows, a)["h"], F.slice(parts, a + 2, m - 1))
-            key = lambda core, lead, trail, start, end: F.struct(F.xxhash64(lead, trail, core).alias("hash"), start.alias("from"), end.alias("to"))
-            zero = F.lit(0)
+            next_one, before = F.get(rows, k + 1), F.get(rows, k - 1)
+            at = lambda i: F.get(rows, i)["p"]
+            after_of = lambda j: F.coalesce(F.get(rows, j + 1)["gap"], n - 1 - at(j))
             # Two units are needed: one with enough words takes the next (a blank one is met from its own side).
-            m = F.when(long_one | (x["c"] > 1), x["c"]).when((x["c"] == 1) & (after == 0) & F.get(rows, k + 1).isNotNull(), 2).otherwise(none)
-            ahead = F.when(m.isNotNull(), key(run(k, m), zero, zero, x["p"], F.get(rows, k + m - 1)["p"]))
-            back = F.when(long_one, none).when(x["b"] > 1, x["b"]).when((x["b"] == 1) & (x["gap"] == 0) & (k > 0), 2).otherwise(none)
-            first = F.get(rows, k - back + 1)
-            # Not again what is also the shortest from its first unit on.
-            same = (first["c"] == back) | ((back == 2) & (first["c"] == 1) & (first["w"] < long_unit) & (x["gap"] == 0))
-            behind = F.when(back.isNotNull() & ~F.coalesce(same, F.lit(False)), key(run(k - back + 1, back), zero, zero, first["p"], x["p"]))
-            blanks = lambda n, m, f: F.when((n > 0) & m.isNotNull(), F.transform(F.sequence(F.lit(1), n), f)).otherwise(F.array())
-            lead = blanks(x["gap"], x["c"], lambda i: key(run(k, x["c"]), i, zero, x["p"] - i, F.get(rows, k + x["c"] - 1)["p"]))
-            trail = blanks(after, x["b"], lambda i: key(run(k - x["b"] + 1, x["b"]), zero, i, F.get(rows, k - x["b"] + 1)["p"], x["p"] + i))
-            return F.concat(F.array_compact(F.array(ahead, behind)), lead, trail)
+            short_one = (x["c"] == 1) & (x["w"] < long_unit)
+            m = F.when(~short_one, x["c"]).when(next_one["gap"] == 0, 2).otherwise(none)
+            ahead = F.when(m.isNotNull(), run(k, m, x["p"], at(k + m - 1), (0, F.when(short_one, 0).otherwise(x["gap"]), 0, 0)))
+            led = F.when(short_one & (x["gap"] > 0), run(k, F.lit(1), x["p"], x["p"], (1, x["gap"], 0, 0)))
+            # After a long unit, which is a run by itself, one with enough words that needs another.
+            behind = F.when(short_one & (x["gap"] == 0) & (before["w"] >= long_unit), run(k - 1, F.lit(2), before["p"], x["p"]))
+            # The units up to which this one begins the shortest run: from where its own run ends to before the next one's does.
+            low, high = k + x["c"] - 1, F.coalesce(k + next_one["c"] - 1, F.size(rows) - 1)
+            known = lambda j: (j == low) | (short_one & (j == k + 1) & (F.get(rows, j)["gap"] == 0))
+            wanted = F.filter(F.sequence(low, high), lambda j: ~known(j) | (after_of(j) > 0))
+            ends = F.transform(wanted, lambda j: run(k, j - k + 1, x["p"], at(j), (0, 0, F.when(known(j), 1).otherwise(0), after_of(j))))
+            usual = ~short_one & ((low > high) | ((low == high) & (after_of(low) == 0)))
+            return F.when(x["c"].isNull(), F.array().cast(kind)).when(usual, F.array(ahead)).otherwise(F.concat(F.array(ahead, led, behind), F.when(low <= high, ends).otherwise(F.array().cast(kind))))
 
         return F.flatten(F.transform(rows, of))
 
-    def of_units(us: Column) -> Column:
-        spoken = F.filter(F.transform(us, lambda u, i: F.struct(hashed(u).alias("h"), words(u).alias("w"), i.alias("p"))), lambda x: x["w"] > 0)
-        gaps = _let(spoken, lambda v: F.transform(v, lambda x, k: F.struct(x["h"].alias("h"), x["w"].alias("w"), x["p"].alias("p"), (x["p"] - F.coalesce(F.get(v, k - 1)["p"], F.lit(-1)) - 1).alias("gap"))))
-
-        def counted(v: Column) -> Column:
-            return _let(F.transform(v, lambda x: x["w"]), lambda ws: F.transform(v, lambda x, k: F.struct(
-                *(x[f].alias(f) for f in ("h", "w", "p", "gap")), count(ws, k, 1).alias("c"), count(ws, k, -1).alias("b"),
-            )))
+    kind = "array<struct<core:bigint,from:int,to:int,led:int,lead:int,trailed:int,trail:int>>"
+    return _let(F.transform(rows, lambda x: F.xxhash64(x["h"], x["gap"])), of_parts)
 
-        return _let(_let(gaps, counted), lambda rows: _let(F.transform(rows, lambda x: F.xxhash64(x["h"], x["gap"])), lambda parts: keys(F.size(us), rows, parts)))
 
-    return _let(units, of_units)
+def _runs(src: DataFrame, long_unit: int, min_words: int, sentences: bool) -> DataFrame:
+    """(id, th, hash, from, to): the shortest runs that count, from each unit on and up to each unit."""
+    described = _let(_measured(F.col("_text"), sentences), lambda found: _let(_spoken(found, min_words), lambda rows: _described(F.size(found), rows, long_unit)))
+    runs = src.select("id", F.xxhash64("_text").alias("th"), F.inline(described)).filter("core is not null")
+    # Units without words before or after a run make longer ones.
+    runs = runs.withColumn("before", F.explode(F.sequence("led", "lead"))).withColumn("after", F.explode(F.sequence("trailed", "trail")))
+    return runs.select("id", "th", F.xxhash64("before", "after", "core").alias("hash"), (F.col("from") - F.col("before")).alias("from"), (F.col("to") + F.col("after")).alias("to"))
 
 
 def repeated_units(docs: DataFrame, long_unit: int = LONG_UNIT, min_words: int = MIN_WORDS, sentences: bool = True, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -101,8 +167,7 @@ def repeated_units(docs: DataFrame, long_unit: int = LONG_UNIT, min_words: int =
     ``th`` is the hash of the text; ``from`` and ``to`` are unit numbers, both included.
     """
     src = docs.select(F.col(id_col).alias("id"), text_of(text_col).alias("_text"))
-    units = _units(F.col("_text"), SENTENCES if sentences else LINES)
-    runs = src.select("id", F.xxhash64("_text").alias("th"), F.inline(_minimal_runs(units, long_unit, min_words)))
+    runs = _runs(src, long_unit, min_words, sentences)
     # The first places have rank 1: more than one row if rows are equal in id and text.
     place = Window.partitionBy("hash").orderBy("id", "th", "from")
     runs = runs.withColumn("rank", F.rank().over(place)).filter("rank > 1").select("id", "th", "from", "to")
@@ -114,15 +179,15 @@ def repeated_units(docs: DataFrame, long_unit: int = LONG_UNIT, min_words: int =
     return merged.groupBy("id", "th").agg(F.array_sort(F.collect_list(F.struct("from", "to"))).alias("runs"), F.sum(F.col("to") - F.col("from") + 1).alias("n_deleted"))
 
 
-def dedup_lines(docs: DataFrame, sentences: bool = True, id_col: str = "doc_id", text_col: str = "text", **limits: int) -> DataFrame:
-    """``docs`` with ``text_col`` without its later repeated runs, and ``n_deleted`` (units). Other columns stay."""
+def dedup_lines(docs: DataFrame, sentences: bool = True, id_col: str = "doc_id", text_col: str = "text", count_col: str = "n_deleted", **limits: int) -> DataFrame:
+    """``docs`` with ``text_col`` without its later repeated runs, and ``count_col`` (units deleted), in the place of a column of that name. Other columns stay."""
     found = cut(repeated_units(docs, sentences=sentences, id_col=id_col, text_col=text_col, **limits))
     found = found.select(F.col("id").alias("__id"), F.col("th").alias("__th"), F.col("runs").alias("__runs"), F.col("n_deleted").alias("__n"))
     keyed = docs.withColumn("__hash", F.xxhash64(text_of(text_col)))
     # A sort-merge join at every size, as what is found grows with the documents.
     out = keyed.join(found.hint("merge"), keyed[id_col].eqNullSafe(found["__id"]) & (keyed["__hash"] == found["__th"]), "left")
-    units = _units(text_of(text_col), SENTENCES if sentences else LINES)
+    units = _units(text_of(text_col), sentences)
     left = F.filter(units, lambda u, i: ~F.exists("__runs", lambda r: (i >= r["from"]) & (i <= r["to"])))
     text = F.when(F.col("__runs").isNull(), F.col(text_col)).otherwise(F.array_join(left, ""))
-    kept = [text.alias(c) if c == text_col else F.col(f"`{c}`") for c in docs.columns]
-    return out.select(*kept, F.coalesce("__n", F.lit(0)).cast("long").alias("n_deleted"))
+    kept = [text.alias(c) if c == text_col else F.col(f"`{c}`") for c in docs.columns if c != count_col]
+    return out.select(*kept, F.coalesce("__n", F.lit(0)).cast("long").alias(count_col))
