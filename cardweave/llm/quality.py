@@ -2,22 +2,28 @@
 
 Base rules count words, symbols, repeated lines and repeated three-word windows
 of each text. Beyond them each row gets a vector of transformed statistics, and
-each (language, source) group a minimum-covariance-determinant estimate of
-their centre and spread: from a start at medians and median deviations, each
-concentration step takes the mean and covariance of the half of the rows that
-is nearest under the estimate before, which never raises the determinant. Rows
-far out by Mahalanobis distance are rejected. Groups under ``min_group`` rows
-take the estimate of all rows of their language, and those under it again the
-estimate of all rows.
+each (language, source) group a minimum-covariance-determinant estimate of their
+centre and spread. From three starts (medians with median deviations, spatial
+signs, and hyperbolic tangents of the scaled statistics) concentration steps take
+the mean and covariance of the half of the rows that is nearest under the estimate
+before, until no determinant changes any more; of the three the one with the least
+determinant counts. Rows far out by Mahalanobis distance are rejected.
+
+A covariance counts besides its own rows ``PRIOR`` rows of a target: the median
+deviations of the group's language, which count as many of all rows. That is the
+regularisation, in the data's own scale, and what it adds fades with the size of the
+group: groups of any size have their own estimate. The three shares are zero in most
+texts, so half of the rows say nothing on their spread: it is ``FLOORS`` at least.
 
 Each step is one aggregation of a written table of a few numbers a row, with
 partial sums before the shuffle; the half is found by an approximate quantile,
-which also merges partial results. So a source with a third of all rows is no
-hot group, and texts are read once.
+which also merges partial results. The estimates, one row a group, are broadcast
+behind a check of their number. So a source with a third of all rows is no hot group,
+and texts are read once.
 
-The statistics (``FEATURES``): log of the number of words, mean word length,
+The statistics (``FEATURES``): log of the number of words, mean word length (of
+``SMOOTH`` words of ``TYPICAL`` characters more, as the mean of few words varies much),
 the shares (as square roots) of symbols, repeated lines and repeated windows.
-The covariance gets ``RIDGE`` on its diagonal as shares are often all zero.
 
 Nulls: a null text is an empty one without words, which fails the base rules. A
 null language or source is a group of its own. Repeated rows are judged alike.
@@ -28,14 +34,21 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cardweave.llm.common import SPACE, cut, text_of
+from cardweave.llm.common import SPACE, cut, drop_cut, small_or_not, text_of
 
 FEATURES = ("f_words", "f_length", "f_symbols", "f_lines", "f_windows")
-#: Added to the variances of the five statistics.
-RIDGE = (0.4, 0.04, 0.0025, 0.06, 0.04)
-#: Chi-square quantile of 5 degrees of freedom at 0.99999, and the median.
-CUTOFF, MEDIAN = 30.86, 4.351
-MIN_WORDS, STEPS, MIN_GROUP = 50, 3, 200
+SMOOTH, TYPICAL = 100, 5
+#: Least standard deviations of the five statistics, and how many rows a target counts for.
+FLOORS, PRIOR = (1e-3, 1e-3, 0.05, 0.245, 0.2), 50
+#: Chi-square quantile of 5 degrees of freedom at 0.999999, and the median.
+CUTOFF, MEDIAN = 35.89, 4.351
+MIN_WORDS = 50
+#: Concentration ends when no log determinant changes by more; it has never taken so many steps.
+SETTLED, MOST_STEPS = 1e-3, 40
+#: Shares of the rows that a half may be: small groups need a few rows more than half.
+_HALVES = (0.5, 0.55, 0.6, 0.7, 0.85, 1.0)
+#: Groups whose estimates (some 60 numbers each) are broadcast; beyond that they are joined by a shuffle.
+MOST_GROUPS = 100_000
 _POSITION = 1 << 20
 
 
@@ -110,7 +123,7 @@ def count_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 def _statistics(counts: DataFrame) -> DataFrame:
     share = lambda a, b: F.sqrt(F.col(a) / F.greatest(F.lit(1), F.col(b)))
     return counts.withColumns({
-        "f_words": F.log1p("n_words"), "f_length": F.col("word_chars") / F.greatest(F.lit(1), F.col("n_words")),
+        "f_words": F.log1p("n_words"), "f_length": (F.col("word_chars") + SMOOTH * TYPICAL) / (F.col("n_words") + SMOOTH),
         "f_symbols": share("n_symbols", "word_chars"), "f_lines": share("n_dup_lines", "n_lines"), "f_windows": share("n_repeat_words", "n_words"),
     })
 
@@ -126,12 +139,12 @@ def _cholesky(d: int) -> list[tuple[int, int, str]]:
 
 
 def _with_factor(moments: DataFrame) -> DataFrame:
-    """``moments`` (m_i, c_i_j for i <= j) with the factor of the ridged covariance."""
+    """``moments`` (m_i, c_i_j for i <= j) with no variance under its floor, the factor of the covariance, and its log determinant."""
     d = len(FEATURES)
-    out = moments.withColumns({f"c_{i}_{i}": F.coalesce(F.col(f"c_{i}_{i}"), F.lit(0.0)) + RIDGE[i] for i in range(d)})
+    out = moments.withColumns({f"c_{i}_{i}": F.greatest(F.col(f"c_{i}_{i}"), F.lit(FLOORS[i] ** 2)) for i in range(d)})
     for i, j, expr in _cholesky(d):
         out = out.withColumn(f"l_{i}_{j}", F.expr(expr))
-    return out
+    return out.withColumn("det", F.expr("2 * (" + " + ".join(f"ln(l_{i}_{i})" for i in range(d)) + ")"))
 
 
 def _distance(rows: DataFrame) -> DataFrame:
@@ -143,53 +156,83 @@ def _distance(rows: DataFrame) -> DataFrame:
     return out.withColumn("d2", F.expr(" + ".join(f"z_{i}*z_{i}" for i in range(d))))
 
 
-def _moments(rows: DataFrame, keys: list[str]) -> DataFrame:
+def _spread(rows: DataFrame, key: str) -> DataFrame:
+    """(key, n, m_i, v_i): medians, and squared median deviations, of each group."""
+    middle = rows.groupBy(key).agg(F.count("*").alias("n"), *(F.percentile_approx(f, 0.5, 1000).alias(f"m_{i}") for i, f in enumerate(FEATURES)))
+    middle = small_or_not(cut(middle), MOST_GROUPS)
+    off = rows.join(middle, key).groupBy(key).agg(*(F.pow(1.4826 * F.percentile_approx(F.abs(F.col(f) - F.col(f"m_{i}")), 0.5, 1000), 2).alias(f"v_{i}") for i, f in enumerate(FEATURES)))
+    return middle.join(off, key)
+
+
+def _targets(many: DataFrame) -> DataFrame:
+    """(grp, n, m_i, t_i, s_i): sizes, medians, the target's variances, and scales to start from."""
     d = len(FEATURES)
-    aggs = [F.avg(f).alias(f"m_{i}") for i, f in enumerate(FEATURES)]
-    aggs += [F.covar_pop(FEATURES[i], FEATURES[j]).alias(f"c_{i}_{j}") for i in range(d) for j in range(i, d)]
-    return rows.groupBy(*keys).agg(*aggs)
+    of = lambda df, key, prefix: df.select(key, F.col("n").alias(f"{prefix}n"), *(F.greatest(F.col(f"v_{i}"), F.lit(FLOORS[i] ** 2)).alias(f"{prefix}{i}") for i in range(d)))
+    upper = of(_spread(many, "par"), "par", "p_").withColumn("top", F.lit("")).join(of(_spread(many, "top"), "top", "a_"), "top")
+    both = upper.select("par", *(((F.col("p_n") * F.col(f"p_{i}") + PRIOR * F.col(f"a_{i}")) / (F.col("p_n") + PRIOR)).alias(f"t_{i}") for i in range(d)))
+    own = _spread(many, "grp").join(many.groupBy("grp").agg(F.first("par").alias("par")), "grp")
+    return own.join(both, "par").select("grp", "n", *(f"m_{i}" for i in range(d)), *(f"t_{i}" for i in range(d)), *(F.sqrt(F.greatest(f"v_{i}", f"t_{i}")).alias(f"s_{i}") for i in range(d)))
+
 
+def _starts(many: DataFrame, base: DataFrame) -> DataFrame:
+    """(grp, start, m_i, c_i_j): three estimates for each group."""
+    d = len(FEATURES)
+    pairs = [(i, j) for i in range(d) for j in range(i, d)]
+    scaled = many.join(base, "grp").select("grp", *(((F.col(f) - F.col(f"m_{i}")) / F.col(f"s_{i}")).alias(f"z_{i}") for i, f in enumerate(FEATURES)))
+    scaled = scaled.withColumn("norm", F.greatest(F.expr(" + ".join(f"z_{i}*z_{i}" for i in range(d))), F.lit(1e-12)))
+    sums = scaled.groupBy("grp").agg(
+        *(F.avg(F.col(f"z_{i}") * F.col(f"z_{j}") / F.col("norm")).alias(f"sign_{i}_{j}") for i, j in pairs),
+        *(F.covar_pop(F.tanh(f"z_{i}"), F.tanh(f"z_{j}")).alias(f"tanh_{i}_{j}") for i, j in pairs),
+    )
+    one = lambda i, j: F.lit(1.0 if i == j else 0.0)
+    shapes = {"mad": one, "sign": lambda i, j: d * F.col(f"sign_{i}_{j}") + 0.1 * one(i, j), "tanh": lambda i, j: F.col(f"tanh_{i}_{j}") + 0.1 * one(i, j)}
+    rows = F.array(*(F.struct(F.lit(k).alias("start"), *((shape(i, j) * F.col(f"s_{i}") * F.col(f"s_{j}")).alias(f"c_{i}_{j}") for i, j in pairs)) for k, shape in shapes.items()))
+    return base.join(sums, "grp").select("grp", *(f"m_{i}" for i in range(d)), F.inline(rows))
 
-def robust_distances(rows: DataFrame, levels: list[list[str]]) -> DataFrame:
-    """``rows`` with ``d2`` under the estimate of their group; ``rows`` is a written table.
 
-    ``levels`` are the groupings from the finest; one that is too small falls
-    back on the next. Each row is used once at each level.
-    """
+def _concentrated(many: DataFrame, fit: DataFrame, base: DataFrame) -> DataFrame:
+    """The estimates from the nearest half of each group's rows under ``fit``."""
+    d = len(FEATURES)
+    key, pairs = ["grp", "start"], [(i, j) for i in range(d) for j in range(i, d)]
+    near = _distance(many.join(fit, "grp")).select(*key, "n", "d2", *FEATURES)
+    share = F.least(F.lit(1.0), (F.col("n") + d + 1) / (2 * F.col("n"))) - 0.01
+    half = F.coalesce(*(F.when(share <= p, F.col("q")[k]) for k, p in enumerate(_HALVES)))
+    halves = near.groupBy(*key).agg(F.first("n").alias("n"), F.percentile_approx("d2", list(_HALVES), 1000).alias("q")).select(*key, half.alias("h"))
+    inner = near.join(small_or_not(cut(halves), MOST_GROUPS), key).filter("d2 <= h")
+    moments = inner.groupBy(*key).agg(F.count("*").alias("k"), *(F.avg(f).alias(f"m_{i}") for i, f in enumerate(FEATURES)), *(F.covar_pop(FEATURES[i], FEATURES[j]).alias(f"w_{i}_{j}") for i, j in pairs))
+    with_target = moments.join(base.select("grp", "n", *(f"t_{i}" for i in range(d))), "grp")
+    shrunk = lambda i, j: (F.col("k") * F.col(f"w_{i}_{j}") + (PRIOR * F.col(f"t_{i}") if i == j else F.lit(0.0))) / (F.col("k") + PRIOR)
+    return with_target.select(*key, "n", *(f"m_{i}" for i in range(d)), *(shrunk(i, j).alias(f"c_{i}_{j}") for i, j in pairs))
+
+
+def robust_distances(rows: DataFrame, keys: list[str]) -> DataFrame:
+    """``rows`` (a written table) with ``d2`` under the estimate of their group; null where a group has no text of MIN_WORDS."""
     d = len(FEATURES)
-    # One row for each level and group; level number and keys as one string.
-    label = lambda i, keys: F.concat_ws("\x01", F.lit(str(i)), *(F.coalesce(F.concat(F.lit("="), F.col(k).cast("string")), F.lit("null")) for k in keys))
-    many = rows.filter(f"n_words >= {MIN_WORDS}").select(*FEATURES, F.explode(F.array(*(label(i, k) for i, k in enumerate(levels)))).alias("grp"))
-    middle = many.groupBy("grp").agg(F.count("*").alias("n"), *(F.percentile_approx(f, 0.5, 1000).alias(f"m_{i}") for i, f in enumerate(FEATURES)))
-    spread = many.join(middle, "grp").groupBy("grp").agg(*(F.pow(1.4826 * F.percentile_approx(F.abs(F.col(f) - F.col(f"m_{i}")), 0.5, 1000), 2).alias(f"c_{i}_{i}") for i, f in enumerate(FEATURES)))
-    fit = middle.drop("n").join(spread, "grp").withColumns({f"c_{i}_{j}": F.lit(0.0) for i in range(d) for j in range(i + 1, d)})
-    fit = cut(_with_factor(fit))
-    for _ in range(STEPS):
-        near = _distance(many.join(fit, "grp"))
-        half = near.groupBy("grp").agg(F.percentile_approx("d2", 0.5, 1000).alias("h"))
-        # The nearer half; its covariance is that of a truncated normal, so it is scaled by the median of the distances.
-        inner = near.select("grp", "d2", *FEATURES).join(half, "grp").filter("d2 <= h")
-        new = cut(_with_factor(_moments(inner, ["grp"])))
-        again = _distance(many.join(new, "grp")).groupBy("grp").agg((F.greatest(F.lit(1.0), F.percentile_approx("d2", 0.5, 1000) / MEDIAN)).alias("scale"))
-        fit = cut(new.join(again, "grp"))
-    sizes = many.groupBy("grp").agg(F.count("*").alias("n"))
-    usable = cut(fit.join(sizes, "grp").filter(F.col("n") >= MIN_GROUP))
-    chosen = rows
-    for i, keys in enumerate(levels):
-        t = usable.filter(F.col("grp").startswith(f"{i}\x01") if keys else F.col("grp") == str(i)).select(F.col("grp").alias(f"grp{i}"), F.struct(*[c for c in usable.columns if c not in ("grp", "n")]).alias(f"fit{i}"))
-        chosen = chosen.withColumn(f"grp{i}", label(i, keys)).join(t, f"grp{i}", "left")
-    best = F.coalesce(*(F.col(f"fit{i}") for i in range(len(levels))))
-    flat = chosen.withColumn("fit", best).select(*rows.columns, "fit.*")
-    return _distance(flat).select(*rows.columns, (F.col("d2") / F.col("scale")).alias("d2"))
+    label = lambda ks: F.concat_ws("\x01", F.lit(""), *(F.coalesce(F.concat(F.lit("="), F.col(k).cast("string")), F.lit("null")) for k in ks))
+    many = rows.filter(f"n_words >= {MIN_WORDS}").select(*FEATURES, label(keys).alias("grp"), label(keys[:-1]).alias("par"), F.lit("").alias("top"))
+    base = small_or_not(cut(_targets(many)), MOST_GROUPS)
+    fit = cut(_with_factor(_starts(many, base).join(base.select("grp", "n"), "grp")))
+    for _ in range(MOST_STEPS):
+        new = cut(_with_factor(_concentrated(many, small_or_not(fit, MOST_GROUPS), base)))
+        moved = new.select("grp", "start", F.col("det").alias("now")).join(fit, ["grp", "start"]).agg(F.max(F.abs(F.col("now") - F.col("det")))).first()[0]
+        drop_cut(fit)
+        fit = new
+        if moved is None or moved <= SETTLED:
+            break
+    best = cut(fit.groupBy("grp").agg(F.min_by(F.struct(*(c for c in fit.columns if c not in ("grp", "n"))), F.struct("det", "start")).alias("f")).select("grp", "f.*"))
+    best = small_or_not(best, MOST_GROUPS)
+    scale = _distance(many.join(best, "grp")).groupBy("grp").agg(F.greatest(F.lit(1.0), F.percentile_approx("d2", 0.5, 1000) / MEDIAN).alias("scale"))
+    scaled = small_or_not(cut(best.select("grp", *(f"m_{i}" for i in range(d)), *(f"l_{i}_{j}" for i, j, _ in _cholesky(d))).join(scale, "grp")), MOST_GROUPS)
+    out = _distance(rows.withColumn("grp", label(keys)).join(scaled, "grp", "left"))
+    return out.select(*rows.columns, (F.col("d2") / F.col("scale")).alias("d2"))
 
 
 def judge_quality(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", groups: tuple[str, ...] = ("lang", "source"), cutoff: float = CUTOFF) -> DataFrame:
     """(id, counts, base_failed, distance, kept) of every row."""
     rows = cut(_statistics(count_rules(docs, id_col, text_col, groups)))
     keys = [f"g{i}" for i in range(len(groups))]
-    levels = [keys[: len(keys) - i] for i in range(len(keys) + 1)]
     failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
-    out = robust_distances(rows, levels)
+    out = robust_distances(rows, keys)
     return out.select(
         "id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", failed.alias("base_failed"),
         F.sqrt("d2").alias("distance"), (~failed & F.coalesce(F.col("d2") <= cutoff, F.lit(True))).alias("kept"),
