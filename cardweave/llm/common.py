@@ -20,6 +20,11 @@ def text_of(text_col: str) -> Column:
     return F.coalesce(F.col(text_col).cast("string"), F.lit(""))
 
 
+def small_or_not(df: DataFrame, most: int = 500_000) -> DataFrame:
+    """A written table of narrow rows, to be broadcast if it has at most so many; joined by a shuffle otherwise."""
+    return F.broadcast(df) if df.count() <= most else df
+
+
 def same(left: DataFrame, right: DataFrame, keys: list[str]) -> Column:
     """Null-safe equality on keys: rows without an id still find themselves."""
     on = left[keys[0]].eqNullSafe(right[keys[0]])

@@ -23,9 +23,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from cardweave.llm.common import WORD, cut, text_of
+from cardweave.llm.common import WORD, cut, passing, small_or_not, text_of
 
 LONG_UNIT, MIN_WORDS, MIN_UNITS = 50, 25, 2
+#: A hash of more runs than this is met by aggregation, not in a window.
+HOT = 10_000
+#: Documents and merged runs (some 16 bytes each) that may be broadcast.
+BROADCAST_RUNS = 1_000_000
 #: Shapes of repeats that the tests look for; the operator has no use for them.
 WINDOW, LEAST_WORDS = 4, 5
 SENTENCES = r"(?<=\n)|(?<=[.!?]\x20)"
@@ -167,10 +171,20 @@ def repeated_units(docs: DataFrame, long_unit: int = LONG_UNIT, min_words: int =
     ``th`` is the hash of the text; ``from`` and ``to`` are unit numbers, both included.
     """
     src = docs.select(F.col(id_col).alias("id"), text_of(text_col).alias("_text"))
-    runs = _runs(src, long_unit, min_words, sentences)
-    # The first places have rank 1: more than one row if rows are equal in id and text.
+    runs = cut(_runs(src, long_unit, min_words, sentences))
+    # Hashes of very many runs are no groups of a window: their first places are aggregated and joined back.
+    hot = cut(runs.groupBy("hash").agg(F.count("*").alias("n")).filter(F.col("n") > HOT).select("hash"))
     place = Window.partitionBy("hash").orderBy("id", "th", "from")
-    runs = runs.withColumn("rank", F.rank().over(place)).filter("rank > 1").select("id", "th", "from", "to")
+    # The first places have rank 1: more than one row if rows are equal in id and text.
+    later = lambda df: df.withColumn("rank", F.rank().over(place)).filter("rank > 1").select("id", "th", "from", "to")
+    if hot.isEmpty():
+        runs = later(runs)
+    else:
+        hot = small_or_not(hot)
+        common = runs.join(hot, "hash", "left_semi")
+        first = cut(common.groupBy("hash").agg(F.min(F.struct("id", "th", "from")).alias("first")))
+        after = common.join(small_or_not(first), "hash").filter(~F.struct("id", "th", "from").eqNullSafe(F.col("first"))).select("id", "th", "from", "to")
+        runs = later(runs.join(hot, "hash", "left_anti")).unionByName(after)
     # Runs overlap: they are merged.
     w = Window.partitionBy("id", "th").orderBy("from", "to")
     runs = runs.withColumn("gap", F.coalesce((F.col("from") > F.max("to").over(w.rowsBetween(Window.unboundedPreceding, -1)) + 1).cast("int"), F.lit(1)))
@@ -181,11 +195,14 @@ def repeated_units(docs: DataFrame, long_unit: int = LONG_UNIT, min_words: int =
 
 def dedup_lines(docs: DataFrame, sentences: bool = True, id_col: str = "doc_id", text_col: str = "text", count_col: str = "n_deleted", **limits: int) -> DataFrame:
     """``docs`` with ``text_col`` without its later repeated runs, and ``count_col`` (units deleted), in the place of a column of that name. Other columns stay."""
-    found = cut(repeated_units(docs, sentences=sentences, id_col=id_col, text_col=text_col, **limits))
+    with passing():
+        found = cut(repeated_units(docs, sentences=sentences, id_col=id_col, text_col=text_col, **limits), outlive=True)
     found = found.select(F.col("id").alias("__id"), F.col("th").alias("__th"), F.col("runs").alias("__runs"), F.col("n_deleted").alias("__n"))
     keyed = docs.withColumn("__hash", F.xxhash64(text_of(text_col)))
-    # A sort-merge join at every size, as what is found grows with the documents.
-    out = keyed.join(found.hint("merge"), keyed[id_col].eqNullSafe(found["__id"]) & (keyed["__hash"] == found["__th"]), "left")
+    # What is found grows with the documents: it is broadcast only up to so many runs, and joined by a sorted merge beyond.
+    n_rows, n_runs = found.agg(F.count("*"), F.sum(F.size("__runs"))).first()
+    found = F.broadcast(found) if n_rows + (n_runs or 0) <= BROADCAST_RUNS else found.hint("merge")
+    out = keyed.join(found, keyed[id_col].eqNullSafe(found["__id"]) & (keyed["__hash"] == found["__th"]), "left")
     units = _units(text_of(text_col), sentences)
     left = F.filter(units, lambda u, i: ~F.exists("__runs", lambda r: (i >= r["from"]) & (i <= r["to"])))
     text = F.when(F.col("__runs").isNull(), F.col(text_col)).otherwise(F.array_join(left, ""))

@@ -13,7 +13,7 @@ ODD = [
 ]
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
 #: Names that operators use inside.
-CLASHES = ("id", "text_hash", "key", "length", "rank", "start", "fp", "u", "v", "component", "pos", "hash", "line", "bucket", "_text", "n", "page_id", "host", "path", "verdict", "value")
+CLASHES = ("id", "text_hash", "key", "length", "rank", "start", "fp", "u", "v", "component", "pos", "hash", "line", "bucket", "_text", "n", "page_id", "host", "path", "verdict", "value", "n_deleted", "n_removed", "score", "kept", "spans", "component_id", "grp", "rep", "members", "th", "runs", "items", "n_matched", "predicted", "held_out", "label", "distance", "rule", "piece")
 
 
 def table(spark, rows=ODD):

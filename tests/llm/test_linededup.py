@@ -1,6 +1,7 @@
 import random
 import re
 
+from cardweave.llm import linededup
 from cardweave.llm.linededup import LEAST_WORDS, LONG_UNIT, MIN_WORDS, WINDOW, dedup_lines
 from tests.llm.docs import clashing, table
 
@@ -161,6 +162,31 @@ def test_all_repeats_like_brute_force(spark):
     assert sum(t != dict(rows)[i] for i, t in want) > 30
 
 
+def test_odd_white_space_like_brute_force(spark):
+    """Tabs, carriage returns, double and leading spaces, and the mark's own character, in texts and repeats."""
+    rnd = random.Random(10)
+    passages = ["".join(sentence(rnd, 14).replace(" ", rnd.choice(gaps)) + end for _ in range(3)) for gaps in ([" "], [" ", "  "], ["\t", " "], [" ", "\x00"]) for end in (" ", "\n", "\r\n", " \n", "\n ")]
+    rows = []
+    for i in range(50):
+        own = [sentence(rnd, rnd.randrange(1, 20)) + rnd.choice([" ", "\n", "\t\n", "\n  "]) for _ in range(4)]
+        own.insert(2, rnd.choice(passages))
+        rows.append((i, "".join(own)))
+    got = sorted((i, t) for i, _, t in run(spark, table(spark, [(i, t, "en", "s", 0) for i, t in rows])))
+    assert got == kept_by_brute_force(rows)
+
+
+def test_hot_hashes_and_shuffled_results_alike(spark, monkeypatch):
+    rnd = random.Random(12)
+    verse, long_one = "".join(sentence(rnd, 6) + "\n" for _ in range(9)), sentence(rnd, 60) + "\n"
+    rows = [(i, sentence(rnd, 9) + "\n" + rnd.choice([verse, long_one, verse + long_one, long_one * 2]) + sentence(rnd, 7)) for i in range(60)]
+    rows += [(None, rows[3][1]), (None, rows[3][1]), (70, None), *rows[:3]]
+    want = sorted((i, t or "") for i, _, t in run(spark, table(spark, [(i, t, "en", "s", 0) for i, t in rows if i is not None])))
+    assert sorted(set(want)) == sorted(set(kept_by_brute_force([r for r in rows if r[0] is not None])))
+    monkeypatch.setattr(linededup, "HOT", 2)
+    monkeypatch.setattr(linededup, "BROADCAST_RUNS", 0)
+    assert sorted((i, t or "") for i, _, t in run(spark, table(spark, [(i, t, "en", "s", 0) for i, t in rows if i is not None]))) == want
+
+
 def test_first_holder_of_a_pair_has_no_more(spark):
     """The first document holds only a pair under MIN_WORDS, two later ones a longer repeat that begins with it."""
     rnd = random.Random(9)
