@@ -34,17 +34,17 @@ def new_folder(spark: SparkSession) -> str:
     return f"{shared_folder(spark)}/stage-{uuid.uuid4().hex}"
 
 
-def stage(df: DataFrame, *partition_by: str) -> DataFrame:
+def stage(df: DataFrame, *partition_by: str, outlive: bool = False) -> DataFrame:
     """``df`` written to the shared folder and read again: its lineage ends here.
 
     What several later steps use is worked out once, survives lost executors, and
-    is a short plan to them.
+    is a short plan to them. ``outlive``: it stays after the ``passing`` block.
     """
     path = new_folder(df.sparkSession)
     df.write.partitionBy(*partition_by).parquet(path) if partition_by else df.write.parquet(path)
     out = df.sparkSession.read.schema(df.schema).parquet(path)
     out._stage_path = path
-    if _OPEN:
+    if _OPEN and not outlive:
         _OPEN[-1].append(out)
     return out
 
@@ -61,7 +61,7 @@ def drop_stage(*tables: DataFrame) -> None:
 
 @contextmanager
 def passing() -> Iterator[None]:
-    """What is staged inside is deleted at the end of the block: results must have been written elsewhere by then."""
+    """What is staged inside is deleted at the end of the block; results are staged to outlive it, or written elsewhere by then."""
     _OPEN.append([])
     try:
         yield
