@@ -2,9 +2,12 @@
 
 The lexicon is learned: words and word beginnings that labelled toxic documents
 hold far more often than others. Its terms form a trie. A word is matched by
-running an automaton of edit distance 1 along the trie: one set of states, as
+running an automaton of edit distance 2 along the trie: one set of states, as
 bits, for each number of edits, so all terms are tried at once and a branch ends
-when no state is left. Beginnings match exactly. Each match
+when no state is left. Words of ``FUZZY[0]`` letters may be misspelled by one edit,
+of ``FUZZY[1]`` by two; beginnings of ``FUZZY[2]`` by one edit. As an edit spares one half
+of a term, and two spare a third, only words that hold such a part in its place are
+run; a worker remembers the words that it has seen. Each match
 is weighed by its context of ``CONTEXT`` words: inside quotation marks or beside
 a word of reporting it counts as quoted, beside a word of address as aimed at
 the reader. A logistic regression on these sums, and on how far the matches
@@ -34,8 +37,10 @@ from pyspark.sql import functions as F
 from cardweave.llm.common import cut, text_of
 
 TRAIN_ROWS, MAX_TERMS, MIN_DOCS, MIN_ODDS = 12_000, 400, 6, 1.6
-#: Least and greatest letters of a word beginning; letters of terms that allow an edit.
-STEM, FUZZY = (4, 9), 5
+#: Least and greatest letters of a word beginning; letters of words that allow one edit and two, and of beginnings that allow one.
+STEM, FUZZY = (4, 9), (5, 9, 6)
+#: Share of the documents of a beginning that a longer term must have to stand for it.
+MOSTLY = 0.6
 CONTEXT, REMEMBERED = 8, 1_000_000
 # Fixed word lists for the context, and characters that open or close a quotation.
 REPORTING = frozenset("said says say wrote writes called quote quoted quoting cited citing term word reported phrase".split())
@@ -50,59 +55,83 @@ class Lexicon(NamedTuple):
     terms: list[tuple[str, bool, float, float]]
 
 
+def edits_allowed(term: str, stem: bool) -> int:
+    return int(len(term) >= FUZZY[2]) if stem else (len(term) >= FUZZY[0]) + (len(term) >= FUZZY[1])
+
+
 class Automaton:
     """Levenshtein automata for all terms of a trie at once."""
 
     def __init__(self, lexicon: Lexicon):
-        self.root: dict = {}
         self.chance = sum(t[3] for t in lexicon.terms)
         self.stems = {t: k for k, (t, stem, _, _) in enumerate(lexicon.terms) if stem}
         self.stem_lengths = sorted({len(t) for t in self.stems})
         self.whole = {t: k for k, (t, stem, _, _) in enumerate(lexicon.terms) if not stem}
-        # Halves of terms, and the lengths of words that they can be in.
+        # The trie: children by character; "" holds (term, edits allowed) of words, "*" of beginnings, "^" the most edits below.
+        self.root: dict = {"^": 0}
+        # Parts of terms: at the start of words of certain lengths, at their end, or near a place in them.
         self.heads: dict[str, set[int]] = {}
         self.tails: dict[str, set[int]] = {}
-        for t, k in self.whole.items():
-            if len(t) >= FUZZY:
-                node = self.root
-                for c in t:
-                    node = node.setdefault(c, {})
-                node[""] = k
-                h, n = len(t) // 2, len(t)
-                self.heads.setdefault(t[:h], set()).update((n - 1, n, n + 1))
-                self.tails.setdefault(t[h:], set()).update((n - 1, n, n + 1))
-        self.head_lengths = sorted({len(x) for x in self.heads})
-        self.tail_lengths = sorted({len(x) for x in self.tails})
+        self.middles: dict[str, set[int]] = {}
+        for k, (t, stem, _, _) in enumerate(lexicon.terms):
+            most, n = edits_allowed(t, stem), len(t)
+            if not most:
+                continue
+            node = self.root
+            node["^"] = max(node["^"], most)
+            for c in t:
+                node = node.setdefault(c, {"^": 0})
+                node["^"] = max(node["^"], most)
+            node["*" if stem else ""] = (k, most)
+            cuts = [n * j // (most + 1) for j in range(most + 2)]
+            # A beginning may have any number of letters after it.
+            lengths = range(n - most, 200 if stem else n + most + 1)
+            self.heads.setdefault(t[: cuts[1]], set()).update(lengths)
+            if not stem:
+                self.tails.setdefault(t[cuts[-2] :], set()).update(lengths)
+            for a, z in list(zip(cuts[1:], cuts[2:], strict=False))[: None if stem else -1]:
+                self.middles.setdefault(t[a:z], set()).update((a - 1, a, a + 1))
+        self.head_lengths, self.tail_lengths, self.middle_lengths = (sorted({len(x) for x in d}) for d in (self.heads, self.tails, self.middles))
 
     def fuzzy(self, word: str) -> int | None:
-        """The term nearest to the word within one edit; None if there is none.
+        """The term with the fewest edits to the word that it allows; None if there is none.
 
         Bit i of a state set says: i characters of the word can stand for the trie
-        path so far, without an edit in the first set and with one in the second.
+        path so far, without an edit in the first set, with one in the second, two in the third.
         """
         n = len(word)
         masks: dict[str, int] = {}
         for i, c in enumerate(word):
             masks[c] = masks.get(c, 0) | 1 << i
         final, full = 1 << n, (1 << n + 1) - 1
-        best: int | None = None
-        stack = [(self.root, 1, 3)]
+        best: tuple[int, int] | None = None
+        stack = [(self.root, 1, 3, 7 & full)]
         while stack:
-            node, exact, edited = stack.pop()
+            node, e0, e1, e2 = stack.pop()
             for c, child in node.items():
-                if c == "":
-                    if exact & final:
-                        return child
-                    if edited & final and (best is None or child < best):
-                        best = child
+                if c == "^":
+                    continue
+                if c in ("", "*"):
+                    k, most = child
+                    at = final if c == "" else full
+                    edits = 0 if e0 & at else 1 if e1 & at else 2 if e2 & at else 3
+                    if edits <= most and (best is None or (edits, k) < best):
+                        best = (edits, k)
                     continue
                 hit = masks.get(c, 0)
-                e0 = (exact & hit) << 1
-                # With the edit used: a match, a character of the term left out, swapped, or one too many in the word.
-                e1 = ((edited & hit) << 1 | exact | exact << 1 | e0 << 1) & full
-                if e1:
-                    stack.append((child, e0, e1))
-        return best
+                f0 = (e0 & hit) << 1
+                # With an edit used: a match, a character of the term left out, swapped, or one too many in the word.
+                f1 = ((e1 & hit) << 1 | e0 | e0 << 1 | f0 << 1) & full
+                f2 = ((e2 & hit) << 1 | e1 | e1 << 1 | f1 << 1) & full if child["^"] > 1 else 0
+                if f1 | f2:
+                    stack.append((child, f0, f1, f2))
+        return best[1] if best else None
+
+    def _may_match(self, word: str) -> bool:
+        n = len(word)
+        if any(n in self.heads.get(word[:m], ()) for m in self.head_lengths) or any(n in self.tails.get(word[-m:], ()) for m in self.tail_lengths):
+            return True
+        return any(i in self.middles.get(word[i : i + m], ()) for m in self.middle_lengths for i in range(n - m + 1))
 
     def match(self, word: str) -> tuple[int, bool] | None:
         """(term, whether it is misspelled) of a bare lower-case word."""
@@ -116,8 +145,8 @@ class Automaton:
             k = self.stems.get(word[:m])
             if k is not None:
                 return k, False
-        # One edit leaves one half of a term in its place, so most words need not be run.
-        if any(n in self.heads.get(word[:m], ()) for m in self.head_lengths) or any(n in self.tails.get(word[-m:], ()) for m in self.tail_lengths):
+        # Longer runs of characters are no words.
+        if n < 200 and self._may_match(word):
             k = self.fuzzy(word)
             if k is not None:
                 return k, True
@@ -171,7 +200,16 @@ def learn_lexicon(train: DataFrame) -> Lexicon:
     # Weight of evidence: documents count, so that one long text does not make a term.
     best = sums.filter(F.col("d1") >= MIN_DOCS).withColumn("odds", odds).filter(F.col("odds") >= MIN_ODDS).orderBy((F.col("odds") * F.sqrt("d1")).desc(), "term").limit(4 * MAX_TERMS).collect()
     chosen: dict[str, tuple[str, bool, float, float]] = {}
+    by_start: dict[str, list] = {}
     for r in best:
+        by_start.setdefault(r.term[: STEM[0]], []).append(r)
+    for r in best:
+        # A beginning that mostly stands in one word, or in a longer beginning, gives way to it: these may be misspelled.
+        if r.term.endswith("*"):
+            longer = [x for x in by_start[r.term[: STEM[0]]] if x.term.startswith(r.term[:-1]) and x.d1 >= MOSTLY * r.d1]
+            r = max(longer, key=lambda x: (len(x.term.rstrip("*")), not x.term.endswith("*"), x.d1))
+        if r.term in chosen:
+            continue
         stem = r.term.endswith("*")
         t = r.term.rstrip("*")
         # A stem or word inside a chosen stem adds nothing.

@@ -2,7 +2,7 @@ import itertools
 import random
 import zlib
 
-from cardweave.llm.toxicity import Automaton, Lexicon, features, toxicity
+from cardweave.llm.toxicity import Automaton, Lexicon, edits_allowed, features, toxicity, train_model
 from tests.llm.docs import clashing, table
 
 
@@ -17,10 +17,10 @@ def edits(a, b):
 
 def test_automaton_equals_edit_distance():
     rnd = random.Random(6)
-    terms = ["idiot", "moron", "trash", "worthless", "abominable", "disgusting", "clown", "é" * 6, "abcabcabc"]
-    machine = Automaton(Lexicon([(t, False, 2.0, 0.001) for t in terms]))
-    words = set(terms)
-    for t in terms:
+    terms = [("idiot", False), ("moron", False), ("trash", False), ("worthless", False), ("abominable", False), ("disgusting", False), ("clown", False), ("é" * 6, False), ("abcabcabc", False), ("detest", True), ("horrid", True), ("scum", True)]
+    machine = Automaton(Lexicon([(t, stem, 2.0, 0.001) for t, stem in terms]))
+    words = {t for t, _ in terms} | {t + "able" for t, stem in terms if stem}
+    for t in sorted(words):
         for _ in range(120):
             w = list(t)
             for _ in range(rnd.randrange(0, 4)):
@@ -34,13 +34,31 @@ def test_automaton_equals_edit_distance():
                     else:
                         w[i] = rnd.choice("abcdeiot")
             words.add("".join(w))
+
+    def apart(w, t, stem):
+        return min(edits(w[:n], t) for n in range(len(w) + 1)) if stem else edits(w, t)
+
     for w in words:
-        best = min(edits(w, t) for t in terms)
+        fits = [(d, k) for k, (t, stem) in enumerate(terms) if edits_allowed(t, stem) and (d := apart(w, t, stem)) <= edits_allowed(t, stem)]
         got = machine.fuzzy(w) if w else None
-        assert (got is not None) == (best <= 1), w
+        assert got == (min(fits)[1] if fits and w else None), w
         if got is not None:
-            assert edits(w, terms[got]) == best
             assert machine.match(w) is not None, w
+    assert [edits_allowed(t, stem) for t, stem in terms] == [1, 1, 1, 2, 2, 2, 1, 1, 2, 1, 1, 0]
+
+
+def test_misspelled_terms_are_caught(spark):
+    """Words of documents that match, each matched word misspelled by one edit: matches stay."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    model = train_model(docs, spark.read.parquet("/root/testdata/sf0.01/labels.parquet"))
+    machine, rnd = Automaton(model.lexicon), random.Random(3)
+    known = [w for w in sorted({w for r in docs.limit(400).collect() for w in (r.text or "").lower().split()}) if w.isalpha() and len(w) >= 5]
+    hits = [w for w in known if (hit := machine.match(w)) and not hit[1] and edits_allowed(*model.lexicon.terms[hit[0]][:2])]
+    wrong = []
+    for w in hits:
+        i = rnd.randrange(len(model.lexicon.terms[machine.match(w)[0]][0]))
+        wrong.append(w[:i] + "#" + w[i + 1 :])
+    assert len(wrong) >= 8 and all(machine.match(w) is not None for w in wrong)
 
 
 def test_context_separates_quotation():
