@@ -7,18 +7,22 @@ not shown (head, scripts, styles, templates, ``hidden``, ``display:none`` ...)
 are left out with all they hold. What is shown is laid out in plain text: blocks
 on lines of their own with blank lines where browsers leave space, list items
 with bullets or numbers and indents, preformatted text as written, and table cells
-padded to columns. Both passes use explicit stacks, so depth is no limit, and are
-linear in the page.
+padded to columns. Both passes use explicit stacks, so depth is no limit. Where each
+open element stands is known by its name, so a stray end tag costs no search, and time
+and output are linear in the page: beyond ``DEEPEST`` levels lists and quotations are
+not indented any more, and a column is as wide as its widest cell that keeps the
+padding of its table within ``PADDING`` times its text and ``WIDEST`` characters a cell.
 
 Defined results: a null page is an empty one and gives an empty text, as does one
 with nothing to show. Malformed markup never fails. Repeated rows give repeated
-results. Columns wider than ``WIDEST`` characters are not padded, which bounds the
-size of the output by that of the page.
+results. A cell that spans rows keeps its columns free in these; ``colspan`` and
+``rowspan`` are bounded as in HTML.
 """
 
 from __future__ import annotations
 
 import re
+from bisect import bisect_right
 from collections.abc import Iterator
 from html import unescape
 
@@ -26,14 +30,16 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-WIDEST = 60
+WIDEST, PADDING, DEEPEST = 60, 4, 12
 # Fixed sets of elements.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title xmp iframe noembed noframes".split())
-UNSEEN = frozenset("head script style title template noscript iframe noembed noframes object audio video canvas svg math datalist select".split())
+UNSEEN = frozenset("head script style title template noscript iframe noembed noframes audio video canvas datalist desc metadata defs".split())
 BLOCK = frozenset(
     "address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol p pre section summary table ul caption".split()
 )
+#: Besides blocks, what stands on a line of its own.
+LINES = BLOCK | {"option", "optgroup"}
 SPACED = frozenset("article blockquote dl figure h1 h2 h3 h4 h5 h6 ol p pre table ul menu dir hr".split())
 CLOSES_P = BLOCK - frozenset("html body dialog caption legend".split())
 # An element that starts closes these open ones, up to the nearest of the limits.
@@ -79,26 +85,24 @@ def parse(page: str) -> Element:
     """The tree of a page; its root stands for the document."""
     root = Element("")
     stack = [root]
-    n_open: dict[str, int] = {}
+    # Places in the stack of the open elements of each name, from the outermost.
+    places: dict[str, list[int]] = {}
 
     def pop_to(at: int) -> None:
         while len(stack) > at:
-            n_open[stack.pop().tag] -= 1
+            places[stack.pop().tag].pop()
+
+    def innermost(names: frozenset) -> int:
+        return max((p[-1] for x in names if (p := places.get(x))), default=0)
 
     def find(names: frozenset, limits: frozenset) -> int:
         """Place of the outermost open element of these names above the nearest limit; 0 if none."""
-        found = 0
-        for at in range(len(stack) - 1, 0, -1):
-            tag = stack[at].tag
-            if tag in names:
-                found = at
-            elif tag in limits:
-                break
-        return found
+        limit = innermost(limits)
+        return min((p[k] for x in names if (p := places.get(x)) and (k := bisect_right(p, limit)) < len(p)), default=0)
 
     def text(raw: str) -> None:
         if raw:
-            if n_open.get("head") and not raw.isspace():
+            if places.get("head") and not raw.isspace():
                 pop_to(find(frozenset(["head"]), frozenset()))
             stack[-1].children.append(unescape(raw) if "&" in raw else raw)
 
@@ -118,29 +122,25 @@ def parse(page: str) -> Element:
             continue
         tag, closing = tag.lower(), bool(m[2] or m[5])
         if closing:
-            if tag in VOID and tag != "br" or not n_open.get(tag):
+            if tag in VOID and tag != "br" or not places.get(tag):
                 if tag == "br":
                     stack[-1].children.append(Element("br"))
                 elif tag == "p":
                     stack[-1].children.append(Element("p"))
                 continue
             limits = END_LIMITS - {tag} if tag not in ("table", "tr", "tbody", "thead", "tfoot", "body", "html") else frozenset(["table"]) - {tag}
-            for at in range(len(stack) - 1, 0, -1):
-                if stack[at].tag == tag:
-                    pop_to(at)
-                    break
-                if stack[at].tag in limits:
-                    break
+            if places[tag][-1] > innermost(limits):
+                pop_to(places[tag][-1])
             continue
-        if tag in ("html", "body") and n_open.get(tag):
+        if tag in ("html", "body") and places.get(tag):
             continue
-        if n_open.get("head") and tag not in HEAD_PARTS:
+        if places.get("head") and tag not in HEAD_PARTS:
             pop_to(find(frozenset(["head"]), frozenset()))
-        if tag in CLOSES_P and n_open.get("p") and (at := find(frozenset(["p"]), P_LIMITS)):
+        if tag in CLOSES_P and places.get("p") and (at := find(frozenset(["p"]), P_LIMITS)):
             pop_to(at)
         if tag in IMPLIED:
             names, limits = IMPLIED[tag]
-            if any(n_open.get(x) for x in names) and (at := find(names, limits)):
+            if any(places.get(x) for x in names) and (at := find(names, limits)):
                 pop_to(at)
         element = Element(tag, _attributes(m[4] if m[3] else m[7]))
         stack[-1].children.append(element)
@@ -152,8 +152,8 @@ def parse(page: str) -> Element:
             element.children.append(unescape(body) if tag in ("textarea", "title") else body)
             pos = end.end() if end else len(page)
             continue
+        places.setdefault(tag, []).append(len(stack))
         stack.append(element)
-        n_open[tag] = n_open.get(tag, 0) + 1
     return root
 
 
@@ -206,7 +206,7 @@ class Page:
         if self.blank and self.lines:
             self.lines.append("")
         self.blank = False
-        lead = "".join(self.prefix)
+        lead = "".join(self.prefix[:DEEPEST])
         if self.mark:
             lead = lead[: len(lead) - len(self.mark)] + self.mark
             self.mark = ""
@@ -271,9 +271,56 @@ def _rows(table: Element) -> tuple[list[Element], list[list[Element]]]:
     return captions, rows
 
 
-def _span(e: Element) -> int:
-    v = e.attrs.get("colspan", "1")
-    return min(max(int(v), 1), 50) if v.isascii() and v.isdigit() and len(v) < 6 else 1
+def _span(e: Element, name: str, most: int) -> int:
+    v = e.attrs.get(name, "1")
+    return min(max(int(v[:9]), 1), most) if v.isascii() and v.isdigit() else 1
+
+
+def _aligned(rows: list[list[tuple[str, int, int]]]) -> list[str]:
+    """The lines of a table from its cells (text, columns, rows), each column padded to one width.
+
+    Cells that span rows keep at most ``PADDING`` places free for each cell of the table; further ones span none.
+    """
+    budget = PADDING * sum(map(len, rows))
+    # Cells with the columns they begin at; columns that a cell above takes are passed.
+    placed: list[list[tuple[int, int, str]]] = []
+    taken: list[tuple[int, int, int]] = []  # (first column, end, last row) of cells that span rows, in order
+    for y, row in enumerate(rows):
+        taken = [t for t in taken if t[2] >= y]
+        line, more, at, k = [], [], 0, 0
+        for text, columns, height in row:
+            while k < len(taken) and taken[k][0] < at + 1:
+                at = max(at, taken[k][1])
+                k += 1
+            line.append((at, columns, text))
+            last = min(y + height, len(rows)) - 1
+            if last > y and (last - y) * columns <= budget:
+                budget -= (last - y) * columns
+                more.append((at, at + columns, last))
+            at += columns
+        taken = sorted(taken + more)
+        placed.append(line)
+    cells = [(at, len(text)) for line in placed for at, columns, text in line if columns == 1]
+    bound = WIDEST + PADDING * sum(n for _, n in cells) // max(1, len(cells))
+    widths: dict[int, int] = {}
+    for at, n in cells:
+        if n <= bound:
+            widths[at] = max(widths.get(at, 0), n)
+    order = sorted(widths)
+    out = []
+    for line in placed:
+        if not any(text for _, _, text in line):
+            continue
+        parts, k = [], 0
+        for at, columns, text in line:
+            while k < len(order) and order[k] < at:  # columns that a cell above takes, or no cell
+                parts.append(" " * widths[order[k]])
+                k += 1
+            while k < len(order) and order[k] < at + columns:
+                k += 1
+            parts.append(text.ljust(widths.get(at, 0) if columns == 1 else 0))
+        out.append("  ".join(parts).rstrip())
+    return out
 
 
 def render(root: Element) -> str:
@@ -296,7 +343,7 @@ def render(root: Element) -> str:
                 continue
             if tag in SPACED and not (tag in ("ul", "ol", "menu", "dir") and counters):
                 page.space()
-            elif tag in BLOCK:
+            elif tag in LINES:
                 page.flush()
             if tag == "pre":
                 raw, stack = [], [iter(e.children)]
@@ -339,7 +386,7 @@ def render(root: Element) -> str:
             todo.extend(("enter", c, page) for c in reversed(e.children))
         elif step == "leave":
             tag = e.tag
-            if tag in BLOCK:
+            if tag in LINES:
                 page.flush()
             if tag in ("ul", "ol", "menu", "dir"):
                 counters.pop()
@@ -355,21 +402,8 @@ def render(root: Element) -> str:
             for _, p in parts:
                 if t := p.text():
                     page.block(t)
-            texts = [[(" ".join(p.text().split("\n")).strip(), _span(c)) for c, p in row] for row in cells]
-            widths: dict[int, int] = {}
-            for row in texts:
-                at = 0
-                for t, span in row:
-                    if span == 1 and len(t) <= WIDEST:
-                        widths[at] = max(widths.get(at, 0), len(t))
-                    at += span
-            for row in texts:
-                line, at = [], 0
-                for t, span in row:
-                    line.append(t.ljust(widths.get(at, 0) if span == 1 else 0))
-                    at += span
-                if any(t for t, _ in row):
-                    page.block("  ".join(line).rstrip())
+            for line in _aligned([[(" ".join(p.text().split("\n")).strip(), _span(c, "colspan", 1000), _span(c, "rowspan", 65534)) for c, p in row] for row in cells]):
+                page.block(line)
             page.space()
     return out.text()
 

@@ -1,4 +1,5 @@
 import random
+import time
 from html.parser import HTMLParser
 
 import pytest
@@ -23,6 +24,11 @@ from cardweave.llm.html import UNSEEN, VOID, extract, extract_pages
         ("<dl><dt>t<dd>d<dt>u</dl>", "t\n  d\nu"),
         ("a < b <p title='>'>c", "a < b\n\nc"),
         ("<p><b>x<br><p>y", "x\n\ny"),
+        ("<table><tr><td rowspan=2>ab<td>c<td>d<tr><td>e<td>f<tr><td>g<td>h<td>i</table>", "ab  c  d\n    e  f\ng   h  i"),
+        ("<table><tr><td>a<td rowspan=3>bb<td>c<tr><td>d<td>e<tr><td colspan=3>f</table>", "a  bb  c\nd      e\nf"),
+        ("<table><tr><td>" + "x" * 90 + "<td>b<tr><td>c<td>d</table>", "x" * 90 + "  b\n" + "c" + " " * 91 + "d"),
+        ("<select><option>a<option>b</select><object>o</object><svg><title>no</title><text>t</text></svg><math><mi>m</mi></math>", "a\nb\notm"),
+        ("<table><tr><td><span>a<span>b</div></div>c</td></tr></table>d", "abc\n\nd"),
         ("<div", ""), ("", ""), (None, ""), ("<p>unclosed <a href='x", "unclosed"),
     ],
 )
@@ -82,6 +88,41 @@ def test_garbage_never_fails():
     extract("<ul><li>" * 3000 + "x")
 
 
+def grown(make, n):
+    """Output and seconds of a page of twice the size, against one of n."""
+    out = []
+    for k in (n, 2 * n):
+        start = time.perf_counter()
+        text = extract(make(k))
+        out.append((len(text), time.perf_counter() - start))
+    (a, s), (b, t) = out
+    return b / max(a, 1), t / max(s, 0.05)
+
+
+@pytest.mark.parametrize(
+    "make",
+    [
+        lambda n: "<ul><li>x" * n,
+        lambda n: "<blockquote>q" * n,
+        lambda n: "<div><table><td>" + "<span>" * n + "</div>" * n + "end",
+        lambda n: "<table>" + "<tr><td>a<td rowspan=65534>b" * n + "</table>",
+        lambda n: "<table><tr>" + "<td rowspan=65534>b" * n + "<tr><td>x" * n + "</table>",
+        lambda n: "<table><tr><td>" + "w" * 8 * n + "<td>b" + "<tr><td>c<td>d" * n + "</table>",
+        lambda n: "<table>" + "<tr><td colspan=1000 rowspan=9>a" * n + "</table>",
+        lambda n: "<li>x<p>" * n,
+    ],
+)
+def test_time_and_output_are_linear(make):
+    size, seconds = grown(make, 6000)
+    assert size < 2.5 and seconds < 3.5
+
+
+def test_clashing_names(spark):
+    rows = [(1, "<p>a", "x", "x", "x"), (2, None, None, "y", "y")]
+    got = extract_pages(spark.createDataFrame(rows, "page_id long, html string, id string, text string, url string")).collect()
+    assert sorted((r["id"], r.text) for r in got) == [(1, "a"), (2, "")]
+
+
 def test_odd_rows(spark):
     rows = [(1, "u", "<p>a"), (1, "u", "<p>a"), (2, None, None), (None, None, "<p>b"), (3, "", "")]
     got = extract_pages(spark.createDataFrame(rows, "page_id long, text string, html string")).collect()
