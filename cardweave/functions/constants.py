@@ -29,5 +29,9 @@ SOCIAL_SHAPE = r"(?i)(?:^|[\s,|•·])(@[\w.]{2,32}|/in/[\w\-]{3,100}|linkedin\.
 # Thresholds.
 IOU_MIN, MIN_CONFIDENCE, SURE_CONFIDENCE = 0.58, 0.18, 0.45
 QUALITY_WEIGHTS = {"name": 1.15, "company": 1.10, "email": 1.25, "phone": 1.20, "website": 0.70, "address": 0.80, "title": 0.45}
-# Calling codes, digits after the code, region.
-CALLING_CODES = [("1", 10, 10, "US"), ("33", 9, 9, "FR"), ("44", 9, 10, "UK"), ("49", 7, 11, "DE"), ("61", 9, 9, "AU"), ("65", 8, 8, "SG"), ("81", 9, 10, "JP"), ("86", 11, 11, "CN"), ("91", 10, 10, "IN"), ("852", 8, 8, "HK"), ("971", 8, 9, "AE")]
+# Calling codes and their regions.
+CALLING_CODES = dict(zip(*[iter("1 US 7 RU 20 EG 27 ZA 30 GR 31 NL 32 BE 33 FR 34 ES 36 HU 39 IT 40 RO 41 CH 43 AT 44 GB 45 DK 46 SE 47 NO 48 PL 49 DE 51 PE 52 MX 54 AR 55 BR 56 CL 57 CO 60 MY 61 AU 62 ID 63 PH 64 NZ 65 SG 66 TH 81 JP 82 KR 84 VN 86 CN 90 TR 91 IN 92 PK 94 LK 98 IR 212 MA 213 DZ 216 TN 218 LY 234 NG 254 KE 255 TZ 256 UG 260 ZM 263 ZW 351 PT 352 LU 353 IE 358 FI 371 LV 372 EE 380 UA 420 CZ 421 SK 852 HK 966 SA 968 OM 971 AE 972 IL 974 QA".split())] * 2, strict=True))
+# Least and greatest number of digits after the code; other regions have 7 to 11.
+NATIONAL_DIGITS = {"US": (10, 10), "FR": (9, 9), "GB": (9, 10), "DE": (7, 11), "AU": (9, 9), "SG": (8, 8), "JP": (9, 10), "CN": (11, 11), "IN": (10, 10), "HK": (8, 8), "AE": (8, 9)}
+# Names of regions in postal patterns that calling codes know by another.
+REGION_NAMES = {"UK": "GB"}

@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.window import WindowSpec
 
@@ -57,7 +57,7 @@ def urls(lines: DataFrame) -> DataFrame:
 
 
 def handles(lines: DataFrame) -> DataFrame:
-    return first_wins(_all(lines, C.HANDLE).withColumn("canon", F.lower("raw"))).select("card_id", "rank", F.col("raw").alias("handle"), "row_id")
+    return first_wins(_all(lines, C.HANDLE).withColumn("canon", F.lower("raw"))).select("card_id", "rank", F.col("raw").alias("handle"), "row_id", "text")
 
 
 def address_lines(lines: DataFrame, strict_postal: bool = False) -> DataFrame:
@@ -87,13 +87,37 @@ def addresses(flagged: DataFrame) -> DataFrame:
     """(card_id, address, validated, region): address lines in reading order."""
     a = flagged.filter("is_address").withColumn("part", F.trim(F.regexp_replace("text", C.URL, "")))
     joined = F.array_join(F.transform(F.filter(F.array_sort(F.collect_list(F.struct("y1", "x1", "row_id", "part"))), lambda s: s["part"] != ""), lambda s: s["part"]), ", ")
-    out = a.groupBy("card_id").agg(joined.alias("j"), F.min_by("region", F.struct("y1", "x1", "row_id")).alias("r0"), F.min(F.when(F.col("region").isNotNull(), F.struct("y1", "x1", "row_id", "region"))).alias("r"))
-    out = out.select("card_id", strip_trailing_punct(normalize_spaces(F.col("j"))).alias("address"), F.col("r.region").alias("region"))
+    texts = F.transform(F.array_sort(F.collect_list(F.struct("y1", "x1", "row_id", "text"))), lambda s: s["text"])
+    out = a.groupBy("card_id").agg(joined.alias("j"), texts.alias("evidence"), F.min_by("region", F.struct("y1", "x1", "row_id")).alias("r0"), F.min(F.when(F.col("region").isNotNull(), F.struct("y1", "x1", "row_id", "region"))).alias("r"))
+    out = out.select("card_id", strip_trailing_punct(normalize_spaces(F.col("j"))).alias("address"), F.col("r.region").alias("region"), "evidence")
     return out.withColumn("validated", alpha_ratio(F.col("address")) >= 0.45)
 
 
-def calling_codes(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(C.CALLING_CODES, "code string, low int, high int, region string")
+def numbering(number: Column, region: Column | None = None) -> Column:
+    """struct<region,number>: a number in its international form; null if no numbering plan fits.
+
+    After "+" the longest calling code whose digits fit counts; without it the plan of ``region``.
+    """
+    digits = F.regexp_replace(number, r"\D", "")
+    plans = [(code, r, *C.NATIONAL_DIGITS.get(r, (7, 11))) for code, r in C.CALLING_CODES.items()]
+    entry = lambda r, code, low, high: F.struct(F.lit(r).alias("region"), F.lit(code).alias("code"), F.lit(low).alias("low"), F.lit(high).alias("high"))
+    by_code = F.create_map(*(x for code, r, low, high in plans for x in (F.lit(code), entry(r, code, low, high))))
+
+    def form(plan: Column, rest: Column) -> Column:
+        return F.when(F.length(rest).between(plan["low"], plan["high"]), F.struct(plan["region"].alias("region"), F.concat(F.lit("+"), plan["code"], F.lit(" "), rest).alias("number")))
+
+    after_plus = F.coalesce(*(form(F.try_element_at(by_code, F.substring(digits, 1, n)), F.substring(digits, n + 1, 20)) for n in (3, 2, 1)))
+    if region is None:
+        return F.when(number.startswith("+"), after_plus)
+    by_region = F.create_map(*(x for code, r, low, high in plans for x in (F.lit(r), entry(r, code, low, high))))
+    names = F.create_map(*(F.lit(x) for pair in C.REGION_NAMES.items() for x in pair))
+    home = F.try_element_at(by_region, F.coalesce(F.try_element_at(names, F.coalesce(region, F.lit(""))), region, F.lit("")))
+    return F.when(number.startswith("+"), after_plus).otherwise(form(home, digits))
+
+
+def plan_numbers(found: DataFrame, col: str = "phone") -> DataFrame:
+    """``found`` with region and international form; null if no plan fits."""
+    return found.withColumn("_plan", numbering(F.col(col))).select(*found.columns, F.col("_plan.region").alias("region"), F.col("_plan.number").alias("number"))
 
 
 def phone_windows(lines: DataFrame) -> DataFrame:
@@ -107,30 +131,26 @@ def phone_windows(lines: DataFrame) -> DataFrame:
     return t.select("card_id", "row_id", "text", F.posexplode(F.array_distinct(F.concat(F.array("text", "norm"), bare, both))).alias("pos", "raw")).filter("raw != ''")
 
 
-def phones(lines: DataFrame, no_phone: DataFrame) -> DataFrame:
-    """(card_id, rank, phone, row_id): numbers of lines that are no address, the most faithful form of equal digits.
+def phones(lines: DataFrame, no_phone: DataFrame, regions: DataFrame | None = None) -> DataFrame:
+    """(card_id, rank, phone, row_id, text): numbers of lines that are no address, the most faithful form of equal digits.
 
-    A candidate with a postal code in it is none (see quirk Q4).
+    A number that fits a plan takes its international form; ``regions`` (card_id, region), if given,
+    names the plan of numbers without a calling code. A candidate with a postal code in it is
+    none (see quirk Q4).
     """
     at = lines.filter(~(has_hint(F.col("text"), C.ADDRESS_HINTS) & postal_region(F.col("text")).isNotNull())).withColumn("canon", canonical(F.col("text")))
     free = at.join(no_phone, ["card_id", "canon"], "left_anti").drop("canon")
-    raw = phone_windows(free).filter(postal_region(F.col("raw")).isNull()).withColumn("norm", phone_normal(F.col("raw")))
-    digits = F.regexp_replace("norm", r"\D", "")
-    form = raw.withColumn("canon", digits).filter(F.length("canon").between(7, 15)).withColumn("phone", F.when(F.col("norm").startswith("+"), F.col("norm")).otherwise(F.col("canon")))
+    # Bare digits, as most candidates are, are normal as they stand, and too long for a postal code.
+    bare = F.col("raw").rlike(r"^\+?\d{7,15}$")
+    raw = phone_windows(free).filter(F.when(bare, True).otherwise(postal_region(F.col("raw")).isNull())).withColumn("norm", F.when(bare, F.col("raw")).otherwise(phone_normal(F.col("raw")))).filter("norm != ''")
+    raw = raw.join(regions.select("card_id", F.col("region").alias("_home")), "card_id", "left") if regions is not None else raw.withColumn("_home", F.lit(None).cast("string"))
+    # In steps, as the plan is used twice.
+    raw = raw.withColumn("digits", F.regexp_replace("norm", r"\D", "")).filter(F.length("digits").between(7, 15)).withColumn("plan", numbering(F.col("norm"), F.col("_home")))
+    form = raw.withColumn("phone", F.coalesce("plan.number", F.when(F.col("norm").startswith("+"), F.col("norm")).otherwise(F.col("digits")))).withColumn("canon", F.regexp_replace("phone", r"\D", ""))
     # Python's dict keeps the place of the first; the value is that of the best.
     w = Window.partitionBy("card_id", "canon")
     ranked = form.withColumns({"best": F.row_number().over(w.orderBy(fidelity(F.col("phone")).desc(), "row_id", "pos")), "r0": F.min(F.struct("row_id", "pos")).over(w)}).filter("best = 1")
-    return ranked.withColumn("rank", F.row_number().over(card().orderBy("r0"))).select("card_id", "rank", "phone", F.col("r0.row_id").alias("row_id"))
-
-
-def plan_numbers(found: DataFrame, codes: DataFrame, col: str = "phone") -> DataFrame:
-    """``found`` with region and international form by the longest calling code whose lengths fit; null if none does."""
-    digits = F.regexp_replace(col, r"\D", "")
-    keyed = found.withColumn("d", digits).withColumn("prefix", F.explode_outer(F.transform(F.sequence(F.lit(1), F.lit(3)), lambda n: F.substring(F.col("d"), F.lit(1), n))))
-    met = keyed.join(codes, F.col("prefix") == F.col("code"), "left")
-    fits = (F.length("d") - F.length("code")).between(F.col("low"), F.col("high"))
-    best = F.max(F.when(fits, F.struct(F.length("code").alias("n"), F.col("region").alias("region"), F.concat(F.lit("+"), F.col("code"), F.lit(" "), F.substring(F.col("d"), F.length("code") + 1, F.length("d"))).alias("number"))))
-    return met.groupBy(*found.columns).agg(best.alias("b")).select(*found.columns, F.col("b.region").alias("region"), F.col("b.number").alias("number"))
+    return ranked.withColumn("rank", F.row_number().over(card().orderBy("r0"))).select("card_id", "rank", "phone", F.col("r0.row_id").alias("row_id"), "text")
 
 
 def ordered(lines: DataFrame) -> DataFrame:
@@ -159,7 +179,7 @@ def _not_claimed(candidates: DataFrame, claimed: DataFrame | None) -> DataFrame:
 def _best(candidates: DataFrame, name: str, base: float) -> DataFrame:
     w = card().orderBy(F.desc("score"), F.length("value").desc(), "idx")
     top = candidates.withColumn("k", F.row_number().over(w)).filter("k = 1")
-    return top.select("card_id", F.col("value").alias(name), F.round(F.least(F.lit(0.99), base + F.col("score") / 100.0), 6).alias(f"{name}_confidence"))
+    return top.select("card_id", F.col("value").alias(name), F.round(F.least(F.lit(0.99), base + F.col("score") / 100.0), 6).alias(f"{name}_confidence"), F.array("text").alias(f"{name}_evidence"))
 
 
 def names(lines: DataFrame, claimed: DataFrame | None = None) -> DataFrame:
@@ -189,7 +209,7 @@ def titles(blocks: DataFrame, claimed: DataFrame | None = None) -> DataFrame:
     score = F.when(has_hint(t, C.STRONG_JOB_HINTS), 30.0).otherwise(12.0) + F.when(F.col("n_lines") >= 2, 14.0).otherwise(8.0) + F.when(F.col("even"), 10.0).otherwise(4.0) + alpha_ratio(t) * 15.0
     w = card().orderBy(F.desc("score"), "idx")
     top = c.withColumn("score", score).withColumn("k", F.row_number().over(w)).filter("k = 1")
-    return top.select("card_id", t.alias("title"), F.round(F.least(F.lit(0.99), 0.38 + F.col("score") / 100.0), 6).alias("title_confidence"), "n_lines")
+    return top.select("card_id", t.alias("title"), F.round(F.least(F.lit(0.99), 0.38 + F.col("score") / 100.0), 6).alias("title_confidence"), F.col("texts").alias("title_evidence"))
 
 
 Validator = Callable[[Column], Column]
@@ -219,19 +239,26 @@ def quality(records: DataFrame, validators: dict[str, Validator] | None = None,
 
 
 def fuzzy_merge(lines: DataFrame, least: float = 75.0) -> DataFrame:
-    """Lines without near copies: of lines of a card that overlap in height and whose canonical texts are alike, the most faithful one stays.
+    """Lines without near copies, in a scan of each card's lines by (y, x).
 
-    Likeness is 100 * (1 - distance / longer length); the length bound is tested before it.
+    A line that overlaps a kept one in height and is like it by canonical text takes the
+    place of the first such one if it is more faithful, and goes otherwise. The kept lines
+    are a running state of a few entries, hence a fold. Likeness is 100 * (1 - distance /
+    longer length); 100 for two empty texts.
     """
-    t = lines.withColumns({"canon": canonical(F.col("text")), "fid": fidelity(F.col("text"))})
-    cols = ("row_id", "canon", "fid", "y1", "y2")
-    a, b = (t.select("card_id", *(F.col(c).alias(p + c) for c in cols)) for p in ("a_", "b_"))
-    la, lb = F.length("a_canon"), F.length("b_canon")
-    alike = (F.col("a_row_id") != F.col("b_row_id")) & (F.col("a_y1") <= F.col("b_y2")) & (F.col("b_y1") <= F.col("a_y2")) & (100.0 * F.least(la, lb) >= least * F.greatest(la, lb)) & (la > 0)
-    near = a.join(b, "card_id").filter(alike).filter(100.0 * (1 - F.levenshtein("a_canon", "b_canon") / F.greatest(la, lb)) >= least)
-    better = (F.col("b_fid") > F.col("a_fid")) | ((F.col("b_fid") == F.col("a_fid")) & (F.col("b_row_id") < F.col("a_row_id")))
-    gone = near.filter(better).select("card_id", F.col("a_row_id").alias("row_id")).distinct()
-    return lines.join(gone, ["card_id", "row_id"], "left_anti")
+    item = F.struct("y1", "x1", "row_id", "y2", canonical(F.col("text")).alias("canon"), fidelity(F.col("text")).alias("fid"), F.struct(*lines.columns).alias("row"))
+    cards = lines.groupBy("card_id").agg(F.array_sort(F.collect_list(item)).alias("scan"))
+
+    def alike(a: Column, b: Column) -> Column:
+        longest = F.greatest(F.length(a["canon"]), F.length(b["canon"]), F.lit(1))
+        return (F.least(a["y2"], b["y2"]) > F.greatest(a["y1"], b["y1"])) & (100.0 * (1 - F.levenshtein(a["canon"], b["canon"]) / longest) >= least)
+
+    def step(kept: Column, x: Column) -> Column:
+        hit = F.array_position(F.transform(kept, lambda k: alike(k, x)), True)
+        return F.when(hit == 0, F.concat(kept, F.array(x))).otherwise(F.transform(kept, lambda k, i: F.when((i + 1 == hit) & (x["fid"] > k["fid"]), x).otherwise(k)))
+
+    kept = F.aggregate(F.slice("scan", 2, 2147483646), F.slice("scan", 1, 1), step)
+    return cards.select(F.explode(kept).alias("k")).select("k.row.*")
 
 
 def clean_value(c: Column) -> Column:

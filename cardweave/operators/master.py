@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from cardweave.functions.text import signature
+from cardweave.functions.text import file_stem, signature
+from cardweave.plans.stage import drop_stage, stage
 
 FIELDS = ("name", "company", "title", "email", "phone", "website", "address")
 
@@ -33,6 +37,54 @@ def write_master(rows: DataFrame, path: str) -> None:
     rows.write.partitionBy("month").mode("overwrite").option("partitionOverwriteMode", "dynamic").parquet(path)
 
 
+def merge_master(batch: DataFrame, path: str, merge: Callable[[DataFrame, DataFrame], DataFrame] = upsert) -> None:
+    """Merge a batch into the master at ``path``, made if it is not there: the months of the batch are read, merged and replaced.
+
+    The merged rows are staged before the months that they were read from are overwritten; a
+    run that is lost in between leaves the master as it was or as it should be, and can be repeated.
+    """
+    spark = batch.sparkSession
+    batch = stage(batch)
+    months = sorted(r[0] for r in batch.select("month").distinct().collect())  # as few as the batch has
+    try:
+        old = spark.read.option("basePath", path).schema(signed(batch).schema).parquet(path).filter(F.col("month").isin(months))
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        old = batch.limit(0)
+    # What only appends keeps the rows that are there.
+    rows = merge(old, batch)
+    rows = stage(signed(old).unionByName(rows) if merge is append_new else rows)
+    write_master(rows, path)
+    drop_stage(rows, batch)
+
+
+RECORD = (*FIELDS, "social")
+
+
+def full_records(records: DataFrame) -> DataFrame:
+    """Each field as struct<value,confidence,evidence,validated>, with quality, notes and raw lines."""
+    text = lambda f: F.coalesce(f, F.lit(""))
+    field = lambda f: F.struct(
+        text(f).alias("value"), F.coalesce(f"{f}_confidence", F.lit(0.0)).alias("confidence"), F.coalesce(f"{f}_evidence", F.array().cast("array<string>")).alias("evidence"),
+        (F.coalesce(F.col(f"valid_{f}"), F.lit(False)) if f != "social" else text(f) != "").alias("validated"),
+    ).alias(f)
+    return records.select("card_id", *map(field, RECORD), F.round("quality_score", 3).alias("quality_score"), "quality_badge", "notes", "raw_lines")
+
+
+def flat_records(full: DataFrame) -> DataFrame:
+    """A wide row of each full record; lists are joined by bars."""
+    cells = [c for f in RECORD for c in (F.col(f"{f}.value").alias(f"{f}_value"), F.col(f"{f}.confidence").alias(f"{f}_confidence"), F.col(f"{f}.validated").alias(f"{f}_validated"), F.array_join(f"{f}.evidence", " | ").alias(f"{f}_evidence"))]
+    return full.select("card_id", *cells, "quality_score", "quality_badge", F.array_join("notes", " | ").alias("notes"), F.array_join("raw_lines", " || ").alias("raw_lines"))
+
+
+def layout_rows(records: DataFrame) -> DataFrame:
+    """The seventeen columns of a record by layout; a dash for what is missing."""
+    shown = lambda c, name: F.coalesce(F.nullif(F.col(c), F.lit("")), F.lit("—")).alias(name)
+    names = (("name", "name"), ("title", "job_title"), ("company", "company"), ("email", "email"), *((f"phone_{k}", f"phone_{k}") for k in (1, 2, 3)), ("website", "website"), ("address", "address"), *((s, s) for s in ("linkedin", "twitter", "instagram", "github")), ("badge", "quality_score"))
+    return records.select(*(shown(c, n) for c, n in names), F.coalesce("corpus", F.lit("")).alias("raw_text"), F.coalesce("confidence", F.lit(0.0)).alias("confidence_avg"), F.col("card_id").cast("string").alias("source_file"))
+
+
 def field_table(records: DataFrame) -> DataFrame:
     """(card_id, field, value, validated): a row for each field, and one for the quality."""
     cells = [F.struct(F.lit(f).alias("field"), F.coalesce(f, F.lit("")).alias("value"), F.col(f"valid_{f}").alias("validated")) for f in FIELDS]
@@ -60,6 +112,11 @@ def vcards(records: DataFrame, sparse: bool = False) -> DataFrame:
     return records.select("card_id", F.concat_ws("\n", F.lit("BEGIN:VCARD"), F.lit("VERSION:3.0"), F.concat(F.lit("FN:"), shown), *lines, F.lit("END:VCARD")).alias("vcard"))
 
 
+def with_stems(records: DataFrame) -> DataFrame:
+    """``records`` with the name of their files, from what they show."""
+    return records.withColumn("stem", file_stem(F.coalesce(F.nullif(F.col("name"), F.lit("")), F.nullif(F.col("company"), F.lit("")), F.col("card_id").cast("string"))))
+
+
 def persist_bundle(records: DataFrame, path: str, run_id: str) -> None:
     """Snapshot of a run and the latest copy: JSON records, CSV rows, vCards, field table."""
     for folder in (f"{path}/runs/run_id={run_id}", f"{path}/latest"):

@@ -9,12 +9,14 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import WindowSpec
 
 from cardweave.functions import constants as C
-from cardweave.functions.text import digit_count, has_hint, is_title, is_upper, letters, word_count
+from cardweave.functions.text import digit_count, has_hint, is_title, is_upper, letters, normalize_spaces, word_count
 from cardweave.functions.similarity import confusion_likeness, edit_likeness
-from cardweave.operators.tokens import cluster_rows
+from cardweave.operators.extract import numbering
+from cardweave.operators.tokens import cluster_rows, geometry
 
 # Scripts by code-point range; other letters are Latin.
 SCRIPTS = {"cjk": r"[぀-ヿ一-鿿가-힯]", "arabic": r"[؀-ۿ]", "devanagari": r"[ऀ-ॿ]"}
+# Keyword lists of the flat presets.
 DESIGNATIONS = "ceo cto founder engineer manager director developer consultant analyst".split()
 LABEL_JOBS = "manager developer engineer director partner consultant founder ceo cto analyst lead specialist head officer executive".split()
 LABEL_COMPANIES = "ltd inc solutions consulting studio tech group company labs buildsmart urbanedge".split()
@@ -54,53 +56,83 @@ def script_histogram(lines: DataFrame) -> DataFrame:
     return c.select("card_id", F.col("p")[0]["s"].alias("primary"), second.alias("secondary"), F.col("all").cast("long").alias("n_letters"))
 
 
-def reconstruct_rows(tokens: DataFrame) -> DataFrame:
-    """Rows with text glued where the gap is small, centre, extent, median height and mean confidence."""
+def reconstruct_rows(tokens: DataFrame, gap_factor: float = 2.2) -> DataFrame:
+    """Rows with text glued where the gap is small, centre, extent, median height and mean confidence.
+
+    Tokens join without a space if the gap is at most ``gap_factor`` of the row's character
+    width and their centres are level, or if they overlap by 0.15 of what they span.
+    """
     t = cluster_rows(tokens, 0.5, 8.0)
     w = Window.partitionBy("card_id", "row_id")
     order = w.orderBy("x1", "cy", "tok_idx")
+    before = lambda c: F.lag(c).over(order)
     char = F.median("char_width").over(w)
-    gap = F.col("x1") - F.lag("x2").over(order)
-    slope = F.abs(F.degrees(F.atan2(F.col("cy") - F.lag("cy").over(order), F.col("cx") - F.lag("cx").over(order))))
-    overlap = -gap / F.least(F.col("width"), F.lag("width").over(order))
-    glue = ((gap <= 0.3 * char) & (slope <= 3.0)) | (overlap >= 0.15)
+    gap = F.col("x1") - before("x2")
+    slope = F.abs(F.degrees(F.atan2(F.col("cy") - before("cy"), F.greatest(F.col("cx") - before("cx"), F.lit(0.001)))))
+    shared = F.greatest(F.lit(0.0), F.least("x2", before("x2")) - F.greatest("x1", before("x1")))
+    span = F.greatest("x2", before("x2")) - F.least("x1", before("x1"))
+    glue = ((gap <= gap_factor * char) & (slope <= 3.0)) | ((span > 0) & (shared >= 0.15 * span))
     t = t.withColumn("part", F.concat(F.when(gap.isNull() | F.coalesce(glue, F.lit(False)), "").otherwise(" "), F.col("text")))
     text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("x1", "cy", "tok_idx", "part"))), lambda s: s["part"]), "")
     return t.groupBy("card_id", "row_id").agg(
-        F.regexp_replace(text, r"(.)\1{3,}", "$1$1").alias("text"), F.avg("cy").alias("y_center"), F.min("x1").alias("x1"), F.max("x2").alias("x2"), F.min("y1").alias("y1"), F.max("y2").alias("y2"),
-        F.median("height").alias("height"), F.avg("score").alias("confidence"), F.median("char_width").alias("char_median"),
+        normalize_spaces(F.regexp_replace(text, r"(.)\1{3,}", "$1$1")).alias("text"), F.avg("cy").alias("y_center"), F.min("x1").alias("x1"), F.max("x2").alias("x2"), F.min("y1").alias("y1"), F.max("y2").alias("y2"),
+        F.median("height").alias("height"), F.avg("score").alias("confidence"), F.median("char_width").alias("char_median"), F.collect_list("height").alias("heights"),
     )
 
 
+def card_corpus(rows: DataFrame) -> DataFrame:
+    """(card_id, corpus, n_lines, confidence): all row texts in order, and the mean of the rows' confidences."""
+    ordered = F.array_sort(F.collect_list(F.struct("row_id", "text")))
+    return rows.groupBy("card_id").agg(F.array_join(F.transform(ordered, lambda s: s["text"]), " ").alias("corpus"), F.count("*").cast("int").alias("n_lines"), F.round(F.avg("confidence"), 6).alias("confidence"))
+
+
 def fuzzy_rows(rows: DataFrame, least: float = 80.0) -> DataFrame:
-    """Rows without variants of others of their card: of two that are alike, confusions counted, the one with more letters and fewer runs stays, or the earlier."""
+    """Rows without variants of others of their card: each row, in order, meets the later ones that are left.
+
+    Of two that are alike, confusions counted, the one with more letters and fewer runs of one
+    character stays, or the earlier. A row that loses is compared no further. What is left is a
+    running state, hence a fold over the card's few rows.
+    """
     score = letters(F.col("text")) - 3 * F.regexp_count("text", F.lit(r"(.)\1{2,}"))
-    t = rows.select("card_id", "row_id", "text", score.alias("s"))
-    a, b = (t.select("card_id", *(F.col(c).alias(f"{p}_{c}") for c in ("row_id", "text", "s"))) for p in "ab")
-    la, lb = F.length("a_text"), F.length("b_text")
-    # Confusions add 20 at most, so lengths must allow the rest.
-    met = a.join(b, "card_id").filter((F.col("a_row_id") != F.col("b_row_id")) & (100.0 * F.least(la, lb) >= (least - 20) * F.greatest(la, lb)))
-    like = confusion_likeness(F.col("a_text"), F.col("b_text"), edit_likeness(F.lower("a_text"), F.lower("b_text")))
-    better = (F.col("b_s") > F.col("a_s")) | ((F.col("b_s") == F.col("a_s")) & (F.col("b_row_id") < F.col("a_row_id")))
-    gone = met.filter(better & (like >= least)).select("card_id", F.col("a_row_id").alias("row_id")).distinct()
-    return rows.join(gone, ["card_id", "row_id"], "left_anti")
+    item = F.struct("row_id", "text", F.lower("text").alias("low"), score.alias("s"), F.struct(*rows.columns).alias("row"))
+    cards = rows.groupBy("card_id").agg(F.array_sort(F.collect_list(item)).alias("scan")).withColumn("none", F.transform("scan", lambda x: F.lit(False)))
+
+    def step(gone: Column, i: Column) -> Column:
+        x = F.get("scan", i)
+        # 0: not met; 1: the later row goes; 2: this one does.
+        met = F.transform("scan", lambda y, j: F.when((j <= i) | F.get(gone, j) | (confusion_likeness(x["text"], y["text"], edit_likeness(x["low"], y["low"])) < least), 0).when((x["s"] >= y["s"]) | (x["text"] == y["text"]), 1).otherwise(2))
+        met = F.array(met)  # worked out once
+        after = F.get(F.transform(met, lambda m: F.struct(m.alias("m"), F.array_position(m, 2).alias("lost"))), F.lit(0))
+        marked = F.get(F.transform(F.array(after), lambda a: F.transform(gone, lambda g, j: g | ((j == i) & (a["lost"] > 0)) | ((F.get(a["m"], j) == 1) & ((a["lost"] == 0) | (j + 1 < a["lost"]))))), F.lit(0))
+        return F.when(F.get(gone, i), gone).otherwise(marked)
+
+    gone = F.aggregate(F.sequence(F.lit(0), F.size("scan") - 1), F.col("none"), step)
+    kept = cards.select("scan", gone.alias("gone")).select(F.explode(F.filter("scan", lambda x, i: ~F.get(F.col("gone"), i))).alias("k"))
+    return kept.select("k.row.*")
 
 
 def fuse_blocks(rows: DataFrame) -> DataFrame:
     """(card_id, block_id, text, y_center, x1, x2, height, confidence): rows near below each other, of like height, that overlap.
 
-    Each row is compared with the one before, so blocks are islands between breaks.
+    Each row is compared with the one before, so blocks are islands between breaks. Centre,
+    height and confidence are those of all tokens (``heights`` of each row, one if there is none).
     """
+    rows = rows if "heights" in rows.columns else rows.withColumn("heights", F.array("height"))
     order = card().orderBy("y_center", "x1", "row_id")
     prev = lambda c: F.lag(c).over(order)
     ratio = F.col("height") / F.greatest(F.lit(1.0), prev("height"))
     overlap = F.greatest(F.lit(0.0), F.least("x2", prev("x2")) - F.greatest("x1", prev("x1")))
     span = F.greatest(F.lit(1.0), F.least(F.col("x2") - F.col("x1"), prev("x2") - prev("x1")))
     joined = (F.col("y_center") - prev("y_center") <= 1.8 * prev("height")) & ratio.between(0.7, 1.3) & (overlap / span >= 0.30)
-    marked = rows.withColumn("start", F.when(F.coalesce(joined, F.lit(False)), 0).otherwise(1))
+    marked = rows.withColumn("start", F.when(F.coalesce(joined, F.lit(False)), 0).otherwise(1)).withColumn("n", F.size("heights"))
     blocks = marked.withColumn("block_id", (F.sum("start").over(order.rowsBetween(Window.unboundedPreceding, 0)) - 1).cast("int"))
     text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("y_center", "x1", "row_id", "text"))), lambda s: s["text"]), " ")
-    return blocks.groupBy("card_id", "block_id").agg(text.alias("text"), F.avg("y_center").alias("y_center"), F.min("x1").alias("x1"), F.max("x2").alias("x2"), F.median("height").alias("height"), F.avg("confidence").alias("confidence"))
+    mean = lambda c: F.sum(F.col(c) * F.col("n")) / F.sum("n")
+    out = blocks.groupBy("card_id", "block_id").agg(
+        text.alias("text"), mean("y_center").alias("y_center"), F.min("x1").alias("x1"), F.max("x2").alias("x2"), F.min("y1").alias("y1"), F.array_sort(F.flatten(F.collect_list("heights"))).alias("h"), mean("confidence").alias("confidence"),
+    )
+    half = F.floor((F.size("h") - 1) / 2).cast("int")
+    return out.withColumn("height", (F.get("h", half) + F.get("h", F.size("h") - 1 - half)) / 2).drop("h")
 
 
 def prominence(rows: DataFrame) -> DataFrame:
@@ -187,6 +219,23 @@ def social_profiles(lines: DataFrame) -> DataFrame:
     return out.select("card_id", F.col("linkedin.v").alias("linkedin"), F.col("github.v").alias("github"), F.coalesce(t, at(0)).alias("twitter"), F.coalesce(i, F.when(t.isNull(), at(1)).otherwise(at(0))).alias("instagram"))
 
 
+def phones_by_layout(rows: DataFrame, most: int = 5) -> DataFrame:
+    """(card_id, rank, phone): digit runs of rows whose role is none of mail, web, address and profile.
+
+    Digits of postal codes in address rows and rows of postal shape are blocked. A number with
+    a calling code that fits takes its international form, in a row before the others; of equal
+    digits the first stays.
+    """
+    postal = rows.filter((F.col("role") == "address") | F.col("is_postal")).select("card_id", F.explode(F.regexp_extract_all("text", F.lit(C.POSTAL_SHAPE), F.lit(0))).alias("code"))
+    postal = postal.select("card_id", F.regexp_replace("code", r"\D", "").alias("digits")).distinct()
+    free = rows.filter(~F.col("role").isin("email", "web", "address", "social"))
+    found = free.select("card_id", "row_id", F.posexplode(F.regexp_extract_all("text", F.lit(C.PHONE_RUN), F.lit(0))).alias("pos", "raw"))
+    found = found.withColumns({"raw": F.trim("raw"), "plan": numbering(F.trim("raw"))}).withColumns({"phone": F.coalesce("plan.number", "raw"), "plain": F.col("plan").isNull()}).withColumn("digits", F.regexp_replace("phone", r"\D", ""))
+    found = found.filter(F.length("digits").between(7, 15)).join(postal, ["card_id", "digits"], "left_anti")
+    first = found.withColumn("k", F.row_number().over(Window.partitionBy("card_id", "digits").orderBy("row_id", "plain", "pos"))).filter("k = 1")
+    return first.withColumn("rank", F.row_number().over(card().orderBy("row_id", "plain", "pos"))).filter(F.col("rank") <= most).select("card_id", "rank", "phone")
+
+
 def pivot_phones(found: DataFrame) -> DataFrame:
     return found.filter("rank <= 3").groupBy("card_id").agg(*(F.max(F.when(F.col("rank") == k, F.col("phone"))).alias(f"phone_{k}") for k in (1, 2, 3)))
 
@@ -196,16 +245,32 @@ def filled_badge(records: DataFrame, fields: tuple[str, ...], green: int, yellow
     return records.withColumn("filled", n).withColumn("badge", F.when(F.col("filled") >= green, "GREEN").when(F.col("filled") >= yellow, "YELLOW").otherwise("RED"))
 
 
+def clean_tokens(lines: DataFrame) -> DataFrame:
+    """``lines`` with the spaces around "@" and "." gone, spaced capitals joined, and pairs of capital words glued."""
+    t = F.regexp_replace(F.regexp_replace("text", r"(?U)\s+@\s+", "@"), r"(?U)\s+\.\s+", ".")
+    t = F.when(t.rlike(r"(?U)^(?:[A-Z]\s+){2,}[A-Z]$"), F.replace(t, F.lit(" "), F.lit(""))).otherwise(t)
+    return lines.withColumn("text", F.regexp_replace(t, r"(?U)([A-Z]{2,})\s+([A-Z]{2,})", "$1$2"))
+
+
 def flat_simple(lines: DataFrame) -> DataFrame:
-    """(card_id, name, title, email, website, phone, filled, badge): first line or match that fits each field."""
+    """(card_id, name, title, company, email, website, phone, address, filled, badge): from cleaned lines, the first line or match that fits each field.
+
+    Companies and addresses are told by their hints, where the entity model would be.
+    """
+    lines = clean_tokens(lines)
     t = F.col("text")
     mail = first_email(lines)
-    phone = lines.withColumn("phone", F.regexp_extract("text", C.PHONE_RUN, 0)).filter("phone != ''").groupBy("card_id").agg(F.min_by("phone", "line_no").alias("phone"))
+    numbers = lines.select("card_id", "line_no", F.posexplode(F.regexp_extract_all("text", F.lit(C.PHONE_RUN), F.lit(0))).alias("pos", "raw")).withColumn("phone", numbering(F.trim("raw"))["number"])
+    phone = numbers.filter("phone is not null").groupBy("card_id").agg(F.min_by("phone", F.struct("line_no", "pos")).alias("phone"))
     first = lambda test, name: lines.filter(test).groupBy("card_id").agg(F.min_by("text", "line_no").alias(name))
     out = lines.select("card_id").distinct()
-    for part in (first(word_count(t).between(2, 3) & (is_upper(t) | is_title(t)), "name"), first(has_hint(t, DESIGNATIONS), "title"), mail, websites(lines, mail), phone):
+    fields = (
+        first(word_count(t).between(2, 3) & (is_upper(t) | is_title(t)), "name"), first(has_hint(t, DESIGNATIONS), "title"),
+        first(has_hint(t, C.COMPANY_HINTS) & ~t.contains("@"), "company"), mail, websites(lines, mail), phone, first(has_hint(t, C.ADDRESS_HINTS) & (digit_count(t) > 0) & ~t.contains("@"), "address"),
+    )
+    for part in fields:
         out = out.join(part, "card_id", "left")
-    return filled_badge(out, ("name", "title", "email", "website", "phone"), 5, 3)
+    return filled_badge(out, ("name", "title", "company", "email", "website", "phone", "address"), 6, 3)
 
 
 def flat_labelled(lines: DataFrame) -> DataFrame:
@@ -234,12 +299,44 @@ def flat_labelled(lines: DataFrame) -> DataFrame:
     )
 
 
+# Words that a name may not hold.
+AUDIT_JOBS = "manager developer engineer director partner consultant founder ceo cto coo cfo analyst lead specialist head officer executive president associate senior junior principal architect vp vice intern trainee advisor coordinator supervisor assistant deputy md proprietor owner chairman trustee secretary treasurer".split()
+AUDIT_COMPANIES = "ltd limited inc llp pvt private solutions consulting studio technologies tech group company labs services systems enterprises associates builders construction industries global international ventures holdings capital networks media digital infra infrastructure".split()
+AUDIT_PLACES = "road street complex floor level nagar city park tower building block sector phase plot avenue lane colony society residency plaza centre center mall".split()
+
+
+def candidate_flags(tokens: DataFrame, zone: float = 0.65) -> DataFrame:
+    """(card_id, tok_idx, text, flags, in_zone, caps): why each token is no name, whether it is high enough, and its capitals."""
+    t = geometry(tokens).withColumns({"low": F.lower("text"), "words": F.filter(F.split(F.trim("text"), r"(?U)\s+"), lambda w: w != "")})
+    has = lambda words: F.exists("words", lambda w: F.lower(w).isin(*words))
+    flags = F.array_compact(F.array(
+        F.when(~F.size("words").between(1, 6), F.concat(F.lit("WORD_COUNT="), F.size("words").cast("string"))),
+        F.when(~F.trim("text").rlike(r"^[A-Za-z\s.\-']+$"), F.lit("BAD_CHARS")), F.when(has(AUDIT_JOBS), F.lit("JOB_KEYWORD")), F.when(has(AUDIT_COMPANIES), F.lit("COMPANY_KEYWORD")),
+        F.when(F.col("low").rlike("|".join(AUDIT_PLACES)), F.lit("ADDRESS_KEYWORD")), F.when(F.col("low").rlike(r"\.(com|in|org|net|co\.in)"), F.lit("EMAIL_PATTERN")),
+    ))
+    height = F.max(F.col("box")[2][1].cast("int")).over(card())
+    caps = F.when(is_upper(F.col("text")), "CAPS").when(F.forall("words", lambda w: w.rlike(r"^\p{Lu}")), "Title").otherwise("mixed")
+    return t.select("card_id", "tok_idx", "text", flags.alias("flags"), (F.col("y1") <= zone * height).alias("in_zone"), caps.alias("caps"))
+
+
+def audit_lines(tokens: DataFrame, tolerance: float = 18.0) -> DataFrame:
+    """(card_id, row_id, n_tokens, joined, confidence, email): lines by a fixed tolerance, their tokens joined without spaces, and the mail address in them or in a token."""
+    rows = cluster_rows(tokens, anchor=tolerance)
+    compact = lambda c: F.regexp_replace(c, r"(?U)\s+", "")
+    mail = lambda c: F.nullif(F.regexp_extract(c, r"(?i)[A-Za-z0-9._%+\-]+@[A-Za-z0-9.\-]+\.[A-Za-z]{2,}", 0), F.lit(""))
+    parts = F.array_sort(F.collect_list(F.struct("cy", "x1", "tok_idx", "text")))
+    lines = rows.groupBy("card_id", "row_id").agg(parts.alias("p"), F.count("*").alias("n_tokens"), F.round(F.avg("score"), 6).alias("confidence"))
+    lines = lines.withColumn("joined", compact(F.array_join(F.transform("p", lambda s: s["text"]), "")))
+    alone = F.get(F.filter(F.transform("p", lambda s: mail(compact(s["text"]))), lambda m: m.isNotNull()), F.lit(0))
+    return lines.select("card_id", "row_id", "n_tokens", "joined", "confidence", F.coalesce(mail(F.col("joined")), alone).alias("email"))
+
+
 def token_audit(tokens: DataFrame, least: float = C.SURE_CONFIDENCE, tolerance: float = 18.0) -> DataFrame:
-    """(card_id, kept, dropped, n_rows, confidence, spaced): what a confidence threshold leaves, in rows by a fixed tolerance."""
+    """(card_id, kept, dropped, n_rows, confidence, spaced, n_mails, n_candidates): what a confidence threshold leaves, its lines, mails, and tokens that may be names."""
     split = tokens.groupBy("card_id").agg(F.sum((F.col("score") >= least).cast("int")).cast("long").alias("kept"), F.sum((F.col("score") < least).cast("int")).cast("long").alias("dropped"))
-    rows = cluster_rows(tokens.filter(F.col("score") >= least), anchor=tolerance)
+    sure = tokens.filter(F.col("score") >= least)
+    lines = audit_lines(sure, tolerance).groupBy("card_id").agg(F.count("*").alias("n_rows"), F.sum(F.col("email").isNotNull().cast("int")).cast("long").alias("n_mails"))
     spaced = F.forall(F.split("text", " "), lambda w: w.rlike(r"^\p{L}$"))
-    stats = rows.groupBy("card_id").agg(F.countDistinct("row_id").alias("n_rows"), F.round(F.avg("score"), 6).alias("confidence"), F.sum(spaced.cast("int")).cast("long").alias("spaced"))
-    return split.join(stats, "card_id", "left")
-
-
+    own = sure.groupBy("card_id").agg(F.round(F.avg("score"), 6).alias("confidence"), F.sum(spaced.cast("int")).cast("long").alias("spaced"))
+    names = candidate_flags(sure).groupBy("card_id").agg(F.sum((F.size("flags") == 0).cast("int")).cast("long").alias("n_candidates"))
+    return split.join(lines, "card_id", "left").join(own, "card_id", "left").join(names, "card_id", "left")

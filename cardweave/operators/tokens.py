@@ -133,7 +133,7 @@ def layout_lines(tokens: DataFrame) -> DataFrame:
 
 
 def merge_blocks(lines: DataFrame) -> DataFrame:
-    """(card_id, block_id, text, n_lines, first_height, even, y1, x1): lines that run on into each other.
+    """(card_id, block_id, text, texts, n_lines, first_height, even, y1, x1): lines that run on into each other.
 
     Only neighbours are compared, so blocks are islands between breaks.
     """
@@ -154,7 +154,7 @@ def merge_blocks(lines: DataFrame) -> DataFrame:
     out = blocks.groupBy("card_id", "block_id").agg(ordered.alias("lines"))
     first = F.col("lines")[0]
     return out.select(
-        "card_id", "block_id", F.array_join(F.transform("lines", lambda s: s["text"]), " ").alias("text"), F.size("lines").alias("n_lines"),
+        "card_id", "block_id", F.array_join(F.transform("lines", lambda s: s["text"]), " ").alias("text"), F.transform("lines", lambda s: s["text"]).alias("texts"), F.size("lines").alias("n_lines"),
         first["height"].alias("first_height"), F.forall("lines", lambda s: s["height"] <= first["height"] * 1.35).alias("even"), first["y1"].alias("y1"), first["x1"].alias("x1"),
     )
 

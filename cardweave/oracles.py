@@ -7,7 +7,7 @@ geometry makes an operator's result plain (rows are the lines), the SQL says jus
 from __future__ import annotations
 
 from cardweave.functions import constants as C
-from cardweave.operators.rows import LABEL_COMPANIES, LABEL_JOBS
+from cardweave.operators.rows import AUDIT_COMPANIES, AUDIT_JOBS, AUDIT_PLACES, LABEL_COMPANIES, LABEL_JOBS
 
 
 def _list(values) -> str:
@@ -37,12 +37,12 @@ w AS (SELECT card_id, line_no, text, string_split(text, ' ') AS ws FROM contact_
 i AS (SELECT card_id, line_no, ws, unnest(range(0, len(ws))) AS word_no FROM w),
 word AS (SELECT card_id, line_no, word_no, list_extract(ws, (word_no + 1)::INT) AS word FROM i),
 placed AS (SELECT *, 8.0 * (coalesce(sum(length(word) + 1) OVER (PARTITION BY card_id, line_no ORDER BY word_no ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)) AS x,
-  (CASE WHEN card_id % 4 = 0 THEN 24 ELSE 30 END * line_no + word_no % 3)::DOUBLE AS y, 0.5 + ((card_id * 31 + line_no * 7 + word_no * 13) % 50) / 100.0 AS s,
+  (CASE WHEN card_id % 4 = 0 THEN 24 ELSE 30 END * line_no + word_no % 3)::DOUBLE AS y, 0.1 + ((card_id * 31 + line_no * 7 + word_no * 13) % 88) / 100.0 AS s, (card_id + word_no) % 5 = 0 AND (word NOT LIKE '%g%' OR (card_id + line_no + word_no) % 3 <> 0) AS better,
   row_number() OVER (PARTITION BY card_id ORDER BY line_no, word_no) - 1 AS i, count(*) OVER (PARTITION BY card_id) AS m FROM word),
 tokens AS (
-  SELECT card_id, line_no, word_no, i AS tok_idx, 'normal' AS pass_name, word AS text, round(s, 4) AS score, x::DOUBLE AS x1, y AS y1, (x + 8.0 * length(word))::DOUBLE AS x2, y + 20.0 AS y2 FROM placed
+  SELECT card_id, line_no, word_no, i AS tok_idx, 'normal' AS pass_name, NOT better AS chosen, word AS text, round(s, 4) AS score, x::DOUBLE AS x1, y AS y1, (x + 8.0 * length(word))::DOUBLE AS x2, y + 20.0 AS y2 FROM placed
   UNION ALL
-  SELECT card_id, line_no, word_no, i + m, 'bright', CASE WHEN (card_id + line_no + word_no) % 3 = 0 THEN replace(word, 'g', 'q') ELSE word END, round(s - 0.03, 4), (x + 1.0)::DOUBLE, y + 1.0, (x + 1.0 + 8.0 * length(word))::DOUBLE, y + 21.0 FROM placed),
+  SELECT card_id, line_no, word_no, i + m, 'bright', better, CASE WHEN (card_id + line_no + word_no) % 3 = 0 THEN replace(word, 'g', 'q') ELSE word END, round(s + CASE WHEN better THEN 0.02 ELSE -0.03 END, 4), (x + 1.0)::DOUBLE, y + 1.0, (x + 1.0 + 8.0 * length(word))::DOUBLE, y + 21.0 FROM placed),
 sized AS (SELECT *, greatest(1.0, x2 - x1) AS width, greatest(1.0, x2 - x1) / greatest(1, CASE WHEN length(regexp_replace(text, '[^A-Za-z]', '', 'g')) > 0 THEN length(regexp_replace(text, '[^A-Za-z]', '', 'g')) ELSE length(text) END) AS cw FROM tokens),
 pairs AS (SELECT a.card_id, a.tok_idx AS a, b.tok_idx AS b, (a.x2 - a.x1 - 1) * 19.0 / (2 * (a.x2 - a.x1) * 20 - (a.x2 - a.x1 - 1) * 19.0) AS iou
   FROM tokens a JOIN tokens b ON a.card_id = b.card_id AND a.line_no = b.line_no AND a.word_no = b.word_no AND a.pass_name = 'normal' AND b.pass_name = 'bright')"""
@@ -110,6 +110,14 @@ rec AS (SELECT card_id, coalesce(max(CASE WHEN line_no = 0 THEN text END), '') A
 sig AS (SELECT *, {_CANON.format('name')} || '|' || {_CANON.format('company')} || '|' || {_CANON.format('title')} || '|' || {_CANON.format('email')} || '|' || {_CANON.format('phone')} || '||' || {_CANON.format('address')} AS signature FROM rec),
 old AS (SELECT * FROM sig WHERE card_id % 2 = 0 OR card_id % 10 = 5), new AS (SELECT * FROM sig WHERE card_id % 2 = 1 OR card_id % 10 = 0)"""
 
+PROFILES = """
+WITH c AS (SELECT c_custkey::BIGINT AS k, c_custkey::VARCHAR AS n FROM customer),
+p AS (
+  SELECT k AS card_id, 0 AS line_no, 'mail user' || n || '@site' || n || '.com' AS text FROM c
+  UNION ALL SELECT k, 1, 'www.site' || n || '.com/home' FROM c WHERE k % 3 <> 0 UNION ALL SELECT k, 2, 'blog' || n || '.org/a' FROM c WHERE k % 2 = 0
+  UNION ALL SELECT k, 3, 'linkedin.com/in/user-' || n FROM c WHERE k % 4 <> 0 UNION ALL SELECT k, 4, 'see github.com/user' || n FROM c WHERE k % 5 = 0
+  UNION ALL SELECT k, 5, 'twitter.com/user' || n FROM c WHERE k % 3 = 1 UNION ALL SELECT k, 6, 'me: @user' || n || ' and @second' || n FROM c WHERE k % 7 < 3)"""
+
 SQL: dict[str, str] = {
     "emails": TRIMMED + " SELECT card_id, rank, email FROM em",
     "emails_by_domain": TRIMMED + " SELECT split_part(email, '@', 2) AS domain, count(*) AS n_cards, min(email) AS first_email FROM em GROUP BY 1",
@@ -119,16 +127,16 @@ SELECT line_no, count(*) AS n_lines, round(avg({_ALPHA.format('text')}), 6) AS a
  sum({_CONF.format('text')})::BIGINT AS confusions, sum({_WORDS.format('text')})::BIGINT AS words, sum(length(text))::BIGINT AS chars, count(DISTINCT {_CANON.format('text')}) AS keys, round(avg({_FID}), 6) AS fidelity
 FROM contact_lines GROUP BY line_no""",
     "token_geometry": TOKENS + " SELECT card_id, tok_idx, pass_name, text, score, x1, y1, x2, y2, width, (y1 + y2) / 2 AS cy, round(cw, 6) AS char_width FROM sized",
-    "confidence_split": TOKENS + " SELECT pass_name, score >= 0.75 AS sure, count(*) AS n, round(avg(score), 6) AS mean_score FROM tokens GROUP BY 1, 2",
-    "payload_dict_tokens": TOKENS + " SELECT card_id, tok_idx, text, score, x1, y1, x2, y2 FROM tokens WHERE pass_name = 'normal'",
-    "payload_item_tokens": TOKENS + " SELECT card_id, tok_idx, text, score, x1, y1, x2, y2 FROM tokens WHERE pass_name = 'normal'",
+    "confidence_split": TOKENS + " SELECT pass_name, score >= 0.18 AS seen, score >= 0.45 AS sure, count(*) AS n, round(avg(score), 6) AS mean_score FROM tokens GROUP BY 1, 2, 3",
+    "payload_dict_tokens": TOKENS + " SELECT card_id, pass_name, row_number() OVER (PARTITION BY card_id, pass_name ORDER BY tok_idx) - 1 AS tok_idx, text, score, x1, y1, x2, y2 FROM tokens",
+    "payload_item_tokens": TOKENS + " SELECT card_id, pass_name, row_number() OVER (PARTITION BY card_id, pass_name ORDER BY tok_idx) - 1 AS tok_idx, text, score, x1, y1, x2, y2 FROM tokens",
     "overlap_pairs": TOKENS + " SELECT card_id, a, b, round(iou, 6) AS iou FROM pairs WHERE iou >= 0.58",
-    "token_dedup": TOKENS + " SELECT card_id, tok_idx, pass_name, text, score FROM tokens WHERE pass_name = 'normal'",
+    "token_dedup": TOKENS + " SELECT card_id, tok_idx, pass_name, text, score FROM tokens WHERE chosen",
     "card_stats": TOKENS + " SELECT card_id, count(*) AS n_tokens, median(y2 - y1) AS median_height, round(median(cw), 6) AS median_char, round(stddev_pop(cw), 6) AS sd_char, min(y1) AS y_min, max(y2) AS y_max FROM sized GROUP BY card_id",
-    "row_clusters": TOKENS + " SELECT card_id, dense_rank() OVER (PARTITION BY card_id ORDER BY line_no) - 1 AS row_id, tok_idx FROM tokens WHERE pass_name = 'normal'",
-    "anchor_rows": TOKENS + " SELECT card_id, dense_rank() OVER (PARTITION BY card_id ORDER BY line_no) - 1 AS row_id, tok_idx FROM tokens WHERE pass_name = 'normal'",
-    "layout_lines": TOKENS + """, l AS (SELECT card_id, line_no, min(x1) AS x1, min(y1) AS y1, max(x2) AS x2, max(y2) AS y2, 20.0::DOUBLE AS height FROM tokens WHERE pass_name = 'normal' GROUP BY card_id, line_no)
-SELECT l.card_id, dense_rank() OVER (PARTITION BY l.card_id ORDER BY l.line_no) - 1 AS row_id, t.text, x1, y1, x2, y2, height FROM l JOIN contact_lines t ON l.card_id = t.card_id AND l.line_no = t.line_no""",
+    "row_clusters": TOKENS + " SELECT card_id, dense_rank() OVER (PARTITION BY card_id ORDER BY line_no) - 1 AS row_id, tok_idx FROM tokens WHERE chosen",
+    "anchor_rows": TOKENS + " SELECT card_id, dense_rank() OVER (PARTITION BY card_id ORDER BY line_no) - 1 AS row_id, tok_idx FROM tokens WHERE chosen",
+    "layout_lines": TOKENS + """, l AS (SELECT card_id, line_no, min(x1) AS x1, min(y1) AS y1, max(x2) AS x2, max(y2) AS y2, median(y2 - y1) AS height, string_agg(text, ' ' ORDER BY word_no) AS text FROM tokens WHERE chosen GROUP BY card_id, line_no)
+SELECT card_id, dense_rank() OVER (PARTITION BY card_id ORDER BY y1) - 1 AS row_id, text, x1, y1, x2, y2, height FROM l""",
     "row_features": LINES + f"""
 SELECT card_id, line_no, {_WORDS.format('text')} AS word_count, {_DIGITS.format('text')} > 0 AS has_digit, round({_DIGITS.format('text')} / length(text)::DOUBLE, 6) AS digit_density,
  round(length(regexp_replace(text, '[^,./#@:;-]', '', 'g')) / length(text)::DOUBLE, 6) AS punct_density, round({_ALPHA.format('text')}, 6) AS alpha_density, {_UPPER.format('text')} AS all_caps,
@@ -138,7 +146,13 @@ SELECT card_id, line_no, line_no = 3 AS is_email, line_no = 4 AS is_phone, line_
     "address_firewall": LINES + f" SELECT card_id, line_no, 'SG' AS region, {_POSTAL} AS postal FROM contact_lines WHERE line_no = 5",
     "addresses": LINES + f" SELECT card_id, text AS address, 'SG' AS region, {_ALPHA.format('text')} >= 0.45 AS validated FROM contact_lines WHERE line_no = 5",
     "hint_matches": LINES + f" SELECT line_no, " + ", ".join(f"sum(CASE WHEN {_hint(h)} THEN 1 ELSE 0 END)::BIGINT AS {n}" for n, h in (("address", C.ADDRESS_HINTS), ("job", C.JOB_HINTS), ("company", C.COMPANY_HINTS))) + " FROM contact_lines GROUP BY line_no",
-    "numbering_plan": LINES + " SELECT card_id, text AS phone, 'SG' AS region, '+65 ' || substr(regexp_replace(text, '[^0-9]', '', 'g'), 3) AS number FROM contact_lines WHERE line_no = 4",
+    "numbering_plan": f"""
+WITH c AS (SELECT c_custkey::BIGINT AS k FROM customer),
+n AS (SELECT k AS card_id, CASE WHEN k % 5 = 0 THEN '' ELSE '+' END || ((k * 7) % 999 + 1)::VARCHAR || CASE WHEN k % 3 = 0 THEN ' ' ELSE '-' END || left(lpad(((k * 7919 + 13) % 100000000000)::VARCHAR, 11, '0'), (6 + k % 6)::INT) AS phone FROM c),
+d AS (SELECT *, regexp_replace(phone, '[^0-9]', '', 'g') AS d FROM n),
+plan(code, region, low, high) AS (VALUES {", ".join(f"('{c}', '{r}', {C.NATIONAL_DIGITS.get(r, (7, 11))[0]}, {C.NATIONAL_DIGITS.get(r, (7, 11))[1]})" for c, r in C.CALLING_CODES.items())}),
+fit AS (SELECT card_id, region, '+' || code || ' ' || substr(d, length(code) + 1) AS number, row_number() OVER (PARTITION BY card_id ORDER BY length(code) DESC) AS k FROM d JOIN plan ON starts_with(d, code) AND length(d) - length(code) BETWEEN low AND high WHERE phone LIKE '+%')
+SELECT n.card_id, n.phone, fit.region, fit.number FROM n LEFT JOIN fit ON n.card_id = fit.card_id AND fit.k = 1""",
     "best_names": CHOSEN + " SELECT * FROM nm",
     "best_companies": CHOSEN + " SELECT * FROM co",
     "best_titles": CHOSEN + " SELECT * FROM ti",
@@ -146,7 +160,32 @@ SELECT card_id, line_no, line_no = 3 AS is_email, line_no = 4 AS is_phone, line_
 WITH u AS (SELECT page_id AS card_id, rtrim(regexp_extract(url, '(?i)(https?://[a-z0-9.-]+[.][a-z]{2,63}(/[A-Za-z0-9_./?%&=+#~-]*)?)', 1), '.,;:') AS a FROM pages),
 b AS (SELECT card_id, a, 'https://www.' || regexp_replace(a, '^https?://', '') AS w FROM u WHERE a <> '')
 SELECT card_id, 1 AS rank, a AS url FROM b UNION ALL SELECT card_id, 2, w FROM b WHERE lower(a) <> lower(w)""",
-    "card_corpus": LINES + " SELECT card_id, string_agg(text, chr(10) ORDER BY line_no) AS corpus, count(*)::INT AS n_lines FROM contact_lines GROUP BY card_id",
+    "card_corpus": TOKENS + """, l AS (SELECT card_id, line_no, string_agg(text, ' ' ORDER BY word_no) AS text, avg(score) AS s FROM tokens WHERE pass_name = 'normal' GROUP BY card_id, line_no)
+SELECT card_id, string_agg(text, ' ' ORDER BY line_no) AS corpus, count(*)::INT AS n_lines, round(avg(s), 6) AS confidence FROM l GROUP BY card_id""",
+    "candidate_flags": TOKENS + f""", h AS (SELECT *, max(floor(y2)) OVER (PARTITION BY card_id) AS height, lower(text) AS low FROM tokens)
+SELECT card_id, tok_idx, text, array_to_string(list_filter([CASE WHEN NOT regexp_full_match(text, '[A-Za-z .''-]+') THEN 'BAD_CHARS' END, CASE WHEN list_contains({_list(AUDIT_JOBS)}, low) THEN 'JOB_KEYWORD' END,
+  CASE WHEN list_contains({_list(AUDIT_COMPANIES)}, low) THEN 'COMPANY_KEYWORD' END, CASE WHEN regexp_matches(low, '{_any(AUDIT_PLACES)}') THEN 'ADDRESS_KEYWORD' END, CASE WHEN regexp_matches(low, '[.](com|in|org|net|co[.]in)') THEN 'EMAIL_PATTERN' END], lambda x: x IS NOT NULL), ',') AS flags,
+ y1 <= 0.65 * height AS in_zone, CASE WHEN {_UPPER.format('text')} THEN 'CAPS' WHEN regexp_matches(text, '^[A-Z]') THEN 'Title' ELSE 'mixed' END AS caps FROM h""",
+    "audit_lines": TOKENS + """ SELECT card_id, dense_rank() OVER (PARTITION BY card_id ORDER BY line_no) - 1 AS row_id, count(*) AS n_tokens, string_agg(text, '' ORDER BY y1, x1) AS joined, round(avg(score), 6) AS confidence,
+ nullif(regexp_extract(string_agg(text, '' ORDER BY y1, x1), '[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+[.][A-Za-z]{2,}'), '') AS email FROM tokens WHERE pass_name = 'normal' GROUP BY card_id, line_no""",
+    "clean_tokens": ALL_LINES + r""", a AS (SELECT card_id, line_no, regexp_replace(regexp_replace(text, '\s+@\s+', '@', 'g'), '\s+[.]\s+', '.', 'g') AS text FROM all_lines WHERE trim(text) <> ''),
+b AS (SELECT card_id, line_no, CASE WHEN regexp_matches(text, '^([A-Z]\s+){2,}[A-Z]$') THEN replace(text, ' ', '') ELSE text END AS text FROM a)
+SELECT card_id, line_no, regexp_replace(text, '([A-Z]{2,})\s+([A-Z]{2,})', '\1\2', 'g') AS text FROM b""",
+    "websites": PROFILES + """, m AS (SELECT card_id, min(CASE WHEN line_no = 1 THEN 1 WHEN line_no = 2 THEN 2 END) AS a FROM p GROUP BY card_id),
+w AS (SELECT card_id, line_no, unnest(regexp_extract_all(text, '(?i)((https?://|www[.])[A-Za-z0-9./_%?=&#@-]+|[A-Za-z0-9][A-Za-z0-9_-]*[.][A-Za-z]{2,12}(/[^ ]*)?)', 1)) AS web FROM p WHERE line_no > 0),
+k AS (SELECT *, row_number() OVER (PARTITION BY card_id ORDER BY line_no) AS r FROM w WHERE web NOT LIKE '%@%' AND NOT contains(web, 'site' || card_id::VARCHAR || '.com'))
+SELECT card_id, web AS website FROM k WHERE r = 1""",
+    "social_profiles": PROFILES + """, s AS (SELECT card_id, max(regexp_extract(text, '(linkedin[.]com/in/[a-z0-9-]+)', 1)) AS linkedin, max(regexp_extract(text, '(github[.]com/[a-z0-9-]+)', 1)) AS github, max(regexp_extract(text, '(twitter[.]com/[a-z0-9]+)', 1)) AS t,
+  max(CASE WHEN line_no = 6 THEN regexp_extract(text, '(@user[0-9]+)', 1) ELSE '' END) AS a, max(regexp_extract(text, '(@second[0-9]+)', 1)) AS b FROM p GROUP BY card_id)
+SELECT card_id, nullif(linkedin, '') AS linkedin, nullif(github, '') AS github, coalesce(nullif(t, ''), nullif(a, '')) AS twitter, CASE WHEN t = '' THEN nullif(b, '') ELSE nullif(a, '') END AS instagram FROM s""",
+    "detections": TOKENS + " SELECT 'card' || card_id::VARCHAR || '.png' AS filename, '/in/card' || card_id::VARCHAR || '.png' AS filepath, text, score::DOUBLE AS confidence, x1::INT AS xmin, y1::INT AS ymin, x2::INT AS xmax, y2::INT AS ymax FROM tokens",
+    "recognised": "SELECT doc_id::VARCHAR AS label, 'normal' AS pass_name, len(string_split(text, ' ')) AS n_tokens, len(string_split(text, ' ')) - 1 AS last FROM documents WHERE text IS NOT NULL",
+    "bundle": "SELECT * FROM (VALUES ('fields', 8), ('records', 1), ('rows', 1)) v(kind, m), LATERAL (SELECT m * count(*) AS n, count(*) AS n_cards FROM customer) c".replace("SELECT *", "SELECT kind, n, n_cards", 1),
+    "file_stems": BATCHES + " SELECT card_id, replace(name, ' ', '_') AS stem FROM rec",
+    "sparse_vcards": BATCHES + """
+SELECT card_id, 'BEGIN:VCARD' || chr(10) || 'VERSION:3.0' || chr(10) || 'FN:' || name || chr(10) || 'N:' || split_part(name, ' ', 2) || ';' || split_part(name, ' ', 1) || ';;;' || chr(10) || 'ORG:' || company || chr(10) || 'TITLE:' || title || chr(10) || 'EMAIL;TYPE=INTERNET:' || email || chr(10)
+ || CASE WHEN phone <> '' THEN 'TEL;TYPE=VOICE:' || phone || chr(10) ELSE '' END || CASE WHEN address <> '' THEN 'ADR;TYPE=WORK:;;' || address || chr(10) ELSE '' END || 'END:VCARD' AS vcard FROM rec""",
+    "master_merged": BATCHES + " SELECT card_id, '2024_03' AS month, 2 AS run_id, email FROM new UNION ALL SELECT card_id, '2024_03', 1, email FROM old WHERE signature NOT IN (SELECT signature FROM new)",
     "first_emails": LINES + " SELECT card_id, text AS email FROM contact_lines WHERE line_no = 3",
     "reading_order": LINES + """
 SELECT a.card_id, a.line_no AS src, b.line_no AS dst FROM contact_lines a JOIN contact_lines b ON a.card_id = b.card_id AND a.line_no < b.line_no
@@ -160,9 +199,9 @@ SELECT * FROM h1 UNION SELECT * FROM h2""",
     "master_upsert": BATCHES + " SELECT card_id, '2024_03' AS month, 2 AS run_id, email FROM new UNION ALL SELECT card_id, '2024_03', 1, email FROM old WHERE signature NOT IN (SELECT signature FROM new)",
     "vcards": BATCHES + """
 SELECT card_id, 'BEGIN:VCARD' || chr(10) || 'VERSION:3.0' || chr(10) || 'FN:' || name || chr(10) || 'ORG:' || company || chr(10) || 'TITLE:' || title || chr(10) || 'EMAIL;TYPE=INTERNET:' || email || chr(10)
- || 'TEL;TYPE=VOICE:' || phone || chr(10) || 'URL:' || chr(10) || 'ADR;TYPE=WORK:;;' || address || chr(10) || 'END:VCARD' AS vcard FROM old""",
+ || 'TEL;TYPE=VOICE:' || phone || chr(10) || 'URL:' || chr(10) || 'ADR;TYPE=WORK:;;' || address || chr(10) || 'END:VCARD' AS vcard FROM rec""",
     "ink_segments": """
-WITH r AS (SELECT l_orderkey % 50 AS page_id, row_number() OVER (PARTITION BY l_orderkey % 50 ORDER BY l_orderkey, l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice) - 1 AS y, l_quantity AS ink FROM lineitem),
+WITH r AS (SELECT l_orderkey // 200 AS page_id, row_number() OVER (PARTITION BY l_orderkey // 200 ORDER BY l_orderkey, l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice) - 1 AS y, l_quantity AS ink FROM lineitem),
 o AS (SELECT page_id, y, y - row_number() OVER (PARTITION BY page_id ORDER BY y) AS island FROM r WHERE ink > 25),
 e AS (SELECT page_id, max(y) AS last FROM r GROUP BY page_id),
 s AS (SELECT page_id, island, min(y) AS a, max(y) AS b FROM o GROUP BY page_id, island HAVING max(y) - min(y) + 1 > 3)
@@ -182,20 +221,24 @@ b AS (SELECT *, sum(brk) OVER (PARTITION BY card_id ORDER BY line_no ROWS UNBOUN
 SELECT card_id, block_id, string_agg(text, ' ' ORDER BY line_no) AS text, count(*) AS n_lines FROM b GROUP BY card_id, block_id""",
     "contacts": CHOSEN + """,
 q AS (SELECT card_id, max(CASE WHEN line_no = 0 THEN text END) AS n, max(CASE WHEN line_no = 1 THEN text END) AS t, max(CASE WHEN line_no = 3 THEN text END) AS e, max(CASE WHEN line_no = 4 THEN text END) AS p, max(CASE WHEN line_no = 5 THEN text END) AS a FROM contact_lines GROUP BY card_id)
-SELECT q.card_id, nm.name, co.company, CASE WHEN q.card_id % 4 = 0 THEN n || ' ' || t ELSE t END AS title, regexp_replace(e, 'orgx$', 'org') AS email, '+' || regexp_replace(p, '[^0-9]', '', 'g') AS phone,
+SELECT q.card_id, nm.name, co.company, CASE WHEN q.card_id % 4 = 0 THEN n || ' ' || t ELSE t END AS title, regexp_replace(e, 'orgx$', 'org') AS email, '+65 ' || substr(regexp_replace(p, '[^0-9]', '', 'g'), 3) AS phone,
  NULL::VARCHAR AS website, a AS address, 1.0::DOUBLE AS quality_score, 'GREEN' AS quality_badge FROM q LEFT JOIN nm ON q.card_id = nm.card_id LEFT JOIN co ON q.card_id = co.card_id""",
     "field_table": CHOSEN + """,
-q AS (SELECT card_id, max(CASE WHEN line_no = 1 THEN text END) AS t, max(CASE WHEN line_no = 3 THEN text END) AS e FROM contact_lines GROUP BY card_id)
-SELECT q.card_id, 'title' AS field, t AS value, true AS validated FROM q
-UNION ALL SELECT card_id, 'email', regexp_replace(e, 'orgx$', 'org'), true FROM q
-UNION ALL SELECT q.card_id, 'name', coalesce(nm.name, ''), nm.name IS NOT NULL FROM q LEFT JOIN nm ON q.card_id = nm.card_id
-UNION ALL SELECT q.card_id, 'company', coalesce(co.company, ''), co.company IS NOT NULL FROM q LEFT JOIN co ON q.card_id = co.card_id""",
+q AS (SELECT card_id, max(CASE WHEN line_no = 1 THEN text END) AS t, max(CASE WHEN line_no = 3 THEN text END) AS e, max(CASE WHEN line_no = 4 THEN text END) AS p, max(CASE WHEN line_no = 5 THEN text END) AS a FROM contact_lines GROUP BY card_id),
+f AS (SELECT q.card_id, 'title' AS field, t AS value FROM q
+UNION ALL SELECT card_id, 'email', regexp_replace(e, 'orgx$', 'org') FROM q
+UNION ALL SELECT card_id, 'phone', '+65 ' || substr(regexp_replace(p, '[^0-9]', '', 'g'), 3) FROM q
+UNION ALL SELECT card_id, 'website', NULL FROM q
+UNION ALL SELECT card_id, 'address', a FROM q
+UNION ALL SELECT q.card_id, 'name', nm.name FROM q LEFT JOIN nm ON q.card_id = nm.card_id
+UNION ALL SELECT q.card_id, 'company', co.company FROM q LEFT JOIN co ON q.card_id = co.card_id)
+SELECT card_id, field, coalesce(value, '') AS value, value IS NOT NULL AS validated FROM f UNION ALL SELECT card_id, 'quality', 'GREEN', true FROM q""",
     "fused_blocks": LINES + """,
 g AS (SELECT *, lag(line_no) OVER (PARTITION BY card_id ORDER BY line_no) AS pl FROM contact_lines),
 b AS (SELECT *, sum(CASE WHEN pl = line_no - 1 THEN 0 ELSE 1 END) OVER (PARTITION BY card_id ORDER BY line_no ROWS UNBOUNDED PRECEDING) - 1 AS block_id FROM g)
 SELECT card_id, block_id, string_agg(text, ' ' ORDER BY line_no) AS text, avg(30.0 * line_no + 10)::DOUBLE AS y_center, max(8.0 * length(text))::DOUBLE AS x2 FROM b GROUP BY card_id, block_id""",
     "row_prominence": LINES + """ SELECT card_id, line_no, 1.0::DOUBLE AS tps, round((line_no - min(line_no) OVER (PARTITION BY card_id)) / (max(line_no) OVER (PARTITION BY card_id) - min(line_no) OVER (PARTITION BY card_id))::DOUBLE, 6) AS pos FROM contact_lines""",
-    "stream_first_seen": "SELECT DISTINCT user_id::VARCHAR || '|' || " + _CANON.format("event_type") + " AS signature FROM events",
+    "stream_first_seen": "SELECT DISTINCT " + _CANON.format("user_id::VARCHAR") + " || '|' || " + _CANON.format("event_type") + " || '|' || strftime(ts, '%Y%m%d') AS signature FROM events",
     "scripts": ALL_LINES + r""" SELECT card_id, 'latin' AS primary, '' AS secondary, sum(length(regexp_replace(text, '[^\p{L}]', '', 'g')))::BIGINT AS n_letters FROM all_lines WHERE trim(text) <> '' GROUP BY card_id""",
 }
 

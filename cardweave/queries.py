@@ -7,13 +7,15 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from cardweave.functions import constants as C
 from cardweave.functions.similarity import lcs_likeness
-from cardweave.functions.text import text_profile
+from cardweave.functions.text import has_hint, text_profile
 from cardweave.operators import extract as X
 from cardweave.operators import master as M
 from cardweave.operators import rows as R
 from cardweave.operators import tokens as T
 from cardweave.plans import pipelines as P
+from cardweave.plans.stage import new_folder
 from cardweave.sources import fixtures as S
 from cardweave.sources import payload as L
 from cardweave.streaming.jobs import first_seen_once
@@ -50,17 +52,17 @@ def token_geometry(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def confidence_split(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = S.contact_tokens(spark, sf_dir)
-    return t.groupBy("pass_name", (F.col("score") >= 0.75).alias("sure")).agg(F.count("*").alias("n"), F.round(F.avg("score"), 6).alias("mean_score"))
+    return t.groupBy("pass_name", (F.col("score") >= C.MIN_CONFIDENCE).alias("seen"), (F.col("score") >= C.SURE_CONFIDENCE).alias("sure")).agg(F.count("*").alias("n"), F.round(F.avg("score"), 6).alias("mean_score"))
 
 
 def payload_dict_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = T.geometry(L.tokens_from_dict(S.payloads(spark, sf_dir)))
-    return t.select("card_id", "tok_idx", "text", "score", "x1", "y1", "x2", "y2")
+    return t.select("card_id", "pass_name", "tok_idx", "text", "score", "x1", "y1", "x2", "y2")
 
 
 def payload_item_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = T.geometry(L.tokens_from_items(S.payloads(spark, sf_dir)))
-    return t.select("card_id", "tok_idx", "text", "score", "x1", "y1", "x2", "y2")
+    return t.select("card_id", "pass_name", "tok_idx", "text", "score", "x1", "y1", "x2", "y2")
 
 
 def overlap_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -105,13 +107,10 @@ def address_firewall(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def addresses(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return X.addresses(X.address_lines(_lines(spark, sf_dir)))
+    return X.addresses(X.address_lines(_lines(spark, sf_dir))).drop("evidence")
 
 
 def hint_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from cardweave.functions import constants as C
-    from cardweave.functions.text import has_hint
-
     t = S.contact_lines(spark, sf_dir)
     return t.groupBy("line_no").agg(*(F.sum(has_hint(F.col("text"), h).cast("int")).cast("long").alias(n) for n, h in (("address", C.ADDRESS_HINTS), ("job", C.JOB_HINTS), ("company", C.COMPANY_HINTS))))
 
@@ -123,25 +122,25 @@ def phone_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def phones(spark: SparkSession, sf_dir: str) -> DataFrame:
     lines = _lines(spark, sf_dir)
-    return X.phones(lines, X.blocked(X.address_lines(lines)))
+    flagged = X.address_lines(lines)
+    return X.phones(lines, X.blocked(flagged), X.addresses(flagged)).select("card_id", "rank", "phone", "row_id")
 
 
 def numbering_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    lines = S.contact_lines(spark, sf_dir).filter("line_no = 4").select("card_id", F.col("text").alias("phone"))
-    return X.plan_numbers(lines, X.calling_codes(spark))
+    return X.plan_numbers(S.dialled_numbers(spark, sf_dir))
 
 
 def best_names(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return X.names(_lines(spark, sf_dir))
+    return X.names(_lines(spark, sf_dir)).drop("name_evidence")
 
 
 def best_companies(spark: SparkSession, sf_dir: str) -> DataFrame:
     lines = _lines(spark, sf_dir)
-    return X.companies(lines, X.names(lines).select("card_id", F.col("name").alias("value")))
+    return X.companies(lines, X.names(lines).select("card_id", F.col("name").alias("value"))).drop("company_evidence")
 
 
 def best_titles(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return X.titles(T.merge_blocks(_lines(spark, sf_dir))).drop("n_lines")
+    return X.titles(T.merge_blocks(_lines(spark, sf_dir))).drop("title_evidence")
 
 
 def urls(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -150,7 +149,7 @@ def urls(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def social_handles(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return X.handles(T.lines_as_layout(_all_lines(spark, sf_dir)))
+    return X.handles(T.lines_as_layout(_all_lines(spark, sf_dir))).drop("text")
 
 
 def scripts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -158,8 +157,9 @@ def scripts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def card_corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
-    t = S.contact_lines(spark, sf_dir).groupBy("card_id").agg(F.array_sort(F.collect_list(F.struct("line_no", "text"))).alias("l"))
-    return t.select("card_id", F.array_join(F.transform("l", lambda s: s["text"]), "\n").alias("corpus"), F.size("l").alias("n_lines"))
+    rows = T.cluster_rows(S.contact_tokens(spark, sf_dir).filter("pass_name = 'normal'"))
+    sure = rows.groupBy("card_id", "row_id").agg(F.avg("score").alias("confidence"))
+    return R.card_corpus(T.compose_lines(rows).join(sure, ["card_id", "row_id"]))
 
 
 def first_emails(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -195,7 +195,8 @@ def contacts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def contacts_layout(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return P.contacts_by_layout(S.contact_tokens(spark, sf_dir))
+    # The tokens are words, which stand closer than the parts of lines that the plan's own factor is for.
+    return P.contacts_by_layout(S.contact_tokens(spark, sf_dir), gap_factor=0.3)
 
 
 def flat_simple(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -207,14 +208,72 @@ def flat_labelled(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def token_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return R.token_audit(S.contact_tokens(spark, sf_dir).filter("pass_name = 'normal'"), least=0.6)
+    return R.token_audit(S.contact_tokens(spark, sf_dir))
+
+
+def audit_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return R.audit_lines(S.contact_tokens(spark, sf_dir).filter("pass_name = 'normal'"))
+
+
+def candidate_flags(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return R.candidate_flags(S.contact_tokens(spark, sf_dir)).withColumn("flags", F.array_join("flags", ","))
+
+
+def clean_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return R.clean_tokens(_all_lines(spark, sf_dir))
+
+
+def layout_phones(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _lines(spark, sf_dir).withColumns({"y_center": F.col("y1") + 10, "confidence": F.lit(0.9)})
+    return R.phones_by_layout(R.roles(rows))
+
+
+def prominent_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _lines(spark, sf_dir).withColumns({"y_center": F.col("y1") + 10, "confidence": F.lit(0.9)})
+    return R.prominent_fields(R.roles(rows))
+
+
+def websites(spark: SparkSession, sf_dir: str) -> DataFrame:
+    lines = S.profile_lines(spark, sf_dir)
+    return R.websites(lines, R.first_email(lines))
+
+
+def social_profiles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return R.social_profiles(S.profile_lines(spark, sf_dir))
+
+
+def detections(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tokens as a detections file, and back."""
+    t = T.geometry(S.contact_tokens(spark, sf_dir))
+    path = f"{new_folder(spark)}/detections"
+    name = F.concat(F.lit("card"), F.col("card_id").cast("string"), F.lit(".png"))
+    rows = t.select(name.alias("filename"), F.concat(F.lit("/in/"), name).alias("filepath"), "text", F.col("score").alias("confidence"), F.col("x1").cast("int").alias("xmin"), F.col("y1").cast("int").alias("ymin"), F.col("x2").cast("int").alias("xmax"), F.col("y2").cast("int").alias("ymax"))
+    rows.write.option("header", True).csv(path)
+    return L.read_detections(spark, path)
+
+
+def recognised(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A recogniser of the caller's over each document: here one that reads words, and fails in one pass."""
+
+    def read(content: bytes, name: str) -> list[tuple[str, float, list]]:
+        if name == "broken":
+            raise ValueError(name)
+        return [(w, 0.5, [[8.0 * i, 0.0]] * 4) for i, w in enumerate(content.decode().split(" "))]
+
+    assets = spark.read.parquet(f"{sf_dir}/documents.parquet").select(F.col("doc_id").cast("string").alias("label"), F.col("text").cast("binary").alias("content")).filter("content is not null")
+    passes = spark.createDataFrame([("normal",), ("broken",)], "pass_name string")
+    return L.recognise(assets, passes, read).groupBy("label", "pass_name").agg(F.count("*").alias("n_tokens"), F.max("tok_idx").cast("long").alias("last"))
+
+
+def _plain_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A record of each customer from the six lines as they are."""
+    l = S.contact_lines(spark, sf_dir).groupBy("card_id").pivot("line_no", [0, 1, 2, 3, 4, 5]).agg(F.first("text"))
+    return l.select("card_id", *(F.coalesce(str(i), F.lit("")).alias(f) for i, f in enumerate(("name", "title", "company", "email", "phone", "address"))), F.lit("").alias("website"))
 
 
 def _batches(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     """Two batches of plain records that overlap in every tenth customer."""
-    l = S.contact_lines(spark, sf_dir).groupBy("card_id").pivot("line_no", [0, 1, 2, 3, 4, 5]).agg(F.first("text"))
-    r = l.select("card_id", *(F.coalesce(str(i), F.lit("")).alias(f) for i, f in enumerate(("name", "title", "company", "email", "phone", "address"))), F.lit("").alias("website"))
-    k = F.col("card_id")
+    r, k = _plain_records(spark, sf_dir), F.col("card_id")
     return P.as_batch(r.filter((k % 2 == 0) | (k % 10 == 5)), 1), P.as_batch(r.filter((k % 2 == 1) | (k % 10 == 0)), 2)
 
 
@@ -229,11 +288,45 @@ def master_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def field_table(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return M.field_table(_records(spark, sf_dir)).filter("field in ('name', 'email', 'title', 'company')")
+    return M.field_table(_records(spark, sf_dir))
 
 
 def vcards(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return M.vcards(_batches(spark, sf_dir)[0])
+    return M.vcards(_plain_records(spark, sf_dir))
+
+
+def sparse_vcards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return M.vcards(_plain_records(spark, sf_dir), sparse=True)
+
+
+def flat_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return M.flat_records(M.full_records(_records(spark, sf_dir)))
+
+
+def layout_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return M.layout_rows(contacts_layout(spark, sf_dir))
+
+
+def file_stems(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return M.with_stems(_plain_records(spark, sf_dir)).select("card_id", "stem")
+
+
+def bundle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Records persisted as a run, and the field table of the latest copy counted."""
+    path = new_folder(spark)
+    M.persist_bundle(_records(spark, sf_dir), path, "1")
+    kinds = {"fields": spark.read.parquet(f"{path}/latest/fields"), "records": spark.read.json(f"{path}/latest/records"), "rows": spark.read.option("header", True).csv(f"{path}/latest/rows")}
+    counts = [df.agg(F.lit(k).alias("kind"), F.count("*").alias("n"), F.countDistinct("card_id").alias("n_cards")) for k, df in kinds.items()]
+    return counts[0].unionByName(counts[1]).unionByName(counts[2])
+
+
+def master_merged(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two batches merged into a master on disk, one after the other, the second twice."""
+    path = f"{new_folder(spark)}/master"
+    old, new = _batches(spark, sf_dir)
+    for batch in (old, new, new):
+        M.merge_master(batch, path)
+    return spark.read.parquet(path).select("card_id", "month", "run_id", "email")
 
 
 def wide_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -272,10 +365,11 @@ def line_likeness(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stream_first_seen(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Signatures of the events as a stream sees them first."""
+    """Signatures of each day's events as a stream sees them first; state is kept for two days."""
     schema = spark.read.parquet(f"{sf_dir}/events.parquet").schema
     events = spark.readStream.schema(schema).option("pathGlobFilter", "*.parquet").parquet(f"{sf_dir}/events.parquet*")
-    return first_seen_once(events, ["user_id", "event_type"], "ts", "3650 days").select("signature")
+    days = events.withColumn("day", F.date_format("ts", "yyyyMMdd"))
+    return first_seen_once(days, ["user_id", "event_type", "day"], "ts", "2 days").select("signature")
 
 
 def queries() -> dict[str, Query]:
@@ -284,6 +378,7 @@ def queries() -> dict[str, Query]:
         row_clusters, anchor_rows, layout_lines, line_blocks, row_features, row_shapes, address_firewall, addresses, hint_matches, phone_windows, phones, numbering_plan,
         best_names, best_companies, best_titles, urls, social_handles, scripts, card_corpus, first_emails, reading_order, ancestors, layout_roles, fuzzy_lines, contacts,
         contacts_layout, flat_simple, flat_labelled, token_audit, master_append, master_upsert, field_table, vcards, wide_rows, ink_segments,
+        audit_lines, candidate_flags, clean_tokens, layout_phones, prominent_fields, websites, social_profiles, detections, recognised, sparse_vcards, flat_records, layout_rows, file_stems, bundle, master_merged,
         fused_blocks, variant_rows, row_prominence, phone_columns, line_likeness, stream_first_seen,
     )
     return {f.__name__: f for f in names}

@@ -48,12 +48,12 @@ def contact_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     words = words.select(
         "card_id", "line_no", "word_no", "word", (8.0 * before).alias("x"),
         (F.when(k % 4 == 0, 24).otherwise(30) * F.col("line_no") + F.col("word_no") % 3).cast("double").alias("y"),
-        (0.5 + ((k * 31 + F.col("line_no") * 7 + F.col("word_no") * 13) % 50) / 100.0).alias("s"),
+        (0.1 + ((k * 31 + F.col("line_no") * 7 + F.col("word_no") * 13) % 88) / 100.0).alias("s"),
     )
     bright_text = F.when((k + F.col("line_no") + F.col("word_no")) % 3 == 0, F.translate("word", "g", "q")).otherwise(F.col("word"))
     passes = F.explode(F.array(
         F.struct(F.lit("normal").alias("pass_name"), F.lit(0).alias("p"), F.col("word").alias("text"), F.col("s").alias("score"), F.lit(0.0).alias("d")),
-        F.struct(F.lit("bright").alias("pass_name"), F.lit(1).alias("p"), bright_text.alias("text"), (F.col("s") - 0.03).alias("score"), F.lit(1.0).alias("d")),
+        F.struct(F.lit("bright").alias("pass_name"), F.lit(1).alias("p"), bright_text.alias("text"), (F.col("s") + F.when(((k + F.col("word_no")) % 5 == 0) & (bright_text == F.col("word")), 0.02).otherwise(-0.03)).alias("score"), F.lit(1.0).alias("d")),
     ))
     t = words.select("*", passes.alias("t")).select("card_id", "line_no", "word_no", "x", "y", "t.*")
     x1, y1 = F.col("x") + F.col("d"), F.col("y") + F.col("d")
@@ -65,20 +65,51 @@ def contact_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def dialled_numbers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(card_id, phone): numbers of many calling codes and lengths, some without a plus, for each customer."""
+    k = F.col("c_custkey").cast("long")
+    national = F.lpad(((k * 7919 + 13) % 100000000000).cast("string"), 11, "0").substr(F.lit(1), (F.lit(6) + k % 6).cast("int"))
+    number = F.concat(F.when(k % 5 == 0, "").otherwise("+"), ((k * 7) % 999 + 1).cast("string"), F.when(k % 3 == 0, " ").otherwise("-"), national)
+    return spark.read.parquet(f"{sf_dir}/customer.parquet").select(k.alias("card_id"), number.alias("phone"))
+
+
+def profile_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(card_id, line_no, text): lines with websites and profiles of each customer; some have none of a kind."""
+    k = F.col("c_custkey").cast("long")
+    n = k.cast("string")
+    lines = [
+        F.concat(F.lit("mail user"), n, F.lit("@site"), n, F.lit(".com")), F.when(k % 3 != 0, F.concat(F.lit("www.site"), n, F.lit(".com/home"))), F.when(k % 2 == 0, F.concat(F.lit("blog"), n, F.lit(".org/a"))),
+        F.when(k % 4 != 0, F.concat(F.lit("linkedin.com/in/user-"), n)), F.when(k % 5 == 0, F.concat(F.lit("see github.com/user"), n)), F.when(k % 3 == 1, F.concat(F.lit("twitter.com/user"), n)), F.when(k % 7 < 3, F.concat(F.lit("me: @user"), n, F.lit(" and @second"), n)),
+    ]
+    out = spark.read.parquet(f"{sf_dir}/customer.parquet").select(k.alias("card_id"), F.posexplode(F.array(*lines)).alias("line_no", "text"))
+    return out.filter("text is not null")
+
+
 def payloads(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(card_id, pass_name, payload, items): tokens of the normal pass as JSON, in both forms."""
-    t = contact_tokens(spark, sf_dir).filter("pass_name = 'normal'")
-    rows = t.groupBy("card_id").agg(F.array_sort(F.collect_list(F.struct("tok_idx", "text", "score", "box"))).alias("t"))
+    """(card_id, pass_name, payload, items): tokens of each pass as JSON, in both forms; items of every shape that a recogniser may yield."""
+    t = contact_tokens(spark, sf_dir)
+
+    def item(x: F.Column) -> F.Column:
+        """An object with corners, one with eight numbers under another key, or a list of a box and a pair, by turns."""
+        flat = F.flatten(x["box"])
+        quoted = F.replace(F.to_json(F.array(x["text"])), F.lit("]"), F.lit(""))
+        pair = F.concat(F.lit("["), F.to_json(x["box"]), F.lit(","), quoted, F.lit(","), x["score"].cast("string"), F.lit("]]"))
+        return (
+            F.when(x["tok_idx"] % 3 == 0, F.to_json(F.struct(x["box"].alias("box"), x["text"].alias("text"), x["score"].alias("score"))))
+            .when(x["tok_idx"] % 3 == 1, F.to_json(F.struct(flat.alias("bbox"), x["text"].alias("rec_text"), x["score"].alias("rec_score")))).otherwise(pair)
+        )
+
+    rows = t.groupBy("card_id", "pass_name").agg(F.array_sort(F.collect_list(F.struct("tok_idx", "text", "score", "box"))).alias("t"))
     return rows.select(
-        "card_id", F.lit("normal").alias("pass_name"),
+        "card_id", "pass_name",
         F.to_json(F.struct(F.col("t.text").alias("rec_texts"), F.col("t.score").alias("rec_scores"), F.col("t.box").alias("rec_polys"))).alias("payload"),
-        F.to_json(F.transform("t", lambda x: F.struct(x["box"].alias("box"), x["text"].alias("text"), x["score"].alias("score")))).alias("items"),
+        F.concat(F.lit("["), F.array_join(F.transform("t", item), ","), F.lit("]")).alias("items"),
     )
 
 
 def ink_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(page_id, y, ink): rows of pages with their ink."""
-    page = F.col("l_orderkey") % 50
+    """(page_id, y, ink): rows of pages with their ink; a page has the lines of 200 order keys, so pages grow in number."""
+    page = F.floor(F.col("l_orderkey") / 200)
     w = Window.partitionBy("page_id").orderBy("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "ink", "l_extendedprice")
     rows = spark.read.parquet(f"{sf_dir}/lineitem.parquet").select(page.alias("page_id"), "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice", F.col("l_quantity").cast("double").alias("ink"))
     return rows.select("page_id", (F.row_number().over(w) - 1).alias("y"), "ink")
