@@ -1,0 +1,236 @@
+"""Folds over hard cards against brute force: better later readings, drifting rows, glued gaps, chains of near copies."""
+
+import math
+import random
+import re
+import statistics
+
+from pyspark.sql import functions as F
+
+from cardweave.functions import text as X
+from cardweave.functions.similarity import CONFUSED
+from cardweave.operators import extract, master, rows, tokens
+from cardweave.plans import pipelines
+from cardweave.sources import fixtures, payload
+from cardweave.streaming import jobs
+
+TOKEN = "card_id long, tok_idx int, pass_name string, text string, score double, box array<array<double>>"
+WORDS = ["ana", "Moreno", "S", "B", "10", "mail@x.org", "co-", "Grq", "Grg", "road", "l1", "xxxxxx", "+65", "é", "a  b"]
+
+
+def hard_cards(rnd, n=60):
+    out = []
+    for card in range(n):
+        drift, k = rnd.choice([0.0, 0.8, 1.7]), 0
+        for line in range(rnd.randrange(1, 6)):
+            x, y = rnd.choice([0.0, 5.0]), line * rnd.choice([9.0, 14.0, 25.0])
+            for _ in range(rnd.randrange(1, 8)):
+                w = rnd.choice(WORDS)
+                width = 7.0 * len(w)
+                for name in ("normal", "bright")[: rnd.randrange(1, 3)]:
+                    dx, dy = rnd.choice([0.0, 1.0, 4.0]), rnd.choice([0.0, 0.5, 2.0])
+                    seen = w.replace("g", "q") if rnd.random() < 0.3 else w
+                    out.append((card, k, name, seen, round(rnd.random(), 4), [[x + dx, y + dy], [x + dx + width, y + dy], [x + dx + width, y + dy + 12], [x + dx, y + dy + 12]]))
+                    k += 1
+                x += width + rnd.choice([-3.0, 1.0, 2.0, 7.0, 20.0])
+                y += drift
+    return out
+
+
+def geometry(t):
+    xs, ys = [p[0] for p in t[5]], [p[1] for p in t[5]]
+    n = sum(c.isalpha() for c in t[3]) or max(1, len(t[3]))
+    return {"row": t, "x1": min(xs), "y1": min(ys), "x2": max(xs), "y2": max(ys), "cx": (min(xs) + max(xs)) / 2, "cy": (min(ys) + max(ys)) / 2, "h": max(1.0, max(ys) - min(ys)), "char": max(1.0, max(xs) - min(xs)) / n}
+
+
+def canon(s):
+    return re.sub("[^a-z0-9]", "", s.lower().translate(str.maketrans("l|oqsbz", "110g582")))
+
+
+def overlap(a, b):
+    w, h = min(a["x2"], b["x2"]) - max(a["x1"], b["x1"]), min(a["y2"], b["y2"]) - max(a["y1"], b["y1"])
+    if w <= 0 or h <= 0:
+        return 0.0
+    area = lambda r: max(1.0, r["x2"] - r["x1"]) * max(1.0, r["y2"] - r["y1"])
+    return w * h / max(1.0, area(a) + area(b) - w * h)
+
+
+def deduped(card):
+    kept = []
+    for g in sorted(map(geometry, card), key=lambda g: (g["y1"], g["x1"], -g["row"][4], g["row"][1])):
+        for i, k in enumerate(kept):
+            if canon(k["row"][3]) == canon(g["row"][3]) and overlap(k, g) >= 0.58:
+                if g["row"][4] > k["row"][4]:
+                    kept[i] = g
+                break
+        else:
+            kept.append(g)
+    return kept
+
+
+def clustered(kept, factor=0.45, floor=2.5, anchor=None):
+    tol = anchor if anchor is not None else max(floor, factor * statistics.median(g["h"] for g in kept))
+    groups = []
+    for g in sorted(kept, key=lambda g: (g["cy"], g["x1"], g["row"][1])):
+        if groups:
+            last = groups[-1]
+            at = last[0]["cy"] if anchor is not None else sum(x["cy"] for x in last) / len(last)
+            if abs(g["cy"] - at) <= tol:
+                last.append(g)
+                continue
+        groups.append([g])
+    return groups
+
+
+def by_card(cards):
+    out = {}
+    for t in cards:
+        out.setdefault(t[0], []).append(t)
+    return out
+
+
+def test_token_folds(spark):
+    cards = hard_cards(random.Random(4))
+    df = spark.createDataFrame(cards, TOKEN)
+    kept = {c: deduped(ts) for c, ts in by_card(cards).items()}
+    assert sum(k["row"][2] == "bright" for ks in kept.values() for k in ks) > 20 and sum(map(len, kept.values())) < len(cards)
+    once = tokens.dedupe(df)
+    assert {(r.card_id, r.tok_idx) for r in once.collect()} == {(c, k["row"][1]) for c, ks in kept.items() for k in ks}
+    for options in ({}, {"anchor": 18.0}, {"factor": 0.5, "floor": 8.0}):
+        want = {(c, g["row"][1], i) for c, ks in kept.items() for i, group in enumerate(clustered(ks, **options)) for g in group}
+        assert {(r.card_id, r.tok_idx, r.row_id) for r in tokens.cluster_rows(once, **options).collect()} == want
+
+
+def test_line_texts(spark):
+    cards = hard_cards(random.Random(5))
+    df = spark.createDataFrame(cards, TOKEN)
+    want, glued = {}, {}
+    for c, ts in by_card(cards).items():
+        for i, group in enumerate(clustered(deduped(ts))):
+            line = sorted(group, key=lambda g: (g["x1"], g["cy"], g["row"][1]))
+            char = statistics.median(g["char"] for g in line)
+            text = line[0]["row"][3].strip()
+            for a, b in zip(line, line[1:]):
+                s, t = a["row"][3], b["row"][3]
+                near = b["x1"] - a["x2"] <= 0.45 * char and (len(t) <= 2 or len(s) <= 2 or s.endswith("-"))
+                text += ("" if near else " ") + t.strip()
+            want[c, i] = text
+        for i, group in enumerate(clustered(deduped(ts), 0.5, 8.0)):
+            line = sorted(group, key=lambda g: (g["x1"], g["cy"], g["row"][1]))
+            char, text = statistics.median(g["char"] for g in line), line[0]["row"][3]
+            for a, b in zip(line, line[1:]):
+                shared = max(0.0, min(a["x2"], b["x2"]) - max(a["x1"], b["x1"])) / max(1e-9, max(a["x2"], b["x2"]) - min(a["x1"], b["x1"]))
+                level = abs(math.degrees(math.atan2(b["cy"] - a["cy"], max(b["cx"] - a["cx"], 0.001)))) <= 3
+                text += ("" if (b["x1"] - a["x2"] <= 2.2 * char and level) or shared >= 0.15 else " ") + b["row"][3]
+            glued[c, i] = re.sub(r"\s+", " ", re.sub(r"(.)\1{3,}", r"\1\1", text)).strip()
+    assert {(r.card_id, r.row_id): r.text for r in tokens.layout_lines(df).collect()} == want
+    assert {(r.card_id, r.row_id): r.text for r in rows.reconstruct_rows(tokens.dedupe(df)).collect()} == glued
+
+
+def edits(a, b):
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        row, before = [i], row
+        for j, y in enumerate(b, 1):
+            row.append(min(before[j] + 1, row[j - 1] + 1, before[j - 1] + (x != y)))
+    return row[-1]
+
+
+def near_copies(rnd, n=50):
+    """(card_id, row_id, text, x1, y1, x2, y2): lines of which some are chains of ever less alike copies."""
+    out = []
+    for card in range(n):
+        k = 0
+        for _ in range(rnd.randrange(1, 4)):
+            text, y = "".join(rnd.choices("abcdefgo105sl", k=rnd.randrange(6, 14))), rnd.choice([0.0, 10.0, 40.0])
+            for _ in range(rnd.randrange(1, 5)):
+                out.append((card, k, text, 0.0, y + rnd.choice([0.0, 3.0, 12.0, 20.0]), 50.0, 0.0))
+                out[-1] = (*out[-1][:6], out[-1][4] + 12.0)
+                k += 1
+                at = rnd.randrange(len(text))
+                text = text[:at] + rnd.choice(["", "x", "0", "o", "QQ", "zzz"]) + text[at + 1 :]
+    return out
+
+
+def test_greedy_scans(spark):
+    data = near_copies(random.Random(6))
+    df = spark.createDataFrame(data, "card_id long, row_id int, text string, x1 double, y1 double, x2 double, y2 double")
+    fid = {(r.card_id, r.row_id): r.f for r in df.select("card_id", "row_id", X.fidelity(F.col("text")).alias("f")).collect()}
+    want, chains = set(), set()
+    for card, lines in by_card(data).items():
+        kept = []
+        for line in sorted(lines, key=lambda l: (l[4], l[3], l[1])):
+            for i, k in enumerate(kept):
+                a, b = canon(line[2]), canon(k[2])
+                if min(line[6], k[6]) - max(line[4], k[4]) > 0 and 100 * (1 - edits(a, b) / max(1, len(a), len(b))) >= 75:
+                    if fid[card, line[1]] > fid[card, k[1]]:
+                        kept[i] = line
+                    break
+            else:
+                kept.append(line)
+        want |= {(card, k[1]) for k in kept}
+
+        def alike(a, b):
+            if a == b:
+                return 100.0
+            base = 100 * (1 - edits(a.lower(), b.lower()) / max(1, len(a), len(b)))
+            n = sum(x + y in CONFUSED for x, y in zip(a.lower(), b.lower()))
+            return min(100, base + min(5 * n, 20)) if n and base >= 70 else base
+
+        score = lambda t: sum(c.isalpha() for c in t) - 3 * len(re.findall(r"(.)\1{2,}", t))
+        gone = set()
+        for i, a in enumerate(lines):
+            for j in range(i + 1, len(lines)):
+                if i in gone:
+                    break
+                b = lines[j]
+                if j in gone or alike(a[2], b[2]) < 80:
+                    continue
+                gone.add(j if score(a[2]) >= score(b[2]) or a[2] == b[2] else i)
+        chains |= {(card, l[1]) for i, l in enumerate(lines) if i not in gone}
+    assert len(want) < len(data) and len(chains) < len(data)
+    assert {(r.card_id, r.row_id) for r in extract.fuzzy_merge(df).collect()} == want
+    assert {(r.card_id, r.row_id) for r in rows.fuzzy_rows(df).collect()} == chains
+
+
+def test_layout_phones(spark):
+    texts = [("unknown", "+65 9123 4567 / 020 7946 0958"), ("address", "12 High Road, Singapore 912345"), ("phone", "tel 912345, 9123-4567 and +6591234567"), ("unknown", "call 1234567 or 1234567"), ("email", "a@b.com 7654321"), ("phone", "+1 212 555 0100, +999 12345678, 1234567890123456, 555 1234, 555 9876")]
+    df = spark.createDataFrame([(1, i, r, t) for i, (r, t) in enumerate(texts)], "card_id long, row_id int, role string, text string")
+    got = rows.phones_by_layout(rows.shapes(df)).orderBy("rank").collect()
+    assert [r.phone for r in got] == ["+65 91234567", "020 7946 0958", "9123-4567", "+1 2125550100", "+999 12345678"]
+    flags = rows.candidate_flags(spark.createDataFrame([(1, 0, "normal", "Ana Moreno", 0.9, [[0.0, 0.0], [9.0, 0.0], [9.0, 9.0], [0.0, 9.0]]), (1, 1, "normal", "Head of 1 Park b.com", 0.9, [[0.0, 90.0], [9.0, 90.0], [9.0, 100.0], [0.0, 100.0]])], TOKEN)).orderBy("tok_idx").collect()
+    assert [(r.flags, r.in_zone, r.caps) for r in flags] == [([], True, "Title"), (["BAD_CHARS", "JOB_KEYWORD", "ADDRESS_KEYWORD", "EMAIL_PATTERN"], False, "mixed")]
+
+
+def test_full_records(spark):
+    df = tokens.lines_as_layout(spark.createDataFrame([(1, i, t) for i, t in enumerate(["Ana Moreno", "Sales Manager", "ORBIT LTD", "ana@orbit.com @ana_m", "+65 9123 4567", "12 North Road, Singapore 123456"])], "card_id long, line_no int, text string"))
+    records = master.full_records(pipelines.contacts_from_lines(df))
+    full = records.first()
+    assert (full.email.value, full.email.confidence, full.email.evidence, full.email.validated) == ("ana@orbit.com", 0.96, ["ana@orbit.com @ana_m"], True)
+    assert (full.phone.value, full.phone.confidence) == ("+65 91234567", 0.94) and full.social.value == "@ana_m" and full.website.value == ""
+    assert full.address.evidence == ["12 North Road, Singapore 123456"] and len(full.raw_lines) == 6 and full.name.confidence > 0.9
+    flat = master.flat_records(records).first()
+    assert flat.raw_lines.count(" || ") == 5 and flat.title_evidence == "Sales Manager"
+
+
+def test_passes_are_united(spark, tiny):
+    t = fixtures.contact_tokens(spark, tiny)
+    normal, bright = (t.filter(F.col("pass_name") == p) for p in ("normal", "bright"))
+    both = payload.union_passes(normal, bright)
+    assert sorted((r.card_id, r.tok_idx, r.text) for r in both.collect()) == sorted((r.card_id, r.tok_idx, r.text) for r in t.collect())
+    columns = ["card_id", "name", "email", "phone"]
+    assert sorted(map(repr, pipelines.contacts(normal, bright).select(columns).collect())) == sorted(map(repr, pipelines.contacts(t).select(columns).collect()))
+
+
+def test_stream_of_contacts_equals_batch(spark, tiny, tmp_path):
+    t = fixtures.contact_tokens(spark, tiny)
+    t.repartition(3, "card_id").write.parquet(str(tmp_path / "tokens"))
+    path = str(tmp_path / "master")
+    for _ in range(2):  # a second start finds nothing new
+        jobs.incremental_contacts(spark, str(tmp_path / "tokens"), ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in t.schema), str(tmp_path / "progress"), path, files=1)
+    columns = ["card_id", *master.FIELDS, "quality_badge"]
+    got = spark.read.parquet(path)
+    assert sorted(map(repr, got.select(columns).collect())) == sorted(map(repr, pipelines.contacts(t).select(columns).collect()))
+    n = got.count()
+    master.merge_master(got.drop("signature").withColumn("phone", F.lit("+1 2125550100")).limit(5), path)
+    assert spark.read.parquet(path).count() == n + 5
