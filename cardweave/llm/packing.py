@@ -7,7 +7,7 @@ histogram by non-negative least squares and rounded down, and what is left
 over is packed best fit first. The result is a plan of places, run-length coded:
 at most a few thousand rows, whatever the input. Every piece then finds its
 place by its rank among the pieces of its length. Ranks come from windows over
-(length, bucket), with as many buckets as the number of pieces asks for, and
+(length, bucket), with as many buckets as the pieces of a length ask for, and
 bucket totals, so a length that holds most pieces is no hot group. Pieces that
 fill a sequence need no place.
 
@@ -18,6 +18,8 @@ are packed each on their own. An empty table gives an empty result.
 from __future__ import annotations
 
 import bisect
+import itertools
+import json
 import zlib
 from array import array
 from collections.abc import Iterator
@@ -37,6 +39,19 @@ BUCKET_ROWS, REMEMBERED = 20_000, 1_000_000
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
 
+def _plain_byte_level(tokenizer) -> bool:
+    """Whether a tokenizer is byte-pair merges by rank over byte-level pieces by PATTERN, and nothing else."""
+    form = json.loads(tokenizer.to_str())
+    pieces, model, vocab = form["pre_tokenizer"] or {}, form["model"], form["model"].get("vocab", {})
+    if form["normalizer"] or model["type"] != "BPE" or any(model.get(k) for k in ("dropout", "unk_token", "continuing_subword_prefix", "end_of_word_suffix", "fuse_unk", "byte_fallback", "ignore_merges")):
+        return False
+    if (pieces.get("type"), pieces.get("use_regex"), pieces.get("add_prefix_space")) != ("ByteLevel", True, False):
+        return False
+    # Ids in the order of merges, and no two merges to one token.
+    made = [vocab.get("".join(m) if isinstance(m, list) else m.replace(" ", "")) for m in model["merges"]]
+    return None not in made and all(a < b for a, b in itertools.pairwise(made))
+
+
 class Encoder:
     """Token ids of texts as little-endian 32-bit bytes, as the tokenizer file gives them.
 
@@ -45,7 +60,8 @@ class Encoder:
     a text are those of its pieces between spaces, which can be remembered.
     Pieces that are new are merged by rank, which for this vocabulary (ids in
     the order of merges) is the same thing and faster. Texts that may hold a
-    special token go through the tokenizer itself.
+    special token go through the tokenizer itself, as do all texts if the file
+    describes any other tokenizer.
     """
 
     def __init__(self, tokenizer_path: str):
@@ -53,6 +69,10 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.full = Tokenizer.from_file(tokenizer_path)
+        self.merge = None
+        self.known: dict[str, bytes] = {}
+        if not _plain_byte_level(self.full):
+            return
         # Byte-level files write each byte as a printable character.
         plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
         odd = [b for b in range(256) if b not in set(plain)]
@@ -62,11 +82,10 @@ class Encoder:
         for x in added:
             ranks.pop(x.encode(), None)
         self.starts = tuple({x[:2] for x in added})
-        self.merge = tiktoken.Encoding("file", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})._core_bpe.encode_ordinary
-        self.known: dict[str, bytes] = {}
+        self.merge = tiktoken.Encoding("file", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
 
     def __call__(self, text: str) -> bytes:
-        if any(x in text for x in self.starts):
+        if self.merge is None or any(x in text for x in self.starts):
             return np.array(self.full.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
         if "  " in text or text.endswith(" "):
             return array("I", self.merge(text)).tobytes()
@@ -212,10 +231,13 @@ def places(plan: list[tuple[list[tuple[int, int]], int]]) -> dict[int, np.ndarra
     return {x: np.array(r, np.int64) for x, r in rows.items()}
 
 
-def rank_in_length(pieces: DataFrame, keys: list[str]) -> DataFrame:
-    """``pieces`` with rank: 0, 1, 2 ... among those of equal length. ``pieces`` must be a written table."""
-    n = pieces.count()
-    bucketed = pieces.withColumn("bucket", F.pmod(F.xxhash64(*keys), F.lit(max(1, n // BUCKET_ROWS + 1) * 8)))
+def rank_in_length(pieces: DataFrame, keys: list[str], counts: dict[int, int]) -> DataFrame:
+    """``pieces`` with rank: 0, 1, 2 ... among those of equal length. ``counts`` says how many each length has.
+
+    Only a length of more than BUCKET_ROWS pieces is dealt to several buckets.
+    """
+    buckets = pieces.sparkSession.createDataFrame([(x, max(1, n // BUCKET_ROWS + 1)) for x, n in counts.items()] or [(0, 1)], "length long, buckets long")  # at most as many rows as lengths
+    bucketed = pieces.join(F.broadcast(buckets), "length").withColumn("bucket", F.pmod(F.xxhash64(*keys), F.col("buckets"))).drop("buckets")
     sums = bucketed.groupBy("length", "bucket").agg(F.count("*").alias("n"))
     before = sums.select(
         "length", "bucket",
@@ -232,7 +254,7 @@ def pack(pieces: DataFrame, size: int = SIZE) -> DataFrame:
     histogram = {int(r["length"]): int(r["n"]) for r in part.groupBy("length").agg(F.count("*").alias("n")).collect()}
     plan = plan_places(histogram, size)
     table = spark.sparkContext.broadcast(places(plan))
-    ranked = rank_in_length(part, ["id", "piece"])
+    ranked = rank_in_length(part, ["id", "piece"], histogram)
 
     def place(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         where = table.value

@@ -21,6 +21,19 @@ def test_encoder_equals_tokenizer(spark, tiny):
             assert encode(t) == np.array(full.encode(t, add_special_tokens=False).ids, "<u4").tobytes()
 
 
+def test_other_tokenizers_encode_by_themselves(tmp_path):
+    import json
+
+    form = json.loads(Tokenizer.from_file(PATH).to_str())
+    form["pre_tokenizer"]["add_prefix_space"] = True
+    other = str(tmp_path / "other.json")
+    with open(other, "w") as f:
+        json.dump(form, f)
+    assert Encoder(other).merge is None and Encoder(PATH).merge is not None
+    full = Tokenizer.from_file(other)
+    assert all(Encoder(other)(t) == np.array(full.encode(t, add_special_tokens=False).ids, "<u4").tobytes() for t in ODD_TEXTS[:4])
+
+
 def hold(rows, texts, size):
     """Round trip: the pieces are the documents, and each sequence is gapless and within size."""
     full = Tokenizer.from_file(PATH)
