@@ -12,6 +12,8 @@ from pyspark.sql import DataFrame, SparkSession
 
 #: What is written inside each open ``passing`` block.
 _OPEN: list[list[DataFrame]] = []
+#: Folders of sessions in one process that name none, by application.
+_OWN: dict[str, str] = {}
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -25,8 +27,8 @@ def shared_folder(spark: SparkSession) -> str:
     if not root:
         if not re.match(r"local(\[|$)", spark.sparkContext.master):
             raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
-        root = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
-        spark.conf.set("spark.checkpoint.dir", root)
+        root = _OWN.setdefault(spark.sparkContext.applicationId, "") or tempfile.mkdtemp(prefix="spark-", dir="/tmp")
+        _OWN[spark.sparkContext.applicationId] = root
     return root.rstrip("/")
 
 
@@ -38,14 +40,15 @@ def stage(df: DataFrame, *partition_by: str, outlive: bool = False) -> DataFrame
     """``df`` written to the shared folder and read again: its lineage ends here.
 
     What several later steps use is worked out once, survives lost executors, and
-    is a short plan to them. ``outlive``: it stays after the ``passing`` block.
+    is a short plan to them. ``outlive``: it stays after the ``passing`` block, up to the end of the block around that, if there is one.
     """
     path = new_folder(df.sparkSession)
     df.write.partitionBy(*partition_by).parquet(path) if partition_by else df.write.parquet(path)
     out = df.sparkSession.read.schema(df.schema).parquet(path)
     out._stage_path = path
-    if _OPEN and not outlive:
-        _OPEN[-1].append(out)
+    blocks = _OPEN[: len(_OPEN) - outlive]
+    if blocks:
+        blocks[-1].append(out)
     return out
 
 

@@ -5,12 +5,14 @@ import random
 import re
 import statistics
 
+import pytest
 from pyspark.sql import functions as F
 
 from cardweave.functions import text as X
 from cardweave.functions.similarity import CONFUSED
 from cardweave.operators import extract, master, rows, tokens
 from cardweave.plans import pipelines
+from cardweave.plans import stage as stage_module
 from cardweave.sources import fixtures, payload
 from cardweave.streaming import jobs
 
@@ -234,3 +236,30 @@ def test_stream_of_contacts_equals_batch(spark, tiny, tmp_path):
     n = got.count()
     master.merge_master(got.drop("signature").withColumn("phone", F.lit("+1 2125550100")).limit(5), path)
     assert spark.read.parquet(path).count() == n + 5
+
+
+class Session:
+    """What ``shared_folder`` asks a session."""
+
+    def __init__(self, master, folder=None):
+        self.conf = type("Conf", (), {"get": staticmethod(lambda key, default=None: folder)})
+        self.sparkContext = type("Context", (), {"master": master, "applicationId": f"app-{master}"})
+
+
+def test_shared_folder():
+    assert stage_module.shared_folder(Session("spark://host:7077", "hdfs://x/y/")) == "hdfs://x/y"
+    own = stage_module.shared_folder(Session("local[4]"))
+    assert own.startswith("/tmp/spark-") and stage_module.shared_folder(Session("local[4]")) == own
+    for master in ("spark://host:7077", "yarn", "local-cluster[2,1,1024]"):
+        with pytest.raises(ValueError):
+            stage_module.shared_folder(Session(master))
+
+
+def test_passing_deletes(spark):
+    with stage_module.passing():
+        gone = stage_module.stage(spark.range(3))
+        kept = stage_module.stage(gone.filter("id > 0"), outlive=True)
+    assert kept.count() == 2
+    with pytest.raises(Exception, match="NOT_EXIST|does not exist"):
+        gone.collect()
+    stage_module.drop_stage(kept)
