@@ -182,6 +182,8 @@ def test_hot_hashes_and_shuffled_results_alike(spark, monkeypatch):
     rows += [(None, rows[3][1]), (None, rows[3][1]), (70, None), *rows[:3]]
     want = sorted((i, t or "") for i, _, t in run(spark, table(spark, [(i, t, "en", "s", 0) for i, t in rows if i is not None])))
     assert sorted(set(want)) == sorted(set(kept_by_brute_force([r for r in rows if r[0] is not None])))
+    monkeypatch.setattr(linededup, "SHARE", 1)
+    monkeypatch.setattr(linededup, "PARTS", 3)
     monkeypatch.setattr(linededup, "HOT", 2)
     monkeypatch.setattr(linededup, "BROADCAST_RUNS", 0)
     assert sorted((i, t or "") for i, _, t in run(spark, table(spark, [(i, t, "en", "s", 0) for i, t in rows if i is not None]))) == want

@@ -1,4 +1,5 @@
 import corpus_pipeline as cp
+from cardweave.plans import stage as stage_module
 from tests.llm.docs import clashing
 from tests.llm.test_decontaminate import brute as contaminated_by
 from tests.llm.test_linededup import check_deletions
@@ -46,3 +47,26 @@ def test_odd_rows(spark, tiny, tmp_path):
         out.write.parquet(str(tmp_path / name))
         docs = spark.read.parquet(str(tmp_path / name))
     assert docs.count() > 0
+
+
+def test_empty_tables(spark, tiny):
+    empty = clashing(spark).limit(0)
+    for name, stage in cp.STAGES:
+        assert stage(spark, empty, tiny).count() == 0, name
+
+
+def test_run_is_its_stages(spark, tiny, tmp_path, monkeypatch):
+    """``run`` gives what the stages give one after the other, and leaves only tables that its result reads."""
+    shared = tmp_path / "shared"
+    with monkeypatch.context() as m:
+        m.setattr(stage_module, "shared_folder", lambda session: str(shared))
+        out = cp.run(spark, tiny)
+        got = sorted(tuple(r) for r in out.select("doc_id", "piece", "start", "length", "ids_crc32").collect())
+        left = list(shared.iterdir())
+    docs = spark.read.parquet(f"{tiny}/documents.parquet")
+    for name, stage in cp.STAGES:
+        docs = stage(spark, docs, tiny)
+        docs.write.parquet(str(tmp_path / name))
+        docs = spark.read.parquet(str(tmp_path / name))
+    assert got == sorted(tuple(r) for r in docs.select("doc_id", "piece", "start", "length", "ids_crc32").collect())
+    assert len(left) <= 3

@@ -61,23 +61,23 @@ def test_outliers_go_and_others_stay(spark):
     assert sum(not got[i].kept for i in fine) <= 0.01 * len(fine)
 
 
-def halved(x, target, start, n_steps=40):
+def halved(x, target, start):
     """Concentration steps in numpy, as ``robust_distances`` defines them."""
     n, d = x.shape
     share = next(p for p in quality._HALVES if min(1.0, (n + d + 1) / (2 * n)) - 0.01 <= p)
     floors = np.array(quality.FLOORS) ** 2
     m, c = start
-    last = None
-    for _ in range(n_steps):
+    best = None
+    while True:
         c = c + np.diag(np.maximum(floors - np.diag(c), 0))
-        det = np.linalg.slogdet(c)[1]
-        if last is not None and abs(det - last) <= quality.SETTLED:
-            break
-        last = det
         d2 = ((x - m) @ np.linalg.inv(c) * (x - m)).sum(axis=1)
         near = x[d2 <= np.sort(d2)[int(np.ceil(share * n)) - 1]]
         m, c = near.mean(axis=0), (len(near) * np.cov(near.T, bias=True) + quality.PRIOR * np.diag(target)) / (len(near) + quality.PRIOR)
-    return det, m, c
+        c = c + np.diag(np.maximum(floors - np.diag(c), 0))
+        det = np.linalg.slogdet(c)[1]
+        if best and det >= best[0] - quality.SETTLED:
+            return best
+        best = det, m, c
 
 
 def lower_median(x):

@@ -2,7 +2,7 @@ import itertools
 import random
 import zlib
 
-from cardweave.llm.toxicity import Automaton, Lexicon, edits_allowed, features, toxicity, train_model
+from cardweave.llm.toxicity import Automaton, Lexicon, edits_allowed, features, score_texts, toxicity, train_model
 from tests.llm.docs import clashing, table
 
 
@@ -97,3 +97,12 @@ def test_odd_rows(spark):
     none = toxicity(table(spark), labels.limit(0)).collect()
     assert {r.score for r in none} == {0.0}
     assert toxicity(table(spark, []), labels).count() == 0
+
+
+def test_very_long_texts_on_a_fitted_model(spark):
+    sf = "/root/testdata/sf0.01"
+    model = train_model(*(spark.read.parquet(f"{sf}/{t}.parquet") for t in ("documents", "labels")))
+    assert model.weights.any()
+    rows = [(1, "idiot " * 200_000, "en", "s", 0), (2, "a quiet word " * 200_000, "en", "s", 0), (3, "x" * 2_000_000, "en", "s", 0), (4, None, "en", "s", 0)]
+    got = {r["id"]: r.score for r in score_texts(table(spark, rows), model).collect()}
+    assert len(got) == 4 and all(0 <= s <= 1 for s in got.values()) and got[1] > max(got[2], got[3], got[4])

@@ -41,3 +41,17 @@ def test_empty(spark):
     assert filter_urls(pages, rules).count() == 0
     one = spark.createDataFrame([(1, "http://a.com/x")], "page_id long, url string")
     assert tuple(filter_urls(one, rules.limit(0)).first()) == (1, "a.com", "/x", None, "allow")
+
+
+def test_odd_rows(spark):
+    """Null ids, repeated rows, ties between rules, extra columns of clashing names, a very long url."""
+    urls = [(None, "http://www.example.com/en/x"), (1, "http://a.net/fr/1"), (1, "http://a.net/fr/1"), (2, None), (None, None), (3, "http://b.org/" + "p" * 200_000)]
+    pages = spark.createDataFrame([(i, u, "x", "y", "z", "w", "v") for i, u in urls], "page_id long, url string, host string, path string, rule string, verdict string, key string")
+    # "a.net" + "/fr/" and "net" + longer path are as long as each other for no url; equal rules count once, allow first.
+    rules = spark.createDataFrame([*RULES, ("a.net", "/fr/", "allow"), ("a.net", "/fr/", "block"), (None, "/", "block"), ("", "/", "block"), ("b.org", None, "block")], "host string, path string, verdict string")
+    got = sorted(map(tuple, filter_urls(pages, rules, ranges=3).collect()), key=repr)
+    want = []
+    for i, u in urls:
+        host, path, rule, verdict = brute(u, [r for r in RULES if r[:2] != ("a.net", "/fr/")] + [("a.net", "/fr/", "allow"), ("b.org", "", "block")])
+        want.append((i, host, path, rule, verdict))
+    assert got == sorted(want, key=repr)
