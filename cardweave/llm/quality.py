@@ -6,7 +6,7 @@ each (language, source) group a minimum-covariance-determinant estimate of their
 centre and spread. From three starts (medians with median deviations, spatial
 signs, and hyperbolic tangents of the scaled statistics) concentration steps take
 the mean and covariance of the half of the rows that is nearest under the estimate
-before, until no determinant changes any more; of the three the one with the least
+before, as long as that lowers the determinant; of the three the one with the least
 determinant counts. Rows far out by Mahalanobis distance are rejected.
 
 A covariance counts besides its own rows ``PRIOR`` rows of a target: the median
@@ -34,7 +34,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cardweave.llm.common import SPACE, cut, drop_cut, small_or_not, text_of
+from cardweave.llm.common import SPACE, cut, drop_cut, passing, small_or_not, text_of
 
 FEATURES = ("f_words", "f_length", "f_symbols", "f_lines", "f_windows")
 SMOOTH, TYPICAL = 100, 5
@@ -43,12 +43,14 @@ FLOORS, PRIOR = (1e-3, 1e-3, 0.05, 0.245, 0.2), 50
 #: Chi-square quantile of 5 degrees of freedom at 0.999999, and the median.
 CUTOFF, MEDIAN = 35.89, 4.351
 MIN_WORDS = 50
-#: Concentration ends when no log determinant changes by more; it has never taken so many steps.
-SETTLED, MOST_STEPS = 1e-3, 40
+#: An estimate is final once a step lowers its log determinant by no more. Each step lowers it, so steps come to an end.
+SETTLED = 0.01
 #: Shares of the rows that a half may be: small groups need a few rows more than half.
 _HALVES = (0.5, 0.55, 0.6, 0.7, 0.85, 1.0)
 #: Groups whose estimates (some 60 numbers each) are broadcast; beyond that they are joined by a shuffle.
 MOST_GROUPS = 100_000
+#: Files of a table with a row for each group.
+FILES = 8
 _POSITION = 1 << 20
 
 
@@ -156,22 +158,25 @@ def _distance(rows: DataFrame) -> DataFrame:
     return out.withColumn("d2", F.expr(" + ".join(f"z_{i}*z_{i}" for i in range(d))))
 
 
-def _spread(rows: DataFrame, key: str) -> DataFrame:
-    """(key, n, m_i, v_i): medians, and squared median deviations, of each group."""
-    middle = rows.groupBy(key).agg(F.count("*").alias("n"), *(F.percentile_approx(f, 0.5, 1000).alias(f"m_{i}") for i, f in enumerate(FEATURES)))
-    middle = small_or_not(cut(middle), MOST_GROUPS)
-    off = rows.join(middle, key).groupBy(key).agg(*(F.pow(1.4826 * F.percentile_approx(F.abs(F.col(f) - F.col(f"m_{i}")), 0.5, 1000), 2).alias(f"v_{i}") for i, f in enumerate(FEATURES)))
-    return middle.join(off, key)
+def _spread(rows: DataFrame, key: str, *upper: str) -> DataFrame:
+    """(key, upper, n, m_i, v_i): medians, and squared median deviations, of each group, a written table."""
+    middle = rows.groupBy(key).agg(F.count("*").alias("n"), *(F.first(u).alias(u) for u in upper), *(F.percentile_approx(f, 0.5, 1000).alias(f"m_{i}") for i, f in enumerate(FEATURES)))
+    middle = small_or_not(_table(middle), MOST_GROUPS)
+    own = rows.select(key, *FEATURES).join(middle, key)
+    off = own.groupBy(key).agg(*(F.pow(1.4826 * F.percentile_approx(F.abs(F.col(f) - F.col(f"m_{i}")), 0.5, 1000), 2).alias(f"v_{i}") for i, f in enumerate(FEATURES)))
+    return small_or_not(_table(off.join(middle, key)), MOST_GROUPS)
 
 
 def _targets(many: DataFrame) -> DataFrame:
     """(grp, n, m_i, t_i, s_i): sizes, medians, the target's variances, and scales to start from."""
     d = len(FEATURES)
-    of = lambda df, key, prefix: df.select(key, F.col("n").alias(f"{prefix}n"), *(F.greatest(F.col(f"v_{i}"), F.lit(FLOORS[i] ** 2)).alias(f"{prefix}{i}") for i in range(d)))
-    upper = of(_spread(many, "par"), "par", "p_").withColumn("top", F.lit("")).join(of(_spread(many, "top"), "top", "a_"), "top")
-    both = upper.select("par", *(((F.col("p_n") * F.col(f"p_{i}") + PRIOR * F.col(f"a_{i}")) / (F.col("p_n") + PRIOR)).alias(f"t_{i}") for i in range(d)))
-    own = _spread(many, "grp").join(many.groupBy("grp").agg(F.first("par").alias("par")), "grp")
-    return own.join(both, "par").select("grp", "n", *(f"m_{i}" for i in range(d)), *(f"t_{i}" for i in range(d)), *(F.sqrt(F.greatest(f"v_{i}", f"t_{i}")).alias(f"s_{i}") for i in range(d)))
+    of = lambda df, prefix, *keys: df.select(*keys, F.col("n").alias(f"{prefix}n"), *(F.greatest(F.col(f"v_{i}"), F.lit(FLOORS[i] ** 2)).alias(f"{prefix}{i}") for i in range(d)))
+    # The tables of the upper groups are on the right of the joins, where they can be broadcast.
+    own, par, top = _spread(many, "grp", "par", "top"), of(_spread(many, "par"), "p_", "par"), of(_spread(many, "top"), "a_", "top")
+    both = own.join(par, "par").join(top, "top")
+    target = {f"t_{i}": (F.col("p_n") * F.col(f"p_{i}") + PRIOR * F.col(f"a_{i}")) / (F.col("p_n") + PRIOR) for i in range(d)}
+    both = both.withColumns(target)
+    return both.select("grp", "n", *(f"m_{i}" for i in range(d)), *target, *(F.sqrt(F.greatest(f"v_{i}", f"t_{i}")).alias(f"s_{i}") for i in range(d)))
 
 
 def _starts(many: DataFrame, base: DataFrame) -> DataFrame:
@@ -198,31 +203,47 @@ def _concentrated(many: DataFrame, fit: DataFrame, base: DataFrame) -> DataFrame
     share = F.least(F.lit(1.0), (F.col("n") + d + 1) / (2 * F.col("n"))) - 0.01
     half = F.coalesce(*(F.when(share <= p, F.col("q")[k]) for k, p in enumerate(_HALVES)))
     halves = near.groupBy(*key).agg(F.first("n").alias("n"), F.percentile_approx("d2", list(_HALVES), 1000).alias("q")).select(*key, half.alias("h"))
-    inner = near.join(small_or_not(cut(halves), MOST_GROUPS), key).filter("d2 <= h")
+    inner = near.join(small_or_not(_table(halves), MOST_GROUPS), key).filter("d2 <= h")
     moments = inner.groupBy(*key).agg(F.count("*").alias("k"), *(F.avg(f).alias(f"m_{i}") for i, f in enumerate(FEATURES)), *(F.covar_pop(FEATURES[i], FEATURES[j]).alias(f"w_{i}_{j}") for i, j in pairs))
     with_target = moments.join(base.select("grp", "n", *(f"t_{i}" for i in range(d))), "grp")
     shrunk = lambda i, j: (F.col("k") * F.col(f"w_{i}_{j}") + (PRIOR * F.col(f"t_{i}") if i == j else F.lit(0.0))) / (F.col("k") + PRIOR)
     return with_target.select(*key, "n", *(f"m_{i}" for i in range(d)), *(shrunk(i, j).alias(f"c_{i}_{j}") for i, j in pairs))
 
 
+def _table(groups: DataFrame) -> DataFrame:
+    """A written table of a row for each group, in few files."""
+    return cut(groups.coalesce(FILES))
+
+
+def _improved(many: DataFrame, fit: DataFrame, base: DataFrame) -> DataFrame:
+    """``fit`` (deleted) with a step's result for each live estimate whose determinant it lowers; others are final."""
+    with passing():
+        live = _table(fit.filter("live"))
+        new = _with_factor(_concentrated(many, small_or_not(live, MOST_GROUPS), base))
+        if live.count() <= MOST_GROUPS:  # a step has at most as many rows
+            new = new.hint("broadcast")
+        values = [c for c in new.columns if c not in ("grp", "start")]
+        step = new.select("grp", "start", F.struct(*values).alias("new"))
+        met = fit.withColumn("old", F.struct(*values)).select("grp", "start", "old").join(step, ["grp", "start"], "left")
+        lower = F.coalesce(F.col("new.det") < F.col("old.det") - SETTLED, F.lit(False))
+        out = cut(met.select("grp", "start", F.when(lower, F.col("new")).otherwise(F.col("old")).alias("f"), lower.alias("live")).select("grp", "start", "f.*", "live").coalesce(FILES), outlive=True)
+    drop_cut(fit)
+    return out
+
+
 def robust_distances(rows: DataFrame, keys: list[str]) -> DataFrame:
     """``rows`` (a written table) with ``d2`` under the estimate of their group; null where a group has no text of MIN_WORDS."""
     d = len(FEATURES)
     label = lambda ks: F.concat_ws("\x01", F.lit(""), *(F.coalesce(F.concat(F.lit("="), F.col(k).cast("string")), F.lit("null")) for k in ks))
     many = rows.filter(f"n_words >= {MIN_WORDS}").select(*FEATURES, label(keys).alias("grp"), label(keys[:-1]).alias("par"), F.lit("").alias("top"))
-    base = small_or_not(cut(_targets(many)), MOST_GROUPS)
-    fit = cut(_with_factor(_starts(many, base).join(base.select("grp", "n"), "grp")))
-    for _ in range(MOST_STEPS):
-        new = cut(_with_factor(_concentrated(many, small_or_not(fit, MOST_GROUPS), base)))
-        moved = new.select("grp", "start", F.col("det").alias("now")).join(fit, ["grp", "start"]).agg(F.max(F.abs(F.col("now") - F.col("det")))).first()[0]
-        drop_cut(fit)
-        fit = new
-        if moved is None or moved <= SETTLED:
-            break
-    best = cut(fit.groupBy("grp").agg(F.min_by(F.struct(*(c for c in fit.columns if c not in ("grp", "n"))), F.struct("det", "start")).alias("f")).select("grp", "f.*"))
+    base = small_or_not(_table(_targets(many)), MOST_GROUPS)
+    fit = _table(_with_factor(_starts(many, base).join(base.select("grp", "n"), "grp")).withColumns({"det": F.lit(float("inf")), "live": F.lit(True)}))
+    while not fit.filter("live").isEmpty():
+        fit = _improved(many, fit, base)
+    best = _table(fit.groupBy("grp").agg(F.min_by(F.struct(*(c for c in fit.columns if c not in ("grp", "n", "live"))), F.struct("det", "start")).alias("f")).select("grp", "f.*"))
     best = small_or_not(best, MOST_GROUPS)
     scale = _distance(many.join(best, "grp")).groupBy("grp").agg(F.greatest(F.lit(1.0), F.percentile_approx("d2", 0.5, 1000) / MEDIAN).alias("scale"))
-    scaled = small_or_not(cut(best.select("grp", *(f"m_{i}" for i in range(d)), *(f"l_{i}_{j}" for i, j, _ in _cholesky(d))).join(scale, "grp")), MOST_GROUPS)
+    scaled = small_or_not(_table(best.select("grp", *(f"m_{i}" for i in range(d)), *(f"l_{i}_{j}" for i, j, _ in _cholesky(d))).join(scale, "grp")), MOST_GROUPS)
     out = _distance(rows.withColumn("grp", label(keys)).join(scaled, "grp", "left"))
     return out.select(*rows.columns, (F.col("d2") / F.col("scale")).alias("d2"))
 
