@@ -15,7 +15,9 @@ between them, so that long stretches of them cost no more than other units.
 
 Defined results: a null text is an empty one and stays empty. Rows equal in id
 and text are one document, and share its fate. Ids may be null (they come
-first). Texts keep their bytes outside the deleted units.
+first). Texts keep their bytes outside the deleted units. A very long text is one row: its
+units and its runs are arrays of a few dozen bytes a unit, and no run is longer than
+``min_words`` units with words.
 """
 
 from __future__ import annotations
@@ -26,8 +28,8 @@ from pyspark.sql import functions as F
 from cardweave.llm.common import WORD, cut, passing, small_or_not, text_of
 
 LONG_UNIT, MIN_WORDS, MIN_UNITS = 50, 25, 2
-#: A hash of more runs than this is met by aggregation, not in a window.
-HOT = 10_000
+#: A hash of more runs than about HOT is dealt to PARTS; one in SHARE documents is looked at for that. Results do not depend on it.
+HOT, SHARE, PARTS = 6_400, 64, 64
 #: Documents and merged runs (some 16 bytes each) that may be broadcast.
 BROADCAST_RUNS = 1_000_000
 #: Shapes of repeats that the tests look for; the operator has no use for them.
@@ -171,20 +173,20 @@ def repeated_units(docs: DataFrame, long_unit: int = LONG_UNIT, min_words: int =
     ``th`` is the hash of the text; ``from`` and ``to`` are unit numbers, both included.
     """
     src = docs.select(F.col(id_col).alias("id"), text_of(text_col).alias("_text"))
-    runs = cut(_runs(src, long_unit, min_words, sentences))
-    # Hashes of very many runs are no groups of a window: their first places are aggregated and joined back.
-    hot = cut(runs.groupBy("hash").agg(F.count("*").alias("n")).filter(F.col("n") > HOT).select("hash"))
-    place = Window.partitionBy("hash").orderBy("id", "th", "from")
+    runs = _runs(src, long_unit, min_words, sentences)
     # The first places have rank 1: more than one row if rows are equal in id and text.
-    later = lambda df: df.withColumn("rank", F.rank().over(place)).filter("rank > 1").select("id", "th", "from", "to")
+    ranked = lambda df, *by: df.withColumn("rank", F.rank().over(Window.partitionBy("hash", *by).orderBy("id", "th", "from")))
+    # Hashes of very many runs, as a share of the documents shows them, are no single groups: they are
+    # ranked by parts, and then the first places of the parts among themselves.
+    some = _runs(src.filter(F.pmod(F.xxhash64("id", "_text"), F.lit(SHARE)) == 0), long_unit, min_words, sentences)
+    hot = cut(some.groupBy("hash").agg(F.count("*").alias("n")).filter(F.col("n") > HOT // SHARE).select("hash"))
     if hot.isEmpty():
-        runs = later(runs)
+        runs = ranked(runs).filter("rank > 1")
     else:
-        hot = small_or_not(hot)
-        common = runs.join(hot, "hash", "left_semi")
-        first = cut(common.groupBy("hash").agg(F.min(F.struct("id", "th", "from")).alias("first")))
-        after = common.join(small_or_not(first), "hash").filter(~F.struct("id", "th", "from").eqNullSafe(F.col("first"))).select("id", "th", "from", "to")
-        runs = later(runs.join(hot, "hash", "left_anti")).unionByName(after)
+        parts = runs.join(small_or_not(hot.withColumn("hot", F.lit(True))), "hash", "left").withColumn("part", F.when(F.col("hot"), F.pmod(F.xxhash64("th", "id"), F.lit(PARTS))).otherwise(0))
+        found = cut(ranked(parts, "part").filter("rank > 1 or hot").select("hash", "id", "th", "from", "to", "rank"))
+        runs = found.filter("rank > 1").drop("rank", "hash").unionByName(ranked(found.filter("rank = 1").drop("rank")).filter("rank > 1").drop("rank", "hash"))
+    runs = runs.select("id", "th", "from", "to")
     # Runs overlap: they are merged.
     w = Window.partitionBy("id", "th").orderBy("from", "to")
     runs = runs.withColumn("gap", F.coalesce((F.col("from") > F.max("to").over(w.rowsBetween(Window.unboundedPreceding, -1)) + 1).cast("int"), F.lit(1)))
