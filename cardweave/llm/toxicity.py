@@ -25,6 +25,7 @@ the share of toxic rows (0 if there are none). Repeated rows are scored alike.
 
 from __future__ import annotations
 
+import re
 from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
 from typing import NamedTuple
@@ -39,8 +40,8 @@ from cardweave.llm.common import cut, text_of
 TRAIN_ROWS, MAX_TERMS, MIN_DOCS, MIN_ODDS = 12_000, 400, 6, 1.6
 #: Least and greatest letters of a word beginning; letters of words that allow one edit and two, and of beginnings that allow one.
 STEM, FUZZY = (4, 9), (5, 9, 6)
-#: Share of the documents of a beginning that a longer term must have to stand for it.
-MOSTLY = 0.6
+#: Shares of the documents of a beginning that a word, and a longer beginning, must have to stand for it.
+MOSTLY = (0.6, 0.95)
 CONTEXT, REMEMBERED = 8, 1_000_000
 # Fixed word lists for the context, and characters that open or close a quotation.
 REPORTING = frozenset("said says say wrote writes called quote quoted quoting cited citing term word reported phrase".split())
@@ -93,6 +94,8 @@ class Automaton:
                 self.middles.setdefault(t[a:z], set()).update((a - 1, a, a + 1))
         self.head_lengths, self.tail_lengths, self.middle_lengths = (sorted({len(x) for x in d}) for d in (self.heads, self.tails, self.middles))
 
+        self.middle = re.compile("|".join(map(re.escape, sorted(self.middles)))) if self.middles else None
+
     def fuzzy(self, word: str) -> int | None:
         """The term with the fewest edits to the word that it allows; None if there is none.
 
@@ -131,6 +134,8 @@ class Automaton:
         n = len(word)
         if any(n in self.heads.get(word[:m], ()) for m in self.head_lengths) or any(n in self.tails.get(word[-m:], ()) for m in self.tail_lengths):
             return True
+        if not self.middle or not self.middle.search(word):
+            return False
         return any(i in self.middles.get(word[i : i + m], ()) for m in self.middle_lengths for i in range(n - m + 1))
 
     def match(self, word: str) -> tuple[int, bool] | None:
@@ -206,7 +211,7 @@ def learn_lexicon(train: DataFrame) -> Lexicon:
     for r in best:
         # A beginning that mostly stands in one word, or in a longer beginning, gives way to it: these may be misspelled.
         if r.term.endswith("*"):
-            longer = [x for x in by_start[r.term[: STEM[0]]] if x.term.startswith(r.term[:-1]) and x.d1 >= MOSTLY * r.d1]
+            longer = [x for x in by_start[r.term[: STEM[0]]] if x.term.startswith(r.term[:-1]) and x.d1 >= MOSTLY[x.term.endswith("*")] * r.d1]
             r = max(longer, key=lambda x: (len(x.term.rstrip("*")), not x.term.endswith("*"), x.d1))
         if r.term in chosen:
             continue
