@@ -28,8 +28,8 @@ from pyspark.sql import functions as F
 from cardweave.llm.common import WORD, cut, passing, small_or_not, text_of
 
 LONG_UNIT, MIN_WORDS, MIN_UNITS = 50, 25, 2
-#: A hash of more runs than about HOT is dealt to PARTS; one in SHARE documents is looked at for that. Results do not depend on it.
-HOT, SHARE, PARTS = 6_400, 64, 64
+#: A hash of more runs than about HOT (some 10 MB in a window) is dealt to PARTS; one in SHARE documents is looked at for that. Results do not depend on it.
+HOT, SHARE, PARTS = 200_000, 256, 64
 #: Documents and merged runs (some 16 bytes each) that may be broadcast.
 BROADCAST_RUNS = 1_000_000
 #: Shapes of repeats that the tests look for; the operator has no use for them.
@@ -178,7 +178,7 @@ def repeated_units(docs: DataFrame, long_unit: int = LONG_UNIT, min_words: int =
     ranked = lambda df, *by: df.withColumn("rank", F.rank().over(Window.partitionBy("hash", *by).orderBy("id", "th", "from")))
     # Hashes of very many runs, as a share of the documents shows them, are no single groups: they are
     # ranked by parts, and then the first places of the parts among themselves.
-    some = _runs(src.filter(F.pmod(F.xxhash64("id", "_text"), F.lit(SHARE)) == 0), long_unit, min_words, sentences)
+    some = _runs(src.filter(F.pmod(F.xxhash64("id", F.octet_length("_text")), F.lit(SHARE)) == 0), long_unit, min_words, sentences)
     hot = cut(some.groupBy("hash").agg(F.count("*").alias("n")).filter(F.col("n") > HOT // SHARE).select("hash"))
     if hot.isEmpty():
         runs = ranked(runs).filter("rank > 1")
