@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cardweave.llm import decontaminate, html, linededup, neardup, packing, quality, secrets, suffixdedup, toxicity, urlfilter
+from cardweave.llm import clustering, decontaminate, html, linededup, neardup, packing, quality, secrets, suffixdedup, toxicity, urlfilter, vectordedup, whitening
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -72,6 +72,18 @@ def op10_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html.extract_pages(_table(spark, sf_dir, "pages")).withColumnRenamed("id", "page_id")
 
 
+def op11_centroid_clustering(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return clustering.cluster_digest(_table(spark, sf_dir, "embeddings"))
+
+
+def op12_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whitening_digest(_table(spark, sf_dir, "embeddings"))
+
+
+def op13_embedding_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vectordedup.near_vectors_digest(_table(spark, sf_dir, "embeddings"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -90,5 +102,8 @@ def queries() -> dict[str, Query]:
         "op8_line_dedup": op8_line_dedup,
         "op9_toxicity": op9_toxicity,
         "op10_html_extraction": op10_html_extraction,
+        "op11_centroid_clustering": op11_centroid_clustering,
+        "op12_embedding_whitening": op12_embedding_whitening,
+        "op13_embedding_neardup": op13_embedding_neardup,
         "pipeline": pipeline,
     }
