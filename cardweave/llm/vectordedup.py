@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 
 from cardweave.llm.common import cut, passing
 from cardweave.llm.components import components
-from cardweave.llm.vectors import add_up, finite, matrix, packed
+from cardweave.llm.vectors import add_up, finite, matrix
 
 #: Vectors (the first by hash) that the cells are fitted on, and cells at most.
 SAMPLE, CELLS = 16_384, 1024
@@ -61,6 +61,12 @@ def unit(v: np.ndarray) -> np.ndarray:
     return v / np.sqrt(np.einsum("ij,ij->i", v, v))[:, None]
 
 
+def _unpacked(v: pd.Series | list[bytes], dim: int) -> np.ndarray:
+    """Unit vectors of packed ones, which are as narrow as the table's."""
+    raw = b"".join(v)
+    return unit(np.frombuffer(raw, np.float32 if len(raw) == 4 * dim * len(v) else np.float64).reshape(-1, dim).astype(np.float64))
+
+
 def fit_cells(sample: np.ndarray, k: int, rounds: int = 8) -> np.ndarray:
     """Unit centroids of a sample of unit vectors."""
     centres = sample[np.linspace(0, len(sample) - 1, k).astype(int)]
@@ -243,8 +249,7 @@ def _links(placed: DataFrame, dim: int, cos: float, width: Width) -> DataFrame:
 
     def lists(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         cid = pdf["cid"].to_numpy()
-        v = np.frombuffer(b"".join(pdf["v"]), np.float64).reshape(-1, dim).astype(np.float32)
-        return pd.DataFrame({"cid": cid, "adj": [cid[r[r >= 0]] for r in build(v)]})
+        return pd.DataFrame({"cid": cid, "adj": [cid[r[r >= 0]] for r in build(_unpacked(pdf["v"], dim).astype(np.float32))]})
 
     own = tasks.select("cell", "part", "cid", "v").groupBy("cell", "part").applyInPandas(lists, "cid long, adj array<long>")
     union = own.groupBy("cid").agg(F.array_distinct(F.flatten(F.collect_list("adj"))).alias("adj"))
@@ -264,25 +269,25 @@ def _links(placed: DataFrame, dim: int, cos: float, width: Width) -> DataFrame:
         rank = np.arange(len(src)) - np.searchsorted(src, src)
         adj = np.full((len(cid), int(rank.max(initial=0)) + 1), -1, np.int64)
         adj[src, rank] = to
-        v = np.frombuffer(b"".join(pdf["v"]), np.float64).reshape(-1, dim)
-        return links_of_shard(cid, pdf["copies"].to_numpy(np.float64), v, np.array(pdf["cells"].to_list(), np.int64), pdf["part"].to_numpy(), adj, key[0], cos, width)
+        return links_of_shard(cid, pdf["copies"].to_numpy(np.float64), _unpacked(pdf["v"], dim), np.array(pdf["cells"].to_list(), np.int64), pdf["part"].to_numpy(), adj, key[0], cos, width)
 
     return met.select("cell", "lo", "hi", "cid", "copies", "cells", "part", "v", "adj").groupBy("cell", "lo", "hi").applyInPandas(find, "cid long, n long, peer long")
 
 
 def _place(classes: DataFrame, dim: int, n: int, width: Width) -> DataFrame:
-    """(cid, copies, v, cells): unit vectors and their nearest cells. The fit takes a sample, the cells take all."""
+    """(cid, copies, v, cells): packed vectors and their nearest cells. The fit takes a sample, the cells take all."""
     k = max(1, min(CELLS, round(n * width.overlap / SHARD)))
     sample = classes.orderBy(F.xxhash64("h1"), "h2").limit(SAMPLE).select("v").toArrow().column("v").combine_chunks()
-    centres = fit_cells(unit(matrix(sample, dim)), k) if k > width.overlap else None
+    centres = fit_cells(unit(matrix(sample, dim).astype(np.float64)), k) if k > width.overlap else None
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            v = unit(matrix(b.column(2), dim))
+            raw = matrix(b.column(2), dim)
+            v = unit(raw.astype(np.float64))
             cells = np.zeros((len(v), 1), np.int64)
             if centres is not None:
                 cells = np.argpartition(-(v @ centres.T), width.overlap - 1, axis=1)[:, : width.overlap].astype(np.int64)
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([r.tobytes() for r in v], pa.binary()), pa.array(list(cells), pa.list_(pa.int64()))], ["cid", "copies", "v", "cells"])
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([r.tobytes() for r in raw], pa.binary()), pa.array(list(cells), pa.list_(pa.int64()))], ["cid", "copies", "v", "cells"])
 
     return cut(classes.select("cid", "copies", "v").mapInArrow(place, "cid long, copies long, v binary, cells array<long>"))
 
@@ -290,13 +295,13 @@ def _place(classes: DataFrame, dim: int, n: int, width: Width) -> DataFrame:
 def _recall(placed: DataFrame, found: DataFrame, dim: int, cos: float) -> float:
     """Share of a sample's links, counted against all vectors, that the graph has found."""
     asked = placed.select("cid", "copies", "v").orderBy(F.xxhash64("cid"), "cid").limit(AUDIT).toArrow()
-    queries, ids = packed(asked.column("v").combine_chunks(), np.float64, dim), asked.column("cid").to_numpy()
+    queries, ids = _unpacked(asked.column("v").to_pylist(), dim), asked.column("cid").to_numpy()
     own = asked.column("copies").to_numpy()
 
     def part(batches: Iterator[pa.RecordBatch]) -> np.ndarray:
         out = np.zeros(len(ids))
         for b in batches:
-            out += (queries @ packed(b.column(0), np.float64, dim).T >= cos) @ b.column(1).to_numpy()
+            out += (queries @ _unpacked(b.column(0).to_pylist(), dim).T >= cos) @ b.column(1).to_numpy()
         return out
 
     truth = dict(zip(ids.tolist(), (add_up(placed.select("v", "copies"), part) - own).tolist(), strict=True))
@@ -321,7 +326,9 @@ def _near_classes(classes: DataFrame, dim: int, n: int, cos: float, width: Width
 
 def near_vectors(vectors: DataFrame, cos: float = 0.9, id_col: str = "vec_id", vector_col: str = "embedding", width: Width | None = None) -> tuple[DataFrame, list[float]]:
     """((id, n_links, component_id) of each row, the recall that the audit measured for each length of vectors)."""
-    rows = vectors.select(F.col(id_col).alias("id"), F.when(finite(vector_col), F.col(vector_col).cast("array<double>")).alias("v"))
+    if vectors.schema[vector_col].dataType.simpleString() != "array<float>":
+        vectors = vectors.withColumn(vector_col, F.col(vector_col).cast("array<double>"))
+    rows = vectors.select(F.col(id_col).alias("id"), F.when(finite(vector_col), F.col(vector_col)).alias("v"))
     usable = F.col("v").isNotNull() & F.exists("v", lambda c: c != 0)
     rows = rows.withColumns({"h1": F.when(usable, F.xxhash64("v")), "h2": F.when(usable, F.xxhash64(F.lit(1), "v"))})
     with passing():
