@@ -25,7 +25,7 @@ SELECT page_id, host, path, rule, coalesce(verdict, 'allow') AS verdict FROM fit
 _ROUND = """
 a{i} AS MATERIALIZED (
   SELECT r, vec_id, x, k, d FROM (
-    SELECT v.r, v.vec_id, v.x, c.k, list_sum(list_transform(list_zip(v.x, c.x), p -> (p[1] - p[2]) * (p[1] - p[2]))) AS d
+    SELECT v.r, v.vec_id, v.x, c.k, list_sum(list_transform(list_zip(v.x, c.x), lambda p: (p[1] - p[2]) * (p[1] - p[2]))) AS d
     FROM v CROSS JOIN c{i} c)
   QUALIFY row_number() OVER (PARTITION BY r ORDER BY d, k) = 1)"""
 _MOVE = """,
@@ -36,8 +36,8 @@ c{j} AS MATERIALIZED (SELECT c.k, coalesce(m.x, c.x) AS x FROM c{i} c LEFT JOIN
 OP11 = (
     """
 WITH v AS MATERIALIZED (
-  SELECT row_number() OVER () AS r, vec_id, list_transform(embedding, c -> floor(64 * c::DOUBLE)::HUGEINT) AS x
-  FROM embeddings WHERE len(embedding) = 64 AND len(list_filter(embedding, c -> c IS NOT NULL AND isfinite(c))) = 64),
+  SELECT row_number() OVER () AS r, vec_id, list_transform(embedding, lambda c: floor(64 * c::DOUBLE)::HUGEINT) AS x
+  FROM embeddings WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda c: c IS NOT NULL AND isfinite(c))) = 64),
 c0 AS MATERIALIZED (SELECT row_number() OVER (ORDER BY h, x) - 1 AS k, x FROM (SELECT sha256('1:' || vec_id) AS h, x FROM v ORDER BY h, x LIMIT 16)),"""
     + "".join(_ROUND.format(i=i) + _MOVE.format(i=i, j=i + 1) for i in range(3))
     + _ROUND.format(i=3)
