@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -10,6 +11,11 @@ from pyspark.sql import functions as F
 from cardweave.functions import constants as C
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body(value)`` with the value planned and worked out once, however often the body names it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def safe_text(c: Column) -> Column:
     return F.coalesce(c.cast("string"), F.lit(""))
 
@@ -79,8 +85,18 @@ def fidelity(c: Column) -> Column:
 
 
 def collapse_spaced_letters(c: Column) -> Column:
-    """``S e n i o r  S y s t e m s`` without the spaces inside words."""
-    return F.when(c.rlike(r"^\S( \S){2,}(  +\S( \S)*)*$"), F.regexp_replace(F.regexp_replace(c, r"(?<=\S) (?=\S)", ""), r" {2,}", " ")).otherwise(c)
+    """A text of single characters set apart, ``S E N I O R``, without the spaces; other texts as they are."""
+    return F.when(c.rlike(r"(?U)^\S(?:\s+\S)+$"), F.regexp_replace(c, r"(?U)\s+", "")).otherwise(c)
+
+
+def spaced_letters(c: Column) -> Column:
+    """Whether a text is two or more Latin letters set apart, each with a stop or none."""
+    return F.trim(c).rlike(r"(?U)^[A-Za-z]\.?(?:\s+[A-Za-z]\.?)+$")
+
+
+def word_of_line(c: Column) -> Column:
+    """A token as lines take it: trimmed, digits in capitals repaired, stops at its end gone."""
+    return strip_trailing_punct(repair_digits(F.regexp_replace(safe_text(c), r"(?U)^\s+|\s+$", "")))
 
 
 def phone_normal(c: Column) -> Column:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable
 from functools import reduce
 
@@ -10,7 +11,10 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import WindowSpec
 
 from cardweave.functions import constants as C
-from cardweave.functions.text import alpha_ratio, canonical, digit_count, fidelity, has_hint, is_title, is_upper, normalize_spaces, phone_normal, postal_region, postal_text, repair_digits, strip_trailing_punct, word_count
+from cardweave.functions.text import alpha_ratio, canonical, digit_count, fidelity, has_hint, is_title, is_upper, let, normalize_spaces, phone_normal, postal_region, postal_text, repair_digits, strip_trailing_punct, word_count
+
+from cardweave.operators.tokens import of_card
+
 
 def card() -> WindowSpec:
     return Window.partitionBy("card_id")
@@ -37,7 +41,7 @@ def trim_emails(found: DataFrame, raw: str = "raw") -> DataFrame:
     d = d.filter(F.size("_labels") >= 2)
     d = d.withColumns({"_last": F.lower(F.element_at("_labels", -1)), "_tail": F.lower(F.array_join(F.slice("_labels", -2, 2), "."))})
     cuts = F.transform(F.sequence(F.length("_last"), F.lit(1), F.lit(-1)), lambda n: F.substring(F.col("_last"), F.lit(1), n))
-    known = F.array(*map(F.lit, C.TLDS))
+    known = F.split(F.lit(" ".join(C.TLDS)), " ")
     d = d.withColumn("_cut", F.filter(cuts, lambda p: F.array_contains(known, p) | p.rlike(r"^\p{L}{2}$")))
     head = lambda k: F.slice("_labels", F.lit(1), F.size("_labels") - k)
     domain = F.when(F.col("_tail").isin(*C.MULTI_TLDS), F.array_join("_labels", ".")).when(F.size("_cut") > 0, F.array_join(F.concat(head(1), F.slice("_cut", 1, 1)), "."))
@@ -98,21 +102,22 @@ def numbering(number: Column, region: Column | None = None) -> Column:
 
     After "+" the longest calling code whose digits fit counts; without it the plan of ``region``.
     """
-    digits = F.regexp_replace(number, r"\D", "")
     plans = [(code, r, *C.NATIONAL_DIGITS.get(r, (7, 11))) for code, r in C.CALLING_CODES.items()]
-    entry = lambda r, code, low, high: F.struct(F.lit(r).alias("region"), F.lit(code).alias("code"), F.lit(low).alias("low"), F.lit(high).alias("high"))
-    by_code = F.create_map(*(x for code, r, low, high in plans for x in (F.lit(code), entry(r, code, low, high))))
+    # A map from JSON is one node of the plan, and folded to a constant.
+    table = lambda key: F.from_json(F.lit(json.dumps({p[key]: dict(zip(("code", "region", "low", "high"), p, strict=True)) for p in plans})), "map<string,struct<code:string,region:string,low:int,high:int>>")
 
     def form(plan: Column, rest: Column) -> Column:
-        return F.when(F.length(rest).between(plan["low"], plan["high"]), F.struct(plan["region"].alias("region"), F.concat(F.lit("+"), plan["code"], F.lit(" "), rest).alias("number")))
+        return let(plan, lambda p: F.when(F.length(rest).between(p["low"], p["high"]), F.struct(p["region"].alias("region"), F.concat(F.lit("+"), p["code"], F.lit(" "), rest).alias("number"))))
 
-    after_plus = F.coalesce(*(form(F.try_element_at(by_code, F.substring(digits, 1, n)), F.substring(digits, n + 1, 20)) for n in (3, 2, 1)))
+    def after_plus(digits: Column) -> Column:
+        return F.coalesce(*(form(F.try_element_at(table(0), F.substring(digits, 1, n)), F.substring(digits, n + 1, 20)) for n in (3, 2, 1)))
+
+    digits = F.regexp_replace(number, r"\D", "")
     if region is None:
-        return F.when(number.startswith("+"), after_plus)
-    by_region = F.create_map(*(x for code, r, low, high in plans for x in (F.lit(r), entry(r, code, low, high))))
-    names = F.create_map(*(F.lit(x) for pair in C.REGION_NAMES.items() for x in pair))
-    home = F.try_element_at(by_region, F.coalesce(F.try_element_at(names, F.coalesce(region, F.lit(""))), region, F.lit("")))
-    return F.when(number.startswith("+"), after_plus).otherwise(form(home, digits))
+        return F.when(number.startswith("+"), let(digits, after_plus))
+    names = F.from_json(F.lit(json.dumps(C.REGION_NAMES)), "map<string,string>")
+    home = F.try_element_at(table(1), F.coalesce(F.try_element_at(names, F.coalesce(region, F.lit(""))), region, F.lit("")))
+    return F.when(number.startswith("+"), let(digits, after_plus)).otherwise(form(home, digits))
 
 
 def plan_numbers(found: DataFrame, col: str = "phone") -> DataFrame:
@@ -120,15 +125,21 @@ def plan_numbers(found: DataFrame, col: str = "phone") -> DataFrame:
     return found.withColumn("_plan", numbering(F.col(col))).select(*found.columns, F.col("_plan.region").alias("region"), F.col("_plan.number").alias("number"))
 
 
-def phone_windows(lines: DataFrame) -> DataFrame:
-    """(card_id, row_id, text, pos, raw): the line, its forms, and all windows of 7 to 15 of its digits, each with and without "+"."""
-    t = lines.filter(digit_count(F.col("text")) >= 7).withColumn("digits", F.regexp_replace("text", r"\D", "")).withColumn("norm", phone_normal(F.col("text")))
-    n = F.length("digits")
+def phone_forms(text: Column) -> Column:
+    """What of a line may be a number: the line, its forms, and all windows of 7 to 15 of its digits, each with and without "+"; null with less than seven digits."""
+    digits, norm = F.regexp_replace(text, r"\D", ""), phone_normal(text)
+    n = F.length(digits)
     starts = F.sequence(F.lit(0), n - 7)
-    windows = F.flatten(F.transform(starts, lambda s: F.transform(F.filter(F.sequence(F.lit(7), F.lit(15)), lambda m: s + m <= F.least(n, F.lit(15))), lambda m: F.substring(F.col("digits"), s + 1, m))))
+    windows = F.flatten(F.transform(starts, lambda s: F.transform(F.filter(F.sequence(F.lit(7), F.lit(15)), lambda m: s + m <= F.least(n, F.lit(15))), lambda m: F.substring(digits, s + 1, m))))
     both = F.flatten(F.transform(windows, lambda w: F.array(w, F.concat(F.lit("+"), w))))
-    bare = F.when(n.between(7, 15), F.array(F.regexp_replace("norm", r"\D", ""), F.concat(F.lit("+"), F.regexp_replace("norm", r"\D", "")))).otherwise(F.array().cast("array<string>"))
-    return t.select("card_id", "row_id", "text", F.posexplode(F.array_distinct(F.concat(F.array("text", "norm"), bare, both))).alias("pos", "raw")).filter("raw != ''")
+    bare = F.when(n.between(7, 15), F.array(F.regexp_replace(norm, r"\D", ""), F.concat(F.lit("+"), F.regexp_replace(norm, r"\D", "")))).otherwise(F.array().cast("array<string>"))
+    return F.when(n >= 7, F.array_distinct(F.concat(F.array(text, norm), bare, both)))
+
+
+def phone_windows(lines: DataFrame) -> DataFrame:
+    """(card_id, row_id, text, pos, raw): the forms of each line that may be numbers."""
+    t = lines.filter(digit_count(F.col("text")) >= 7)
+    return t.select("card_id", "row_id", "text", F.posexplode(phone_forms(F.col("text"))).alias("pos", "raw")).filter("raw != ''")
 
 
 def phones(lines: DataFrame, no_phone: DataFrame, regions: DataFrame | None = None) -> DataFrame:
@@ -182,24 +193,37 @@ def _best(candidates: DataFrame, name: str, base: float) -> DataFrame:
     return top.select("card_id", F.col("value").alias(name), F.round(F.least(F.lit(0.99), base + F.col("score") / 100.0), 6).alias(f"{name}_confidence"), F.array("text").alias(f"{name}_evidence"))
 
 
+def may_be_name(t: Column) -> Column:
+    return ~has_hint(t, C.NAME_REJECTS) & looks_like_name(t)
+
+
+def name_points(t: Column) -> Column:
+    """What a text is worth as a name, without its place and its share of letters."""
+    return F.when(word_count(t).isin(2, 3), 30.0).otherwise(12.0) + F.when(is_title(t), 18.0).otherwise(10.0)
+
+
 def names(lines: DataFrame, claimed: DataFrame | None = None) -> DataFrame:
     t = F.col("value")
-    c = _not_claimed(ordered(lines).filter(~has_hint(t, C.NAME_REJECTS) & looks_like_name(t)), claimed)
-    score = F.when(word_count(t).isin(2, 3), 30.0).otherwise(12.0) + F.when(is_title(t), 18.0).otherwise(10.0) + F.when(F.col("idx") <= 2, 10.0).otherwise(2.0) + alpha_ratio(t) * 15.0
-    return _best(c.withColumn("score", score), "name", 0.4)
+    c = _not_claimed(ordered(lines).filter(may_be_name(t)), claimed)
+    return _best(c.withColumn("score", name_points(t) + F.when(F.col("idx") <= 2, 10.0).otherwise(2.0) + alpha_ratio(t) * 15.0), "name", 0.4)
+
+
+def may_be_company(t: Column) -> Column:
+    low = F.lower(t)
+    return ~t.contains("@") & ~low.contains("www.") & ~low.contains("http") & looks_like_company(t)
+
+
+def company_points(t: Column) -> Column:
+    """What a text is worth as a company, without its place and its share of letters."""
+    suffix = has_hint(t, [s.lower() for s in C.COMPANY_SUFFIXES])
+    person = (word_count(t) <= 4) & ~F.regexp_replace(t, r"(?U)[.\s]", "").rlike(r"\P{L}") & ~suffix
+    return F.when(has_hint(t, C.COMPANY_HINTS), 28.0).otherwise(8.0) + F.when(is_upper(t), 18.0).otherwise(9.0) + F.when(suffix, 25.0).otherwise(0.0) - F.when(person, 15.0).otherwise(0.0)
 
 
 def companies(lines: DataFrame, claimed: DataFrame | None = None) -> DataFrame:
     t = F.col("value")
-    low, up = F.lower(t), F.upper(t)
-    suffix = reduce(lambda a, b: a | b, (up.contains(s) for s in C.COMPANY_SUFFIXES))
-    c = _not_claimed(ordered(lines).filter(~t.contains("@") & ~low.contains("www.") & ~low.contains("http") & looks_like_company(t)), claimed)
-    person = (word_count(t) <= 4) & ~F.regexp_replace(t, r"(?U)[.\s]", "").rlike(r"\P{L}") & ~suffix
-    score = (
-        F.when(has_hint(t, C.COMPANY_HINTS), 28.0).otherwise(8.0) + F.when(is_upper(t), 18.0).otherwise(9.0) + F.when(suffix, 25.0).otherwise(0.0)
-        - F.when(person, 15.0).otherwise(0.0) + F.when(F.col("idx") <= 2, 8.0).otherwise(3.0) + alpha_ratio(t) * 14.0
-    )
-    return _best(c.withColumn("score", score), "company", 0.35)
+    c = _not_claimed(ordered(lines).filter(may_be_company(t)), claimed)
+    return _best(c.withColumn("score", company_points(t) + F.when(F.col("idx") <= 2, 8.0).otherwise(3.0) + alpha_ratio(t) * 14.0), "company", 0.35)
 
 
 def titles(blocks: DataFrame, claimed: DataFrame | None = None) -> DataFrame:
@@ -228,9 +252,7 @@ VALIDATORS: dict[str, Validator] = {
 def quality(records: DataFrame, validators: dict[str, Validator] | None = None, weights: dict[str, float] | None = None) -> DataFrame:
     """``records`` with valid_* flags, quality_score and quality_badge: the weighted share of valid fields among those filled."""
     v, w = VALIDATORS | (validators or {}), C.QUALITY_WEIGHTS | (weights or {})
-    out = records
-    for f, test in v.items():
-        out = out.withColumn(f"valid_{f}", F.when(F.coalesce(F.col(f), F.lit("")) != "", test(F.col(f))).otherwise(False))
+    out = records.withColumns({f"valid_{f}": F.when(F.coalesce(F.col(f), F.lit("")) != "", test(F.col(f))).otherwise(False) for f, test in v.items()})
     total = reduce(lambda a, b: a + b, (F.when(F.coalesce(F.col(f), F.lit("")) != "", w[f]).otherwise(0.0) for f in v))
     score = reduce(lambda a, b: a + b, (F.when(F.col(f"valid_{f}"), w[f]).otherwise(0.0) for f in v))
     out = out.withColumn("quality_score", F.round(F.when(total > 0, score / total).otherwise(0.0), 6))
@@ -258,7 +280,7 @@ def fuzzy_merge(lines: DataFrame, least: float = 75.0) -> DataFrame:
         return F.when(hit == 0, F.concat(kept, F.array(x))).otherwise(F.transform(kept, lambda k, i: F.when((i + 1 == hit) & (x["fid"] > k["fid"]), x).otherwise(k)))
 
     kept = F.aggregate(F.slice("scan", 2, 2147483646), F.slice("scan", 1, 1), step)
-    return cards.select(F.explode(kept).alias("k")).select("k.row.*")
+    return of_card(cards.select("card_id", F.explode(kept).alias("k")), "k.row", lines.columns)
 
 
 def clean_value(c: Column) -> Column:

@@ -98,20 +98,31 @@ def wide_rows(records: DataFrame) -> DataFrame:
     return records.select("card_id", *cells, F.format_string("%.1f%%", F.col("quality_score") * 100).alias("confidence"))
 
 
-def vcards(records: DataFrame, sparse: bool = False) -> DataFrame:
-    """(card_id, vcard): vCard 3.0; ``sparse`` leaves out empty properties and adds N."""
+def vcards(records: DataFrame) -> DataFrame:
+    """(card_id, vcard): vCard 3.0 with every property, empty ones too."""
     v = lambda f: F.coalesce(f, F.lit(""))
     shown = F.coalesce(F.nullif(v("name"), F.lit("")), F.nullif(v("company"), F.lit("")), F.col("card_id").cast("string"))
     props = [("ORG:", "company"), ("TITLE:", "title"), ("EMAIL;TYPE=INTERNET:", "email"), ("TEL;TYPE=VOICE:", "phone"), ("URL:", "website"), ("ADR;TYPE=WORK:;;", "address")]
-    if sparse:
-        words = F.split(shown, " ")
-        lines = [F.concat(F.lit("N:"), F.element_at(words, -1), F.lit(";"), F.array_join(F.slice(words, 1, F.size(words) - 1), " "), F.lit(";;;"))]
-        lines += [F.when(v(f) != "", F.concat(F.lit(p), v(f))) for p, f in props]
-    else:
-        lines = [F.concat(F.lit(p), v(f)) for p, f in props]
+    lines = [F.concat(F.lit(p), v(f)) for p, f in props]
     return records.select("card_id", F.concat_ws("\n", F.lit("BEGIN:VCARD"), F.lit("VERSION:3.0"), F.concat(F.lit("FN:"), shown), *lines, F.lit("END:VCARD")).alias("vcard"))
 
 
+def layout_vcards(records: DataFrame) -> DataFrame:
+    """(card_id, vcard): vCard 3.0 with the properties that a record by layout has, and two phones, the first preferred.
+
+    N has what follows the first word of the name, then that word; a name of one word stands alone.
+    """
+    filled = lambda f: F.nullif(F.coalesce(f, F.lit("")), F.lit(""))
+    name = filled("name")
+    parts = F.split(F.regexp_replace(name, r"(?U)^\s+", ""), r"(?U)\s+", 2)
+    pair = (F.size(parts) == 2) & (F.get(parts, F.lit(1)) != "")
+    split = F.when(pair, F.concat(F.lit("N:"), F.get(parts, F.lit(1)), F.lit(";"), F.get(parts, F.lit(0)), F.lit(";;;"))).otherwise(F.concat(F.lit("N:"), name, F.lit(";;;;")))
+    props = [("ORG:", "company"), ("TITLE:", "title"), ("EMAIL;TYPE=INTERNET:", "email"), ("TEL;TYPE=VOICE,PREF:", "phone_1"), ("TEL;TYPE=VOICE:", "phone_2"), ("URL:", "website")]
+    lines = [F.concat(F.lit("FN:"), name), split, *(F.concat(F.lit(p), filled(f)) for p, f in props)]
+    address = F.concat(F.lit("ADR;TYPE=WORK:;;"), F.replace(filled("address"), F.lit(", "), F.lit("; ")), F.lit(";;;;"))
+    return records.select("card_id", F.concat_ws("\n", F.lit("BEGIN:VCARD"), F.lit("VERSION:3.0"), *lines, address, F.lit("END:VCARD")).alias("vcard"))
+
+
 def with_stems(records: DataFrame) -> DataFrame:
     """``records`` with the name of their files, from what they show."""
     return records.withColumn("stem", file_stem(F.coalesce(F.nullif(F.col("name"), F.lit("")), F.nullif(F.col("company"), F.lit("")), F.col("card_id").cast("string"))))

@@ -9,14 +9,15 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import WindowSpec
 
 from cardweave.functions import constants as C
-from cardweave.functions.text import digit_count, has_hint, is_title, is_upper, letters, normalize_spaces, word_count
+from cardweave.functions.text import digit_count, has_hint, is_title, is_upper, letters, normalize_spaces, spaced_letters, word_count
 from cardweave.functions.similarity import confusion_likeness, edit_likeness
 from cardweave.operators.extract import numbering
-from cardweave.operators.tokens import cluster_rows, geometry
+from cardweave.operators.tokens import cluster_rows, geometry, of_card
 
 # Scripts by code-point range; other letters are Latin.
-SCRIPTS = {"cjk": r"[぀-ヿ一-鿿가-힯]", "arabic": r"[؀-ۿ]", "devanagari": r"[ऀ-ॿ]"}
-# Keyword lists of the flat presets.
+SCRIPTS = {"cjk": r"[\u4e00-\u9fff]", "arabic": r"[\u0600-\u06ff]", "devanagari": r"[\u0900-\u097f]"}
+# Patterns and keyword lists of the flat presets.
+FLAT_EMAIL, FLAT_WEB = r"[a-zA-Z0-9._%+-]+@[a-zA-Z0-9.-]+\.[a-zA-Z]{2,}", r"(?:https?://)?(?:www\.)?[a-zA-Z0-9.-]+\.[a-zA-Z]{2,}"
 DESIGNATIONS = "ceo cto founder engineer manager director developer consultant analyst".split()
 LABEL_JOBS = "manager developer engineer director partner consultant founder ceo cto analyst lead specialist head officer executive".split()
 LABEL_COMPANIES = "ltd inc solutions consulting studio tech group company labs buildsmart urbanedge".split()
@@ -45,14 +46,17 @@ def shapes(lines: DataFrame) -> DataFrame:
 
 
 def script_histogram(lines: DataFrame) -> DataFrame:
-    """(card_id, primary, secondary, n_letters): the commonest script and others with 15 % or more."""
+    """(card_id, primary, secondary, n_letters): the commonest script, and the next one if it has 15 % or more.
+
+    Every character of a range counts, marks and digits too; letters outside the ranges are Latin.
+    """
     counts = {s: F.sum(F.regexp_count("text", F.lit(p))) for s, p in SCRIPTS.items()}
-    c = lines.groupBy("card_id").agg(*(v.alias(s) for s, v in counts.items()), F.sum(letters(F.col("text"))).alias("all"))
-    c = c.withColumn("latin", F.greatest(F.lit(0), F.col("all") - F.col("cjk") - F.col("arabic") - F.col("devanagari")))
+    other = F.sum(letters(F.regexp_replace("text", r"[\u4e00-\u9fff\u0600-\u06ff\u0900-\u097f]", "")))
+    c = lines.groupBy("card_id").agg(*(v.alias(s) for s, v in counts.items()), F.sum(letters(F.col("text"))).alias("all"), other.alias("latin"))
     pairs = F.array(*(F.struct((-F.col(s)).alias("n"), F.lit(r).alias("r"), F.lit(s).alias("s")) for r, s in enumerate(("latin", *SCRIPTS))))
     total = F.greatest(F.lit(1), F.col("latin") + F.col("cjk") + F.col("arabic") + F.col("devanagari"))
     c = c.withColumn("p", F.array_sort(pairs)).withColumn("total", total)
-    second = F.array_join(F.transform(F.filter(F.slice("p", 2, 3), lambda x: (-x["n"] > 0) & (-x["n"] >= 0.15 * F.col("total"))), lambda x: x["s"]), ",")
+    second = F.coalesce(F.get(F.filter(F.slice("p", 2, 3), lambda x: -x["n"] >= 0.15 * F.col("total")), F.lit(0))["s"], F.lit(""))
     return c.select("card_id", F.col("p")[0]["s"].alias("primary"), second.alias("secondary"), F.col("all").cast("long").alias("n_letters"))
 
 
@@ -107,8 +111,8 @@ def fuzzy_rows(rows: DataFrame, least: float = 80.0) -> DataFrame:
         return F.when(F.get(gone, i), gone).otherwise(marked)
 
     gone = F.aggregate(F.sequence(F.lit(0), F.size("scan") - 1), F.col("none"), step)
-    kept = cards.select("scan", gone.alias("gone")).select(F.explode(F.filter("scan", lambda x, i: ~F.get(F.col("gone"), i))).alias("k"))
-    return kept.select("k.row.*")
+    kept = cards.select("card_id", "scan", gone.alias("gone")).select("card_id", F.explode(F.filter("scan", lambda x, i: ~F.get(F.col("gone"), i))).alias("k"))
+    return of_card(kept, "k.row", rows.columns)
 
 
 def fuse_blocks(rows: DataFrame) -> DataFrame:
@@ -196,9 +200,10 @@ def prominent_fields(rows: DataFrame) -> DataFrame:
     return rows.select("card_id").distinct().join(name, "card_id", "left").join(company, "card_id", "left").join(title, "card_id", "left")
 
 
-def first_email(lines: DataFrame) -> DataFrame:
-    found = F.lower(F.regexp_extract(F.regexp_replace("text", r"(?U)\s", ""), r"[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}", 0))
-    return lines.withColumn("email", found).filter("email != ''").groupBy("card_id").agg(F.min_by("email", "line_no").alias("email"))
+def first_email(lines: DataFrame, pattern: str = C.EMAIL_SHAPE, lower: bool = True) -> DataFrame:
+    """(card_id, email): the first address in a card's lines as they are written."""
+    found = lines.withColumn("email", F.regexp_extract("text", pattern, 0)).filter("email != ''")
+    return found.groupBy("card_id").agg(F.min_by(F.lower("email") if lower else F.col("email"), "line_no").alias("email"))
 
 
 def websites(lines: DataFrame, emails: DataFrame) -> DataFrame:
@@ -252,25 +257,30 @@ def clean_tokens(lines: DataFrame) -> DataFrame:
     return lines.withColumn("text", F.regexp_replace(t, r"(?U)([A-Z]{2,})\s+([A-Z]{2,})", "$1$2"))
 
 
-def flat_simple(lines: DataFrame) -> DataFrame:
-    """(card_id, name, title, company, email, website, phone, address, filled, badge): from cleaned lines, the first line or match that fits each field.
+def flat_simple(lines: DataFrame, profiles: bool = False) -> DataFrame:
+    """(card_id, name, title, company, email, website, phone, address, linkedin, twitter, filled, badge): from cleaned lines, the first line or match that fits each field.
 
-    Companies and addresses are told by their hints, where the entity model would be.
+    Companies and addresses are told by their hints, where the entity model would be. The badge counts nine
+    fields; with ``profiles`` the last two of them are the card's profiles, and without they stay
+    empty, as the preset has it.
     """
     lines = clean_tokens(lines)
     t = F.col("text")
-    mail = first_email(lines)
+    mail = first_email(lines, FLAT_EMAIL, lower=False)
+    web = lines.select("card_id", "line_no", F.posexplode(F.regexp_extract_all("text", F.lit(FLAT_WEB), F.lit(0))).alias("pos", "website"))
+    web = web.groupBy("card_id").agg(F.min_by("website", F.struct("line_no", "pos")).alias("website"))
+    social = social_profiles(lines).select("card_id", *(F.col(c) if profiles else F.lit(None).cast("string").alias(c) for c in ("linkedin", "twitter")))
     numbers = lines.select("card_id", "line_no", F.posexplode(F.regexp_extract_all("text", F.lit(C.PHONE_RUN), F.lit(0))).alias("pos", "raw")).withColumn("phone", numbering(F.trim("raw"))["number"])
     phone = numbers.filter("phone is not null").groupBy("card_id").agg(F.min_by("phone", F.struct("line_no", "pos")).alias("phone"))
     first = lambda test, name: lines.filter(test).groupBy("card_id").agg(F.min_by("text", "line_no").alias(name))
     out = lines.select("card_id").distinct()
     fields = (
         first(word_count(t).between(2, 3) & (is_upper(t) | is_title(t)), "name"), first(has_hint(t, DESIGNATIONS), "title"),
-        first(has_hint(t, C.COMPANY_HINTS) & ~t.contains("@"), "company"), mail, websites(lines, mail), phone, first(has_hint(t, C.ADDRESS_HINTS) & (digit_count(t) > 0) & ~t.contains("@"), "address"),
+        first(has_hint(t, C.COMPANY_HINTS) & ~t.contains("@"), "company"), mail, web, phone, social, first(has_hint(t, C.ADDRESS_HINTS) & (digit_count(t) > 0) & ~t.contains("@"), "address"),
     )
     for part in fields:
         out = out.join(part, "card_id", "left")
-    return filled_badge(out, ("name", "title", "company", "email", "website", "phone", "address"), 6, 3)
+    return filled_badge(out, ("name", "title", "company", "email", "website", "phone", "address", "linkedin", "twitter"), 6, 3)
 
 
 def flat_labelled(lines: DataFrame) -> DataFrame:
@@ -336,7 +346,7 @@ def token_audit(tokens: DataFrame, least: float = C.SURE_CONFIDENCE, tolerance:
     split = tokens.groupBy("card_id").agg(F.sum((F.col("score") >= least).cast("int")).cast("long").alias("kept"), F.sum((F.col("score") < least).cast("int")).cast("long").alias("dropped"))
     sure = tokens.filter(F.col("score") >= least)
     lines = audit_lines(sure, tolerance).groupBy("card_id").agg(F.count("*").alias("n_rows"), F.sum(F.col("email").isNotNull().cast("int")).cast("long").alias("n_mails"))
-    spaced = F.forall(F.split("text", " "), lambda w: w.rlike(r"^\p{L}$"))
+    spaced = spaced_letters(F.col("text"))
     own = sure.groupBy("card_id").agg(F.round(F.avg("score"), 6).alias("confidence"), F.sum(spaced.cast("int")).cast("long").alias("spaced"))
     names = candidate_flags(sure).groupBy("card_id").agg(F.sum((F.size("flags") == 0).cast("int")).cast("long").alias("n_candidates"))
     return split.join(lines, "card_id", "left").join(own, "card_id", "left").join(names, "card_id", "left")

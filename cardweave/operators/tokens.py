@@ -12,12 +12,17 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import WindowSpec
 
 from cardweave.functions import constants as C
-from cardweave.functions.text import canonical, has_hint, letters
+from cardweave.functions.text import canonical, collapse_spaced_letters, has_hint, letters, normalize_spaces, strip_trailing_punct, word_of_line
 
 def card() -> WindowSpec:
     return Window.partitionBy("card_id")
 
 
+def of_card(df: DataFrame, struct: str, names: list[str], *more: Column) -> DataFrame:
+    """The columns ``names`` of a struct, but ``card_id``, which stays the column that rows are dealt by: a field of the struct would be dealt again."""
+    return df.select(*(F.col(n) if n == "card_id" else F.col(f"{struct}.{n}") for n in names), *more)
+
+
 def geometry(tokens: DataFrame) -> DataFrame:
     """Corners, sizes of 1 at least, centres, and width of a character."""
     corner = lambda agg, k: agg(F.transform("box", lambda p: p[k]))
@@ -66,7 +71,7 @@ def dedupe(tokens: DataFrame, least: float = C.IOU_MIN) -> DataFrame:
         return F.when(hit == 0, F.concat(kept, F.array(x))).otherwise(swapped)
 
     kept = F.aggregate(F.slice("scan", 2, 2147483646), F.slice("scan", 1, 1), step)
-    return groups.select(F.explode(kept).alias("k")).select("k.row.*")
+    return of_card(groups.select("card_id", F.explode(kept).alias("k")), "k.row", names)
 
 
 def card_stats(tokens: DataFrame) -> DataFrame:
@@ -102,30 +107,37 @@ def cluster_rows(tokens: DataFrame, factor: float = 0.45, floor: float = 2.5, an
         return F.struct(n.alias("n"), total.alias("total"), row.alias("row_id"), F.concat(s["ids"], F.array(row)).alias("ids")).cast(state)
 
     ids = F.aggregate("scan", start, step, lambda s: s["ids"])
-    cards = cards.withColumn("tol", tol).select("scan", ids.alias("ids"))
-    rows = cards.select(F.explode(F.arrays_zip("scan", "ids")).alias("z"))
-    return rows.select("z.scan.row.*", F.col("z.ids").alias("row_id"))
+    cards = cards.withColumn("tol", tol).select("card_id", "scan", ids.alias("ids"))
+    rows = cards.select("card_id", F.explode(F.arrays_zip("scan", "ids")).alias("z"))
+    return of_card(rows, "z.scan.row", names, F.col("z.ids").alias("row_id"))
 
 
 def compose_lines(rows: DataFrame) -> DataFrame:
     """(card_id, row_id, text, x1, y1, x2, y2, height, char_median, source_passes) from tokens with row_id.
 
-    A gap of at most 0.45 of the row's character width glues tokens if one of them has
-    at most two characters or the left one ends in "-"; else they are set apart by a space.
+    Each token is cleaned (``word_of_line``); those left empty have no part in the text. A gap of at
+    most 0.45 of the row's character width glues tokens if one of them has at most two
+    characters or the left one ends in "-"; else they are set apart by a space. Of the whole, spaces are
+    made single, single characters set apart are joined, and stops at the end go. The words of a row are an
+    array, so a fold joins them where a window would sort and shuffle once more.
     """
-    w = Window.partitionBy("card_id", "row_id")
-    order = w.orderBy("x1", "cy", "tok_idx")
-    t = rows.filter(F.trim("text") != "").withColumn("char_median", F.median("char_width").over(w))
-    before, gap = F.lag("text").over(order), F.col("x1") - F.lag("x2").over(order)
-    glue = (gap <= 0.45 * F.col("char_median")) & ((F.length("text") <= 2) | (F.length(before) <= 2) | before.endswith("-"))
-    sep = F.when(before.isNull() | glue, "").otherwise(" ")
-    t = t.withColumn("part", F.concat(sep, F.trim("text")))
-    parts = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("x1", "cy", "tok_idx", "part"))), lambda s: s["part"]), "")
-    return t.groupBy("card_id", "row_id").agg(
-        parts.alias("text"), F.min("x1").alias("x1"), F.min("y1").alias("y1"), F.max("x2").alias("x2"), F.max("y2").alias("y2"),
-        F.median("height").alias("height"), F.first("char_median").alias("char_median"), F.array_sort(F.collect_set("pass_name")).alias("source_passes"),
+    width = F.when(F.trim("text") != "", F.col("width") / F.greatest(F.lit(1), F.length(normalize_spaces(F.col("text")))))
+    r = rows.select("card_id", "row_id", "pass_name", "x1", "y1", "x2", "y2", "cy", "tok_idx", width.alias("_char"), word_of_line(F.col("text")).alias("_word"))
+    word = F.when(F.col("_word") != "", F.struct("x1", "cy", "tok_idx", "x2", F.col("_word").alias("w")))
+    lines = r.groupBy("card_id", "row_id").agg(
+        F.array_sort(F.collect_list(word)).alias("_words"), F.min("x1").alias("x1"), F.min("y1").alias("y1"), F.max("x2").alias("x2"), F.max("y2").alias("y2"),
+        F.greatest(F.lit(1.0), F.max("y2") - F.min("y1")).alias("height"), F.coalesce(F.median("_char"), F.lit(8.0)).alias("char_median"), F.array_sort(F.collect_set("pass_name")).alias("source_passes"),
     )
 
+    def joined(x: Column, i: Column) -> Column:
+        before = F.get("_words", i - 1)
+        small = (F.length(x["w"]) <= 2) | (F.length(before["w"]) <= 2) | before["w"].endswith("-")
+        glue = (i == 0) | ((x["x1"] - before["x2"] <= 0.45 * F.col("char_median")) & small)
+        return F.concat(F.when(glue, "").otherwise(" "), x["w"])
+
+    lines = lines.withColumn("_text", collapse_spaced_letters(normalize_spaces(F.array_join(F.transform("_words", joined), ""))))
+    return lines.select("card_id", "row_id", strip_trailing_punct(F.col("_text")).alias("text"), "x1", "y1", "x2", "y2", "height", "char_median", "source_passes")
+
 
 def layout_lines(tokens: DataFrame) -> DataFrame:
     """Tokens of all passes to lines: de-duplicated, clustered, composed."""

@@ -68,6 +68,20 @@ ok AS (SELECT card_id, line_no, pos, loc || '@' || dom AS email FROM fin WHERE d
 once AS (SELECT *, row_number() OVER (PARTITION BY card_id, email ORDER BY line_no, pos) AS k FROM ok),
 em AS (SELECT card_id, email, row_number() OVER (PARTITION BY card_id ORDER BY line_no, pos) AS rank FROM once WHERE k = 1)"""
 
+HARD = """,
+hc AS (SELECT c_custkey::BIGINT AS k, c_custkey::VARCHAR AS n, list_extract(['Ana','Ben','Carla','Dave','Elena','Farid','Grace','Hugo'], (c_custkey % 8 + 1)::INT) AS f,
+  list_extract(['Moreno','Keller','Tanaka','Okafor','Silva','Novak','Haddad','Lindqvist'], ((c_custkey // 8) % 8 + 1)::INT) AS l, '+65 9' || lpad(((c_custkey::BIGINT * 37) % 10000000)::VARCHAR, 7, '0') AS p FROM customer),
+hard_lines AS (
+  SELECT k AS card_id, 0 AS line_no, CASE WHEN k % 6 = 0 THEN f WHEN k % 3 = 0 THEN f || ' de ' || l ELSE f || ' ' || l END AS text FROM hc
+  UNION ALL SELECT k, 1, CASE WHEN k % 5 <> 0 THEN 'write to user' || n || '@mail' || (k % 10)::VARCHAR || '.com today' ELSE 'Mail: User' || n || '@mail' || (k % 10)::VARCHAR || '.co.uk, or call' END FROM hc
+  UNION ALL SELECT k, 2, list_extract(['M A N A G E R', 'Sales Manager.', 'Senior  Engineer,;', 'HEAD 0F SALES'], (k % 4 + 1)::INT) FROM hc
+  UNION ALL SELECT k, 3, list_extract(['VERTEX','ORBIT','CEDAR','MARLIN','QUARTZ','SUMMIT','HARBOR'], (k % 7 + 1)::INT) || ' ' || list_extract(['LTD','GMBH','GROUP'], (k % 3 + 1)::INT) || CASE WHEN k % 2 = 0 THEN '.,' ELSE '' END FROM hc
+  UNION ALL SELECT k, 4, CASE WHEN k % 3 = 0 THEN p || ' / +44 20' || lpad(((k * 91) % 100000000)::VARCHAR, 8, '0') ELSE p END FROM hc WHERE k % 11 <> 0
+  UNION ALL SELECT k, 5, (k % 90 + 10)::VARCHAR || ' North Road, Unit ' || (k % 7)::VARCHAR || ', Singapore ' || ((k * 131) % 900000 + 100000)::VARCHAR FROM hc WHERE k % 7 <> 0
+  UNION ALL SELECT k, 6, CASE WHEN k % 2 = 0 THEN 'www.firm' || n || '.com' ELSE 'linkedin.com/in/user-' || n || ' @user' || n END FROM hc
+  UNION ALL SELECT k, 7, list_extract(['London SW1A 1AA', '東京都千代田区 100-0001', 'नमस्ते कार्यालय', 'مكتب دبي', 'Toronto M5V 3L9', 'Reno 89501-1234'], (k % 6 + 1)::INT) FROM hc),
+both_lines AS (SELECT * FROM contact_lines UNION ALL SELECT -card_id - 1, line_no, text FROM hard_lines)"""
+
 _LETTERS = "length(regexp_replace({0}, '[^A-Za-z]', '', 'g'))"
 _ALPHA = _LETTERS + " / greatest(1, length({0}))::DOUBLE"
 _DIGITS = "length(regexp_replace({0}, '[^0-9]', '', 'g'))"
@@ -78,6 +92,10 @@ _CANON = "regexp_replace(translate(lower({0}), 'l|oqsbz', '110g582'), '[^a-z0-9]
 _CONF = "length(regexp_replace({0}, '[^lI|oqQSBsZz]', '', 'g'))"
 
 
+#: A token as lines take it.
+_WORD_OF = "rtrim(CASE WHEN length(regexp_replace({0}, '[^A-Z]', '', 'g')) >= 0.6 * length(regexp_replace({0}, '[^A-Za-z]', '', 'g')) AND regexp_matches({0}, '[A-Za-z]') THEN translate(trim({0}), '0134578', 'OIEASTB') ELSE trim({0}) END, '.,;:')"
+
+
 def _hint(values, c="text") -> str:
     return f"regexp_matches(lower({c}), '{_any(values)}')"
 
@@ -135,15 +153,23 @@ FROM contact_lines GROUP BY line_no""",
     "card_stats": TOKENS + " SELECT card_id, count(*) AS n_tokens, median(y2 - y1) AS median_height, round(median(cw), 6) AS median_char, round(stddev_pop(cw), 6) AS sd_char, min(y1) AS y_min, max(y2) AS y_max FROM sized GROUP BY card_id",
     "row_clusters": TOKENS + " SELECT card_id, dense_rank() OVER (PARTITION BY card_id ORDER BY line_no) - 1 AS row_id, tok_idx FROM tokens WHERE chosen",
     "anchor_rows": TOKENS + " SELECT card_id, dense_rank() OVER (PARTITION BY card_id ORDER BY line_no) - 1 AS row_id, tok_idx FROM tokens WHERE chosen",
-    "layout_lines": TOKENS + """, l AS (SELECT card_id, line_no, min(x1) AS x1, min(y1) AS y1, max(x2) AS x2, max(y2) AS y2, median(y2 - y1) AS height, string_agg(text, ' ' ORDER BY word_no) AS text FROM tokens WHERE chosen GROUP BY card_id, line_no)
+    "layout_lines": TOKENS + """, l AS (SELECT card_id, line_no, min(x1) AS x1, min(y1) AS y1, max(x2) AS x2, max(y2) AS y2, max(y2) - min(y1) AS height, string_agg(word, ' ' ORDER BY word_no) AS text FROM (SELECT *, """ + _WORD_OF.format("text") + """ AS word FROM tokens) WHERE chosen GROUP BY card_id, line_no)
 SELECT card_id, dense_rank() OVER (PARTITION BY card_id ORDER BY y1) - 1 AS row_id, text, x1, y1, x2, y2, height FROM l""",
     "row_features": LINES + f"""
 SELECT card_id, line_no, {_WORDS.format('text')} AS word_count, {_DIGITS.format('text')} > 0 AS has_digit, round({_DIGITS.format('text')} / length(text)::DOUBLE, 6) AS digit_density,
  round(length(regexp_replace(text, '[^,./#@:;-]', '', 'g')) / length(text)::DOUBLE, 6) AS punct_density, round({_ALPHA.format('text')}, 6) AS alpha_density, {_UPPER.format('text')} AS all_caps,
  len(list_filter(string_split(text, ' '), lambda x: regexp_matches(x, '^[A-Z]'))) / {_WORDS.format('text')}::DOUBLE >= 0.6 AS title_case, length(regexp_replace(text, '[^,/|]', '', 'g')) AS separators FROM contact_lines""",
-    "row_shapes": LINES + """
-SELECT card_id, line_no, line_no = 3 AS is_email, line_no = 4 AS is_phone, line_no = 3 AS is_web, line_no = 5 OR (line_no = 4 AND card_id % 2 = 0) AS is_postal FROM contact_lines""",
-    "address_firewall": LINES + f" SELECT card_id, line_no, 'SG' AS region, {_POSTAL} AS postal FROM contact_lines WHERE line_no = 5",
+    "row_shapes": LINES + HARD + r"""
+SELECT card_id, line_no, regexp_matches(text, '[A-Za-z0-9._%+-]{1,64}@[A-Za-z0-9.-]{1,253}[.][A-Za-z]{2,12}') AS is_email, length(regexp_replace(regexp_extract(text, '[+(]?[0-9][0-9\s().-]{5,16}[0-9]'), '[^0-9]', '', 'g')) BETWEEN 7 AND 15 AS is_phone,
+ regexp_matches(text, '(?i)(https?://|www[.])[a-z0-9./_%?=&#@-]+|[a-z0-9][a-z0-9_-]*[.][a-z]{2,12}') AS is_web,
+ regexp_matches(text, '(?i)\b[0-9]{4,7}\b|\b[a-z]{1,2}[0-9][a-z0-9]?\s*[0-9][a-z]{2}\b|\b[0-9]{3}-[0-9]{4}\b|\b[a-z][0-9][a-z]\s*[0-9][a-z][0-9]\b') AS is_postal,
+ regexp_matches(text, '(?i)(^|[\s,|•·])(@[a-z0-9_.]{2,32}|/in/[a-z0-9_-]{3,100}|linkedin[.]com/in/[a-z0-9_-]+|github[.]com/[a-z0-9_-]+|twitter[.]com/[a-z0-9_]+|x[.]com/[a-z0-9_]+|instagram[.]com/[a-z0-9_.]+)|(^|[^A-Za-z0-9])@[a-z0-9_.]{2,32}') AS is_social FROM both_lines""",
+    "address_firewall": LINES + HARD + f""",
+rg(rank, region, pat) AS (VALUES {", ".join(f"({i}, '{r}', '{p}')" for i, (r, p) in enumerate(C.POSTAL))}),
+ph AS (SELECT card_id, line_no, text, (SELECT min(rank) FROM rg WHERE regexp_matches(text, pat)) AS rank, {_hint(C.ADDRESS_HINTS)} AS hint,
+  regexp_matches(text, '(^|[^\\w])([+][0-9]{{1,3}}[\\s().-]*)?([(]?[0-9]{{1,4}}[)]?[\\s().-]*){{1,4}}[0-9]{{3,4}}([\\s().-]*[0-9]{{1,4}}){{0,3}}($|[^\\w])') OR contains(text, '+') AS phone FROM both_lines),
+fl AS (SELECT ph.*, region, pat, rank IS NOT NULL AND (hint OR NOT phone) AS coded FROM ph LEFT JOIN rg USING (rank))
+SELECT card_id, line_no, CASE WHEN coded THEN region END AS region, CASE WHEN coded THEN regexp_extract(text, pat) END AS postal FROM fl WHERE coded OR (hint AND {_ALPHA.format('text')} >= 0.45 AND {_DIGITS.format('text')} >= 1)""",
     "addresses": LINES + f" SELECT card_id, text AS address, 'SG' AS region, {_ALPHA.format('text')} >= 0.45 AS validated FROM contact_lines WHERE line_no = 5",
     "hint_matches": LINES + f" SELECT line_no, " + ", ".join(f"sum(CASE WHEN {_hint(h)} THEN 1 ELSE 0 END)::BIGINT AS {n}" for n, h in (("address", C.ADDRESS_HINTS), ("job", C.JOB_HINTS), ("company", C.COMPANY_HINTS))) + " FROM contact_lines GROUP BY line_no",
     "numbering_plan": f"""
@@ -160,7 +186,7 @@ SELECT n.card_id, n.phone, fit.region, fit.number FROM n LEFT JOIN fit ON n.card
 WITH u AS (SELECT page_id AS card_id, rtrim(regexp_extract(url, '(?i)(https?://[a-z0-9.-]+[.][a-z]{2,63}(/[A-Za-z0-9_./?%&=+#~-]*)?)', 1), '.,;:') AS a FROM pages),
 b AS (SELECT card_id, a, 'https://www.' || regexp_replace(a, '^https?://', '') AS w FROM u WHERE a <> '')
 SELECT card_id, 1 AS rank, a AS url FROM b UNION ALL SELECT card_id, 2, w FROM b WHERE lower(a) <> lower(w)""",
-    "card_corpus": TOKENS + """, l AS (SELECT card_id, line_no, string_agg(text, ' ' ORDER BY word_no) AS text, avg(score) AS s FROM tokens WHERE pass_name = 'normal' GROUP BY card_id, line_no)
+    "card_corpus": TOKENS + """, l AS (SELECT card_id, line_no, string_agg(""" + _WORD_OF.format("text") + """, ' ' ORDER BY word_no) AS text, avg(score) AS s FROM tokens WHERE pass_name = 'normal' GROUP BY card_id, line_no)
 SELECT card_id, string_agg(text, ' ' ORDER BY line_no) AS corpus, count(*)::INT AS n_lines, round(avg(s), 6) AS confidence FROM l GROUP BY card_id""",
     "candidate_flags": TOKENS + f""", h AS (SELECT *, max(floor(y2)) OVER (PARTITION BY card_id) AS height, lower(text) AS low FROM tokens)
 SELECT card_id, tok_idx, text, array_to_string(list_filter([CASE WHEN NOT regexp_full_match(text, '[A-Za-z .''-]+') THEN 'BAD_CHARS' END, CASE WHEN list_contains({_list(AUDIT_JOBS)}, low) THEN 'JOB_KEYWORD' END,
@@ -182,11 +208,32 @@ SELECT card_id, nullif(linkedin, '') AS linkedin, nullif(github, '') AS github,
     "recognised": "SELECT doc_id::VARCHAR AS label, 'normal' AS pass_name, len(string_split(text, ' ')) AS n_tokens, len(string_split(text, ' ')) - 1 AS last FROM documents WHERE text IS NOT NULL",
     "bundle": "SELECT * FROM (VALUES ('fields', 8), ('records', 1), ('rows', 1)) v(kind, m), LATERAL (SELECT m * count(*) AS n, count(*) AS n_cards FROM customer) c".replace("SELECT *", "SELECT kind, n, n_cards", 1),
     "file_stems": BATCHES + " SELECT card_id, replace(name, ' ', '_') AS stem FROM rec",
-    "sparse_vcards": BATCHES + """
-SELECT card_id, 'BEGIN:VCARD' || chr(10) || 'VERSION:3.0' || chr(10) || 'FN:' || name || chr(10) || 'N:' || split_part(name, ' ', 2) || ';' || split_part(name, ' ', 1) || ';;;' || chr(10) || 'ORG:' || company || chr(10) || 'TITLE:' || title || chr(10) || 'EMAIL;TYPE=INTERNET:' || email || chr(10)
- || CASE WHEN phone <> '' THEN 'TEL;TYPE=VOICE:' || phone || chr(10) ELSE '' END || CASE WHEN address <> '' THEN 'ADR;TYPE=WORK:;;' || address || chr(10) ELSE '' END || 'END:VCARD' AS vcard FROM rec""",
+    "sparse_vcards": LINES + HARD + """,
+r AS (SELECT card_id, max(CASE WHEN line_no = 0 AND card_id % 5 <> 0 THEN text END) AS name, max(CASE WHEN line_no = 2 THEN text END) AS title, max(CASE WHEN line_no = 3 AND card_id % 4 <> 0 THEN text END) AS company, max(CASE WHEN line_no = 1 THEN regexp_extract(text, '[^ ]+@[^ ]+') END) AS email,
+  max(CASE WHEN line_no = 4 THEN split_part(text, ' / ', 1) END) AS p1, nullif(max(CASE WHEN line_no = 4 THEN split_part(text, ' / ', 2) END), '') AS p2, max(CASE WHEN line_no = 6 AND card_id % 2 = 0 THEN text END) AS web, max(CASE WHEN line_no = 5 THEN text END) AS address FROM hard_lines GROUP BY card_id)
+SELECT card_id, concat_ws(chr(10), 'BEGIN:VCARD', 'VERSION:3.0', 'FN:' || name, CASE WHEN contains(name, ' ') THEN 'N:' || regexp_replace(name, '^[^ ]+ ', '') || ';' || split_part(name, ' ', 1) || ';;;' ELSE 'N:' || name || ';;;;' END, 'ORG:' || company, 'TITLE:' || title,
+ 'EMAIL;TYPE=INTERNET:' || email, 'TEL;TYPE=VOICE,PREF:' || p1, 'TEL;TYPE=VOICE:' || p2, 'URL:' || web, 'ADR;TYPE=WORK:;;' || replace(address, ', ', '; ') || ';;;;', 'END:VCARD') AS vcard FROM r""",
     "master_merged": BATCHES + " SELECT card_id, '2024_03' AS month, 2 AS run_id, email FROM new UNION ALL SELECT card_id, '2024_03', 1, email FROM old WHERE signature NOT IN (SELECT signature FROM new)",
-    "first_emails": LINES + " SELECT card_id, text AS email FROM contact_lines WHERE line_no = 3",
+    "first_emails": LINES + HARD + """, m AS (SELECT card_id, line_no, lower(regexp_extract(text, '[A-Za-z0-9._%+-]{1,64}@[A-Za-z0-9.-]{1,253}[.][A-Za-z]{2,12}')) AS m FROM both_lines)
+SELECT card_id, arg_min(m, line_no) AS email FROM m WHERE m <> '' GROUP BY card_id""",
+    "hard_line_texts": LINES + HARD + f""",
+hw AS (SELECT card_id, line_no, string_split(text, ' ') AS ws FROM hard_lines),
+hi AS (SELECT card_id, line_no, ws, unnest(range(0, len(ws))) AS word_no FROM hw),
+hp AS (SELECT card_id, line_no, word_no, list_extract(ws, (word_no + 1)::INT) AS word, coalesce(list_sum(list_transform(list_slice(ws, 1, word_no::INT), lambda w: length(w) + 1)), 0) AS before FROM hi),
+hq AS (SELECT *, CASE WHEN length(word) >= 6 AND (card_id + word_no) % 3 = 0 THEN 2 WHEN length(word) >= 6 AND (card_id + word_no) % 3 = 1 THEN 3 ELSE length(word) END AS cut FROM hp),
+ht AS (SELECT card_id, line_no, word_no, 0 AS part, left(word, cut::INT) AS text, 8.0 * before AS x1, 8.0 * (before + cut) AS x2 FROM hq
+  UNION ALL SELECT card_id, line_no, word_no, cut, substr(word, (cut + 1)::INT), 8.0 * (before + cut), 8.0 * (before + length(word)) FROM hq WHERE cut < length(word)),
+hs AS (SELECT *, {_WORD_OF.format("text")} AS w FROM ht),
+hl AS (SELECT *, lag(w) OVER (PARTITION BY card_id, line_no ORDER BY x1, word_no, part) AS b, x1 - lag(x2) OVER (PARTITION BY card_id, line_no ORDER BY x1, word_no, part) AS gap FROM hs WHERE w <> ''),
+hg AS (SELECT card_id, line_no, string_agg(CASE WHEN b IS NULL OR (gap <= 0.45 * 8.0 AND (length(w) <= 2 OR length(b) <= 2 OR b LIKE '%-')) THEN '' ELSE ' ' END || w, '' ORDER BY x1, word_no, part) AS t FROM hl GROUP BY card_id, line_no),
+hx AS (SELECT card_id, line_no, max(x2)::DOUBLE AS x2 FROM ht GROUP BY card_id, line_no)
+SELECT card_id, dense_rank() OVER (PARTITION BY card_id ORDER BY line_no) - 1 AS row_id, rtrim(CASE WHEN regexp_matches(t, '^[^ ]( [^ ])+$') THEN replace(t, ' ', '') ELSE t END, '.,;:') AS text, x2, 20.0::DOUBLE AS height, 8.0::DOUBLE AS char_median FROM hg JOIN hx USING (card_id, line_no)""",
+    "social_handles": PROFILES + r""", d AS (SELECT -doc_id - 1 AS card_id, string_split(text, chr(10)) AS ls FROM documents WHERE text IS NOT NULL), d2 AS (SELECT card_id, unnest(range(0, len(ls))) AS line_no, ls FROM d),
+a AS (SELECT card_id, line_no, text FROM p UNION ALL SELECT card_id, line_no, list_extract(ls, (line_no + 1)::INT) FROM d2),
+t AS (SELECT card_id, line_no, regexp_extract_all(' ' || text || ' ', '[^\p{L}\p{N}_](@[A-Za-z0-9_.]{2,30})', 1) AS hs FROM a WHERE text LIKE '%@%'),
+u AS (SELECT card_id, line_no, hs, unnest(range(0, len(hs))) AS pos FROM t), h AS (SELECT card_id, line_no, pos, list_extract(hs, (pos + 1)::INT) AS handle FROM u),
+o AS (SELECT *, row_number() OVER (PARTITION BY card_id, lower(handle) ORDER BY line_no, pos) AS k FROM h)
+SELECT card_id, row_number() OVER (PARTITION BY card_id ORDER BY line_no, pos) AS rank, handle, line_no AS row_id FROM o WHERE k = 1""",
     "reading_order": LINES + """
 SELECT a.card_id, a.line_no AS src, b.line_no AS dst FROM contact_lines a JOIN contact_lines b ON a.card_id = b.card_id AND a.line_no < b.line_no
 WHERE least(length(a.text), length(b.text)) / length(a.text)::DOUBLE >= 0.25""",
@@ -222,7 +269,7 @@ SELECT card_id, block_id, string_agg(text, ' ' ORDER BY line_no) AS text, count(
     "contacts": CHOSEN + """,
 q AS (SELECT card_id, max(CASE WHEN line_no = 0 THEN text END) AS n, max(CASE WHEN line_no = 1 THEN text END) AS t, max(CASE WHEN line_no = 3 THEN text END) AS e, max(CASE WHEN line_no = 4 THEN text END) AS p, max(CASE WHEN line_no = 5 THEN text END) AS a FROM contact_lines GROUP BY card_id)
 SELECT q.card_id, nm.name, co.company, CASE WHEN q.card_id % 4 = 0 THEN n || ' ' || t ELSE t END AS title, regexp_replace(e, 'orgx$', 'org') AS email, '+65 ' || substr(regexp_replace(p, '[^0-9]', '', 'g'), 3) AS phone,
- NULL::VARCHAR AS website, a AS address, 1.0::DOUBLE AS quality_score, 'GREEN' AS quality_badge FROM q LEFT JOIN nm ON q.card_id = nm.card_id LEFT JOIN co ON q.card_id = co.card_id""",
+ NULL::VARCHAR AS website, replace(a, ',', '') AS address, 1.0::DOUBLE AS quality_score, 'GREEN' AS quality_badge FROM q LEFT JOIN nm ON q.card_id = nm.card_id LEFT JOIN co ON q.card_id = co.card_id""",
     "field_table": CHOSEN + """,
 q AS (SELECT card_id, max(CASE WHEN line_no = 1 THEN text END) AS t, max(CASE WHEN line_no = 3 THEN text END) AS e, max(CASE WHEN line_no = 4 THEN text END) AS p, max(CASE WHEN line_no = 5 THEN text END) AS a FROM contact_lines GROUP BY card_id),
 f AS (SELECT q.card_id, 'title' AS field, t AS value FROM q
@@ -239,7 +286,12 @@ b AS (SELECT *, sum(CASE WHEN pl = line_no - 1 THEN 0 ELSE 1 END) OVER (PARTITIO
 SELECT card_id, block_id, string_agg(text, ' ' ORDER BY line_no) AS text, avg(30.0 * line_no + 10)::DOUBLE AS y_center, max(8.0 * length(text))::DOUBLE AS x2 FROM b GROUP BY card_id, block_id""",
     "row_prominence": LINES + """ SELECT card_id, line_no, 1.0::DOUBLE AS tps, round((line_no - min(line_no) OVER (PARTITION BY card_id)) / (max(line_no) OVER (PARTITION BY card_id) - min(line_no) OVER (PARTITION BY card_id))::DOUBLE, 6) AS pos FROM contact_lines""",
     "stream_first_seen": "SELECT DISTINCT " + _CANON.format("user_id::VARCHAR") + " || '|' || " + _CANON.format("event_type") + " || '|' || strftime(ts, '%Y%m%d') AS signature FROM events",
-    "scripts": ALL_LINES + r""" SELECT card_id, 'latin' AS primary, '' AS secondary, sum(length(regexp_replace(text, '[^\p{L}]', '', 'g')))::BIGINT AS n_letters FROM all_lines WHERE trim(text) <> '' GROUP BY card_id""",
+    "scripts": ALL_LINES + HARD + r""", l AS (SELECT card_id, text FROM all_lines WHERE trim(text) <> '' UNION ALL SELECT card_id + 1000000000, text FROM hard_lines),
+sc AS (SELECT card_id, sum(length(regexp_replace(text, '[^\x{4e00}-\x{9fff}]', '', 'g'))) AS cjk, sum(length(regexp_replace(text, '[^\x{0600}-\x{06ff}]', '', 'g'))) AS arabic, sum(length(regexp_replace(text, '[^\x{0900}-\x{097f}]', '', 'g'))) AS devanagari,
+  sum(length(regexp_replace(text, '[\x{4e00}-\x{9fff}\x{0600}-\x{06ff}\x{0900}-\x{097f}]|[^\p{L}]', '', 'g'))) AS latin, sum(length(regexp_replace(text, '[^\p{L}]', '', 'g')))::BIGINT AS n_letters FROM l GROUP BY card_id),
+s AS (SELECT card_id, n_letters, greatest(latin + cjk + arabic + devanagari, 1) AS total, unnest([{'s': 'latin', 'r': 0, 'n': latin}, {'s': 'cjk', 'r': 1, 'n': cjk}, {'s': 'arabic', 'r': 2, 'n': arabic}, {'s': 'devanagari', 'r': 3, 'n': devanagari}]) AS x FROM sc),
+o AS (SELECT card_id, n_letters, total, x.s AS script, x.n AS n, row_number() OVER (PARTITION BY card_id ORDER BY x.n DESC, x.r) AS k FROM s)
+SELECT card_id, max(CASE WHEN k = 1 THEN script END) AS primary, coalesce(arg_min(CASE WHEN k > 1 AND n >= 0.15 * total THEN script END, k) , '') AS secondary, any_value(n_letters) AS n_letters FROM o GROUP BY card_id""",
 }
 
 

@@ -99,11 +99,11 @@ def row_features(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def row_shapes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return R.shapes(S.contact_lines(spark, sf_dir)).select("card_id", "line_no", "is_email", "is_phone", "is_web", "is_postal")
+    return R.shapes(_cards_and_hard(spark, sf_dir)).select("card_id", "line_no", "is_email", "is_phone", "is_web", "is_postal", "is_social")
 
 
 def address_firewall(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return X.address_lines(_lines(spark, sf_dir)).filter("is_address").select("card_id", F.col("row_id").alias("line_no"), "region", "postal")
+    return X.address_lines(T.lines_as_layout(_cards_and_hard(spark, sf_dir))).filter("is_address").select("card_id", F.col("row_id").alias("line_no"), "region", "postal")
 
 
 def addresses(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -149,11 +149,12 @@ def urls(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def social_handles(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return X.handles(T.lines_as_layout(_all_lines(spark, sf_dir))).drop("text")
+    return X.handles(T.lines_as_layout(S.profile_lines(spark, sf_dir).unionByName(S.doc_lines(spark, sf_dir).withColumn("card_id", -F.col("card_id") - 1)))).drop("text")
 
 
 def scripts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return R.script_histogram(_all_lines(spark, sf_dir))
+    hard = S.hard_lines(spark, sf_dir).withColumn("card_id", F.col("card_id") + 1_000_000_000)
+    return R.script_histogram(_all_lines(spark, sf_dir).unionByName(hard))
 
 
 def card_corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -162,8 +163,17 @@ def card_corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
     return R.card_corpus(T.compose_lines(rows).join(sure, ["card_id", "row_id"]))
 
 
+def _cards_and_hard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Contact lines, and the lines of hard cards under negative card numbers."""
+    return S.contact_lines(spark, sf_dir).unionByName(S.hard_lines(spark, sf_dir).withColumn("card_id", -F.col("card_id") - 1))
+
+
+def hard_line_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return T.layout_lines(S.hard_tokens(spark, sf_dir)).select("card_id", "row_id", "text", "x2", "height", F.round("char_median", 6).alias("char_median"))
+
+
 def first_emails(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return R.first_email(S.contact_lines(spark, sf_dir))
+    return R.first_email(_cards_and_hard(spark, sf_dir))
 
 
 def reading_order(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -200,7 +210,7 @@ def contacts_layout(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def flat_simple(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return R.flat_simple(S.contact_lines(spark, sf_dir))
+    return R.flat_simple(_cards_and_hard(spark, sf_dir))
 
 
 def flat_labelled(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -296,7 +306,12 @@ def vcards(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def sparse_vcards(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return M.vcards(_plain_records(spark, sf_dir), sparse=True)
+    """Cards of hard lines: names of one to three words, up to two phones, and websites for some."""
+    l = S.hard_lines(spark, sf_dir).groupBy("card_id").pivot("line_no", [0, 1, 2, 3, 4, 5, 6]).agg(F.first("text"))
+    phones = F.split("4", " / ")
+    web = F.when(F.col("6").startswith("www."), F.col("6"))
+    r = l.select("card_id", F.col("0").alias("name"), F.col("2").alias("title"), F.when(F.col("card_id") % 4 != 0, F.col("3")).alias("company"), F.regexp_extract("1", r"\S+@\S+", 0).alias("email"), F.get(phones, F.lit(0)).alias("phone_1"), F.get(phones, F.lit(1)).alias("phone_2"), web.alias("website"), F.col("5").alias("address"))
+    return M.layout_vcards(r.withColumn("name", F.when(F.col("card_id") % 5 != 0, F.col("name"))))
 
 
 def flat_records(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -375,7 +390,7 @@ def stream_first_seen(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Query]:
     names = (
         emails_by_domain, emails, profile_lines, token_geometry, confidence_split, payload_dict_tokens, payload_item_tokens, overlap_pairs, token_dedup, card_stats,
-        row_clusters, anchor_rows, layout_lines, line_blocks, row_features, row_shapes, address_firewall, addresses, hint_matches, phone_windows, phones, numbering_plan,
+        row_clusters, anchor_rows, layout_lines, hard_line_texts, line_blocks, row_features, row_shapes, address_firewall, addresses, hint_matches, phone_windows, phones, numbering_plan,
         best_names, best_companies, best_titles, urls, social_handles, scripts, card_corpus, first_emails, reading_order, ancestors, layout_roles, fuzzy_lines, contacts,
         contacts_layout, flat_simple, flat_labelled, token_audit, master_append, master_upsert, field_table, vcards, wide_rows, ink_segments,
         audit_lines, candidate_flags, clean_tokens, layout_phones, prominent_fields, websites, social_profiles, detections, recognised, sparse_vcards, flat_records, layout_rows, file_stems, bundle, master_merged,

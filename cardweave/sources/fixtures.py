@@ -113,3 +113,37 @@ def ink_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
     w = Window.partitionBy("page_id").orderBy("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "ink", "l_extendedprice")
     rows = spark.read.parquet(f"{sf_dir}/lineitem.parquet").select(page.alias("page_id"), "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice", F.col("l_quantity").cast("double").alias("ink"))
     return rows.select("page_id", (F.row_number().over(w) - 1).alias("y"), "ink")
+
+
+def hard_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(card_id, line_no, text): for each customer a card with what real cards have: words around the mail address, spaced capitals, digits in capitals, stops at the end, names of one to three words, two phones, other scripts and regions."""
+    k = F.col("c_custkey").cast("long")
+    n = k.cast("string")
+    first, last = _pick(FIRST, k % 8), _pick(LAST, F.floor(k / 8) % 8)
+    phone = F.concat(F.lit("+65 9"), F.lpad(((k * 37) % 10000000).cast("string"), 7, "0"))
+    lines = [
+        F.when(k % 6 == 0, first).when(k % 3 == 0, F.concat(first, F.lit(" de "), last)).otherwise(F.concat(first, F.lit(" "), last)),
+        F.when(k % 5 != 0, F.concat(F.lit("write to user"), n, F.lit("@mail"), (k % 10).cast("string"), F.lit(".com today"))).otherwise(F.concat(F.lit("Mail: User"), n, F.lit("@mail"), (k % 10).cast("string"), F.lit(".co.uk, or call"))),
+        _pick(["M A N A G E R", "Sales Manager.", "Senior  Engineer,;", "HEAD 0F SALES"], k % 4),
+        F.concat(_pick(COMPANIES, k % 7), F.lit(" "), _pick(FORMS, k % 3), F.when(k % 2 == 0, ".,").otherwise("")),
+        F.when(k % 11 != 0, F.when(k % 3 == 0, F.concat(phone, F.lit(" / +44 20"), F.lpad(((k * 91) % 100000000).cast("string"), 8, "0"))).otherwise(phone)),
+        F.when(k % 7 != 0, F.concat((k % 90 + 10).cast("string"), F.lit(" North Road, Unit "), (k % 7).cast("string"), F.lit(", Singapore "), ((k * 131) % 900000 + 100000).cast("string"))),
+        F.when(k % 2 == 0, F.concat(F.lit("www.firm"), n, F.lit(".com"))).otherwise(F.concat(F.lit("linkedin.com/in/user-"), n, F.lit(" @user"), n)),
+        _pick(["London SW1A 1AA", "東京都千代田区 100-0001", "नमस्ते कार्यालय", "مكتب دبي", "Toronto M5V 3L9", "Reno 89501-1234"], k % 6),
+    ]
+    out = spark.read.parquet(f"{sf_dir}/customer.parquet").select(k.alias("card_id"), F.posexplode(F.array(*lines)).alias("line_no", "text"))
+    return out.filter("text is not null")
+
+
+def hard_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(card_id, tok_idx, pass_name, text, score, box): the words of ``hard_lines``, some of them in two parts that touch."""
+    l = hard_lines(spark, sf_dir)
+    words = l.select("card_id", "line_no", F.posexplode(F.split("text", " ")).alias("word_no", "word"), F.split("text", " ").alias("all"))
+    before = F.coalesce(F.aggregate(F.slice("all", 1, F.col("word_no")), F.lit(0), lambda a, w: a + F.length(w) + 1), F.lit(0))
+    cut = F.when((F.length("word") >= 6) & ((F.col("card_id") + F.col("word_no")) % 3 == 0), 2).when((F.length("word") >= 6) & ((F.col("card_id") + F.col("word_no")) % 3 == 1), 3).otherwise(F.length("word"))
+    words = words.withColumns({"before": before, "cut": cut})
+    part = F.explode(F.filter(F.array(F.struct(F.lit(0).alias("at"), F.expr("substring(word, 1, cut)").alias("text")), F.struct(F.col("cut").alias("at"), F.expr("substring(word, cut + 1)").alias("text"))), lambda p: (p["at"] == 0) | (p["text"] != "")))
+    t = words.select("card_id", "line_no", "word_no", "before", part.alias("p")).select("card_id", "line_no", "word_no", F.col("p.at").alias("at"), F.col("p.text").alias("text"), (8.0 * (F.col("before") + F.col("p.at"))).alias("x1"), (30.0 * F.col("line_no")).alias("y1"))
+    x2, y2 = F.col("x1") + 8.0 * F.length("text"), F.col("y1") + 20.0
+    w = Window.partitionBy("card_id").orderBy("line_no", "word_no", "at")
+    return t.select("card_id", (F.row_number().over(w) - 1).alias("tok_idx"), F.lit("normal").alias("pass_name"), "text", F.lit(0.9).alias("score"), F.array(F.array(F.col("x1"), F.col("y1")), F.array(x2, F.col("y1")), F.array(x2, y2), F.array(F.col("x1"), y2)).alias("box"))
