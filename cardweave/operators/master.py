@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
-from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from cardweave.functions.text import file_stem, signature
+from cardweave.plans import manifest
 from cardweave.plans.stage import drop_stage, stage
 
 FIELDS = ("name", "company", "title", "email", "phone", "website", "address")
@@ -32,31 +33,50 @@ def upsert(master: DataFrame, batch: DataFrame, order: str = "run_id") -> DataFr
     return rows.withColumn("k", F.row_number().over(w)).filter("k = 1").drop("k", "newer")
 
 
-def write_master(rows: DataFrame, path: str) -> None:
-    """Months in ``rows`` are replaced, others stay."""
-    rows.write.partitionBy("month").mode("overwrite").option("partitionOverwriteMode", "dynamic").parquet(path)
+def replace_cards(master: DataFrame, batch: DataFrame) -> DataFrame:
+    """``upsert`` after the master's rows of the batch's cards are gone: what is known of a card now takes the place of what was known before."""
+    cards = batch.select("card_id").distinct()
+    return upsert(master.join(cards, "card_id", "left_anti"), batch)
 
 
-def merge_master(batch: DataFrame, path: str, merge: Callable[[DataFrame, DataFrame], DataFrame] = upsert) -> None:
-    """Merge a batch into the master at ``path``, made if it is not there: the months of the batch are read, merged and replaced.
+def read_master(spark: SparkSession, path: str, months: list[str] | None = None) -> DataFrame | None:
+    """The rows of the latest version, of all months or some; None if there are none."""
+    _, folders = manifest.current(spark, path)
+    chosen = sorted(f for m, f in folders.items() if months is None or m in months)
+    return spark.read.parquet(*(f"{path}/{f}" for f in chosen)) if chosen else None
 
-    The merged rows are staged before the months that they were read from are overwritten; a
-    run that is lost in between leaves the master as it was or as it should be, and can be repeated.
+
+def write_months(rows: DataFrame, path: str, months: list[str], began: int, folders: dict[str, str]) -> int:
+    """Commit ``rows`` as what ``months`` hold from now on; other months stay, and a month without rows goes."""
+    spark = rows.sparkSession
+    new = f"data/{uuid.uuid4().hex}"
+    # The month stays a column of the files, as each folder is read by itself.
+    rows.withColumn("_month", F.col("month")).write.partitionBy("_month").parquet(f"{path}/{new}")
+    there = [r[0] for r in rows.select("month").distinct().collect()]  # as few as the batch has
+    return manifest.commit(spark, path, began, {m: f for m, f in folders.items() if m not in months} | {m: f"{new}/_month={m}" for m in there})
+
+
+def merge_master(batch: DataFrame, path: str, merge: Callable[[DataFrame, DataFrame], DataFrame] = upsert, months: list[str] | None = None) -> None:
+    """Merge a batch into the master at ``path``, made if it is not there: the batch's months (or ``months``) are read, merged and replaced.
+
+    Merged months go to folders of their own, and the version that names them is committed in one
+    step (``cardweave.plans.manifest``). A run that is lost before leaves the master as it was, one that is
+    repeated merges to the same rows, and a second writer at the same time gets an error.
     """
     spark = batch.sparkSession
     batch = stage(batch)
-    months = sorted(r[0] for r in batch.select("month").distinct().collect())  # as few as the batch has
-    try:
-        old = spark.read.option("basePath", path).schema(signed(batch).schema).parquet(path).filter(F.col("month").isin(months))
-    except AnalysisException as e:
-        if e.getCondition() != "PATH_NOT_FOUND":
-            raise
-        old = batch.limit(0)
-    # What only appends keeps the rows that are there.
+    if months is None:
+        months = sorted(r[0] for r in batch.select("month").distinct().collect())  # as few as the batch has
+    began, folders = manifest.current(spark, path)
+    old = read_master(spark, path, months)
+    old = batch.limit(0) if old is None else old
     rows = merge(old, batch)
+    # What only appends keeps the rows that are there.
     rows = stage(signed(old).unionByName(rows) if merge is append_new else rows)
-    write_master(rows, path)
-    drop_stage(rows, batch)
+    try:
+        write_months(rows, path, months, began, folders)
+    finally:
+        drop_stage(rows, batch)
 
 
 RECORD = (*FIELDS, "social")
@@ -129,9 +149,24 @@ def with_stems(records: DataFrame) -> DataFrame:
 
 
 def persist_bundle(records: DataFrame, path: str, run_id: str) -> None:
-    """Snapshot of a run and the latest copy: JSON records, CSV rows, vCards, field table."""
-    for folder in (f"{path}/runs/run_id={run_id}", f"{path}/latest"):
-        records.write.mode("overwrite").json(f"{folder}/records")
-        wide_rows(records).write.mode("overwrite").option("header", True).csv(f"{folder}/rows")
-        vcards(records).select("vcard").write.mode("overwrite").text(f"{folder}/vcards")
-        field_table(records).write.mode("overwrite").parquet(f"{folder}/fields")
+    """Snapshot of a run: JSON records, CSV rows, vCards, field table; and the version that names it as the latest.
+
+    Records are worked out once for all four. A run that is written again replaces its own snapshot of
+    before by a new folder; readers of ``latest_bundle`` see a whole run.
+    """
+    spark = records.sparkSession
+    began, folders = manifest.current(spark, path)
+    records, new = stage(records), f"data/run_id={run_id}-{uuid.uuid4().hex}"
+    try:
+        records.write.json(f"{path}/{new}/records")
+        wide_rows(records).write.option("header", True).csv(f"{path}/{new}/rows")
+        vcards(records).select("vcard").write.text(f"{path}/{new}/vcards")
+        field_table(records).write.parquet(f"{path}/{new}/fields")
+        manifest.commit(spark, path, began, folders | {f"run_id={run_id}": new, "latest": new})
+    finally:
+        drop_stage(records)
+
+
+def bundle_folder(spark: SparkSession, path: str, run_id: str | None = None) -> str:
+    """The folder of a run's snapshot, or of the latest."""
+    return f"{path}/{manifest.current(spark, path)[1]['latest' if run_id is None else f'run_id={run_id}']}"

@@ -270,6 +270,10 @@ SELECT card_id, block_id, string_agg(text, ' ' ORDER BY line_no) AS text, count(
 q AS (SELECT card_id, max(CASE WHEN line_no = 0 THEN text END) AS n, max(CASE WHEN line_no = 1 THEN text END) AS t, max(CASE WHEN line_no = 3 THEN text END) AS e, max(CASE WHEN line_no = 4 THEN text END) AS p, max(CASE WHEN line_no = 5 THEN text END) AS a FROM contact_lines GROUP BY card_id)
 SELECT q.card_id, nm.name, co.company, CASE WHEN q.card_id % 4 = 0 THEN n || ' ' || t ELSE t END AS title, regexp_replace(e, 'orgx$', 'org') AS email, '+65 ' || substr(regexp_replace(p, '[^0-9]', '', 'g'), 3) AS phone,
  NULL::VARCHAR AS website, replace(a, ',', '') AS address, 1.0::DOUBLE AS quality_score, 'GREEN' AS quality_badge FROM q LEFT JOIN nm ON q.card_id = nm.card_id LEFT JOIN co ON q.card_id = co.card_id""",
+    "stream_contacts": CHOSEN + """,
+q AS (SELECT card_id, max(CASE WHEN line_no = 0 THEN text END) AS n, max(CASE WHEN line_no = 1 THEN text END) AS t, max(CASE WHEN line_no = 3 THEN text END) AS e, max(CASE WHEN line_no = 4 THEN text END) AS p, max(CASE WHEN line_no = 5 THEN text END) AS a FROM contact_lines GROUP BY card_id)
+SELECT q.card_id, strftime(DATE '2024-01-10' + (q.card_id % 60)::INT, '%Y_%m') AS month, nm.name, co.company, CASE WHEN q.card_id % 4 = 0 THEN n || ' ' || t ELSE t END AS title, regexp_replace(e, 'orgx$', 'org') AS email, '+65 ' || substr(regexp_replace(p, '[^0-9]', '', 'g'), 3) AS phone,
+ NULL::VARCHAR AS website, replace(a, ',', '') AS address, 'GREEN' AS quality_badge FROM q LEFT JOIN nm ON q.card_id = nm.card_id LEFT JOIN co ON q.card_id = co.card_id""",
     "field_table": CHOSEN + """,
 q AS (SELECT card_id, max(CASE WHEN line_no = 1 THEN text END) AS t, max(CASE WHEN line_no = 3 THEN text END) AS e, max(CASE WHEN line_no = 4 THEN text END) AS p, max(CASE WHEN line_no = 5 THEN text END) AS a FROM contact_lines GROUP BY card_id),
 f AS (SELECT q.card_id, 'title' AS field, t AS value FROM q

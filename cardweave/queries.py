@@ -18,7 +18,7 @@ from cardweave.plans import pipelines as P
 from cardweave.plans.stage import new_folder
 from cardweave.sources import fixtures as S
 from cardweave.sources import payload as L
-from cardweave.streaming.jobs import first_seen_once
+from cardweave.streaming.jobs import first_seen_once, incremental_contacts
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -284,7 +284,8 @@ def _plain_records(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _batches(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     """Two batches of plain records that overlap in every tenth customer."""
     r, k = _plain_records(spark, sf_dir), F.col("card_id")
-    return P.as_batch(r.filter((k % 2 == 0) | (k % 10 == 5)), 1), P.as_batch(r.filter((k % 2 == 1) | (k % 10 == 0)), 2)
+    month = F.lit("2024-03-05")
+    return P.as_batch(r.filter((k % 2 == 0) | (k % 10 == 5)), 1, month), P.as_batch(r.filter((k % 2 == 1) | (k % 10 == 0)), 2, month)
 
 
 def master_append(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -330,7 +331,8 @@ def bundle(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Records persisted as a run, and the field table of the latest copy counted."""
     path = new_folder(spark)
     M.persist_bundle(_records(spark, sf_dir), path, "1")
-    kinds = {"fields": spark.read.parquet(f"{path}/latest/fields"), "records": spark.read.json(f"{path}/latest/records"), "rows": spark.read.option("header", True).csv(f"{path}/latest/rows")}
+    latest = M.bundle_folder(spark, path)
+    kinds = {"fields": spark.read.parquet(f"{latest}/fields"), "records": spark.read.json(f"{latest}/records"), "rows": spark.read.option("header", True).csv(f"{latest}/rows")}
     counts = [df.agg(F.lit(k).alias("kind"), F.count("*").alias("n"), F.countDistinct("card_id").alias("n_cards")) for k, df in kinds.items()]
     return counts[0].unionByName(counts[1]).unionByName(counts[2])
 
@@ -341,7 +343,21 @@ def master_merged(spark: SparkSession, sf_dir: str) -> DataFrame:
     old, new = _batches(spark, sf_dir)
     for batch in (old, new, new):
         M.merge_master(batch, path)
-    return spark.read.parquet(path).select("card_id", "month", "run_id", "email")
+    return M.read_master(spark, path).select("card_id", "month", "run_id", "email")
+
+
+def stream_contacts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tokens of two passes in files of their own, the second of them days later and some in the next month, streamed into a master."""
+    t = S.contact_tokens(spark, sf_dir)
+    k = F.col("card_id")
+    first = F.to_timestamp(F.lit("2024-01-10")) + F.make_dt_interval((k % 60).cast("int"))
+    path = new_folder(spark)
+    late = t.withColumn("ts", F.when(F.col("pass_name") == "normal", first).otherwise(first + F.make_dt_interval((k % 4).cast("int"))))
+    for name in ("bright", "normal"):  # what came later is read first
+        late.filter(F.col("pass_name") == name).coalesce(2).write.mode("append").parquet(f"{path}/tokens")
+    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in late.schema)
+    incremental_contacts(spark, f"{path}/tokens", schema, f"{path}/progress", f"{path}/master", files=2)
+    return M.read_master(spark, f"{path}/master").select("card_id", "month", *M.FIELDS, "quality_badge")
 
 
 def wide_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -394,6 +410,6 @@ def queries() -> dict[str, Query]:
         best_names, best_companies, best_titles, urls, social_handles, scripts, card_corpus, first_emails, reading_order, ancestors, layout_roles, fuzzy_lines, contacts,
         contacts_layout, flat_simple, flat_labelled, token_audit, master_append, master_upsert, field_table, vcards, wide_rows, ink_segments,
         audit_lines, candidate_flags, clean_tokens, layout_phones, prominent_fields, websites, social_profiles, detections, recognised, sparse_vcards, flat_records, layout_rows, file_stems, bundle, master_merged,
-        fused_blocks, variant_rows, row_prominence, phone_columns, line_likeness, stream_first_seen,
+        fused_blocks, variant_rows, row_prominence, phone_columns, line_likeness, stream_first_seen, stream_contacts,
     )
     return {f.__name__: f for f in names}

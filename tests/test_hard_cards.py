@@ -14,7 +14,6 @@ from cardweave.operators import extract, master, rows, tokens
 from cardweave.plans import pipelines
 from cardweave.plans import stage as stage_module
 from cardweave.sources import fixtures, payload
-from cardweave.streaming import jobs
 
 TOKEN = "card_id long, tok_idx int, pass_name string, text string, score double, box array<array<double>>"
 WORDS = ["end.,", "R0AD", "A", "b", ".", "ana", "Moreno", "S", "B", "10", "mail@x.org", "co-", "Grq", "Grg", "road", "l1", "xxxxxx", "+65", "é", "a  b"]
@@ -241,20 +240,6 @@ def test_passes_are_united(spark, tiny):
     assert sorted(map(repr, pipelines.contacts(normal, bright).select(columns).collect())) == sorted(map(repr, pipelines.contacts(t).select(columns).collect()))
 
 
-def test_stream_of_contacts_equals_batch(spark, tiny, tmp_path):
-    t = fixtures.contact_tokens(spark, tiny)
-    t.repartition(3, "card_id").write.parquet(str(tmp_path / "tokens"))
-    path = str(tmp_path / "master")
-    for _ in range(2):  # a second start finds nothing new
-        jobs.incremental_contacts(spark, str(tmp_path / "tokens"), ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in t.schema), str(tmp_path / "progress"), path, files=1)
-    columns = ["card_id", *master.FIELDS, "quality_badge"]
-    got = spark.read.parquet(path)
-    assert sorted(map(repr, got.select(columns).collect())) == sorted(map(repr, pipelines.contacts(t).select(columns).collect()))
-    n = got.count()
-    master.merge_master(got.drop("signature").withColumn("phone", F.lit("+1 2125550100")).limit(5), path)
-    assert spark.read.parquet(path).count() == n + 5
-
-
 class Session:
     """What ``shared_folder`` asks a session."""
 
