@@ -11,8 +11,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import WindowSpec
 
 from cardweave.functions import constants as C
+from cardweave.functions.similarity import Likeness, lcs_ratio
 from cardweave.functions.text import alpha_ratio, canonical, digit_count, fidelity, has_hint, is_title, is_upper, let, normalize_spaces, phone_normal, postal_region, postal_text, repair_digits, strip_trailing_punct, word_count
-
 from cardweave.operators.tokens import of_card
 
 
@@ -260,20 +260,18 @@ def quality(records: DataFrame, validators: dict[str, Validator] | None = None,
     return out.withColumn("quality_badge", F.when((F.col("quality_score") >= 0.78) & core, "GREEN").when(F.col("quality_score") >= 0.52, "AMBER").otherwise("RED"))
 
 
-def fuzzy_merge(lines: DataFrame, least: float = 75.0) -> DataFrame:
+def fuzzy_merge(lines: DataFrame, least: float = 75.0, metric: Likeness = lcs_ratio) -> DataFrame:
     """Lines without near copies, in a scan of each card's lines by (y, x).
 
     A line that overlaps a kept one in height and is like it by canonical text takes the
     place of the first such one if it is more faithful, and goes otherwise. The kept lines
-    are a running state of a few entries, hence a fold. Likeness is 100 * (1 - distance /
-    longer length); 100 for two empty texts.
+    are a running state of a few entries, hence a fold. ``metric`` is the likeness of canonical texts.
     """
     item = F.struct("y1", "x1", "row_id", "y2", canonical(F.col("text")).alias("canon"), fidelity(F.col("text")).alias("fid"), F.struct(*lines.columns).alias("row"))
     cards = lines.groupBy("card_id").agg(F.array_sort(F.collect_list(item)).alias("scan"))
 
     def alike(a: Column, b: Column) -> Column:
-        longest = F.greatest(F.length(a["canon"]), F.length(b["canon"]), F.lit(1))
-        return (F.least(a["y2"], b["y2"]) > F.greatest(a["y1"], b["y1"])) & (100.0 * (1 - F.levenshtein(a["canon"], b["canon"]) / longest) >= least)
+        return F.when(F.least(a["y2"], b["y2"]) > F.greatest(a["y1"], b["y1"]), metric(a["canon"], b["canon"]) >= least).otherwise(False)
 
     def step(kept: Column, x: Column) -> Column:
         hit = F.array_position(F.transform(kept, lambda k: alike(k, x)), True)

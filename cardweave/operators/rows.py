@@ -10,7 +10,7 @@ from pyspark.sql.window import WindowSpec
 
 from cardweave.functions import constants as C
 from cardweave.functions.text import digit_count, has_hint, is_title, is_upper, letters, normalize_spaces, spaced_letters, word_count
-from cardweave.functions.similarity import confusion_likeness, edit_likeness
+from cardweave.functions.similarity import Likeness, confusion_likeness, lcs_ratio
 from cardweave.operators.extract import numbering
 from cardweave.operators.tokens import cluster_rows, geometry, of_card
 
@@ -90,12 +90,12 @@ def card_corpus(rows: DataFrame) -> DataFrame:
     return rows.groupBy("card_id").agg(F.array_join(F.transform(ordered, lambda s: s["text"]), " ").alias("corpus"), F.count("*").cast("int").alias("n_lines"), F.round(F.avg("confidence"), 6).alias("confidence"))
 
 
-def fuzzy_rows(rows: DataFrame, least: float = 80.0) -> DataFrame:
+def fuzzy_rows(rows: DataFrame, least: float = 80.0, metric: Likeness = lcs_ratio) -> DataFrame:
     """Rows without variants of others of their card: each row, in order, meets the later ones that are left.
 
     Of two that are alike, confusions counted, the one with more letters and fewer runs of one
     character stays, or the earlier. A row that loses is compared no further. What is left is a
-    running state, hence a fold over the card's few rows.
+    running state, hence a fold over the card's few rows. ``metric`` is the likeness of lower-cased texts.
     """
     score = letters(F.col("text")) - 3 * F.regexp_count("text", F.lit(r"(.)\1{2,}"))
     item = F.struct("row_id", "text", F.lower("text").alias("low"), score.alias("s"), F.struct(*rows.columns).alias("row"))
@@ -104,7 +104,7 @@ def fuzzy_rows(rows: DataFrame, least: float = 80.0) -> DataFrame:
     def step(gone: Column, i: Column) -> Column:
         x = F.get("scan", i)
         # 0: not met; 1: the later row goes; 2: this one does.
-        met = F.transform("scan", lambda y, j: F.when((j <= i) | F.get(gone, j) | (confusion_likeness(x["text"], y["text"], edit_likeness(x["low"], y["low"])) < least), 0).when((x["s"] >= y["s"]) | (x["text"] == y["text"]), 1).otherwise(2))
+        met = F.transform("scan", lambda y, j: F.when((j <= i) | F.get(gone, j) | (confusion_likeness(x["text"], y["text"], metric(x["low"], y["low"])) < least), 0).when((x["s"] >= y["s"]) | (x["text"] == y["text"]), 1).otherwise(2))
         met = F.array(met)  # worked out once
         after = F.get(F.transform(met, lambda m: F.struct(m.alias("m"), F.array_position(m, 2).alias("lost"))), F.lit(0))
         marked = F.get(F.transform(F.array(after), lambda a: F.transform(gone, lambda g, j: g | ((j == i) & (a["lost"] > 0)) | ((F.get(a["m"], j) == 1) & ((a["lost"] == 0) | (j + 1 < a["lost"]))))), F.lit(0))
@@ -169,14 +169,26 @@ def reading_order(rows: DataFrame, least: float = 0.25) -> DataFrame:
 
 
 def within_hops(edges: DataFrame, targets: DataFrame, hops: int, up: bool = True) -> DataFrame:
-    """(card_id, row_id): ancestors (or descendants) of the targets within that many hops."""
+    """(card_id, row_id): ancestors (or descendants) of the targets within that many hops.
+
+    A recursive query over cards: its state is the rows met so far and the newest of them, so a row met on many
+    paths is taken once, and a card has one row a hop. The edges of a card are read once.
+    """
     here, there = ("dst", "src") if up else ("src", "dst")
-    front = targets.select("card_id", "row_id").distinct()
-    found = None
-    for _ in range(hops):
-        front = edges.join(front.withColumnRenamed("row_id", here), ["card_id", here]).select("card_id", F.col(there).alias("row_id")).distinct()
-        found = front if found is None else found.unionByName(front)
-    return found.distinct()
+    found = edges.sparkSession.sql(
+        f"""
+        WITH RECURSIVE graph AS (SELECT card_id, collect_set(struct({here} AS here, {there} AS there)) AS edges FROM {{edges}} GROUP BY card_id),
+        met(card_id, front, seen, hops) AS (
+          SELECT card_id, collect_set(row_id), CAST(array() AS array<{dict(targets.dtypes)["row_id"]}>), 0 FROM {{targets}} GROUP BY card_id
+          UNION ALL
+          SELECT m.card_id, array_except(m.next, m.seen), array_union(m.seen, m.next), m.hops + 1 FROM (
+            SELECT met.card_id, seen, hops, array_distinct(transform(filter(edges, e -> array_contains(front, e.here)), e -> e.there)) AS next
+            FROM met JOIN graph ON met.card_id = graph.card_id WHERE hops < {int(hops)} AND size(front) > 0) m)
+        SELECT card_id, explode(seen) AS row_id FROM (SELECT card_id, max_by(seen, hops) AS seen FROM met GROUP BY card_id)
+        """,
+        edges=edges, targets=targets,
+    )
+    return found
 
 
 def prominent_fields(rows: DataFrame) -> DataFrame:

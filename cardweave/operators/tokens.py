@@ -14,6 +14,14 @@ from pyspark.sql.window import WindowSpec
 from cardweave.functions import constants as C
 from cardweave.functions.text import canonical, collapse_spaced_letters, has_hint, letters, normalize_spaces, strip_trailing_punct, word_of_line
 
+#: A card's arrays hold at most so many tokens; more are an error, and a page for ``operators.pages``.
+MAX_TOKENS_PER_CARD = 20_000
+
+
+def guarded(n: Column, value: Column) -> Column:
+    return F.when(n > MAX_TOKENS_PER_CARD, F.raise_error(F.lit(f"a card has more than {MAX_TOKENS_PER_CARD} tokens: use the operators of pages"))).otherwise(value)
+
+
 def card() -> WindowSpec:
     return Window.partitionBy("card_id")
 
@@ -62,7 +70,7 @@ def dedupe(tokens: DataFrame, least: float = C.IOU_MIN) -> DataFrame:
     t = geometry(tokens).withColumn("canon", canonical(F.col("text")))
     names = [f.name for f in tokens.schema]
     item = F.struct("y1", "x1", (-F.col("score")).alias("down"), "tok_idx", "x2", "y2", F.struct(*names).alias("row"))
-    groups = t.groupBy("card_id", "canon").agg(F.array_sort(F.collect_list(item)).alias("scan"))
+    groups = t.groupBy("card_id", "canon").agg(guarded(F.count("*"), F.array_sort(F.collect_list(item))).alias("scan"))
     box = lambda s: {k: s[k] for k in ("x1", "y1", "x2", "y2")}
 
     def step(kept: Column, x: Column) -> Column:
@@ -92,7 +100,7 @@ def cluster_rows(tokens: DataFrame, factor: float = 0.45, floor: float = 2.5, an
     t = geometry(tokens)
     names = t.columns
     item = F.struct("cy", "x1", "tok_idx", F.struct(*names).alias("row"))
-    cards = t.groupBy("card_id").agg(F.array_sort(F.collect_list(item)).alias("scan"), F.median("height").alias("h"))
+    cards = t.groupBy("card_id").agg(guarded(F.count("*"), F.array_sort(F.collect_list(item))).alias("scan"), F.median("height").alias("h"))
     tol = F.greatest(F.lit(floor), factor * F.coalesce("h", F.lit(12.0))) if anchor is None else F.lit(anchor)
     state = "struct<n:double,total:double,row_id:int,ids:array<int>>"
     start = F.struct(F.lit(0.0).alias("n"), F.lit(0.0).alias("total"), F.lit(-1).alias("row_id"), F.array().cast("array<int>").alias("ids")).cast(state)
