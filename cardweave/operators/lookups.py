@@ -8,6 +8,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from cardweave.functions.text import let
+
 #: Length of the grams that hints are found by, and the most patterns that become part of a plan.
 GRAM, PATTERNS = 3, 1000
 #: Rows of a table up to which it is broadcast.
@@ -19,9 +21,10 @@ def small_or_not(df: DataFrame, most: int = SMALL) -> DataFrame:
     return F.broadcast(df) if df.count() <= most else df
 
 
-def _grams(text: Column, n: Column) -> Column:
-    """The distinct runs of n characters."""
-    return F.array_distinct(F.transform(F.sequence(F.lit(1), F.length(text) - n + 1), lambda i: F.substr(text, i, n)))
+def _grams(text: Column, n: int) -> Column:
+    """The distinct runs of n characters; by an array of them, as a place in a text is found by counting from its start."""
+    runs = lambda c: F.transform(F.sequence(F.lit(0), F.size(c) - n), lambda i: F.concat(*(F.get(c, i + k) for k in range(n))))
+    return let(F.filter(F.split(text, ""), lambda c: c != ""), lambda c: F.when(F.size(c) >= n, F.array_distinct(runs(c))).otherwise(F.array().cast("array<string>")))
 
 
 def match_hints(lines: DataFrame, hints: DataFrame, text: str = "text") -> DataFrame:
@@ -32,12 +35,13 @@ def match_hints(lines: DataFrame, hints: DataFrame, text: str = "text") -> DataF
     """
     own = hints.select(F.lower("hint").alias("hint")).filter("hint != ''").distinct()
     own = own.withColumn("n", F.least(F.lit(GRAM), F.length("hint")))
-    parts = own.select("hint", "n", F.explode(_grams(F.col("hint"), F.col("n"))).alias("gram"))
+    of_hint = reduce(lambda rest, n: F.when(F.col("n") == n, _grams(F.col("hint"), n)).otherwise(rest), range(1, GRAM), _grams(F.col("hint"), GRAM))
+    parts = own.select("hint", "n", F.explode(of_hint).alias("gram"))
     sizes = [r[0] for r in own.select("n").distinct().orderBy("n").collect()]  # at most GRAM rows
     if not sizes:
         return lines.withColumn("hint", F.lit(None).cast("string")).limit(0)
     told = lines.withColumn("_low", F.lower(text))
-    each = F.array_distinct(F.flatten(F.array(*(F.when(F.length("_low") >= n, _grams(F.col("_low"), F.lit(n))).otherwise(F.array().cast("array<string>")) for n in sizes))))
+    each = F.flatten(F.array(*(_grams(F.col("_low"), n) for n in sizes)))
     known = small_or_not(parts.select("gram").distinct())
     # Lines' grams that no hint has are dropped before anything is shuffled.
     seen = told.select(F.explode(each).alias("gram")).join(known, "gram", "left_semi").groupBy("gram").agg(F.count("*").alias("times"))

@@ -15,36 +15,50 @@ from cardweave.functions.text import canonical
 from cardweave.operators.tokens import dedupe, geometry, iou
 
 
-def _level(size: Column, least: float) -> Column:
-    """The power of 1/least that is the first not below a size."""
-    return F.ceil(F.log(1.0 / least, size)).cast("int")
+#: Cells of a level are so many times as wide as those of the level below.
+BASE = 4.0
 
 
-def _axis(lo: str, hi: str, size: str, least: float) -> Column:
-    """structs of level and cell along an axis: at the size's own level and the next, where a span meets two cells at most."""
-    side = lambda level: F.pow(F.lit(1.0 / least), level)
-    cells = lambda level: F.transform(F.sequence(F.floor(F.col(lo) / side(level)), F.floor(F.col(hi) / side(level))), lambda c: F.struct(level.alias("level"), c.alias("cell")))
-    own = _level(F.col(size), least)
-    return F.concat(cells(own), cells(own + 1))
+def _level(size: Column) -> Column:
+    """The first level whose cells are not smaller than a size."""
+    return F.ceil(F.log(BASE, size)).cast("int")
+
+
+def _side(level: Column) -> Column:
+    return F.pow(F.lit(BASE), level)
+
+
+def _cells(lo: str, size: str, least: float) -> Column:
+    """structs of level and cell along an axis where a box meets any that overlaps it enough.
+
+    Such a box is at least ``least`` and at most 1/least times as large, and begins within (1 - least) of
+    the larger size. So both stand at the level of the larger, and there in the cell where the later one begins.
+    """
+    x, w = F.col(lo), F.col(size)
+    own = _level(w)
+    at = lambda level: F.transform(F.sequence(F.floor(x / _side(level)), F.floor((x + w * ((1 - least) / least)) / _side(level))), lambda c: F.struct(level.alias("level"), c.alias("cell")))
+    return F.when(w / least > _side(own), F.concat(at(own), at(own + 1))).otherwise(at(own))
 
 
 def overlaps(tokens: DataFrame, least: float = C.IOU_MIN) -> DataFrame:
     """(card_id, a, b, iou) as ``tokens.overlap_pairs``, for pages.
 
-    Boxes with that overlap have sizes within a factor of 1/least, so their levels are equal or
-    neighbours, and at the higher of the two they share a cell of the grid of that level. A token stands in 16 cells at most; of several
-    that a pair shares the one with the corner of its intersection counts.
+    Tokens meet in the cells of grids that fit their sizes: three or four rows a token, and of several cells that a pair
+    shares the one where the later box begins, on the level of the larger, counts.
     """
     t = geometry(tokens).withColumn("canon", canonical(F.col("text"))).select("card_id", "canon", "tok_idx", "x1", "y1", "x2", "y2", "width", "height")
-    t = t.select("*", F.explode(_axis("x1", "x2", "width", least)).alias("gx")).select("*", F.explode(_axis("y1", "y2", "height", least)).alias("gy"))
-    keys = ["card_id", "canon", "gx", "gy"]
-    side = lambda axis: F.pow(F.lit(1.0 / least), F.col(f"{axis}.level"))
-    a, b = (t.select(*keys, *(F.col(c).alias(p + c) for c in ("tok_idx", "x1", "y1", "x2", "y2", "width", "height"))) for p in ("a_", "b_"))
-    level = lambda c: F.greatest(_level(F.col(f"a_{c}"), least), _level(F.col(f"b_{c}"), least))
-    corner = lambda axis, c: F.col(f"{axis}.cell") == F.floor(F.greatest(f"a_{c}", f"b_{c}") / side(axis))
-    met = a.join(b, keys).filter("a_tok_idx < b_tok_idx").filter((F.col("gx.level") == level("width")) & (F.col("gy.level") == level("height")) & corner("gx", "x1") & corner("gy", "y1"))
+    t = t.select("*", F.explode(_cells("x1", "width", least)).alias("gx")).select("*", F.explode(_cells("y1", "height", least)).alias("gy"))
+    t = t.withColumn("key", F.xxhash64("card_id", "canon", "gx", "gy"))
+    a, b = (t.select("key", *(F.col(c).alias(p + c) for c in ("card_id", "canon", "gx", "gy", "tok_idx", "x1", "y1", "x2", "y2", "width", "height"))) for p in ("a_", "b_"))
+    same = [F.col(f"a_{c}") == F.col(f"b_{c}") for c in ("card_id", "canon", "gx", "gy")]
+    for axis, size, lo in (("a_gx", "width", "x1"), ("a_gy", "height", "y1")):
+        level = F.col(f"{axis}.level")
+        same += [level == _level(F.greatest(f"a_{size}", f"b_{size}")), F.col(f"{axis}.cell") == F.floor(F.greatest(f"a_{lo}", f"b_{lo}") / _side(level))]
+    met = a.join(b, "key").filter("a_tok_idx < b_tok_idx")
+    for test in same:
+        met = met.filter(test)
     box = lambda p: {k: F.col(p + k) for k in ("x1", "y1", "x2", "y2")}
-    return met.withColumn("iou", iou(box("a_"), box("b_"))).filter(F.col("iou") >= least).select("card_id", F.col("a_tok_idx").alias("a"), F.col("b_tok_idx").alias("b"), F.round("iou", 6).alias("iou"))
+    return met.withColumn("iou", iou(box("a_"), box("b_"))).filter(F.col("iou") >= least).select(F.col("a_card_id").alias("card_id"), F.col("a_tok_idx").alias("a"), F.col("b_tok_idx").alias("b"), F.round("iou", 6).alias("iou"))
 
 
 def _islands(df: DataFrame, keys: list[str], lo: str, hi: str, name: str) -> DataFrame:

@@ -7,7 +7,7 @@ geometry makes an operator's result plain (rows are the lines), the SQL says jus
 from __future__ import annotations
 
 from cardweave.functions import constants as C
-from cardweave.operators.rows import AUDIT_COMPANIES, AUDIT_JOBS, AUDIT_PLACES, LABEL_COMPANIES, LABEL_JOBS
+from cardweave.operators.rows import AUDIT_COMPANIES, AUDIT_JOBS, AUDIT_PLACES, DESIGNATIONS, LABEL_COMPANIES, LABEL_JOBS
 
 
 def _list(values) -> str:
@@ -136,6 +136,20 @@ p AS (
   UNION ALL SELECT k, 3, 'linkedin.com/in/user-' || n FROM c WHERE k % 4 <> 0 UNION ALL SELECT k, 4, 'see github.com/user' || n FROM c WHERE k % 5 = 0
   UNION ALL SELECT k, 5, 'twitter.com/user' || n FROM c WHERE k % 3 = 1 UNION ALL SELECT k, 6, 'me: @user' || n || ' and @second' || n FROM c WHERE k % 7 < 3)"""
 
+PAGES = """
+WITH dl AS (SELECT doc_id AS card_id, string_split(text, chr(10)) AS ls FROM documents WHERE text IS NOT NULL),
+dn AS (SELECT card_id, ls, unnest(range(0, len(ls))) AS line_no FROM dl),
+dw AS (SELECT card_id, line_no, string_split(list_extract(ls, (line_no + 1)::INT), ' ') AS ws FROM dn WHERE trim(list_extract(ls, (line_no + 1)::INT), ' ') <> ''),
+di AS (SELECT card_id, line_no, unnest(ws) AS word, unnest(range(0, len(ws))) AS word_no FROM dw),
+dp AS (SELECT *, 96.0 * word_no AS x, 0.1 + ((card_id * 31 + line_no * 7 + word_no * 13) % 88) / 100.0 AS s FROM di),
+pt AS (
+  SELECT card_id, line_no, (line_no * 65536 + word_no) * 2 AS tok_idx, word AS text, round(s, 4) AS score, x::DOUBLE AS x1, (x + 8.0 * length(word))::DOUBLE AS x2, 30.0 * line_no AS y1 FROM dp WHERE word <> ''
+  UNION ALL SELECT card_id, line_no, (line_no * 65536 + word_no) * 2 + 1, CASE WHEN (card_id + line_no + word_no) % 3 = 0 THEN replace(word, 'g', 'q') ELSE word END, round(s + CASE WHEN (card_id + word_no) % 5 = 0 THEN 0.02 ELSE -0.03 END, 4), x + 1.0, x + 1.0 + 8.0 * length(word), 30.0 * line_no + 1 FROM dp WHERE word <> ''),
+pk AS (SELECT *, """ + _CANON.format("text") + """ AS canon FROM pt),
+pp AS (SELECT a.card_id, a.tok_idx AS a, b.tok_idx AS b, a.score AS sa, b.score AS sb, (least(a.x2, b.x2) - greatest(a.x1, b.x1)) * (20 - abs(a.y1 - b.y1)) AS i, (a.x2 - a.x1) * 20 + (b.x2 - b.x1) * 20 AS u
+  FROM pk a JOIN pk b ON a.card_id = b.card_id AND a.line_no = b.line_no AND a.canon = b.canon AND a.tok_idx < b.tok_idx AND a.x1 < b.x2 AND b.x1 < a.x2),
+po AS (SELECT *, (i / (u - i))::DOUBLE AS iou FROM pp WHERE i / (u - i) >= 0.58)"""
+
 SQL: dict[str, str] = {
     "emails": TRIMMED + " SELECT card_id, rank, email FROM em",
     "emails_by_domain": TRIMMED + " SELECT split_part(email, '@', 2) AS domain, count(*) AS n_cards, min(email) AS first_email FROM em GROUP BY 1",
@@ -296,8 +310,74 @@ sc AS (SELECT card_id, sum(length(regexp_replace(text, '[^\x{4e00}-\x{9fff}]', '
 s AS (SELECT card_id, n_letters, greatest(latin + cjk + arabic + devanagari, 1) AS total, unnest([{'s': 'latin', 'r': 0, 'n': latin}, {'s': 'cjk', 'r': 1, 'n': cjk}, {'s': 'arabic', 'r': 2, 'n': arabic}, {'s': 'devanagari', 'r': 3, 'n': devanagari}]) AS x FROM sc),
 o AS (SELECT card_id, n_letters, total, x.s AS script, x.n AS n, row_number() OVER (PARTITION BY card_id ORDER BY x.n DESC, x.r) AS k FROM s)
 SELECT card_id, max(CASE WHEN k = 1 THEN script END) AS primary, coalesce(arg_min(CASE WHEN k > 1 AND n >= 0.15 * total THEN script END, k) , '') AS secondary, any_value(n_letters) AS n_letters FROM o GROUP BY card_id""",
+    "page_overlap_pairs": PAGES + " SELECT card_id, a, b, round(iou, 6) AS iou FROM po",
+    "page_dedup": PAGES + " SELECT card_id, tok_idx, text, score FROM pk WHERE NOT EXISTS (SELECT 1 FROM po WHERE po.card_id = pk.card_id AND ((po.a = pk.tok_idx AND sb > sa) OR (po.b = pk.tok_idx AND sb <= sa)))",
+    "page_reading_order": LINES + HARD + """
+SELECT a.card_id, a.line_no AS src, b.line_no AS dst FROM both_lines a JOIN both_lines b ON a.card_id = b.card_id AND a.line_no < b.line_no WHERE least(length(a.text), length(b.text)) / length(a.text)::DOUBLE >= 0.25""",
+    "dictionary_hits": """
+WITH h AS (SELECT DISTINCT lower(w) AS hint FROM (SELECT unnest(string_split(text, ' ')) AS w FROM benchmark UNION ALL SELECT p_name FROM part) WHERE w <> ''),
+d AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM documents), l AS (SELECT doc_id, lower(line) AS line FROM d WHERE trim(line, ' ') <> '')
+SELECT hint, count(*) AS n_lines, count(DISTINCT doc_id) AS n_docs FROM l JOIN h ON contains(line, hint) GROUP BY hint""",
+    "table_regions": LINES + HARD + f""",
+rg(rank, region, pat) AS (VALUES {", ".join(f"({0 if r in ('SG', 'IN') else i}, '{r}', '{p}')" for i, (r, p) in enumerate(C.POSTAL))}),
+f AS (SELECT card_id, line_no, text, region, pat, row_number() OVER (PARTITION BY card_id, line_no ORDER BY rank, region) AS k FROM both_lines JOIN rg ON regexp_matches(text, pat))
+SELECT l.card_id, l.line_no, f.region, regexp_extract(f.text, f.pat) AS match FROM both_lines l LEFT JOIN f ON l.card_id = f.card_id AND l.line_no = f.line_no AND k = 1""",
+    "descendants": LINES + """,
+e AS (SELECT a.card_id, a.line_no AS src, b.line_no AS dst FROM contact_lines a JOIN contact_lines b ON a.card_id = b.card_id AND a.line_no < b.line_no WHERE least(length(a.text), length(b.text)) / length(a.text)::DOUBLE >= 0.25),
+h1 AS (SELECT DISTINCT card_id, dst AS row_id FROM e WHERE src = 1), h2 AS (SELECT DISTINCT e.card_id, e.dst AS row_id FROM e JOIN h1 ON e.card_id = h1.card_id AND e.src = h1.row_id)
+SELECT * FROM h1 UNION SELECT * FROM h2""",
+    "archive_members": """
+WITH m AS (SELECT doc_id, doc_id // 200 AS no, doc_id % 2 AS odd, text, row_number() OVER (PARTITION BY doc_id // 200, doc_id % 2 ORDER BY lpad(doc_id::VARCHAR, 12, '0')) - 1 AS i, sum(1 - doc_id % 2) OVER (PARTITION BY doc_id // 200) AS n_even FROM documents WHERE text IS NOT NULL)
+SELECT lpad(no::VARCHAR, 8, '0') || '.zip#asset' || CASE WHEN odd = 1 THEN n_even::BIGINT::VARCHAR || '#asset' ELSE '' END || i::VARCHAR AS label, strlen(text)::BIGINT AS n_bytes, sha256(text) AS sha256 FROM m""",
+    "recognised_in_sql": "SELECT doc_id::VARCHAR AS label, 'normal' AS pass_name, len(string_split(text, ' ')) AS n_tokens, len(string_split(text, ' ')) - 1 AS last FROM documents WHERE text IS NOT NULL",
+    "validated_in_sql": LINES + HARD + f""",
+v AS (SELECT *, length(regexp_replace(text, '[^\\p{{L}}]', '', 'g')) / greatest(1, length(text))::DOUBLE AS alpha, length(regexp_replace(text, '[^\\p{{Nd}}]', '', 'g')) AS digits, len(list_filter(string_split(text, ' '), lambda w: w <> '')) AS words,
+  regexp_matches(text, '\\p{{Lu}}') AND NOT regexp_matches(text, '\\p{{Ll}}') AS up, {_hint(C.ADDRESS_HINTS)} AS ah, {_hint(C.JOB_HINTS)} AS jh, {_hint(C.COMPANY_HINTS)} AS ch, {" OR ".join(f"regexp_matches(text, '{p}')" for _, p in C.POSTAL)} AS postal FROM both_lines)
+SELECT card_id, line_no, {_CANON.format("text")} AS key, digits = 0 AND words BETWEEN 1 AND 4 AND NOT ah AND NOT jh AND NOT ch AND alpha >= 0.7 AS name, ch OR (digits = 0 AND ((up AND length(text) <= 32) OR (words BETWEEN 1 AND 4 AND alpha >= 0.55))) AS company, jh AND alpha >= 0.55 AS title,
+ regexp_full_match(text, '(?i)[a-z0-9._%+-]{{1,64}}@[a-z0-9.-]+') AND regexp_matches(text, '(?i)@.*[a-z0-9-][.][a-z]{{2}}[a-z0-9-]*$') AS email, digits BETWEEN 7 AND 15 AND NOT postal AS phone, postal OR (alpha >= 0.55 AND digits >= 1) AS address FROM v""",
+    "wide_rows": CHOSEN + """,
+q AS (SELECT card_id, max(CASE WHEN line_no = 1 THEN text END) AS t, regexp_replace(max(CASE WHEN line_no = 3 THEN text END), 'orgx$', 'org') AS e, '+65 ' || substr(regexp_replace(max(CASE WHEN line_no = 4 THEN text END), '[^0-9]', '', 'g'), 3) AS p, max(CASE WHEN line_no = 5 THEN text END) AS a FROM contact_lines GROUP BY card_id)
+SELECT q.card_id, """ + ", ".join(f"coalesce({c}, '—') AS {f}_value, {c} IS NOT NULL AS {f}_validated" for f, c in (("name", "nm.name"), ("company", "co.company"), ("title", "t"), ("email", "e"), ("phone", "p"), ("website", "NULL::VARCHAR"), ("address", "a"))) + ", '100.0%' AS confidence FROM q LEFT JOIN nm ON q.card_id = nm.card_id LEFT JOIN co ON q.card_id = co.card_id",
+    "token_audit": TOKENS + f""",
+sure AS (SELECT *, lower(text) AS low FROM tokens WHERE score >= 0.45),
+g AS (SELECT card_id, count(DISTINCT line_no) AS n_rows, count(DISTINCT CASE WHEN contains(text, '@') THEN line_no END) AS n_mails, round(avg(score), 6) AS confidence, 0::BIGINT AS spaced,
+  count(CASE WHEN regexp_full_match(text, '[A-Za-z .''-]+') AND NOT list_contains({_list(AUDIT_JOBS)}, low) AND NOT list_contains({_list(AUDIT_COMPANIES)}, low) AND NOT regexp_matches(low, '{_any(AUDIT_PLACES)}') AND NOT regexp_matches(low, '[.](com|in|org|net|co[.]in)') THEN 1 END) AS n_candidates FROM sure GROUP BY card_id),
+split AS (SELECT card_id, count(CASE WHEN score >= 0.45 THEN 1 END) AS kept, count(CASE WHEN score < 0.45 THEN 1 END) AS dropped FROM tokens GROUP BY card_id)
+SELECT split.*, n_rows, n_mails, confidence, spaced, n_candidates FROM split LEFT JOIN g ON split.card_id = g.card_id""",
+    "layout_roles": LINES + f""",
+f AS (SELECT *, {_WORDS.format('text')} AS n, {_DIGITS.format('text')} / length(text)::DOUBLE AS dd, length(regexp_replace(text, '[^,./#@:;-]', '', 'g')) / length(text)::DOUBLE AS pd, {_ALPHA.format('text')} AS ad, {_UPPER.format('text')} AS caps,
+  len(list_filter(string_split(text, ' '), lambda x: regexp_matches(x, '^[A-Z]'))) / {_WORDS.format('text')}::DOUBLE >= 0.6 AS title, length(regexp_replace(text, '[^,/|]', '', 'g')) AS seps,
+  (line_no - min(line_no) OVER (PARTITION BY card_id)) / (max(line_no) OVER (PARTITION BY card_id) - min(line_no) OVER (PARTITION BY card_id))::DOUBLE AS pos,
+  regexp_matches(text, '[A-Za-z0-9._%+-]{{1,64}}@[A-Za-z0-9.-]{{1,253}}[.][A-Za-z]{{2,12}}') AS mail, length(regexp_replace(regexp_extract(text, '[+(]?[0-9][0-9\\s().-]{{5,16}}[0-9]'), '[^0-9]', '', 'g')) BETWEEN 7 AND 15 AS phone, regexp_matches(text, '\\b[0-9]{{4,7}}\\b') AS postal FROM contact_lines),
+p AS (SELECT *, 20 + 15 * (1 - pos) + CASE WHEN caps THEN 8 ELSE 0 END + CASE WHEN title THEN 6 ELSE 0 END - CASE WHEN dd > 0 THEN 10 ELSE 0 END + CASE WHEN ad > 0.8 THEN 5 ELSE 0 END + 3 AS prom FROM f),
+s AS (SELECT *, CASE WHEN postal THEN 30 ELSE 0 END + CASE WHEN dd > 0.2 THEN 15 ELSE 0 END + CASE WHEN pd > 0.12 THEN 12 ELSE 0 END + CASE WHEN seps >= 2 THEN 10 ELSE 0 END + CASE WHEN pos > 0.6 THEN 8 ELSE 0 END + CASE WHEN n > 4 THEN 5 ELSE 0 END AS address,
+  prom - CASE WHEN n NOT BETWEEN 1 AND 5 THEN 15 ELSE 0 END - CASE WHEN pos > 0.5 THEN 12 ELSE 0 END - CASE WHEN dd > 0.05 THEN 20 ELSE 0 END AS name, 0.85 * prom - CASE WHEN n NOT BETWEEN 1 AND 8 THEN 10 ELSE 0 END - CASE WHEN pos > 0.7 THEN 10 ELSE 0 END - CASE WHEN dd > 0 THEN 12 ELSE 0 END AS job,
+  0.8 * prom + CASE WHEN caps THEN 10 ELSE 0 END - CASE WHEN n > 8 THEN 8 ELSE 0 END AS company FROM p),
+b AS (SELECT *, greatest(address, name, job, company) AS best FROM s)
+SELECT card_id, line_no, CASE WHEN mail THEN 'email' WHEN phone THEN 'phone' WHEN best <= 5 THEN 'unknown' WHEN address = best THEN 'address' WHEN name = best THEN 'name' WHEN job = best THEN 'title' ELSE 'company' END AS role, CASE WHEN mail OR phone THEN 100.0 ELSE round(best, 6) END::DOUBLE AS role_score FROM b""",
+    "phone_windows": LINES + """,
+dg AS (SELECT *, regexp_replace(text, '[^0-9]', '', 'g') AS d, trim(regexp_replace(regexp_replace(text, '[^0-9+()\\\\s./-]', ' ', 'g'), '\\\\s+', ' ', 'g')) AS clean FROM contact_lines WHERE length(regexp_replace(text, '[^0-9]', '', 'g')) >= 7),
+m AS (SELECT *, CASE WHEN starts_with(clean, '+') THEN '+' || d ELSE clean END AS norm, length(d) AS n FROM dg),
+w AS (SELECT card_id, line_no, substr(d, s::INT, k::INT) AS c FROM m, range(1, 12) a(s), range(7, 16) b(k) WHERE s - 1 + k <= least(n, 15)),
+cands AS (SELECT card_id, line_no, c FROM w UNION SELECT card_id, line_no, '+' || c FROM w UNION SELECT card_id, line_no, text FROM m UNION SELECT card_id, line_no, norm FROM m UNION SELECT card_id, line_no, d FROM m WHERE n <= 15 UNION SELECT card_id, line_no, '+' || d FROM m WHERE n <= 15)
+SELECT card_id, line_no, count(*) AS n_candidates FROM cands WHERE c <> '' GROUP BY card_id, line_no""",
+    "flat_simple": LINES + HARD + f""",
+x1 AS (SELECT card_id, line_no, regexp_replace(regexp_replace(text, '\\s+@\\s+', '@', 'g'), '\\s+[.]\\s+', '.', 'g') AS text FROM both_lines),
+x2 AS (SELECT card_id, line_no, CASE WHEN regexp_matches(text, '^([A-Z]\\s+){{2,}}[A-Z]$') THEN replace(text, ' ', '') ELSE text END AS text FROM x1),
+x AS (SELECT card_id, line_no, regexp_replace(text, '([A-Z]{{2,}})\\s+([A-Z]{{2,}})', '\\1\\2', 'g') AS text FROM x2),
+y AS (SELECT *, len(list_filter(string_split(text, ' '), lambda w: w <> '')) AS n, regexp_matches(text, '\\p{{Lu}}') AND NOT regexp_matches(text, '\\p{{Ll}}') AS up, NOT regexp_matches(text, '(^|\\P{{L}})\\p{{Ll}}') AND NOT regexp_matches(text, '\\p{{L}}\\p{{Lu}}') AS title FROM x),
+np AS (SELECT card_id, line_no, p, unnest(range(0, len(p))) AS i FROM (SELECT card_id, line_no, regexp_extract_all(text, '[+(]?[0-9][0-9\\s().-]{{5,16}}[0-9]') AS p FROM y)),
+nq AS (SELECT card_id, line_no, i, regexp_replace(list_extract(p, (i + 1)::INT), '[^0-9]', '', 'g') AS d FROM np WHERE starts_with(trim(list_extract(p, (i + 1)::INT)), '+')),
+plan(code, low, high) AS (VALUES {", ".join(f"('{c}', {C.NATIONAL_DIGITS.get(r, (7, 11))[0]}, {C.NATIONAL_DIGITS.get(r, (7, 11))[1]})" for c, r in C.CALLING_CODES.items())}),
+nr AS (SELECT card_id, '+' || code || ' ' || substr(d, length(code) + 1) AS phone, row_number() OVER (PARTITION BY card_id ORDER BY line_no, i, length(code) DESC) AS k FROM nq JOIN plan ON starts_with(d, code) AND length(d) - length(code) BETWEEN low AND high),
+g AS (SELECT card_id, arg_min(text, line_no) FILTER (WHERE n BETWEEN 2 AND 3 AND (up OR title)) AS name, arg_min(text, line_no) FILTER (WHERE {_hint(DESIGNATIONS)}) AS title, arg_min(text, line_no) FILTER (WHERE {_hint(C.COMPANY_HINTS)} AND NOT contains(text, '@')) AS company,
+  arg_min(regexp_extract(text, '[a-zA-Z0-9._%+-]+@[a-zA-Z0-9.-]+[.][a-zA-Z]{{2,}}'), line_no) FILTER (WHERE regexp_matches(text, '[a-zA-Z0-9._%+-]+@[a-zA-Z0-9.-]+[.][a-zA-Z]{{2,}}')) AS email,
+  arg_min(regexp_extract(text, '(https?://)?(www[.])?[a-zA-Z0-9.-]+[.][a-zA-Z]{{2,}}'), line_no) FILTER (WHERE regexp_matches(text, '[a-zA-Z0-9.-]+[.][a-zA-Z]{{2,}}')) AS website,
+  arg_min(text, line_no) FILTER (WHERE {_hint(C.ADDRESS_HINTS)} AND regexp_matches(text, '[0-9]') AND NOT contains(text, '@')) AS address FROM y GROUP BY card_id),
+z AS (SELECT g.*, phone, NULL::VARCHAR AS linkedin, NULL::VARCHAR AS twitter, (name IS NOT NULL)::INT + (title IS NOT NULL)::INT + (company IS NOT NULL)::INT + (email IS NOT NULL)::INT + (website IS NOT NULL)::INT + (phone IS NOT NULL)::INT + (address IS NOT NULL)::INT AS filled FROM g LEFT JOIN nr ON g.card_id = nr.card_id AND k = 1)
+SELECT *, CASE WHEN filled >= 6 THEN 'GREEN' WHEN filled >= 3 THEN 'YELLOW' ELSE 'RED' END AS badge FROM z""",
 }
 
 
 def oracle_sql() -> dict[str, str]:
-    return dict(SQL)
+    return SQL | {"table_plans": SQL["numbering_plan"]}

@@ -10,14 +10,18 @@ from pyspark.sql import functions as F
 from cardweave.functions import constants as C
 from cardweave.functions.similarity import lcs_likeness
 from cardweave.functions.text import has_hint, text_profile
+from cardweave.functions.registered import register_functions, register_recogniser
 from cardweave.operators import extract as X
+from cardweave.operators import lookups as U
 from cardweave.operators import master as M
+from cardweave.operators import pages as G
 from cardweave.operators import rows as R
 from cardweave.operators import tokens as T
 from cardweave.plans import pipelines as P
 from cardweave.plans.stage import new_folder
 from cardweave.sources import fixtures as S
 from cardweave.sources import payload as L
+from cardweave.sources.archive import ArchiveSource, local_path
 from cardweave.streaming.jobs import first_seen_once, incremental_contacts
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -403,6 +407,68 @@ def stream_first_seen(spark: SparkSession, sf_dir: str) -> DataFrame:
     return first_seen_once(days, ["user_id", "event_type", "day"], "ts", "2 days").select("signature")
 
 
+def page_overlap_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return G.overlaps(S.page_tokens(spark, sf_dir))
+
+
+def page_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return G.dedupe_pages(S.page_tokens(spark, sf_dir)).select("card_id", "tok_idx", "text", "score")
+
+
+def page_reading_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return G.reading_edges(T.lines_as_layout(_cards_and_hard(spark, sf_dir)).withColumn("y_center", F.col("y1") + 10))
+
+
+def dictionary_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many document lines hold each word of the benchmark and each part's name."""
+    words = spark.read.parquet(f"{sf_dir}/benchmark.parquet").select(F.explode(F.split("text", " ")).alias("hint"))
+    parts = spark.read.parquet(f"{sf_dir}/part.parquet").select(F.col("p_name").alias("hint"))
+    return U.match_hints(S.doc_lines(spark, sf_dir), words.unionByName(parts)).groupBy("hint").agg(F.count("*").alias("n_lines"), F.countDistinct("card_id").alias("n_docs"))
+
+
+def table_plans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    plans = spark.createDataFrame([(c, r, *C.NATIONAL_DIGITS.get(r, (7, 11))) for c, r in C.CALLING_CODES.items()], "code string, region string, low int, high int")
+    return U.longest_plan(S.dialled_numbers(spark, sf_dir), plans)
+
+
+def table_regions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Regions by a table of patterns, in which two share a rank."""
+    patterns = spark.createDataFrame([(0 if r in ("SG", "IN") else i, r, p) for i, (r, p) in enumerate(C.POSTAL)], "rank int, region string, pattern string")
+    return U.ranked_region(_cards_and_hard(spark, sf_dir), patterns).select("card_id", "line_no", "region", "match")
+
+
+def descendants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _lines(spark, sf_dir).withColumn("y_center", F.col("y1") + 10)
+    return R.within_hops(R.reading_order(rows), rows.filter("row_id = 1"), 2, up=False)
+
+
+def archive_members(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents zipped, with archives in archives, and read back by the data source."""
+    folder = local_path(new_folder(spark))
+    S.archives(spark, sf_dir, folder).write.format("noop").mode("overwrite").save()
+    spark.dataSource.register(ArchiveSource)
+    found = spark.read.format("archive").option("path", folder).option("members_per_task", 500).load()
+    return found.select(F.substring_index("label", "/", -1).alias("label"), F.length("content").cast("long").alias("n_bytes"), F.sha2("content", 256).alias("sha256"))
+
+
+def recognised_in_sql(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The recogniser as a table function, called in SQL, over each document."""
+
+    def read(content: bytes, name: str) -> list[tuple[str, float, list]]:
+        return [(w, 0.5, [[8.0 * i, 0.0]] * 4) for i, w in enumerate(content.decode().split(" "))]
+
+    register_recogniser(spark, "words_of", read)
+    assets = spark.read.parquet(f"{sf_dir}/documents.parquet").select(F.col("doc_id").cast("string").alias("label"), F.col("text").cast("binary").alias("content"))
+    return spark.sql("SELECT label, pass_name, count(*) AS n_tokens, CAST(max(tok_idx) AS BIGINT) AS last FROM words_of(TABLE(SELECT * FROM {assets}) PARTITION BY label) GROUP BY label, pass_name", assets=assets)
+
+
+def validated_in_sql(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each line as each field would be validated, in SQL."""
+    register_functions(spark)
+    flags = ", ".join(f"valid_{f}(text) AS {f}" for f in ("name", "company", "title", "email", "phone", "address"))
+    return spark.sql(f"SELECT card_id, line_no, card_key(text) AS key, {flags} FROM {{lines}}", lines=_cards_and_hard(spark, sf_dir))
+
+
 def queries() -> dict[str, Query]:
     names = (
         emails_by_domain, emails, profile_lines, token_geometry, confidence_split, payload_dict_tokens, payload_item_tokens, overlap_pairs, token_dedup, card_stats,
@@ -411,5 +477,6 @@ def queries() -> dict[str, Query]:
         contacts_layout, flat_simple, flat_labelled, token_audit, master_append, master_upsert, field_table, vcards, wide_rows, ink_segments,
         audit_lines, candidate_flags, clean_tokens, layout_phones, prominent_fields, websites, social_profiles, detections, recognised, sparse_vcards, flat_records, layout_rows, file_stems, bundle, master_merged,
         fused_blocks, variant_rows, row_prominence, phone_columns, line_likeness, stream_first_seen, stream_contacts,
+        page_overlap_pairs, page_dedup, page_reading_order, dictionary_hits, table_plans, table_regions, descendants, archive_members, recognised_in_sql, validated_in_sql,
     )
     return {f.__name__: f for f in names}

@@ -147,3 +147,47 @@ def hard_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     x2, y2 = F.col("x1") + 8.0 * F.length("text"), F.col("y1") + 20.0
     w = Window.partitionBy("card_id").orderBy("line_no", "word_no", "at")
     return t.select("card_id", (F.row_number().over(w) - 1).alias("tok_idx"), F.lit("normal").alias("pass_name"), "text", F.lit(0.9).alias("score"), F.array(F.array(F.col("x1"), F.col("y1")), F.array(x2, F.col("y1")), F.array(x2, y2), F.array(F.col("x1"), y2)).alias("box"))
+
+
+def page_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(card_id, tok_idx, pass_name, text, score, box): the words of documents, each a page, as two passes see them; long documents are pages of very many tokens."""
+    k = F.col("card_id")
+    words = doc_lines(spark, sf_dir).select("card_id", "line_no", F.posexplode(F.split("text", " ")).alias("word_no", "word"))
+    words = words.filter("word != ''").select("card_id", "line_no", "word_no", "word", (96.0 * F.col("word_no")).alias("x"), (30.0 * F.col("line_no")).alias("y"), (0.1 + ((k * 31 + F.col("line_no") * 7 + F.col("word_no") * 13) % 88) / 100.0).alias("s"))
+    seen = F.when((k + F.col("line_no") + F.col("word_no")) % 3 == 0, F.translate("word", "g", "q")).otherwise(F.col("word"))
+    passes = F.explode(F.array(
+        F.struct(F.lit("normal").alias("pass_name"), F.col("word").alias("text"), F.col("s").alias("score"), F.lit(0.0).alias("d")),
+        F.struct(F.lit("bright").alias("pass_name"), seen.alias("text"), (F.col("s") + F.when((k + F.col("word_no")) % 5 == 0, 0.02).otherwise(-0.03)).alias("score"), F.lit(1.0).alias("d")),
+    ))
+    t = words.select("*", passes.alias("t")).select("card_id", "line_no", "word_no", "x", "y", "t.*")
+    x1, y1 = F.col("x") + F.col("d"), F.col("y") + F.col("d")
+    x2, y2 = x1 + 8.0 * F.length("text"), y1 + 20.0
+    # Numbers follow the place, so no window over a whole page is needed.
+    index = (F.col("line_no") * 65_536 + F.col("word_no")) * 2 + F.col("d").cast("int")
+    return t.select("card_id", index.cast("long").alias("tok_idx"), "pass_name", "text", F.round("score", 4).alias("score"), F.array(F.array(x1, y1), F.array(x2, y1), F.array(x2, y2), F.array(x1, y2)).alias("box"))
+
+
+def archives(spark: SparkSession, sf_dir: str, folder: str, per_archive: int = 200) -> DataFrame:
+    """Documents as members of ZIP files in a folder that all machines see as files, odd ones in an archive inside; (path) of each."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").filter("text is not null").select(F.floor(F.col("doc_id") / per_archive).alias("no"), "doc_id", F.col("text").cast("binary").alias("content"))
+
+    def write(key: tuple, pdf):
+        import io
+        import os
+        import uuid
+        import zipfile
+
+        import pandas as pd
+
+        os.makedirs(folder, exist_ok=True)
+        path = f"{folder}/{key[0]:08d}.zip"
+        draft, inner = f"{path}.{uuid.uuid4().hex}", io.BytesIO()
+        with zipfile.ZipFile(draft, "w", zipfile.ZIP_DEFLATED) as outer, zipfile.ZipFile(inner, "w", zipfile.ZIP_DEFLATED) as odd:
+            for doc_id, content in zip(pdf["doc_id"], pdf["content"], strict=True):
+                (odd if doc_id % 2 else outer).writestr(f"{doc_id:012d}.png", content)
+            odd.close()
+            outer.writestr("inner.zip", inner.getvalue())
+        os.replace(draft, path)  # a task that runs again writes the same file
+        return pd.DataFrame({"path": [path]})
+
+    return docs.groupBy("no").applyInPandas(write, "path string")
