@@ -24,6 +24,11 @@ LABEL_COMPANIES = "ltd inc solutions consulting studio tech group company labs b
 LABEL_PLACES = "road street complex floor level nagar city park tower building block ahmedabad surat mumbai pune bangalore delhi".split()
 
 
+# Profiles of each platform, and bare handles.
+PROFILES = {"linkedin": r"(?i)(linkedin\.com/in/[\w\-]+|/in/[\w\-]{3,100})", "github": r"(?i)(github\.com/[\w\-]+)", "twitter": r"(?i)((?:twitter|\bx)\.com/\w+)", "instagram": r"(?i)(instagram\.com/[\w.]+)"}
+AT_HANDLE = r"(?<![A-Za-z0-9])@([\w.]{2,32})"
+
+
 def card() -> WindowSpec:
     return Window.partitionBy("card_id")
 
@@ -228,8 +233,8 @@ def websites(lines: DataFrame, emails: DataFrame) -> DataFrame:
 
 def social_profiles(lines: DataFrame) -> DataFrame:
     """First profile of each platform on a card; bare handles fill twitter, then instagram."""
-    pats = {"linkedin": r"(?i)(linkedin\.com/in/[\w\-]+|/in/[\w\-]{3,100})", "github": r"(?i)(github\.com/[\w\-]+)", "twitter": r"(?i)((?:twitter|\bx)\.com/\w+)", "instagram": r"(?i)(instagram\.com/[\w.]+)"}
-    rows = lines.select("card_id", "line_no", *(F.nullif(F.regexp_extract("text", p, 1), F.lit("")).alias(s) for s, p in pats.items()), F.regexp_extract_all("text", F.lit(r"(?<![A-Za-z0-9])@([\w.]{2,32})"), F.lit(1)).alias("at"))
+    pats = PROFILES
+    rows = lines.select("card_id", "line_no", *(F.nullif(F.regexp_extract("text", p, 1), F.lit("")).alias(s) for s, p in pats.items()), F.regexp_extract_all("text", F.lit(AT_HANDLE), F.lit(1)).alias("at"))
     out = rows.groupBy("card_id").agg(*(F.min(F.when(F.col(s).isNotNull(), F.struct("line_no", F.col(s).alias("v")))).alias(s) for s in pats), F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("line_no", "at"))), lambda x: x["at"])).alias("at"))
     t, i = F.col("twitter.v"), F.col("instagram.v")
     at = lambda k: F.when(F.size("at") > k, F.concat(F.lit("@"), F.col("at")[k]))

@@ -3,10 +3,11 @@
 import random
 import re
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from cardweave.operators import extract, master, rows, tokens
-from cardweave.operators.cards import records
+from cardweave.operators.cards import layout_records, records
 from cardweave.plans import pipelines
 from cardweave.sources import fixtures
 
@@ -55,6 +56,29 @@ def test_contacts_take_one_exchange(spark, tiny):
     assert "Join" not in plan and "Python" not in plan
 
 
+def test_layout_records_equal_choices_as_tables(spark):
+    lines = _cards(spark, 7).withColumns({"y_center": (F.col("y1") + F.col("y2")) / 2, "confidence": F.lit(0.5) + F.col("row_id") / 100})
+    lines = lines.withColumn("row_id", F.row_number().over(Window.partitionBy("card_id").orderBy("y_center", "row_id")))
+    r = rows.roles(lines)
+    numbered = r.withColumn("line_no", F.col("row_id"))
+    mail = rows.first_email(numbered)
+    places = r.filter("role = 'address'").groupBy("card_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("y_center", "row_id", "text"))), lambda s: s["text"]), ", ").alias("address"))
+    want = rows.prominent_fields(r)
+    for part in (mail, rows.websites(numbered, mail), rows.pivot_phones(rows.phones_by_layout(r)), places, rows.social_profiles(numbered), rows.card_corpus(r)):
+        want = want.join(part, "card_id", "left")
+    got = layout_records(r)
+    key = lambda df: sorted((repr([x[c] for c in got.columns]) for x in df.collect()))
+    assert key(got) == key(want.select(got.columns))
+    filled = got.agg(*(F.count(c).alias(c) for c in got.columns)).first()
+    assert all(filled[c] > 10 for c in ("name", "company", "title", "email", "website", "phone_1", "phone_2", "address", "twitter"))
+
+
+def test_layout_contacts_take_one_exchange(spark, tiny):
+    plan = pipelines.contacts_by_layout(fixtures.contact_tokens(spark, tiny))._jdf.queryExecution().executedPlan().toString()
+    assert len(re.findall(r"Exchange hashpartitioning\(card_id", plan)) == len(re.findall("Exchange", plan)) == 1
+    assert "Join" not in plan and "Python" not in plan
+
+
 def test_first_email_keeps_words_apart(spark):
     df = spark.createDataFrame([(1, 0, "no mail"), (1, 1, "write to Ana@orbit.com today"), (1, 2, "b@c.io"), (2, 0, "x")], "card_id long, line_no int, text string")
     assert [tuple(r) for r in rows.first_email(df).collect()] == [(1, "ana@orbit.com")]
