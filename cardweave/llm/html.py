@@ -61,7 +61,7 @@ P_LIMITS = frozenset("table td th caption button object html body".split())
 END_LIMITS = frozenset("table td th caption html body".split())
 HEAD_PARTS = frozenset("head title meta link base script style template noscript html body".split())
 
-TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<!\[CDATA\[(.*?)(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']++|"[^"]*"|'[^']*')*+)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)(?:>|\Z)""", re.S)
+TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<!\[CDATA\[(.*?)(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*+)((?:[^>"']++|"[^"]*"|'[^']*')*+)>|<(/?)([a-zA-Z][^\s/>]*+)([^>]*+)(?:>|\Z)""", re.S)
 ATTR = re.compile(r"""([^\s=/"'<>]+)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s>]*))?""")
 HIDDEN = re.compile(r"(?i)(?:display\s*:\s*none|visibility\s*:\s*(?:hidden|collapse))")
 ENDS = {t: re.compile(rf"(?i)</{t}(?=[\s/>])[^>]*(?:>|\Z)") for t in RAW}

@@ -110,6 +110,9 @@ def grown(make, n):
         lambda n: "<table><tr><td>" + "w" * 8 * n + "<td>b" + "<tr><td>c<td>d" * n + "</table>",
         lambda n: "<table>" + "<tr><td colspan=1000 rowspan=9>a" * n + "</table>",
         lambda n: "<li>x<p>" * n,
+        lambda n: "<" + "a" * 8 * n,
+        lambda n: "<a" * 4 * n,
+        lambda n: "<a b='" * n,
     ],
 )
 def test_time_and_output_are_linear(make):
