@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -171,14 +172,12 @@ def archives(spark: SparkSession, sf_dir: str, folder: str, per_archive: int = 2
     """Documents as members of ZIP files in a folder that all machines see as files, odd ones in an archive inside; (path) of each."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").filter("text is not null").select(F.floor(F.col("doc_id") / per_archive).alias("no"), "doc_id", F.col("text").cast("binary").alias("content"))
 
-    def write(key: tuple, pdf):
+    def write(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         import io
         import os
         import uuid
         import zipfile
 
-        import pandas as pd
-
         os.makedirs(folder, exist_ok=True)
         path = f"{folder}/{key[0]:08d}.zip"
         draft, inner = f"{path}.{uuid.uuid4().hex}", io.BytesIO()

@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from cardweave.functions import text as X
-from cardweave.functions.similarity import CONFUSED
+from cardweave.functions.similarity import CONFUSED, edit_likeness, lcs_ratio
 from cardweave.operators import extract, master, rows, tokens
 from cardweave.plans import pipelines
 from cardweave.plans import stage as stage_module
@@ -154,6 +154,19 @@ def edits(a, b):
     return row[-1]
 
 
+def edit_ratio(a, b):
+    return 100 * (1 - edits(a, b) / max(1, len(a), len(b)))
+
+
+def common_ratio(a, b):
+    row = [0] * (len(b) + 1)
+    for x in a:
+        before = row[:]
+        for j, y in enumerate(b):
+            row[j + 1] = before[j] + 1 if x == y else max(before[j + 1], row[j])
+    return 200 * row[-1] / (len(a) + len(b)) if a or b else 100.0
+
+
 def near_copies(rnd, n=50):
     """(card_id, row_id, text, x1, y1, x2, y2): lines of which some are chains of ever less alike copies."""
     out = []
@@ -170,7 +183,8 @@ def near_copies(rnd, n=50):
     return out
 
 
-def test_greedy_scans(spark):
+@pytest.mark.parametrize("metric,ratio", [(lcs_ratio, common_ratio), (edit_likeness, edit_ratio)])
+def test_greedy_scans(spark, metric, ratio):
     data = near_copies(random.Random(6))
     df = spark.createDataFrame(data, "card_id long, row_id int, text string, x1 double, y1 double, x2 double, y2 double")
     fid = {(r.card_id, r.row_id): r.f for r in df.select("card_id", "row_id", X.fidelity(F.col("text")).alias("f")).collect()}
@@ -180,7 +194,7 @@ def test_greedy_scans(spark):
         for line in sorted(lines, key=lambda l: (l[4], l[3], l[1])):
             for i, k in enumerate(kept):
                 a, b = canon(line[2]), canon(k[2])
-                if min(line[6], k[6]) - max(line[4], k[4]) > 0 and 100 * (1 - edits(a, b) / max(1, len(a), len(b))) >= 75:
+                if min(line[6], k[6]) - max(line[4], k[4]) > 0 and ratio(a, b) >= 75:
                     if fid[card, line[1]] > fid[card, k[1]]:
                         kept[i] = line
                     break
@@ -191,7 +205,7 @@ def test_greedy_scans(spark):
         def alike(a, b):
             if a == b:
                 return 100.0
-            base = 100 * (1 - edits(a.lower(), b.lower()) / max(1, len(a), len(b)))
+            base = ratio(a.lower(), b.lower())
             n = sum(x + y in CONFUSED for x, y in zip(a.lower(), b.lower()))
             return min(100, base + min(5 * n, 20)) if n and base >= 70 else base
 
@@ -207,8 +221,8 @@ def test_greedy_scans(spark):
                 gone.add(j if score(a[2]) >= score(b[2]) or a[2] == b[2] else i)
         chains |= {(card, l[1]) for i, l in enumerate(lines) if i not in gone}
     assert len(want) < len(data) and len(chains) < len(data)
-    assert {(r.card_id, r.row_id) for r in extract.fuzzy_merge(df).collect()} == want
-    assert {(r.card_id, r.row_id) for r in rows.fuzzy_rows(df).collect()} == chains
+    assert {(r.card_id, r.row_id) for r in extract.fuzzy_merge(df, metric=metric).collect()} == want
+    assert {(r.card_id, r.row_id) for r in rows.fuzzy_rows(df, metric=metric).collect()} == chains
 
 
 def test_layout_phones(spark):
