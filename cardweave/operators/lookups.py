@@ -8,7 +8,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cardweave.functions.text import let
+from cardweave.plans.stage import stage
 
 #: Length of the grams that hints are found by, and the most patterns that become part of a plan.
 GRAM, PATTERNS = 3, 1000
@@ -22,9 +22,8 @@ def small_or_not(df: DataFrame, most: int = SMALL) -> DataFrame:
 
 
 def _grams(text: Column, n: int) -> Column:
-    """The distinct runs of n characters; by an array of them, as a place in a text is found by counting from its start."""
-    runs = lambda c: F.transform(F.sequence(F.lit(0), F.size(c) - n), lambda i: F.concat(*(F.get(c, i + k) for k in range(n))))
-    return let(F.filter(F.split(text, ""), lambda c: c != ""), lambda c: F.when(F.size(c) >= n, F.array_distinct(runs(c))).otherwise(F.array().cast("array<string>")))
+    """The distinct runs of n characters: what a look-ahead sees from each place, found in one scan."""
+    return F.array_distinct(F.regexp_extract_all(text, F.lit(f"(?s)(?=(.{{{n}}}))"), F.lit(1)))
 
 
 def match_hints(lines: DataFrame, hints: DataFrame, text: str = "text") -> DataFrame:
@@ -40,14 +39,16 @@ def match_hints(lines: DataFrame, hints: DataFrame, text: str = "text") -> DataF
     sizes = [r[0] for r in own.select("n").distinct().orderBy("n").collect()]  # at most GRAM rows
     if not sizes:
         return lines.withColumn("hint", F.lit(None).cast("string")).limit(0)
-    told = lines.withColumn("_low", F.lower(text))
+    # Written once, so that a line has one number wherever it is read; grams and hints travel with the number, not the text.
+    told = stage(lines.withColumns({"_low": F.lower(text), "_id": F.monotonically_increasing_id()}))
     each = F.flatten(F.array(*(_grams(F.col("_low"), n) for n in sizes)))
     known = small_or_not(parts.select("gram").distinct())
     # Lines' grams that no hint has are dropped before anything is shuffled.
     seen = told.select(F.explode(each).alias("gram")).join(known, "gram", "left_semi").groupBy("gram").agg(F.count("*").alias("times"))
     rarest = parts.join(seen, "gram").groupBy("hint").agg(F.min_by("gram", F.struct("times", "gram")).alias("gram"))
-    met = told.withColumn("gram", F.explode(each)).join(small_or_not(rarest), "gram")
-    return met.filter(F.col("_low").contains(F.col("hint"))).drop("_low", "gram")
+    may = told.select("_id", F.explode(each).alias("gram")).join(small_or_not(rarest), "gram").groupBy("_id").agg(F.collect_list("hint").alias("_hints"))
+    found = told.join(may, "_id").withColumn("_held", F.filter("_hints", lambda h: F.col("_low").contains(h)))
+    return found.select(*lines.columns, F.explode("_held").alias("hint"))
 
 
 def longest_plan(found: DataFrame, plans: DataFrame, col: str = "phone") -> DataFrame:
@@ -58,7 +59,7 @@ def longest_plan(found: DataFrame, plans: DataFrame, col: str = "phone") -> Data
     """
     plans = plans.select("code", F.col("region").alias("_region"), "low", "high")
     longest = plans.agg(F.max(F.length("code"))).first()[0] or 0
-    keyed = found.withColumn("_id", F.monotonically_increasing_id())
+    keyed = stage(found.withColumn("_id", F.monotonically_increasing_id()))
     digits = keyed.filter(F.col(col).startswith("+")).select("_id", F.regexp_replace(col, r"\D", "").alias("d"))
     prefix = digits.select("_id", "d", F.explode(F.transform(F.sequence(F.lit(1), F.least(F.lit(longest), F.length("d"))), lambda n: F.substring(F.col("d"), F.lit(1), n))).alias("code")) if longest else digits.select("_id", "d", F.lit("").alias("code"))
     fits = prefix.join(small_or_not(plans), "code").filter((F.length("d") - F.length("code")).between(F.col("low"), F.col("high")))
