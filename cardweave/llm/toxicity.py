@@ -1,7 +1,7 @@
 """Toxicity: a Levenshtein automaton run along a lexicon trie, scored in context.
 
 The lexicon is learned: words and word beginnings that labelled toxic documents
-hold far more often than others. Its terms form a trie. A word is matched by
+hold far more often than others, in contexts that are no copies of each other. Its terms form a trie. A word is matched by
 running an automaton of edit distance 2 along the trie: one set of states, as
 bits, for each number of edits, so all terms are tried at once and a branch ends
 when no state is left. Words of ``FUZZY[0]`` letters may be misspelled by one edit,
@@ -27,6 +27,7 @@ from __future__ import annotations
 
 import re
 from bisect import bisect_left, bisect_right
+from collections import Counter
 from collections.abc import Iterator
 from typing import NamedTuple
 
@@ -42,6 +43,8 @@ TRAIN_ROWS, MAX_TERMS, MIN_DOCS, MIN_ODDS = 12_000, 400, 6, 1.6
 STEM, FUZZY = (4, 9), (5, 9, 6)
 #: Shares of the documents of a beginning that a word, and a longer beginning, must have to stand for it.
 MOSTLY = (0.6, 0.95)
+#: Deviations by which the log odds must lie above MIN_ODDS: fewer would let in beginnings by chance.
+SURE = 2.0
 CONTEXT, REMEMBERED = 8, 1_000_000
 # Fixed word lists for the context, and characters that open or close a quotation.
 REPORTING = frozenset("said says say wrote writes called quote quoted quoting cited citing term word reported phrase".split())
@@ -68,6 +71,8 @@ class Automaton:
         self.stems = {t: k for k, (t, stem, _, _) in enumerate(lexicon.terms) if stem}
         self.stem_lengths = sorted({len(t) for t in self.stems})
         self.whole = {t: k for k, (t, stem, _, _) in enumerate(lexicon.terms) if not stem}
+        # No term reaches further than this into a word: longer words are tried by their beginning.
+        self.reach = max((len(t) + edits_allowed(t, stem) for t, stem, _, _ in lexicon.terms), default=0) + 1
         # The trie: children by character; "" holds (term, edits allowed) of words, "*" of beginnings, "^" the most edits below.
         self.root: dict = {"^": 0}
         # Parts of terms: at the start of words of certain lengths, at their end, or near a place in them.
@@ -86,7 +91,7 @@ class Automaton:
             node["*" if stem else ""] = (k, most)
             cuts = [n * j // (most + 1) for j in range(most + 2)]
             # A beginning may have any number of letters after it.
-            lengths = range(n - most, 200 if stem else n + most + 1)
+            lengths = range(n - most, self.reach + 1 if stem else n + most + 1)
             self.heads.setdefault(t[: cuts[1]], set()).update(lengths)
             if not stem:
                 self.tails.setdefault(t[cuts[-2] :], set()).update(lengths)
@@ -143,67 +148,83 @@ class Automaton:
         k = self.whole.get(word)
         if k is not None:
             return k, False
-        n = len(word)
         for m in self.stem_lengths:
-            if m > n:
+            if m > len(word):
                 break
             k = self.stems.get(word[:m])
             if k is not None:
                 return k, False
-        # Longer runs of characters are no words.
-        if n < 200 and self._may_match(word):
+        word = word[: self.reach]
+        if self._may_match(word):
             k = self.fuzzy(word)
             if k is not None:
                 return k, True
         return None
 
 
-def _ngrams(text: str) -> dict[str, int]:
-    """Counts of words, and of word beginnings marked by a final "*"."""
-    out: dict[str, int] = {}
-    for raw in text.lower().split():
-        w = raw.strip(_STRIP)
-        if 3 <= len(w) <= 40:
-            out[w] = out.get(w, 0) + 1
-            for m in range(STEM[0], min(STEM[1], len(w)) + 1):
-                p = w[:m] + "*"
-                out[p] = out.get(p, 0) + 1
-    return out
+def _words(text: str) -> list[str]:
+    return [raw.strip(_STRIP) for raw in text.lower().split()]
 
 
-def learn_lexicon(train: DataFrame) -> Lexicon:
-    """From (text, label): terms by log odds of their rates, at most MAX_TERMS."""
+def _terms_of(word: str) -> list[str]:
+    """A word and its beginnings, which are marked by a final "*"."""
+    return [word, *(word[:m] + "*" for m in range(STEM[0], min(STEM[1], len(word)) + 1))] if len(word) >= 3 else []
 
-    def count(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        sums: dict[str, list[int]] = {}
 
-        def flush() -> pd.DataFrame:
-            out = pd.DataFrame([(t, *v) for t, v in sums.items()], columns=["term", "d1", "c1", "c0", "d0"])
-            sums.clear()
-            return out
+def _evidence(toxic: DataFrame) -> DataFrame:
+    """(term, c1, d1) of the terms of texts: occurrences, and documents whose contexts are independent.
+
+    A document's context of a term is the word before and the word after its first place. Copies of one text, even
+    with some words changed, share one of the two with each other, so contexts count that share neither with the
+    commonest ones of the term.
+    """
 
+    def around(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
-            for text, label in zip(frame["text"], frame["label"], strict=True):
-                for t, n in _ngrams(text).items():
-                    s = sums.setdefault(t, [0, 0, 0, 0])
-                    if label:
-                        s[0] += 1
-                        s[1] += n
-                    else:
-                        s[2] += n
-                        s[3] += 1
-                if len(sums) > 200_000:
-                    yield flush()
-        yield flush()
+            for text in frame["text"]:
+                ws = ["", *_words(text), ""]
+                found: dict[str, list] = {}
+                for before, w, after in zip(ws, ws[1:], ws[2:], strict=False):
+                    for t in _terms_of(w):
+                        found.setdefault(t, [before, after, 0])[2] += 1
+                yield pd.DataFrame([(t, *v) for t, v in found.items()], columns=["term", "before", "after", "n"])
+
+    places = toxic.select("text").mapInPandas(around, "term string, before string, after string, n long")
+    places = cut(places.groupBy("term", F.xxhash64("before").alias("before"), F.xxhash64("after").alias("after")).agg(F.count("*").alias("d"), F.sum("n").alias("n")))
+    commonest = lambda c: places.groupBy("term", c).agg(F.sum("d").alias("d")).groupBy("term").agg(F.max_by(c, F.struct("d", c)).alias("most_" + c))
+    apart = (F.col("before") != F.col("most_before")) & (F.col("after") != F.col("most_after"))
+    found = places.join(commonest("before"), "term").join(commonest("after"), "term").groupBy("term").agg(F.sum("n").alias("c1"), (F.count_if(apart) + 1).alias("d1"))
+    return found.filter(F.col("d1") >= MIN_DOCS)
+
 
+def learn_lexicon(train: DataFrame) -> Lexicon:
+    """From (text, label): terms by log odds of their rates, at most MAX_TERMS."""
     words = F.size(F.split("text", r"\s+"))
     n1, n0 = train.agg(F.sum(F.when(F.col("label") == 1, words)), F.sum(F.when(F.col("label") == 0, words))).first()
     if not n1 or not n0:
         return Lexicon([])
-    sums = train.select("text", "label").mapInPandas(count, "term string, d1 long, c1 long, c0 long, d0 long").groupBy("term").agg(*(F.sum(c).alias(c) for c in ("d1", "c1", "c0", "d0")))
+    evidence = cut(_evidence(train.filter("label = 1")))
+    # Terms in several contexts of a bounded sample.
+    wanted = train.sparkSession.sparkContext.broadcast(frozenset(r.term for r in evidence.select("term").collect()))
+
+    def count(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        sums, terms, known = Counter(), wanted.value, {}
+        for frame in frames:
+            for text in frame["text"]:
+                for w, n in Counter(_words(text)).items():
+                    if w not in known:
+                        if len(known) > REMEMBERED:
+                            known.clear()
+                        known[w] = [t for t in _terms_of(w) if t in terms]
+                    for t in known[w]:
+                        sums[t] += n
+        yield pd.DataFrame(list(sums.items()), columns=["term", "n"])
+
+    others = train.filter("label = 0").select("text").mapInPandas(count, "term string, n long").groupBy("term").agg(F.sum("n").alias("n"))
+    sums = evidence.join(others, "term", "left").withColumn("c0", F.coalesce("n", F.lit(0)))
     odds = F.log((F.col("c1") + 0.5) / n1) - F.log((F.col("c0") + 0.5) / n0)
-    # Weight of evidence: documents count, so that one long text does not make a term.
-    best = sums.filter(F.col("d1") >= MIN_DOCS).withColumn("odds", odds).filter(F.col("odds") >= MIN_ODDS).orderBy((F.col("odds") * F.sqrt("d1")).desc(), "term").limit(4 * MAX_TERMS).collect()
+    # Weight of evidence: contexts count, so that one text, long or copied, does not make a term.
+    best = sums.withColumn("odds", odds).filter(F.col("odds") - SURE * F.sqrt(1 / F.col("d1") + 1 / (F.col("c0") + 0.5)) >= MIN_ODDS).orderBy((F.col("odds") * F.sqrt("d1")).desc(), "term").limit(4 * MAX_TERMS).collect()
     chosen: dict[str, tuple[str, bool, float, float]] = {}
     by_start: dict[str, list] = {}
     for r in best:

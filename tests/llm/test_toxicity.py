@@ -2,7 +2,7 @@ import itertools
 import random
 import zlib
 
-from cardweave.llm.toxicity import Automaton, Lexicon, edits_allowed, features, score_texts, toxicity, train_model
+from cardweave.llm.toxicity import Automaton, Lexicon, edits_allowed, features, learn_lexicon, score_texts, toxicity, train_model
 from tests.llm.docs import clashing, table
 
 
@@ -61,6 +61,28 @@ def test_misspelled_terms_are_caught(spark):
     assert len(wrong) >= 8 and all(machine.match(w) is not None for w in wrong)
 
 
+def test_words_of_copies_are_no_terms(spark):
+    """A word of very many copies of one toxic text, each with some words changed, is no evidence; one in independent texts is."""
+    rnd = random.Random(9)
+    some = lambda n: [f"w{rnd.randrange(300)}" for _ in range(n)]
+    base, rows = some(40) + ["quorvane"] + some(40), []
+    for _ in range(400):
+        copy = [w if rnd.random() < 0.96 or w == "quorvane" else rnd.choice(some(1)) for w in base]
+        rows.append((" ".join(copy), 1))
+    rows += [(" ".join([*some(30), "blightful", *some(30)]), 1) for _ in range(30)]
+    rows += [(" ".join(some(80)), 0) for _ in range(800)]
+    terms = {t for t, *_ in learn_lexicon(spark.createDataFrame(rows, "text string, label int")).terms}
+    assert "blightful" in terms and not any(t.startswith("quor") for t in terms)
+
+
+def test_words_of_any_length():
+    long_word = "pneumono" * 30
+    machine = Automaton(Lexicon([(long_word, False, 2.0, 0.001), ("detestab", True, 2.0, 0.001)]))
+    assert machine.match(long_word[:100] + "#" + long_word[101:]) == (0, True)
+    assert machine.match("det#stab" + "z" * 500_000) == (1, True)
+    assert machine.match("x" * 500_000) is None and machine.match(long_word + "abc") is None
+
+
 def test_context_separates_quotation():
     terms = [("idiot", False, 3.0, 0.0001)]
     machine = Automaton(Lexicon(terms))
