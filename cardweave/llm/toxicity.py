@@ -16,11 +16,13 @@ exceed what chance gives in a text of that length, yields the score.
 Training reads at most about ``TRAIN_ROWS`` labelled rows, chosen by a hash of
 their id, at every size of the corpus; lexicon counts are made in Spark and only
 the best ``MAX_TERMS`` terms and the sample's feature rows reach the driver.
-Scoring reads all texts whole. Labels, language, source and id are never inputs.
+``MIN_DOCS`` and ``MAX_TERMS`` are parameters of this fit. Scoring reads all texts whole. Labels, language, source and id are never inputs.
 
 Defined results: a null text is an empty one; texts without a match get the score
 of such texts of their length. Without labelled rows of both kinds every score is
 the share of toxic rows (0 if there are none). Repeated rows are scored alike.
+A score of exactly 0.5 is predicted as 1. Only the named columns of both tables are read, so
+others may have any names, those of the result included. Words have no greatest length.
 """
 
 from __future__ import annotations
