@@ -1,4 +1,4 @@
-"""Line dedup by the hashes of all minimal repeats, in DataFrame functions only.
+"""Line dedup by winnowing over the hashes of units, in DataFrame functions only.
 
 A text is cut after line breaks and (``sentences``) after sentence ends, each
 unit keeping what ends it. A run of at least ``MIN_UNITS`` units and ``min_words``
@@ -6,17 +6,26 @@ words, or one unit of ``long_unit`` words, is a repeat if it also stands at an
 earlier place (by id, text, and unit). The units of every repeat are deleted, so
 the first occurrence of a run stays.
 
-From each unit the shortest run that counts is taken forwards, and backwards too.
-Every unit of a repeat lies in such a run inside of it, so the hash of a whole
-minimal run is the key, and its first occurrence is a valid partner by itself: no
-two texts are compared, and nothing depends on luck. A minimal run has at most
+The window of a unit is the shortest row of units from it on that reaches
+``min_words``. Of each window the least unit is selected, where units of more words
+are less, and those of as many in the order of their hashes. Neighbouring windows mostly select the
+same unit, so there are fewer fingerprints than units. A repeat holds the whole
+windows of its minimal runs, and what a window selects depends on nothing else: equal
+repeats surely have equal fingerprints, at the same offsets.
+
+Each selected place carries the units around it. Places join by fingerprint; one
+that stands alone ends there, which is most of a text. Places that met are extended both ways to the
+minimal runs around them: from each unit on the shortest run that counts forwards, and backwards
+too. Every unit of a repeat lies in such a run inside of it. Runs that are equal as a whole are ordered by place, and
+all but the first are repeats; those that overlap are merged. As places that share a fingerprint are compared by whole runs
+and not by pairs, no partner is missed: nothing depends on which other document a fingerprint is met in first. A minimal run has at most
 ``min_words`` units with words. Units without words (blank lines) are counted
 between them, so that long stretches of them cost no more than other units.
 
 Defined results: a null text is an empty one and stays empty. Rows equal in id
 and text are one document, and share its fate. Ids may be null (they come
 first). Texts keep their bytes outside the deleted units. A very long text is one row: its
-units and its runs are arrays of a few dozen bytes a unit, and no run is longer than
+units and its selected places are arrays of a few dozen bytes a unit, and no run is longer than
 ``min_words`` units with words.
 """
 
@@ -28,12 +37,12 @@ from pyspark.sql import functions as F
 from cardweave.llm.common import WORD, cut, passing, small_or_not, text_of
 
 LONG_UNIT, MIN_WORDS, MIN_UNITS = 50, 25, 2
-#: A hash of more runs than about HOT (some 10 MB in a window) is dealt to PARTS; one in SHARE documents is looked at for that. Results do not depend on it.
+#: A fingerprint of more places than about HOT (some 40 MB in a window) is dealt to PARTS; one in SHARE documents is looked at for that. Results do not depend on it.
 HOT, SHARE, PARTS = 200_000, 256, 64
 #: Documents and merged runs (some 16 bytes each) that may be broadcast.
 BROADCAST_RUNS = 1_000_000
-#: Shapes of repeats that the tests look for; the operator has no use for them.
-WINDOW, LEAST_WORDS = 4, 5
+#: Words of a unit, and units of a run, that a packed number can hold; more words count as so many.
+MOST = (1 << 16) - 1
 SENTENCES = r"(?<=\n)|(?<=[.!?]\x20)"
 LINES = r"(?<=\n)"
 
@@ -120,8 +129,49 @@ def _spoken(found: Column, min_words: int) -> Column:
     return _let(F.filter(found, lambda x: x["w"] > 0), counted)
 
 
-def _described(n: Column, rows: Column, long_unit: int) -> Column:
-    """array<struct<core,from,to,led,lead,trailed,trail>>: hashes of the shortest runs from each unit on, and of those from it that are the shortest up to their last unit.
+def _selected(rows: Column) -> Column:
+    """array<int>: which unit the window of each unit selects, null if too few words are left for one."""
+
+    def of(order: Column) -> Column:
+        least = lambda k, c: _let(F.slice(order, k + 1, c), lambda o: k + F.array_position(o, F.array_min(o)).cast("int") - 1)
+        return F.transform(rows, lambda x, k: F.when(x["c"] == 1, k).when(x["c"] > 1, least(k, x["c"])))
+
+    return _let(F.transform(rows, lambda x: F.shiftleft(-F.least(x["w"], F.lit(MOST)).cast("long"), 40) + x["h"].bitwiseAND((1 << 40) - 1)), of)
+
+
+def _places(n: Column, rows: Column) -> Column:
+    """array<struct<f,n,first,starts,hs,ms>>: each selected unit's hash, and the units around it that the minimal runs from the units that selected it touch.
+
+    ``starts`` units from number ``first`` on, of those in ``hs``, selected it; ``ms`` packs place, words and ``c`` of each.
+    """
+
+    def of_places(hs: Column, ms: Column, chosen: Column, opens: Column) -> Column:
+        def place(k: Column, i: Column) -> Column:
+            # Windows begin and end in order, so those that select one unit are neighbours.
+            beyond = F.coalesce(F.get(opens, i + 1), F.size(F.filter(chosen, lambda a: a.isNotNull())))
+            a = F.greatest(k - 1, F.lit(0))
+            z = F.least(F.coalesce(beyond - 1 + F.get(rows, beyond)["c"], F.size(rows) - 1), F.size(rows) - 1)
+            f = F.get(hs, F.get(chosen, k))
+            return F.struct(f.alias("f"), n.alias("n"), (k - a).alias("first"), (beyond - k).alias("starts"), F.slice(hs, a + 1, z - a + 1).alias("hs"), F.slice(ms, a + 1, z - a + 1).alias("ms"))
+
+        return F.transform(opens, place)
+
+    packed = lambda x: F.shiftleft(x["p"].cast("long"), 32) + F.shiftleft(F.least(x["w"], F.lit(MOST)).cast("long"), 16) + F.coalesce(x["c"], F.lit(0))
+    new = lambda chosen: F.filter(F.transform(chosen, lambda a, k: F.when(a != F.coalesce(F.get(chosen, k - 1), F.lit(-1)), k)), lambda k: k.isNotNull())
+    return _let(_selected(rows), lambda chosen: _let(new(chosen), lambda opens: _let(F.transform(rows, packed), lambda ms: _let(rows["h"], lambda hs: of_places(hs, ms, chosen, opens)))))
+
+
+def _around(hs: Column, ms: Column) -> Column:
+    """The units of a place as ``_spoken`` gives them; the gap before the first is right if it is the text's first."""
+    p = lambda m: F.shiftright(m, 32).cast("int")
+    c = lambda m: F.nullif(m.bitwiseAND(MOST).cast("int"), F.lit(0))
+    return F.transform(ms, lambda m, i: F.struct(
+        F.get(hs, i).alias("h"), F.shiftright(m, 16).bitwiseAND(MOST).cast("int").alias("w"), p(m).alias("p"), (p(m) - F.coalesce(p(F.get(ms, i - 1)), F.lit(-1)) - 1).alias("gap"), c(m).alias("c"),
+    ))
+
+
+def _described(n: Column, rows: Column, first: Column, starts: Column, long_unit: int) -> Column:
+    """array<struct<core,from,to,led,lead,trailed,trail>>: hashes of the shortest runs from each start on, and of those from it that are the shortest up to their last unit.
 
     A run also counts with ``led`` to ``lead`` units without words before it, and ``trailed`` to
     ``trail`` after it.
@@ -152,19 +202,25 @@ def _described(n: Column, rows: Column, long_unit: int) -> Column:
             usual = ~short_one & ((low > high) | ((low == high) & (after_of(low) == 0)))
             return F.when(x["c"].isNull(), F.array().cast(kind)).when(usual, F.array(ahead)).otherwise(F.concat(F.array(ahead, led, behind), F.when(low <= high, ends).otherwise(F.array().cast(kind))))
 
-        return F.flatten(F.transform(rows, of))
+        return F.flatten(F.transform(F.sequence(first, first + starts - 1), lambda k: of(F.get(rows, k), k)))
 
     kind = "array<struct<core:bigint,from:int,to:int,led:int,lead:int,trailed:int,trail:int>>"
     return _let(F.transform(rows, lambda x: F.xxhash64(x["h"], x["gap"])), of_parts)
 
 
-def _runs(src: DataFrame, long_unit: int, min_words: int, sentences: bool) -> DataFrame:
-    """(id, th, hash, from, to): the shortest runs that count, from each unit on and up to each unit."""
-    described = _let(_measured(F.col("_text"), sentences), lambda found: _let(_spoken(found, min_words), lambda rows: _described(F.size(found), rows, long_unit)))
-    runs = src.select("id", F.xxhash64("_text").alias("th"), F.inline(described)).filter("core is not null")
+def _fingerprints(src: DataFrame, min_words: int, sentences: bool) -> DataFrame:
+    """(id, th, f, n, first, starts, hs, ms): the selected places of each text."""
+    places = _let(_measured(F.col("_text"), sentences), lambda found: _let(_spoken(found, min_words), lambda rows: _places(F.size(found), rows)))
+    return src.select("id", F.xxhash64("_text").alias("th"), F.inline(places))
+
+
+def _extended(places: DataFrame, long_unit: int, *keep: str) -> DataFrame:
+    """(id, th, hash, from, to) and ``keep``: the minimal runs around places."""
+    described = _let(_around(F.col("hs"), F.col("ms")), lambda rows: _described(F.col("n"), rows, F.col("first"), F.col("starts"), long_unit))
+    runs = places.select("id", "th", *keep, F.inline(described)).filter("core is not null")
     # Units without words before or after a run make longer ones.
     runs = runs.withColumn("before", F.explode(F.sequence("led", "lead"))).withColumn("after", F.explode(F.sequence("trailed", "trail")))
-    return runs.select("id", "th", F.xxhash64("before", "after", "core").alias("hash"), (F.col("from") - F.col("before")).alias("from"), (F.col("to") + F.col("after")).alias("to"))
+    return runs.select("id", "th", *keep, F.xxhash64("before", "after", "core").alias("hash"), (F.col("from") - F.col("before")).alias("from"), (F.col("to") + F.col("after")).alias("to"))
 
 
 def repeated_units(docs: DataFrame, long_unit: int = LONG_UNIT, min_words: int = MIN_WORDS, sentences: bool = True, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -172,20 +228,25 @@ def repeated_units(docs: DataFrame, long_unit: int = LONG_UNIT, min_words: int =
 
     ``th`` is the hash of the text; ``from`` and ``to`` are unit numbers, both included.
     """
+    if max(long_unit, min_words) > MOST:
+        raise ValueError(f"long_unit and min_words are at most {MOST}")
     src = docs.select(F.col(id_col).alias("id"), text_of(text_col).alias("_text"))
-    runs = _runs(src, long_unit, min_words, sentences)
+    places = _fingerprints(src, min_words, sentences)
     # The first places have rank 1: more than one row if rows are equal in id and text.
-    ranked = lambda df, *by: df.withColumn("rank", F.rank().over(Window.partitionBy("hash", *by).orderBy("id", "th", "from")))
-    # Hashes of very many runs, as a share of the documents shows them, are no single groups: they are
-    # ranked by parts, and then the first places of the parts among themselves.
-    some = _runs(src.filter(F.pmod(F.xxhash64("id", F.octet_length("_text")), F.lit(SHARE)) == 0), long_unit, min_words, sentences)
-    hot = cut(some.groupBy("hash").agg(F.count("*").alias("n")).filter(F.col("n") > HOT // SHARE).select("hash"))
+    ranked = lambda df, *by: df.withColumn("rank", F.rank().over(Window.partitionBy(*by).orderBy("id", "th", "from")))
+    met = lambda df, *by: df.withColumn("met", F.count("*").over(Window.partitionBy(*by)))
+    # Fingerprints of very many places, as a share of the documents shows them, are no single groups: their runs
+    # are ranked by parts, and then the first places of the parts among themselves.
+    some = _fingerprints(src.filter(F.pmod(F.xxhash64("id", F.octet_length("_text")), F.lit(SHARE)) == 0), min_words, sentences)
+    hot = cut(some.groupBy("f").agg(F.count("*").alias("seen")).filter(F.col("seen") > HOT // SHARE).select("f"))
+    # Equal runs have equal fingerprints, so they are ranked where their places met, without another exchange.
     if hot.isEmpty():
-        runs = ranked(runs).filter("rank > 1")
+        runs = ranked(_extended(met(places, "f").filter("met > 1"), long_unit, "f"), "f", "hash").filter("rank > 1")
     else:
-        parts = runs.join(small_or_not(hot.withColumn("hot", F.lit(True))), "hash", "left").withColumn("part", F.when(F.col("hot"), F.pmod(F.xxhash64("th", "id"), F.lit(PARTS))).otherwise(0))
-        found = cut(ranked(parts, "part").filter("rank > 1 or hot").select("hash", "id", "th", "from", "to", "rank"))
-        runs = found.filter("rank > 1").drop("rank", "hash").unionByName(ranked(found.filter("rank = 1").drop("rank")).filter("rank > 1").drop("rank", "hash"))
+        parts = places.join(small_or_not(hot.withColumn("hot", F.lit(True))), "f", "left").withColumn("part", F.when(F.col("hot"), F.pmod(F.xxhash64("th", "id"), F.lit(PARTS))).otherwise(0))
+        found = _extended(met(parts, "f", "part").filter("met > 1 or hot"), long_unit, "f", "part", "hot")
+        found = cut(ranked(found, "f", "part", "hash").filter("rank > 1 or hot").select("hash", "id", "th", "from", "to", "rank"))
+        runs = found.filter("rank > 1").drop("rank", "hash").unionByName(ranked(found.filter("rank = 1").drop("rank"), "hash").filter("rank > 1").drop("rank", "hash"))
     runs = runs.select("id", "th", "from", "to")
     # Runs overlap: they are merged.
     w = Window.partitionBy("id", "th").orderBy("from", "to")

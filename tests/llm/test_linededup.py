@@ -2,9 +2,11 @@ import random
 import re
 
 from cardweave.llm import linededup
-from cardweave.llm.linededup import LEAST_WORDS, LONG_UNIT, MIN_WORDS, WINDOW, dedup_lines
+from cardweave.llm.linededup import LONG_UNIT, MIN_WORDS, dedup_lines
 from tests.llm.docs import clashing, table
 
+#: Shapes of repeats to look for.
+WINDOW, LEAST_WORDS = 4, 5
 CUT = re.compile(r"(?<=\n)|(?<=[.!?]\x20)")
 
 
