@@ -16,9 +16,11 @@ item) contaminates the document.
 
 The benchmark's windows are broadcast only if their number is at most
 ``BROADCAST_WINDOWS``, which bounds their memory. Beyond that the hashes of windows
-are joined by a shuffle, and only documents and items that met are compared; a
-bitmap of fixed size keeps most windows that no item has out of the shuffle. Both
-ways compare whatever shares a window, so they give the same rows.
+are joined by a shuffle; a bitmap of fixed size keeps windows that no item has out of it.
+There each window comes with the few tokens on its sides. A window that lies in a part long enough to
+contaminate has like tokens next to it, so different surroundings meet first, each
+once, and only what agrees goes on as places (text, item, diagonal). For those no more than the tokens of the text
+that lie along the item travel, and are compared as in the other way, so both give the same rows.
 
 Defined results: null texts are empty and clean. A null item is empty and matches
 nothing; an item of few words matches wherever they stand in a row. Repeated rows
@@ -31,15 +33,17 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from cardweave.llm.common import cut, text_of
+from cardweave.llm.common import cut, small_or_not, text_of
 from cardweave.llm.words import BASE, CHUNK, INVERSE, POWER, mix
 
 WINDOW, MIN_RUN, BROADCAST_WINDOWS = 8, 13, 500_000
 #: Literal words that a window must hold.
 LITERALS = 5
+#: Places of a text that are cut out of it in one row.
+LISTED = 256
 #: Bits of the bitmap of the benchmark's windows (a power of two; 16 MB).
 BITMAP = 1 << 27
 NUMBER, NAME, UNIT = np.uint64(1), np.uint64(2), np.uint64(3)
@@ -174,10 +178,18 @@ def _consistent_parts(x: np.ndarray, y: np.ndarray, slots: np.ndarray) -> list[t
     return [*out, (start, len(x))]
 
 
+def surroundings(code: np.ndarray, value: np.ndarray, at: np.ndarray, width: int | np.ndarray) -> list[np.ndarray]:
+    """For each window the codes and values before it, nearest first, and those after it; 0 outside of the text."""
+    side = MIN_RUN - WINDOW
+    code, value = (np.concatenate((np.zeros(side, np.uint64), x, np.zeros(side + WINDOW, np.uint64))).view(np.int64) for x in (code, value))
+    before, after = at[:, None] + side - 1 - np.arange(side), (at + width)[:, None] + side + np.arange(side)
+    return list(np.concatenate([code[before], value[before], code[after], value[after]], axis=1))
+
+
 class Index:
-    """The windows of some items, for comparing texts with them."""
+    """The windows of some items, for comparing texts with them; ``bits``: of the table that passes over windows of no item."""
 
-    def __init__(self, items: list[tuple[int, str]]):
+    def __init__(self, items: list[tuple[int, str]], bits: int = 20):
         self.items = [(i, *template(t)) for i, t in items]
         rows = [(h, np.full(len(h), k), at, w) for k, ((_, code, value), (_, t)) in enumerate(zip(self.items, items, strict=True)) for at, h, w in [item_windows(t, code, value)]]
         self.hash = np.concatenate([r[0] for r in rows] or [np.zeros(0, np.uint64)])
@@ -186,12 +198,13 @@ class Index:
         self.widths = sorted({r[3] for r in rows})
         order = np.argsort(self.hash, kind="stable")
         self.hash, self.item, self.start = self.hash[order], self.item[order], self.start[order]
-        self.seen = np.zeros(1 << 20, bool)
-        self.seen[(self.hash >> np.uint64(44)).astype(np.int64)] = True
+        self.shift = np.uint64(64 - bits)
+        self.seen = np.zeros(1 << bits, bool)
+        self.seen[(self.hash >> self.shift).astype(np.int64)] = True
 
     def _met(self, at: np.ndarray, h: np.ndarray, width: int) -> tuple[np.ndarray, ...]:
         """(item, shift, start here, width) of the windows that an item has too."""
-        maybe = self.seen[(h >> np.uint64(44)).astype(np.int64)]
+        maybe = self.seen[(h >> self.shift).astype(np.int64)]
         at, h = at[maybe], h[maybe]
         lo, hi = np.searchsorted(self.hash, h, "left"), np.searchsorted(self.hash, h, "right")
         n = hi - lo
@@ -201,11 +214,16 @@ class Index:
 
     def matches(self, text: str | None) -> list[tuple[int, int, int, int]]:
         """(item id, first token here, first token of the item, tokens) of every run that contaminates."""
-        code, value = template(text)
+        return self.matches_of(*template(text))
+
+    def matches_of(self, code: np.ndarray, value: np.ndarray, diagonal: int | None = None) -> list[tuple[int, int, int, int]]:
+        """The same of a text's tokens; only with items that begin at token ``diagonal``, if it is given."""
         if not len(self.hash):
             return []
         met = [self._met(*windows(code), WINDOW), *(self._met(*word_windows(value, w), w) for w in self.widths)]
         item, shift, mine, width = (np.concatenate(x) for x in zip(*met, strict=True))
+        if diagonal is not None:
+            item, shift, mine, width = (x[on] for on in [shift == diagonal] for x in (item, shift, mine, width))
         if not len(item):
             return []
         order = np.lexsort((mine, shift, item))
@@ -266,46 +284,88 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
 
     item_type = items.schema["item"].dataType.simpleString()
 
+    places = "start long, hash long, width int, around array<long>"
+
     def emit_items(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
             for key, text in zip(frame["item"], frame["item_text"], strict=True):
-                _, h, width = item_windows(text, *template(text))
-                h = np.unique(h)
-                yield pd.DataFrame({"item": np.full(len(h), key), "hash": h.view(np.int64), "width": np.full(len(h), width, np.int32)})
+                code, value = template(text)
+                at, h, width = item_windows(text, code, value)
+                if len(h):
+                    kinds = np.where(np.isin(h, word_windows(value, width)[1]), width, WINDOW).astype(np.int32)
+                    yield pd.DataFrame({"item": np.full(len(h), key), "size": np.full(len(h), len(code)), "start": at, "hash": h.view(np.int64), "width": kinds, "around": surroundings(code, value, at, kinds)})
 
-    theirs = cut(items.mapInPandas(emit_items, f"item {item_type}, hash long, width int"))
+    theirs = cut(items.mapInPandas(emit_items, f"item {item_type}, size long, {places}"))
     widths = sorted(r[0] for r in theirs.select("width").distinct().collect())
+    # The bits of a 4 KB page of the bitmap are one row: at most 4,096 rows of what is marked reach the driver.
     bit = f"(hash & {BITMAP - 1}L)"
-    marked = theirs.select(F.expr(f"int({bit} >> 3)").alias("at"), F.expr(f"1 << int({bit} & 7)").alias("bits")).groupBy("at").agg(F.bit_or("bits").alias("bits")).toPandas()
-    bitmap = np.zeros(BITMAP // 8, np.uint8)
-    bitmap[marked["at"].to_numpy(np.int64)] = marked["bits"].to_numpy(np.int64).astype(np.uint8)
-    marks = spark.sparkContext.broadcast(bitmap)
+    marked = theirs.select(F.expr(f"int({bit} >> 15)").alias("page"), F.expr(f"int({bit} & 32767)").alias("bit")).groupBy("page").agg(F.collect_set("bit").alias("bits"))
+
+    def fold(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            yield pd.DataFrame({"page": frame["page"], "bits": [np.packbits(np.isin(np.arange(1 << 15), b), bitorder="little").tobytes() for b in frame["bits"]]})
+
+    bitmap = np.zeros((BITMAP >> 15, 1 << 12), np.uint8)
+    for row in marked.mapInPandas(fold, "page int, bits binary").collect():
+        bitmap[row["page"]] = np.frombuffer(row["bits"], np.uint8)
+    marks = spark.sparkContext.broadcast(bitmap.reshape(-1))
 
     def emit(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         there = marks.value
         for frame in frames:
             for key, text in zip(frame["key"], frame["body"], strict=True):
                 code, value = template(text)
-                h = np.unique(np.concatenate([windows(code)[1], *(word_windows(value, w)[1] for w in widths)]))
-                bit = (h & np.uint64(BITMAP - 1)).astype(np.int64)
-                h = h[there[bit >> 3] >> (bit & 7) & 1 == 1]
-                if len(h):
-                    yield pd.DataFrame({"key": np.full(len(h), key), "hash": h.view(np.int64)})
+                for width, (at, h) in [(WINDOW, windows(code)), *((w, word_windows(value, w)) for w in widths)]:
+                    bit = (h & np.uint64(BITMAP - 1)).astype(np.int64)
+                    on = there[bit >> 3] >> (bit & 7) & 1 == 1
+                    at, h = at[on], h[on]
+                    for i in range(0, len(h), 4096):
+                        a = at[i : i + 4096]
+                        yield pd.DataFrame({"key": np.full(len(a), key), "start": a, "hash": h[i : i + 4096].view(np.int64), "width": np.full(len(a), width, np.int32), "around": surroundings(code, value, a, width)})
 
     # Equal texts are compared once.
     bodies = src.select(F.col("text_hash").alias("key"), F.col("_text").alias("body")).groupBy("key").agg(F.first("body").alias("body"))
-    ours = bodies.mapInPandas(emit, "key long, hash long")
-    pairs = ours.join(theirs, "hash").select("key", "item").distinct()
-    pairs = cut(pairs)
+    ours = cut(bodies.mapInPandas(emit, f"key long, {places}"))
+    # Surroundings that agree: like tokens in a row on both sides, and the window, make up a part.
+    side = MIN_RUN - WINDOW
+
+    def in_a_row(first: int):
+        n = F.lit(0)
+        for i in reversed(range(first, first + side)):
+            like = lambda j: (F.col("here")[j] != 0) & (F.col("here")[j] == F.col("there")[j])
+            n = F.when(like(i) | like(i + side), n + 1).otherwise(0)
+        return n
+
+    here = ours.select("hash", "width", F.col("around").alias("here")).distinct()
+    there = theirs.select("hash", "width", F.least("size", F.lit(MIN_RUN)).alias("need"), F.col("around").alias("there")).distinct()
+    agreed = cut(here.join(there, ["hash", "width"]).filter(F.col("width") + in_a_row(0) + in_a_row(2 * side) >= F.col("need")).drop("need").distinct())
+    met = ours.withColumnRenamed("around", "here").join(small_or_not(agreed), ["hash", "width", "here"])
+    of_items = theirs.select("hash", "width", F.col("around").alias("there"), "item", "size", F.col("start").alias("at"))
+    hits = met.join(of_items, ["hash", "width", "there"]).select("key", "item", "size", (F.col("start") - F.col("at")).alias("shift")).distinct()
+    # So many of a text's hits are a row.
+    nth = F.row_number().over(Window.partitionBy("key").orderBy("shift", "item"))
+    lists = hits.withColumn("part", F.floor(nth / LISTED)).groupBy("key", "part").agg(F.collect_list(F.struct("item", "shift", "size")).alias("hits")).drop("part")
+
+    def cut_out(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            for key, body, listed in zip(frame["key"], frame["body"], frame["hits"], strict=True):
+                code, value = (x.view(np.int64) for x in template(body))
+                rows = [(key, h["item"], h["shift"], low, code[low:high], value[low:high]) for h in listed for low, high in [(max(0, h["shift"]), min(len(code), h["shift"] + h["size"]))]]
+                yield pd.DataFrame(rows, columns=["key", "item", "shift", "low", "code", "value"])
+
+    stretches = lists.join(bodies, "key").mapInPandas(cut_out, f"key long, item {item_type}, shift long, low long, code array<long>, value array<long>")
 
     def compare(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        last, index = None, None
         for frame in frames:
             rows = []
-            for key, body, item, text in zip(frame["key"], frame["body"], frame["item"], frame["item_text"], strict=True):
-                rows += [(key, item, a, n) for _, a, _, n in Index([(item, text)]).matches(body)]
+            for key, item, shift, low, code, value, text in zip(*(frame[c] for c in ("key", "item", "shift", "low", "code", "value", "item_text")), strict=True):
+                if index is None or last != (item, text):
+                    last, index = (item, text), Index([(item, text)], bits=12)
+                rows += [(key, item, low + a, n) for _, a, _, n in index.matches_of(np.asarray(code, np.int64).view(np.uint64), np.asarray(value, np.int64).view(np.uint64), shift - low)]
             yield pd.DataFrame(rows, columns=["key", "item", "a", "n"])
 
-    runs = pairs.join(bodies, "key").join(items, "item").mapInPandas(compare, f"key long, item {item_type}, a long, n long")
+    runs = stretches.join(items, "item").mapInPandas(compare, f"key long, item {item_type}, a long, n long")
     # Tokens in matches: runs of one text that overlap are counted once.
     spots = runs.select("key", "item", F.explode(F.sequence("a", F.col("a") + F.col("n") - 1)).alias("at"))
     found = spots.groupBy("key").agg(F.array_sort(F.collect_set("item")).alias("items"), F.countDistinct("at").alias("n_matched"))

@@ -110,3 +110,20 @@ def test_verbatim_text_of_any_kind(spark):
     docs = [(k, f"Some of it: they wrote that {t} and no more of it.") for k, t in items]
     docs += [(7, f"They say {items[4][1].replace('Boston', 'Denver')} and more"), (8, items[5][1].replace("9", "5")), (9, "Name seven even primes and walk along the river with 12 + 7 * 30")]
     assert both_ways(spark, docs, items) == {**{k: [k] for k, _ in items}, 7: [5], 8: [6], 9: []}
+
+
+def test_hot_window_joins_positions(spark):
+    """Eight words that all items and texts share, some texts with a whole item, one with all, and one that repeats a word."""
+    rnd = random.Random(3)
+    word = lambda: "".join(rnd.choice("bcdfghklmnprstvz") + rnd.choice("aeiou") for _ in range(4))
+    some = lambda n: " ".join(word() for _ in range(n))
+    common = "what is the value of the whole expression"
+    items = [(i, f"{some(7)} {common} {some(7)}") for i in range(150)] + [(900, "word " * 20), (901, "Four odd words here"), (902, None)]
+    rows = [(i, f"{some(9)} {common} {some(9)}") for i in range(150)]
+    rows += [(200 + i, f"{some(5)}. {items[i][1]} {some(5)}") for i in range(0, 150, 10)]
+    rows += [(500, ". ".join(t for _, t in items[:150])), (501, "word " * 60), (502, "So four odd words here stand"), (503, None), (504, items[3][1][: len(items[3][1]) // 2])]
+    docs, of = table(spark, [(i, t, "en", "s", 0) for i, t in rows]), bench(spark, items)
+    got = [{r["id"]: (sorted(r["items"]), r["n_matched"]) for r in contaminated(docs, of, broadcast_windows=n).collect()} for n in (500_000, 0)]
+    assert got[0] == got[1]
+    assert got[1][500][0] == list(range(150)) and got[1][501][0] == [900] and got[1][502][0] == [901] and got[1][503] == ([], 0)
+    assert all(got[1][200 + i][0] == [i] for i in range(0, 150, 10)) and not any(got[1][i][0] for i in range(150))
