@@ -15,7 +15,7 @@ padding of its table within ``PADDING`` times its text and ``WIDEST`` characters
 
 Defined results: a null page is an empty one and gives an empty text, as does one
 with nothing to show. Malformed markup never fails. Repeated rows give repeated
-results. A cell that spans rows keeps its columns free in these; ``colspan`` and
+results, as no page depends on another: there are no ties. Only the named columns are read, so others may have any names. A cell that spans rows keeps its columns free in these; ``colspan`` and
 ``rowspan`` are bounded as in HTML.
 """
 

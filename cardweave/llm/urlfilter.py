@@ -16,6 +16,7 @@ Among the rules that fit, the one with the longest host and path wins; a tie
 goes to the longer host. Nulls: a null url, or one without ``://``, has an
 empty host and path, and no rule fits an empty host. Repeated urls each keep
 their row. Repeated rules count once (``allow`` before ``block`` if they differ).
+Only the named columns are read, so others may have any names, those of the result included.
 """
 
 from __future__ import annotations
