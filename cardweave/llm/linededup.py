@@ -87,12 +87,12 @@ def _measured(text: Column, sentences: bool) -> Column:
     return F.when(plain, F.transform(_units(text, sentences, bare=True), fast)).otherwise(F.transform(_units(text, sentences), slow))
 
 
-def _sums(ws: Column, min_words: int, body) -> Column:
-    """``body`` of the list of arrays of the words of each 1, 2, 4 ... units in a row, up to the longest rows that matter."""
+def _sums(ws: Column, body) -> Column:
+    """``body`` of the list of arrays of the words of each 1, 2 and 4 units in a row."""
 
     def more(known: list[Column]) -> Column:
         half = 1 << len(known) - 1
-        if len(known) >= 3 and 2 * half >= min_words:
+        if len(known) == 3:
             return body(known)
         return _let(F.transform(known[-1], lambda x, k: x + F.coalesce(F.get(known[-1], k + half), F.lit(0))), lambda x: more([*known, x]))
 
@@ -115,16 +115,18 @@ def _reach(sums: list[Column], levels: Column, k: Column, min_words: int) -> Col
 
 
 def _spoken(found: Column, min_words: int) -> Column:
-    """array<struct<h,w,p,gap,c>> of the units with words: hash, words, number, units without words before it, and how many units from it on reach min_words."""
+    """array<struct<h,w,p,c>> of the units with words: hash, words, number, and how many units from it on reach min_words."""
 
     def counted(v: Column) -> Column:
         def of(sums: list[Column]) -> Column:
-            levels = F.array(*(F.struct(x.alias("sums"), F.lit(1 << j + 20).cast("long").alias("step")) for j, x in reversed(list(enumerate(sums)))))
+            # Of fours as many as may be needed: texts with rows that long are few.
+            fours, twos, ones = (F.struct(sums[j].alias("sums"), F.lit(1 << j + 20).cast("long").alias("step")) for j in (2, 1, 0))
+            levels = F.concat(F.array_repeat(fours, -(-min_words // 4)), F.array(twos, ones))
             return _let(levels, lambda ls: F.transform(v, lambda x, k: F.struct(
-                x["h"].alias("h"), x["w"].alias("w"), x["p"].alias("p"), (x["p"] - F.coalesce(F.get(v, k - 1)["p"], F.lit(-1)) - 1).alias("gap"), _reach(sums, ls, k, min_words).alias("c"),
+                x["h"].alias("h"), x["w"].alias("w"), x["p"].alias("p"), _reach(sums, ls, k, min_words).alias("c"),
             )))
 
-        return _let(F.transform(v, lambda x: x["w"]), lambda ws: _sums(ws, min_words, of))
+        return _let(F.transform(v, lambda x: x["w"]), lambda ws: _sums(ws, of))
 
     return _let(F.filter(found, lambda x: x["w"] > 0), counted)
 
@@ -133,8 +135,9 @@ def _selected(rows: Column) -> Column:
     """array<int>: which unit the window of each unit selects, null if too few words are left for one."""
 
     def of(order: Column) -> Column:
+        two = lambda k: F.when(F.get(order, k) <= F.get(order, k + 1), k).otherwise(k + 1)
         least = lambda k, c: _let(F.slice(order, k + 1, c), lambda o: k + F.array_position(o, F.array_min(o)).cast("int") - 1)
-        return F.transform(rows, lambda x, k: F.when(x["c"] == 1, k).when(x["c"] > 1, least(k, x["c"])))
+        return F.transform(rows, lambda x, k: F.when(x["c"] == 1, k).when(x["c"] == 2, two(k)).when(x["c"] > 2, least(k, x["c"])))
 
     return _let(F.transform(rows, lambda x: F.shiftleft(-F.least(x["w"], F.lit(MOST)).cast("long"), 40) + x["h"].bitwiseAND((1 << 40) - 1)), of)
 
@@ -162,7 +165,7 @@ def _places(n: Column, rows: Column) -> Column:
 
 
 def _around(hs: Column, ms: Column) -> Column:
-    """The units of a place as ``_spoken`` gives them; the gap before the first is right if it is the text's first."""
+    """array<struct<h,w,p,gap,c>>: the units of a place, with the units without words before each; for the first it is right if that is the text's first."""
     p = lambda m: F.shiftright(m, 32).cast("int")
     c = lambda m: F.nullif(m.bitwiseAND(MOST).cast("int"), F.lit(0))
     return F.transform(ms, lambda m, i: F.struct(
