@@ -126,7 +126,7 @@ def test_odd_rows(spark):
     assert len(run(spark, table(spark, lengths))) == 2
 
 
-def kept_by_brute_force(rows):
+def kept_by_brute_force(rows, min_words=MIN_WORDS, long_unit=LONG_UNIT):
     """Units left when all that lie in a run that counts and stands at an earlier place too are deleted."""
     docs = sorted({(i, t or "") for i, t in rows})
     cut = {d: CUT.split(d[1]) for d in docs}
@@ -136,7 +136,7 @@ def kept_by_brute_force(rows):
         n = [len(u.split()) for u in us]
         for a in range(len(us)):
             for z in range(a, len(us)):
-                if (sum(n[a : z + 1]) >= MIN_WORDS and z > a) or (z == a and n[a] >= LONG_UNIT):
+                if (sum(n[a : z + 1]) >= min_words and z > a) or (z == a and n[a] >= long_unit):
                     if tuple(us[a : z + 1]) in seen:
                         gone[d].update(range(a, z + 1))
                     seen.add(tuple(us[a : z + 1]))
@@ -203,3 +203,30 @@ def test_first_holder_of_a_pair_has_no_more(spark):
             rows.append((3 * k + i, before + pair + (rest if i else "") + after, "en", "s", 0))
             want[3 * k + i] = before + after if i == 2 else rows[-1][1]
     assert {i: t for i, _, t in run(spark, table(spark, rows))} == want
+
+
+def test_other_limits_like_brute_force(spark):
+    """Windows of many units, and of one: the shortest rows that reach a few words, or very many."""
+    rnd = random.Random(21)
+    verse = ["".join(sentence(rnd, rnd.randrange(1, 6)) + rnd.choice(["\n", " ", "\n\n"]) for _ in range(n)) for n in (4, 30, 60)]
+    rows = []
+    for i in range(40):
+        own = [sentence(rnd, rnd.randrange(1, 20)) + rnd.choice([" ", "\n"]) for _ in range(4)]
+        own.insert(rnd.randrange(4), rnd.choice(verse))
+        rows.append((i, "".join(own)))
+    for min_words, long_unit in ((5, 8), (70, 90), (25, 20)):
+        got = dedup_lines(table(spark, [(i, t, "en", "s", 0) for i, t in rows]), min_words=min_words, long_unit=long_unit).collect()
+        assert sorted((r.doc_id, r.text) for r in got) == kept_by_brute_force(rows, min_words, long_unit)
+
+
+def test_windows_select_few_and_the_same(spark):
+    """Any shared row of enough words has the fingerprints of its windows in both texts; fewer are selected than there are units."""
+    rnd = random.Random(22)
+    passage = " ".join(sentence(rnd, rnd.randrange(4, 12)) for _ in range(12)) + " "
+    texts = [" ".join(sentence(rnd, rnd.randrange(4, 12)) for _ in range(20)) + " " + passage + sentence(rnd, 9) for _ in range(6)]
+    src = spark.createDataFrame(list(enumerate([*texts, passage])), "id long, _text string")
+    found = {}
+    for r in linededup._fingerprints(src, MIN_WORDS, True).collect():
+        found.setdefault(r.id, []).append(r.f)
+    assert all(set(found[6]) <= set(found[i]) for i in range(6))
+    assert all(len(set(found[i])) == len(found[i]) < 0.75 * len(CUT.split(t)) for i, t in enumerate(texts))
