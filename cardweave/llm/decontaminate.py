@@ -339,7 +339,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     here = ours.select("hash", "width", F.col("around").alias("here")).distinct()
     there = theirs.select("hash", "width", F.least("size", F.lit(MIN_RUN)).alias("need"), F.col("around").alias("there")).distinct()
     agreed = cut(here.join(there, ["hash", "width"]).filter(F.col("width") + in_a_row(0) + in_a_row(2 * side) >= F.col("need")).drop("need").distinct())
-    met = ours.withColumnRenamed("around", "here").join(small_or_not(agreed), ["hash", "width", "here"])
+    met = ours.withColumnRenamed("around", "here").join(small_or_not(agreed, 100_000), ["hash", "width", "here"])
     of_items = theirs.select("hash", "width", F.col("around").alias("there"), "item", "size", F.col("start").alias("at"))
     hits = met.join(of_items, ["hash", "width", "there"]).select("key", "item", "size", (F.col("start") - F.col("at")).alias("shift")).distinct()
     # So many of a text's hits are a row.
