@@ -29,11 +29,11 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from cardweave.llm.common import cut, text_of
+from cardweave.llm.common import cut, recall, text_of
 
 SIZE, END_ID = 2048, 0
-#: Pieces in one ranking group, and distinct words that a worker remembers.
-BUCKET_ROWS, REMEMBERED = 20_000, 1_000_000
+#: Pieces in one ranking group.
+BUCKET_ROWS = 20_000
 
 # The pre-tokenizer's pattern (fixed value).
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -90,15 +90,7 @@ class Encoder:
         if "  " in text or text.endswith(" "):
             return array("I", self.merge(text)).tobytes()
         first, *rest = text.split(" ")
-        known = self.known
-        ids = list(map(known.get, rest))
-        if None in ids:
-            if len(known) > REMEMBERED:
-                known.clear()
-                ids = [None] * len(rest)
-            for i, w in enumerate(rest):
-                if ids[i] is None:
-                    ids[i] = known[w] = array("I", self.merge(" " + w)).tobytes()
+        ids = recall(rest, self.known, lambda w: array("I", self.merge(" " + w)).tobytes())
         return array("I", self.merge(first)).tobytes() + b"".join(ids)
 
 
@@ -127,14 +119,17 @@ def tokenize(docs: DataFrame, tokenizer_path: str, size: int = SIZE, end_id: int
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         encode = encoder(tokenizer_path)
-        for frame in frames:
-            rows = []
-            for at, text in enumerate(frame["_text"]):
-                ids = encode(text) + end
-                n = len(ids) // 4
-                rows += [(at, k, s, m, zlib.crc32(ids[4 * s : 4 * (s + m)]), n) for k, (s, m) in enumerate(cut_points(n, size))]
-            at, piece, start, length, crc, n = (np.array(x, np.int64) for x in (zip(*rows, strict=True) if rows else [()] * 6))
-            yield pd.DataFrame({"id": frame["id"].iloc[at].to_numpy(), "piece": piece.astype(np.int32), "start": start, "length": length, "ids_crc32": crc, "n_tokens": n})
+        try:
+            for frame in frames:
+                rows = []
+                for at, text in enumerate(frame["_text"]):
+                    ids = encode(text) + end
+                    n = len(ids) // 4
+                    rows += [(at, k, s, m, zlib.crc32(ids[4 * s : 4 * (s + m)]), n) for k, (s, m) in enumerate(cut_points(n, size))]
+                at, piece, start, length, crc, n = (np.array(x, np.int64) for x in (zip(*rows, strict=True) if rows else [()] * 6))
+                yield pd.DataFrame({"id": frame["id"].iloc[at].to_numpy(), "piece": piece.astype(np.int32), "start": start, "length": length, "ids_crc32": crc, "n_tokens": n})
+        finally:
+            encode.known.clear()  # the encoder stays with the worker, the words go with the task
 
     src = docs.select(F.col(id_col).alias("id"), text_of(text_col).alias("_text"))
     kind = src.schema["id"].dataType.simpleString()

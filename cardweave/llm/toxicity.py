@@ -7,7 +7,7 @@ bits, for each number of edits, so all terms are tried at once and a branch ends
 when no state is left. Words of ``FUZZY[0]`` letters may be misspelled by one edit,
 of ``FUZZY[1]`` by two; beginnings of ``FUZZY[2]`` by one edit. As an edit spares one half
 of a term, and two spare a third, only words that hold such a part in its place are
-run; a worker remembers the words that it has seen. Each match
+run; a task remembers words that it has seen. Each match
 is weighed by its context of ``CONTEXT`` words: inside quotation marks or beside
 a word of reporting it counts as quoted, beside a word of address as aimed at
 the reader. A logistic regression on these sums, and on how far the matches
@@ -38,7 +38,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cardweave.llm.common import cut, text_of
+from cardweave.llm.common import cut, recall, text_of
 
 TRAIN_ROWS, MAX_TERMS, MIN_DOCS, MIN_ODDS = 12_000, 400, 6, 1.6
 #: Least and greatest letters of a word beginning; letters of words that allow one edit and two, and of beginnings that allow one.
@@ -47,7 +47,7 @@ STEM, FUZZY = (4, 9), (5, 9, 6)
 MOSTLY = (0.6, 0.95)
 #: Deviations by which the log odds must lie above MIN_ODDS: fewer would let in beginnings by chance.
 SURE = 2.0
-CONTEXT, REMEMBERED = 8, 1_000_000
+CONTEXT = 8
 # Fixed word lists for the context, and characters that open or close a quotation.
 REPORTING = frozenset("said says say wrote writes called quote quoted quoting cited citing term word reported phrase".split())
 ADDRESS = frozenset("you your you're youre u ur yourself du dein tu ton te vous votre usted tus".split())
@@ -213,12 +213,9 @@ def learn_lexicon(train: DataFrame) -> Lexicon:
         sums, terms, known = Counter(), wanted.value, {}
         for frame in frames:
             for text in frame["text"]:
-                for w, n in Counter(_words(text)).items():
-                    if w not in known:
-                        if len(known) > REMEMBERED:
-                            known.clear()
-                        known[w] = [t for t in _terms_of(w) if t in terms]
-                    for t in known[w]:
+                seen = Counter(_words(text))
+                for n, found in zip(seen.values(), recall(list(seen), known, lambda w: [t for t in _terms_of(w) if t in terms]), strict=True):
+                    for t in found:
                         sums[t] += n
         yield pd.DataFrame(list(sums.items()), columns=["term", "n"])
 
@@ -258,12 +255,12 @@ FEATURES = 10
 _MACHINE: list = []
 
 
-def machine_of(lexicon: Lexicon) -> tuple[Automaton, dict[str, tuple]]:
-    """The automaton and the remembered words of a lexicon; a worker process keeps the last ones."""
+def machine_of(lexicon: Lexicon) -> Automaton:
+    """The automaton of a lexicon; a worker process keeps the last one."""
     key = tuple(lexicon.terms)
     if not _MACHINE or _MACHINE[0] != key:
-        _MACHINE[:] = [key, Automaton(lexicon), {}]
-    return _MACHINE[1], _MACHINE[2]
+        _MACHINE[:] = [key, Automaton(lexicon)]
+    return _MACHINE[1]
 
 
 def _look_up(raw: str, machine: Automaton) -> tuple:
@@ -278,16 +275,7 @@ def features(text: str, machine: Automaton, terms: list[tuple[str, bool, float,
     """The numbers that the regression sees. ``known`` remembers words."""
     words = text.lower().split()
     n = len(words)
-    found = list(map(known.get, words))
-    if None in found:
-        if len(known) > REMEMBERED:
-            known.clear()
-        for i, w in enumerate(words):
-            if found[i] is None:
-                hit = known.get(w)
-                if hit is None:
-                    hit = known[w] = _look_up(w, machine)
-                found[i] = hit
+    found = recall(words, known, lambda w: _look_up(w, machine))
     spots = [i for i, hit in enumerate(found) if hit]
     hits = [i for i in spots if found[i][0] >= 0]
     chance = n * machine.chance
@@ -353,7 +341,7 @@ def train_model(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text
     lexicon = learn_lexicon(sample)
 
     def describe(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        machine, known = machine_of(lexicon)
+        machine, known = machine_of(lexicon), {}
         for frame in frames:
             yield pd.DataFrame({"x": [features(t, machine, lexicon.terms, known) for t in frame["text"]], "label": frame["label"]})
 
@@ -372,7 +360,7 @@ def score_texts(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col:
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         m = shared.value
-        machine, known = machine_of(m.lexicon)
+        machine, known = machine_of(m.lexicon), {}
         for frame in frames:
             x = np.array([features(t, machine, m.lexicon.terms, known) for t in frame["_text"]]).reshape(len(frame), FEATURES)
             if m.weights.any():
