@@ -32,3 +32,7 @@ def _differences(spark, large, name):
 
 def test_contacts_read_no_number_in_a_mail_address(spark, large):
     assert _differences(spark, large, "contacts") == ([], [], 0)
+
+
+def test_field_table_has_the_number_of_the_phone_line(spark, large):
+    assert _differences(spark, large, "field_table") == ([], [], 0)
