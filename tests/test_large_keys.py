@@ -36,3 +36,7 @@ def test_contacts_read_no_number_in_a_mail_address(spark, large):
 
 def test_field_table_has_the_number_of_the_phone_line(spark, large):
     assert _differences(spark, large, "field_table") == ([], [], 0)
+
+
+def test_wide_rows_have_the_number_of_the_phone_line(spark, large):
+    assert _differences(spark, large, "wide_rows") == ([], [], 0)
