@@ -40,3 +40,7 @@ def test_field_table_has_the_number_of_the_phone_line(spark, large):
 
 def test_wide_rows_have_the_number_of_the_phone_line(spark, large):
     assert _differences(spark, large, "wide_rows") == ([], [], 0)
+
+
+def test_streamed_contacts_have_the_number_of_the_phone_line(spark, large):
+    assert _differences(spark, large, "stream_contacts") == ([], [], 0)
