@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import WindowSpec
 
 from cardweave.functions import constants as C
-from cardweave.functions.text import digit_count, has_hint, is_title, is_upper, letters, normalize_spaces, spaced_letters, word_count
+from cardweave.functions.text import digit_count, has_hint, is_title, is_upper, let, letters, normalize_spaces, spaced_letters, word_count
 from cardweave.functions.similarity import Likeness, confusion_likeness, lcs_ratio
 from cardweave.operators.extract import numbering
 from cardweave.operators.tokens import cluster_rows, geometry, of_card
@@ -170,30 +170,29 @@ def reading_order(rows: DataFrame, least: float = 0.25) -> DataFrame:
     """(card_id, src, dst): edges to lower rows whose x-overlap is a quarter of the upper row's width."""
     a, b = (rows.select("card_id", *(F.col(c).alias(f"{p}_{c}") for c in ("row_id", "x1", "x2", "y_center"))) for p in "ab")
     over = (F.least("a_x2", "b_x2") - F.greatest("a_x1", "b_x1")) / F.greatest(F.lit(1.0), F.col("a_x2") - F.col("a_x1"))
-    return a.join(b, "card_id").filter((F.col("a_row_id") < F.col("b_row_id")) & (F.col("b_y_center") > F.col("a_y_center")) & (over >= least)).select("card_id", F.col("a_row_id").alias("src"), F.col("b_row_id").alias("dst"))
+    # What a plan takes rows of exploded arrays to weigh is far too little, so no side may be broadcast by it.
+    return a.hint("merge").join(b, "card_id").filter((F.col("a_row_id") < F.col("b_row_id")) & (F.col("b_y_center") > F.col("a_y_center")) & (over >= least)).select("card_id", F.col("a_row_id").alias("src"), F.col("b_row_id").alias("dst"))
 
 
 def within_hops(edges: DataFrame, targets: DataFrame, hops: int, up: bool = True) -> DataFrame:
     """(card_id, row_id): ancestors (or descendants) of the targets within that many hops.
 
-    A recursive query over cards: its state is the rows met so far and the newest of them, so a row met on many
-    paths is taken once, and a card has one row a hop. The edges of a card are read once.
+    A fold over the hops for each card: its state is the rows met so far and the newest of them, so a row met on many
+    paths is taken once. The edges of a card are read once, and a card is one row however many hops there are; a recursive
+    query has a bound on the rows of all its cards.
     """
     here, there = ("dst", "src") if up else ("src", "dst")
-    found = edges.sparkSession.sql(
-        f"""
-        WITH RECURSIVE graph AS (SELECT card_id, collect_set(struct({here} AS here, {there} AS there)) AS edges FROM {{edges}} GROUP BY card_id),
-        met(card_id, front, seen, hops) AS (
-          SELECT card_id, collect_set(row_id), CAST(array() AS array<{dict(targets.dtypes)["row_id"]}>), 0 FROM {{targets}} GROUP BY card_id
-          UNION ALL
-          SELECT m.card_id, array_except(m.next, m.seen), array_union(m.seen, m.next), m.hops + 1 FROM (
-            SELECT met.card_id, seen, hops, array_distinct(transform(filter(edges, e -> array_contains(front, e.here)), e -> e.there)) AS next
-            FROM met JOIN graph ON met.card_id = graph.card_id WHERE hops < {int(hops)} AND size(front) > 0) m)
-        SELECT card_id, explode(seen) AS row_id FROM (SELECT card_id, max_by(seen, hops) AS seen FROM met GROUP BY card_id)
-        """,
-        edges=edges, targets=targets,
-    )
-    return found
+    ids = f"array<{dict(targets.dtypes)['row_id']}>"
+    graph = edges.groupBy("card_id").agg(F.collect_set(F.struct(F.col(here).alias("here"), F.col(there).alias("there"))).alias("edges"))
+    cards = targets.groupBy("card_id").agg(F.collect_set("row_id").alias("front")).hint("merge").join(graph, "card_id")
+    state = f"struct<front:{ids},seen:{ids}>"
+
+    def step(s: Column, _: Column) -> Column:
+        reached = F.array_distinct(F.transform(F.filter("edges", lambda e: F.array_contains(s["front"], e["here"])), lambda e: e["there"]))
+        return let(reached, lambda r: F.struct(F.array_except(r, s["seen"]).alias("front"), F.array_union(s["seen"], r).alias("seen"))).cast(state)
+
+    start = F.struct(F.col("front"), F.array().cast(ids).alias("seen")).cast(state)
+    return cards.select("card_id", F.explode(F.aggregate(F.array_repeat(F.lit(0), hops), start, step, lambda s: s["seen"])).alias("row_id"))
 
 
 def prominent_fields(rows: DataFrame) -> DataFrame:

@@ -120,3 +120,16 @@ def test_hops_by_recursion(spark):
                 front = {(c, a if up else b) for c, a, b in edges if (c, b if up else a) in front}
                 want |= front
             assert {(r.card_id, r.row_id) for r in rows.within_hops(e, t, hops, up).collect()} == want
+
+
+@pytest.mark.parametrize("up", [True, False])
+def test_hops_have_no_bound_on_rows_of_all_cards(spark, up):
+    """A recursive query fails beyond ``spark.sql.cteRecursionRowLimit`` rows, a million unless set: 1.8 million come of 900,000 cards."""
+    edges = spark.range(200).selectExpr("id AS card_id", "explode(array(struct(0 AS src, 1 AS dst), struct(1 AS src, 2 AS dst), struct(2 AS src, 3 AS dst))) AS e").select("card_id", "e.*")
+    targets = spark.range(200).selectExpr("id AS card_id", f"{3 if up else 0} AS row_id")
+    spark.conf.set("spark.sql.cteRecursionRowLimit", "100")
+    try:
+        got = rows.within_hops(edges, targets, 2, up).groupBy("row_id").count().collect()
+    finally:
+        spark.conf.unset("spark.sql.cteRecursionRowLimit")
+    assert sorted(map(tuple, got)) == [(1, 200), (2, 200)]
