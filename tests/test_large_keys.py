@@ -44,3 +44,11 @@ def test_wide_rows_have_the_number_of_the_phone_line(spark, large):
 
 def test_streamed_contacts_have_the_number_of_the_phone_line(spark, large):
     assert _differences(spark, large, "stream_contacts") == ([], [], 0)
+
+
+def test_descendants_are_no_recursive_query(spark, large):
+    spark.conf.set("spark.sql.cteRecursionRowLimit", "10")  # a million unless set
+    try:
+        assert _differences(spark, large, "descendants") == ([], [], 0)
+    finally:
+        spark.conf.unset("spark.sql.cteRecursionRowLimit")
