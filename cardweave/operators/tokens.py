@@ -56,7 +56,8 @@ def overlap_pairs(tokens: DataFrame, least: float = C.IOU_MIN) -> DataFrame:
     """(card_id, a, b, iou): tokens of a card with one canonical text whose boxes overlap, a < b."""
     t = geometry(tokens).withColumn("canon", canonical(F.col("text"))).select("card_id", "canon", "tok_idx", "x1", "y1", "x2", "y2")
     a, b = (t.select("card_id", "canon", F.col("tok_idx").alias(p + "idx"), *(F.col(c).alias(p + c) for c in ("x1", "y1", "x2", "y2"))) for p in ("a_", "b_"))
-    met = a.join(b, ["card_id", "canon"]).filter("a_idx < b_idx").withColumn("iou", iou(_corners("a_"), _corners("b_")))
+    # What a plan takes rows of exploded arrays to weigh is far too little, so no side may be broadcast by it.
+    met = a.hint("merge").join(b, ["card_id", "canon"]).filter("a_idx < b_idx").withColumn("iou", iou(_corners("a_"), _corners("b_")))
     return met.filter(F.col("iou") >= least).select("card_id", F.col("a_idx").alias("a"), F.col("b_idx").alias("b"), F.round("iou", 6).alias("iou"))
 
 
