@@ -90,10 +90,11 @@ def reading_edges(rows: DataFrame, least: float = 0.25) -> DataFrame:
     left end of what they share counts.
     """
     wide = rows.groupBy("card_id").agg(F.greatest(F.lit(1.0), F.median(F.col("x2") - F.col("x1"))).alias("_wide"))
-    r = rows.select("card_id", "row_id", "x1", "x2", "y_center").join(wide, "card_id")
+    # What a plan takes rows of exploded arrays to weigh is far too little, so no side may be broadcast by it.
+    r = rows.select("card_id", "row_id", "x1", "x2", "y_center").hint("merge").join(wide, "card_id")
     r = r.select("*", F.explode(F.sequence(F.floor(F.col("x1") / F.col("_wide")), F.floor(F.col("x2") / F.col("_wide")))).alias("strip"))
     a, b = (r.select("card_id", "strip", "_wide", *(F.col(c).alias(f"{p}_{c}") for c in ("row_id", "x1", "x2", "y_center"))) for p in "ab")
     left = F.greatest("a_x1", "b_x1")
     over = (F.least("a_x2", "b_x2") - left) / F.greatest(F.lit(1.0), F.col("a_x2") - F.col("a_x1"))
-    met = a.join(b.drop("_wide"), ["card_id", "strip"]).filter((F.col("a_row_id") < F.col("b_row_id")) & (F.col("b_y_center") > F.col("a_y_center")) & (F.col("strip") == F.floor(left / F.col("_wide"))))
+    met = a.hint("merge").join(b.drop("_wide"), ["card_id", "strip"]).filter((F.col("a_row_id") < F.col("b_row_id")) & (F.col("b_y_center") > F.col("a_y_center")) & (F.col("strip") == F.floor(left / F.col("_wide"))))
     return met.filter(over >= least).select("card_id", F.col("a_row_id").alias("src"), F.col("b_row_id").alias("dst"))

@@ -144,3 +144,8 @@ def test_pairs_of_exploded_tokens_are_not_broadcast(spark):
     """A plan weighs a small table whose arrays are exploded by the table alone, whatever the arrays hold: 24 million tokens went through the driver."""
     df = spark.range(50).selectExpr("id AS card_id", "explode(sequence(1, 500)) AS tok_idx", "'n' AS pass_name", "'a' AS text", "0.5D AS score", "array(array(0D, 0D), array(9D, 9D)) AS box")
     assert _joins(tokens.overlap_pairs(df)) == (False, True)
+
+
+def test_reading_edges_of_exploded_rows_are_not_broadcast(spark):
+    df = spark.range(50).selectExpr("id AS card_id", "explode(sequence(1, 500)) AS row_id", "0D AS x1", "9D AS x2").withColumn("y_center", F.col("row_id") * 1.0)
+    assert _joins(pages.reading_edges(df)) == (False, True)
