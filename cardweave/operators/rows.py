@@ -196,24 +196,27 @@ def within_hops(edges: DataFrame, targets: DataFrame, hops: int, up: bool = True
 
 
 def prominent_fields(rows: DataFrame) -> DataFrame:
-    """(card_id, name, company, title) from rows with roles; each choice is closed to the later ones."""
+    """(card_id, name, company, title) from rows with roles; each choice is closed to the later ones.
+
+    Rows are dealt by card, and each choice is the greatest of a card's candidates, so nothing is broadcast
+    and what may not be taken again is compared, not joined.
+    """
     anchors = rows.filter(F.col("role").isin("email", "phone"))
-    near = within_hops(reading_order(rows), anchors, 3).withColumn("near", F.lit(True))
-    c = rows.filter(F.col("role").isin("name", "title", "company") | ((F.col("role") == "unknown") & (F.col("pos") < 0.4)))
-    c = c.join(near, ["card_id", "row_id"], "left")
+    near = within_hops(reading_order(rows), anchors, 3).groupBy("card_id").agg(F.collect_set("row_id").alias("near"))
     on = lambda x, v: F.when(x, float(v)).otherwise(0.0)
-    c = c.withColumn("score", F.col("role_score") + on(F.coalesce("near", F.lit(False)), 18) + on(F.col("pos") < 0.35, 10) + 12 * F.col("tps") + 6 * F.col("confidence"))
-
-    def pick(pool: DataFrame, order: list, name: str) -> DataFrame:
-        w = card().orderBy(*order, "row_id")
-        return pool.withColumn("k", F.row_number().over(w)).filter("k = 1").select("card_id", F.col("text").alias(name))
-
-    name = pick(c.filter(~F.col("has_digit") & F.col("word_count").between(1, 5) & (F.col("pos") < 0.50)), [F.desc("score")], "name")
-    rest = c.join(name.withColumnRenamed("name", "text"), ["card_id", "text"], "left_anti")
-    company = pick(rest, [F.desc("all_caps"), F.desc("tps"), F.desc("score")], "company")
-    rest = rest.join(company.withColumnRenamed("company", "text"), ["card_id", "text"], "left_anti")
-    title = pick(rest, [F.desc("score")], "title")
-    return rows.select("card_id").distinct().join(name, "card_id", "left").join(company, "card_id", "left").join(title, "card_id", "left")
+    c = rows.hint("merge").join(near, "card_id", "left").withColumn("near", F.coalesce(F.array_contains("near", F.col("row_id")), F.lit(False)))
+    c = c.withColumn("score", F.col("role_score") + on(F.col("near"), 18) + on(F.col("pos") < 0.35, 10) + 12 * F.col("tps") + 6 * F.col("confidence"))
+    c = c.withColumn("may", F.col("role").isin("name", "title", "company") | ((F.col("role") == "unknown") & (F.col("pos") < 0.4)))
+
+    def pick(test: Column, *order: str) -> Column:
+        rank = F.struct(*order, (-F.col("row_id")).alias("k"), "text")
+        return F.max(F.when(F.col("may") & test, rank)).over(card())["text"]
+
+    other = lambda name: ~F.coalesce(F.col("text") == F.col(name), F.lit(False))
+    c = c.withColumn("name", pick(~F.col("has_digit") & F.col("word_count").between(1, 5) & (F.col("pos") < 0.50), "score"))
+    c = c.withColumn("company", pick(other("name"), "all_caps", "tps", "score"))
+    c = c.withColumn("title", pick(other("name") & other("company"), "score"))
+    return c.groupBy("card_id").agg(*(F.first(f).alias(f) for f in ("name", "company", "title")))
 
 
 def first_email(lines: DataFrame, pattern: str = C.EMAIL_SHAPE, lower: bool = True) -> DataFrame:
