@@ -3,8 +3,11 @@
 from __future__ import annotations
 
 import re
+from collections import Counter
+from collections.abc import Iterator
 from functools import reduce
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -14,6 +17,8 @@ from cardweave.plans.stage import stage
 GRAM, PATTERNS = 3, 1000
 #: Rows of a table up to which it is broadcast.
 SMALL = 200_000
+#: Words that a task of ``count_hints`` remembers at once, and characters of the longest of them.
+REMEMBERED, LONGEST = 300_000, 64
 
 
 def small_or_not(df: DataFrame, most: int = SMALL) -> DataFrame:
@@ -51,6 +56,82 @@ def match_hints(lines: DataFrame, hints: DataFrame, text: str = "text") -> DataF
     return found.select(*lines.columns, F.explode("_held").alias("hint"))
 
 
+class _Held(dict):
+    """For each word the numbers of the hints that it holds, found at the first sight of it and remembered; a task's own."""
+
+    def __init__(self, numbers: dict[str, int]):
+        super().__init__()
+        self.numbers, self.lengths = numbers, sorted({len(h) for h in numbers})
+
+    def __missing__(self, word: str) -> tuple[int, ...]:
+        n, get = len(word), self.numbers.get
+        found = {get(word[i : i + k]) for k in self.lengths if k <= n for i in range(n - k + 1)}
+        found.discard(None)
+        if n <= LONGEST:
+            if len(self) >= REMEMBERED:
+                self.clear()
+            self[word] = tuple(found)
+        return tuple(found)
+
+
+def _tally(hints: list[str]):
+    """A task's counts of lines and texts for each hint, from batches of (id, text), texts and hints lower-cased.
+
+    What stands between spaces can only be in what stands between spaces of a line, so each word is searched once, and a line has
+    what its words have. A hint of several words is looked for in the lines that hold its longest one.
+    """
+    plain = [h for h in hints if " " not in h]
+    numbers = {h: i for i, h in enumerate(plain)}
+    blank, wider = [], {}
+    for h in hints:
+        if " " in h:
+            key = max(h.split(" "), key=len)
+            (wider.setdefault(numbers.setdefault(key, len(numbers)), []) if key else blank).append(h)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, in_lines, in_texts = _Held(numbers), Counter(), Counter()
+        words_of = held.__getitem__
+        for batch in batches:
+            for key, text in (row for k in range(0, batch.num_rows, 100) for row in zip(*(c.to_pylist() for c in batch.slice(k, 100).columns), strict=True)):
+                seen = set()
+                for line in text.split("\n"):
+                    if not line.strip(" "):
+                        continue
+                    hits = set().union(*map(words_of, set(line.split(" "))))
+                    for k in wider.keys() & hits:
+                        hits.update(h for h in wider[k] if h in line)
+                    hits.update(h for h in blank if h in line)
+                    in_lines.update(hits)
+                    seen |= hits
+                if key is not None:
+                    in_texts.update(seen)
+        names = {k: k if isinstance(k, str) else plain[k] for k in in_lines if isinstance(k, str) or k < len(plain)}
+        yield pa.RecordBatch.from_arrays([pa.array(list(names.values()), pa.string()), pa.array([in_lines[k] for k in names], pa.int64()), pa.array([in_texts[k] for k in names], pa.int64())], ["hint", "n_lines", "n_docs"])
+
+    return run
+
+
+def count_hints(texts: DataFrame, hints: DataFrame) -> DataFrame:
+    """(hint, n_lines, n_docs): in how many lines, and in how many of the texts (id, text), each hint is, both lower-cased; none that is in no line.
+
+    As ``match_hints`` and a grouping of its rows, but a text is read where it is, and only counts are dealt. Lines are
+    what stands between line feeds, blank ones left out. Texts with one id count as one. Dictionaries of more than ``SMALL``
+    hints are joined.
+    """
+    own = hints.select(F.lower("hint").alias("hint")).filter("hint != ''").distinct()
+    known = [r[0] for r in own.limit(SMALL + 1).collect()]
+    if len(known) > SMALL:
+        lines = texts.select("id", F.explode(F.split("text", "\n", -1)).alias("text")).filter(F.trim("text") != "")
+        return match_hints(lines, own).groupBy("hint").agg(F.count("*").alias("n_lines"), F.countDistinct("id").alias("n_docs"))
+    low = texts.select("id", F.lower("text").alias("text")).filter("text is not null")
+    twice = texts.groupBy("id").count().filter("count > 1 and id is not null").select("id")
+    if not twice.isEmpty():
+        again = low.hint("merge").join(twice, "id", "left_semi").groupBy("id").agg(F.array_join(F.collect_list("text"), "\n").alias("text"))
+        low = low.hint("merge").join(twice, "id", "left_anti").unionByName(again)
+    counts = low.mapInArrow(_tally(known), "hint string, n_lines long, n_docs long")
+    return counts.groupBy("hint").agg(F.sum("n_lines").alias("n_lines"), F.sum("n_docs").alias("n_docs"))
+
+
 def longest_plan(found: DataFrame, plans: DataFrame, col: str = "phone") -> DataFrame:
     """``found`` with region and number by the plan with the longest calling code that fits; null if none does.
 

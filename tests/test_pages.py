@@ -158,3 +158,24 @@ def test_prominent_fields_deal_rows_by_card(spark):
     plan = df._jdf.queryExecution().executedPlan().toString()
     assert plan.count("SortMergeJoin") <= 3 and "BroadcastExchange" not in plan
     assert sorted(map(tuple, df.collect())) == [(c, "Ana Silva", None, None) for c in range(5)]
+
+
+def test_counts_of_hints_equal_nested_loops_and_deal_no_lines(spark, monkeypatch):
+    rnd = random.Random(9)
+    word = lambda: "".join(rnd.choices("abcdeé", k=rnd.randrange(1, 7)))
+    line = lambda: " ".join(rnd.choice([word(), word().upper(), ""]) for _ in range(rnd.randrange(0, 12)))
+    texts = [(rnd.choice([None, i, i // 3]), "\n".join(line() for _ in range(rnd.randrange(0, 6)))) for i in range(200)] + [(900, None), (901, "  \n\n")]
+    hints = sorted({rnd.choice([word(), f"{word()} {word()}", f"{word()}  {word()} "]) for _ in range(3000)}) + ["", "  ", "ABC", "abc"]
+    docs, table = spark.createDataFrame(texts, "id int, text string"), spark.createDataFrame([(h,) for h in hints], "hint string")
+    lines = [(i, x.lower()) for i, t in texts if t for x in t.split("\n") if x.strip(" ")]
+    want = {}
+    for h in {h.lower() for h in hints if h}:
+        ids = [i for i, x in lines if h in x]
+        if ids:
+            want[h] = (len(ids), len({i for i in ids if i is not None}))
+    got = lookups.count_hints(docs, table)
+    assert len(want) > 300 and {r.hint: (r.n_lines, r.n_docs) for r in got.collect()} == want
+    plan = lookups.count_hints(docs.filter("id = 901"), table)._jdf.queryExecution().executedPlan().toString()
+    assert "Generate" not in plan and plan.count("Exchange hash") <= 2  # counts alone, in both parts of the plan
+    monkeypatch.setattr(lookups, "SMALL", 10)  # a dictionary too large for it is joined
+    assert {r.hint: (r.n_lines, r.n_docs) for r in lookups.count_hints(docs, table).collect()} == want
