@@ -33,6 +33,15 @@ def canonical(c: Column) -> Column:
     return F.regexp_replace(F.translate(F.lower(safe_text(c)), "l|oqsbz", "110g582"), "[^a-z0-9]", "")
 
 
+_ALIKE = str.maketrans("l|oqsbz", "110g582")
+
+
+def canonical_of(text: str) -> str:
+    """``canonical`` of one text, in Python."""
+    low = text.lower().translate(_ALIKE)
+    return low if low.isascii() and low.isalnum() else re.sub("[^a-z0-9]", "", low)
+
+
 def letters(c: Column) -> Column:
     return F.regexp_count(c, F.lit(r"\p{L}"))
 

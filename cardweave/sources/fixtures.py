@@ -151,7 +151,7 @@ def hard_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def page_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(card_id, tok_idx, pass_name, text, score, box): the words of documents, each a page, as two passes see them; long documents are pages of very many tokens."""
+    """(card_id, tok_idx, pass_name, text, score, box, x1, y1, x2, y2): the words of documents, each a page, as two passes see them; long documents are pages of very many tokens. Those of a document stand together."""
     k = F.col("card_id")
     words = doc_lines(spark, sf_dir).select("card_id", "line_no", F.posexplode(F.split("text", " ")).alias("word_no", "word"))
     words = words.filter("word != ''").select("card_id", "line_no", "word_no", "word", (96.0 * F.col("word_no")).alias("x"), (30.0 * F.col("line_no")).alias("y"), (0.1 + ((k * 31 + F.col("line_no") * 7 + F.col("word_no") * 13) % 88) / 100.0).alias("s"))
@@ -165,7 +165,7 @@ def page_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     x2, y2 = x1 + 8.0 * F.length("text"), y1 + 20.0
     # Numbers follow the place, so no window over a whole page is needed.
     index = (F.col("line_no") * 65_536 + F.col("word_no")) * 2 + F.col("d").cast("int")
-    return t.select("card_id", index.cast("long").alias("tok_idx"), "pass_name", "text", F.round("score", 4).alias("score"), F.array(F.array(x1, y1), F.array(x2, y1), F.array(x2, y2), F.array(x1, y2)).alias("box"))
+    return t.select("card_id", index.cast("long").alias("tok_idx"), "pass_name", "text", F.round("score", 4).alias("score"), F.array(F.array(x1, y1), F.array(x2, y1), F.array(x2, y2), F.array(x1, y2)).alias("box"), x1.alias("x1"), y1.alias("y1"), x2.alias("x2"), y2.alias("y2"))
 
 
 def archives(spark: SparkSession, sf_dir: str, folder: str, per_archive: int = 200) -> DataFrame:

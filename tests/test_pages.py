@@ -5,6 +5,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from cardweave.functions.text import canonical, canonical_of
 from cardweave.functions.similarity import lcs_length, lcs_ratio
 from cardweave.operators import lookups, pages, rows, tokens
 
@@ -179,3 +180,30 @@ def test_counts_of_hints_equal_nested_loops_and_deal_no_lines(spark, monkeypatch
     assert "Generate" not in plan and plan.count("Exchange hash") <= 2  # counts alone, in both parts of the plan
     monkeypatch.setattr(lookups, "SMALL", 10)  # a dictionary too large for it is joined
     assert {r.hint: (r.n_lines, r.n_docs) for r in lookups.count_hints(docs, table).collect()} == want
+
+
+def test_pages_where_they_are_read_equal_all_pairs_and_deal_nothing(spark, monkeypatch):
+    data = [t for c, n in ((1, 700), (2, 150), (3, 1), (4, 400)) for t in _page(c, n, card=c, spread=40.0 * c)]
+    df = spark.createDataFrame(data, TOKEN).coalesce(1)
+    key = lambda d: sorted((r.card_id, r.a, r.b, r.iou) for r in d.collect())
+    kept = lambda d: sorted(map(repr, d.select("card_id", F.col("tok_idx").cast("long").alias("tok_idx"), "text", "score").collect()))
+    pairs, stay = key(tokens.overlap_pairs(df)), kept(tokens.dedupe(df))
+    assert len(pairs) > 300 and len(stay) < 1200
+    for rows_of in ([1, 2, 3, 4], [1, 2, 2, 3, 4]):  # a page read from two rows is dealt
+        sources = spark.createDataFrame([(c,) for c in rows_of], "card_id long")
+        assert key(pages.overlaps_where_read(df, sources)) == pairs
+        assert kept(pages.dedupe_where_read(df, sources)) == stay
+    one = spark.createDataFrame([(c,) for c in range(1, 5)], "card_id long")
+    for df2 in (pages.overlaps_where_read(df, one), pages.dedupe_where_read(df, one)):
+        assert "Exchange" not in df2._jdf.queryExecution().executedPlan().toString()
+    # Pages go on from batch to batch, and are worked out whole.
+    monkeypatch.setattr(pages, "AT_ONCE", 50)
+    table = pages._placed(df).toArrow()
+    got = [r for b in pages._page_by_page(pages._pairs(0.58))(iter(table.to_batches(max_chunksize=30))) for r in b.to_pylist()]
+    assert sorted((r["card_id"], r["a"], r["b"]) for r in got) == [p[:3] for p in pairs]
+
+
+def test_canonical_texts_are_the_same_in_python(spark):
+    odd = [chr(c) for c in range(1, 0x3000) if not 0xD800 <= c < 0xE000] + ["Bell|oQsz", "", "İK-9", "ΑΣ Σ", "a\n\tB", "ＡＢ１", "²½"]
+    got = spark.createDataFrame([(x,) for x in odd], "t string").select("t", canonical(F.col("t")).alias("c")).collect()
+    assert [r.t for r in got if r.c != canonical_of(r.t)] == []
