@@ -23,6 +23,8 @@ from cardweave.operators.tokens import dedupe, geometry, iou
 
 #: Tokens that a task takes at once where pages stand together, and pages read from several rows up to which the others stay where they are.
 AT_ONCE, SEVERAL = 200_000, 200_000
+#: Texts that a task remembers at once, and characters of the longest of them.
+REMEMBERED, LONGEST = 300_000, 64
 CORNERS = ("x1", "y1", "x2", "y2")
 #: Cells of a level are so many times as wide as those of the level below.
 BASE = 4.0
@@ -117,13 +119,25 @@ def _page_by_page(work: Callable[[pa.Table], pa.RecordBatch]) -> Callable[[Itera
     return run
 
 
-def _met(t: pa.Table, least: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+class _Canonical(dict):
+    """Canonical texts that a task has met, as many as ``REMEMBERED``."""
+
+    def __missing__(self, text: str) -> str:
+        out = canonical_of(text)
+        if len(text) <= LONGEST:
+            if len(self) >= REMEMBERED:
+                self.clear()
+            self[text] = out
+        return out
+
+
+def _met(t: pa.Table, least: float, known: _Canonical) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Places of two tokens of a page and canonical text whose boxes overlap enough, and by how much: islands along y, in them a sweep along x."""
     page, x1, y1, x2, y2 = (t[c].to_numpy() for c in ("card_id", *CORNERS))
     # Texts repeat, so each different one is made canonical once.
     words = pc.fill_null(t["text"], "").combine_chunks().dictionary_encode()
     numbers: dict[str, int] = {}
-    codes = np.array([numbers.setdefault(canonical_of(w), len(numbers)) for w in words.dictionary.to_pylist()], np.int64)
+    codes = np.array([numbers.setdefault(w, len(numbers)) for w in map(known.__getitem__, words.dictionary.to_pylist())], np.int64)
     run = np.concatenate(([0], np.cumsum(page[1:] != page[:-1])))
     group = run * len(numbers) + codes[words.indices.to_numpy(zero_copy_only=False)]
     by_y = np.lexsort((y1, group))
@@ -151,8 +165,10 @@ def _met(t: pa.Table, least: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]
 
 
 def _pairs(least: float) -> Callable[[pa.Table], pa.RecordBatch]:
+    known = _Canonical()  # sent empty, so a task has its own
+
     def work(t: pa.Table) -> pa.RecordBatch:
-        a, b, share = _met(t, least)
+        a, b, share = _met(t, least, known)
         page, token = t["card_id"].to_numpy(), t["tok_idx"].to_numpy()
         two = token[a] != token[b]
         a, b, share = a[two], b[two], share[two]
@@ -162,8 +178,10 @@ def _pairs(least: float) -> Callable[[pa.Table], pa.RecordBatch]:
 
 
 def _stay(least: float, names: list[str]) -> Callable[[pa.Table], pa.RecordBatch]:
+    known = _Canonical()  # sent empty, so a task has its own
+
     def work(t: pa.Table) -> pa.RecordBatch:
-        a, b, _ = _met(t, least)
+        a, b, _ = _met(t, least, known)
         score, keep = t["score"].to_numpy(), np.ones(t.num_rows, bool)
         order = np.empty(t.num_rows, np.int64)
         order[np.lexsort((t["tok_idx"].to_numpy(), -score, t["x1"].to_numpy(), t["y1"].to_numpy()))] = np.arange(t.num_rows)
