@@ -73,3 +73,9 @@ def test_validators_in_sql_equal_columns(spark):
         assert {r.sql for r in rows} == {True, False}
     assert all(r.a == r.b for r in df.select(F.expr("card_key(t)").alias("a"), canonical(F.col("t")).alias("b")).collect())
     assert "Python" not in df.select(F.expr("valid_name(t)"))._jdf.queryExecution().executedPlan().toString()
+
+
+def test_items_are_parsed_a_few_times_only(spark):
+    """A filter on the tokens was pushed below the parsing, with all of it written out: 130 calls of from_json for each token."""
+    df = payload.tokens_from_items(spark.createDataFrame([(1, "n", "[]")], "card_id long, pass_name string, items string").repartition(2))
+    assert df._jdf.queryExecution().optimizedPlan().toString().count("from_json") < 20
